@@ -16,7 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays; rows without an id stay."""
     lost = settle(jaccard_join.components(docs).where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.dropDuplicates(["doc_id"]).join(lost, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.where("doc_id IS NOT NULL").join(lost, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, mixing, pii, quality_rules
+from . import chat_format, decontaminate, jaccard_join, mixing, pii, quality_rules, warc
 from .common import table
 
 
@@ -23,6 +23,15 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.with_hard_case(table(spark, sf_dir, "conversations"))
+    return chat_format.summary(chat_format.format_conversations(turns))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -32,8 +41,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_jaccard_join, op8_mix_sources, op10_pii)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_jaccard_join, op6_warc, op7_chat_format, op8_mix_sources, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": mixing.SQL}
+    return {"op6_warc": warc.SQL, "op7_chat_format": chat_format.SQL, "op8_mix_sources": mixing.SQL}
