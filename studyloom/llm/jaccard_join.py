@@ -228,7 +228,7 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     each = settle(docs.mapInPandas(_digests(size), "doc_id long, key binary, n long"))
     some = each.where("n > 0 AND doc_id IS NOT NULL")
     nodes = settle(some.groupBy("key").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")))
-    texts = docs.join(nodes.where("n > 1").select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = docs.join(nodes.where("n > 1").select(F.col("node").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     asked = texts.mapInPandas(_requests(size, parts), "part int, blob binary")
     told = asked.groupBy("part").applyInPandas(_answers(parts), "part int, blob binary")
     near = settle(told.groupBy("part").applyInPandas(_candidates(percent), "node long, n long, tokens binary, heads array<long>, first binary, second binary, third binary"))
