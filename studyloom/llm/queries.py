@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, compression, decontaminate, html_extract, jaccard_join, mixing, pii, quality_rules, warc
+from . import chat_format, compression, decontaminate, html_extract, jaccard_join, lm_score, mixing, pii, quality_rules, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -49,7 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_jaccard_join, op5_html_extract, op6_warc, op7_chat_format, op8_mix_sources, op9_compression, op10_pii)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_jaccard_join, op4_lm_score, op5_html_extract, op6_warc, op7_chat_format, op8_mix_sources, op9_compression, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
