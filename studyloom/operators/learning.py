@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 
 def updates(events: DataFrame) -> DataFrame:
-    """events(kind, correct, hint, grade, difficulty) -> with delta of mastery and weight of evidence. The numbers are fixed values."""
+    """events(kind, correct, hint, grade, difficulty) -> with delta of mastery, weight of evidence, signal, days to the next review, attempt, right and flagged. The numbers are fixed values."""
     mult = F.when(F.col("difficulty") == "EASY", 0.75).when(F.col("difficulty") == "HARD", 1.35).otherwise(1.0)
     grade = lambda a, h, g, e: F.when(F.col("grade") == "AGAIN", a).when(F.col("grade") == "HARD", h).when(F.col("grade") == "GOOD", g).otherwise(e)
     kind = F.col("kind")
     answer = F.when(F.col("correct"), 0.06).otherwise(-0.10) * mult * F.when(F.col("hint") & F.col("correct"), 0.55).otherwise(1.0)
     delta = F.when(kind == "MASTERED", 0.20).when(kind == "CONFUSED", -0.16).when(kind == "REVIEW", grade(-0.08, 0.012, 0.035, 0.055)).when(kind == "ANSWER", answer).otherwise(0.005)
     weight = F.when(kind == "MASTERED", 2.0).when(kind == "CONFUSED", 2.0).when(kind == "REVIEW", grade(1.0, 0.8, 1.0, 1.2)).when(kind == "ANSWER", mult * F.when(F.col("hint"), 0.65).otherwise(1.0)).otherwise(0.15)
-    return events.withColumns({"delta": delta, "weight": weight})
+    signal = F.when(kind == "MASTERED", 1.0).when(kind == "CONFUSED", -1.0).when(kind == "REVIEW", grade(-1.0, 0.2, 0.7, 1.0)).when(kind == "ANSWER", F.when(F.col("correct"), 1.0).otherwise(-1.0)).otherwise(0.05)
+    days = F.when(kind == "MASTERED", 14).when(kind == "CONFUSED", 1).when(kind == "REVIEW", grade(1, 2, 5, 10)).when(kind == "ANSWER", F.when(F.col("correct"), 5).otherwise(1)).otherwise(3)
+    right = F.when(kind == "REVIEW", F.col("grade") != "AGAIN").otherwise(F.coalesce("correct", F.lit(False)))
+    attempt = kind.isin("REVIEW", "ANSWER")
+    return events.withColumns({"delta": delta, "weight": weight, "signal": signal, "days": days.cast("long"), "attempt": attempt, "right": right, "flagged": (kind == "CONFUSED") | (attempt & ~right)})
 
 
 def ingest(events: DataFrame, keys: list[str], known: DataFrame | None = None) -> DataFrame:

@@ -12,28 +12,8 @@ from ..operators import learning as L
 from ..operators import memory as M
 from ..operators import retrieval as R
 from ..sources import upsert as U
+from .registry import CHUNKS, FOUND, chunks, query, table
 
-FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
-
-
-def query(sql: str):
-    def add(f):
-        FOUND[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the documents as chunks."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
-
-
-CHUNKS = "c AS (SELECT doc_id, unnest(range(len(l))) AS chunk_index, unnest(l) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 WS = "trim(regexp_replace(content, '\\s+', ' ', 'g'))"
 
 
@@ -362,9 +342,13 @@ def latency_percentiles(spark, sf_dir):
     return v.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
+# The other modules add their queries to the same registry.
+from . import document_queries, memory_queries, study_queries  # noqa: E402, F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in FOUND.items()}
+    return {k: s for k, (_, s) in FOUND.items() if s}
