@@ -157,3 +157,44 @@ def topic_history(events: DataFrame, keys: list[str]) -> DataFrame:
     cols = ["event_id", "delta", "weight", "signal", "days", "attempt", "right", "flagged"]
     return fold_rows(events, keys, ["ts", "event_id"], cols, "version long, event_id long, mastery double, confidence double, evidence double, attempts long, correct_streak long, wrong_streak long, trend double, stability double, calibration double, needs_review boolean, review_days long",
         lambda: None, step)
+
+
+def estimate(text: str) -> int:
+    """As functions.text.tokens_retrieval, for texts cut within a fold."""
+    return max(-(-len(text) // 4), -(-len(text.split()) * 13 // 10)) if text.strip() else 0
+
+
+def shortened(text: str, budget: int) -> str:
+    """The text if it fits, else cut at white space and shortened by tenths until it does."""
+    if estimate(text) <= budget:
+        return text
+    size = 4 * budget
+    while size > 0:
+        cut = text[:size]
+        space = max(cut.rfind(c) for c in " \n\t")
+        cut = (cut[:space] if space > 0 and not text[size : size + 1].isspace() else cut).rstrip()
+        if estimate(cut) <= budget:
+            return cut
+        size = int(size * 0.9)
+    return ""
+
+
+def context_items(candidates: DataFrame, keys: list[str], count: int = 8, budget: int = 6000, each: int = 1400) -> DataFrame:
+    """candidates(keys, rank, sources array, content) -> cited items in order until count or budget is reached.
+
+    An item whose first source is in an earlier item is left out; contents are cut to what is left of the budget.
+    """
+
+    def step(state, rank, sources, content):
+        n, total, used = state
+        if n >= count or total >= budget or (sources and sources[0] in used):
+            return state, []
+        text = shortened(content or "", min(each, budget - total))
+        if not text.strip():
+            return state, []
+        used.update(sources or ())
+        size = estimate(text)
+        return (n + 1, total + size, used), [(rank, f"S{n + 1}", text, size, len(text) < len(content))]
+
+    c = candidates.select(*keys, F.col("rank").cast("long").alias("rank"), F.transform("sources", lambda x: x.cast("string")).alias("sources"), "content")
+    return fold_rows(c, keys, ["rank"], ["rank", "sources", "content"], "rank long, citation string, content string, tokens long, truncated boolean", lambda: (0, 0, set()), step)

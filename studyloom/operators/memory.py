@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens_message
+from ..functions.text import cosine, tokens_message
 
 
 def token_window(messages: DataFrame, turns: int = 12, budget: int = 2400, least: int = 2, clip: int = 900) -> DataFrame:
@@ -46,3 +46,69 @@ def round_robin(tasks: DataFrame, slots: tuple[int, ...] = (0, 1, 0, 1, 0, 2, 1,
     t = tasks.withColumn("r", F.row_number().over(Window.partitionBy("priority").orderBy("enqueued", "task_id")) - 1)
     mine = F.element_at(places, F.col("priority"))
     return t.select("task_id", "priority", (F.floor(F.col("r") / F.size(mine)) * len(slots) + F.get(mine, (F.col("r") % F.size(mine)).cast("int"))).cast("long").alias("position"))
+
+
+def consolidate(candidates: DataFrame, memories: DataFrame, keys: list[str], same: float = 0.90, update: float = 0.78) -> DataFrame:
+    """candidates and memories(keys, id, digest, vector, confidence) -> decision for each candidate: SKIP, UPDATE or ADD, with the closest memory.
+
+    keys are owner and type; memories of one owner are bounded by the capacity that evict keeps, so joining by keys is too.
+    """
+    m = memories.select(*keys, F.col("id").alias("memory"), F.col("digest").alias("__d"), F.col("vector").alias("__v"), F.col("confidence").alias("__c"))
+    j = candidates.join(m, keys, "left").withColumn("s", F.when(F.col("__v").isNotNull(), F.round(cosine(F.col("vector"), F.col("__v")), 6)))
+    hit = F.col("__d") == F.col("digest")
+    g = j.groupBy(*keys, "id").agg(F.min(F.when(hit, F.col("memory"))).alias("equal"), F.max_by(F.struct("memory", "__c", "s"), F.when(F.col("s") > 0, F.struct("s", -F.col("memory")))).alias("b"), F.any_value("confidence").alias("confidence"))
+    best = F.coalesce("b.s", F.lit(0.0))
+    verdict = F.when(F.col("equal").isNotNull(), "SKIP").when(best >= same, F.when(F.col("confidence") > F.col("b.__c"), "UPDATE").otherwise("SKIP")).when(best >= update, "UPDATE").otherwise("ADD")
+    found = F.when(F.col("equal").isNotNull(), F.col("equal")).when(best >= update, F.col("b.memory"))
+    return g.select(*keys, "id", verdict.alias("decision"), found.alias("memory"), F.when(F.col("equal").isNotNull(), 1.0).otherwise(best).alias("similarity"))
+
+
+def backlog(messages: DataFrame, marks: DataFrame, high: int = 3200, extract: int = 120) -> DataFrame:
+    """messages(conv_id, turn, text), marks(conv_id, covered, extracted) -> tokens after each mark and whether maintenance is due."""
+    t = tokens_message(F.coalesce("text", F.lit("")))
+    after = lambda c: F.sum(F.when(F.col("turn") > F.coalesce(c, F.lit(-1)), t).otherwise(0))
+    g = messages.join(marks, "conv_id", "left").groupBy("conv_id").agg(after("covered").alias("uncovered"), after("extracted").alias("unextracted"))
+    return g.withColumn("due", (F.col("uncovered") > high) | (F.col("unextracted") >= extract))
+
+
+def merge_evidence(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """parts(keys, source, call, place) -> each source once, where it first came, numbered anew."""
+    first = parts.groupBy(*keys, "source").agg(F.min(F.struct("call", "place")).alias("__f"))
+    return first.select(*keys, "source", F.row_number().over(Window.partitionBy(*keys).orderBy("__f", "source")).alias("index"))
+
+
+def transcript(messages: DataFrame) -> DataFrame:
+    """Messages of a conversation in order as one array of role and text, with how many each role has."""
+    rank = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
+    g = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", rank.alias("r"), "role", "text"))).alias("m"), F.count_if(F.col("role") == "user").alias("asked"))
+    return g.select("conv_id", "asked", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("messages"))
+
+
+def stale_tasks(tasks: DataFrame, now: str, minutes: int, retries: int) -> DataFrame:
+    """tasks(task_id, status, updated, retried): work in progress without a sign for so long goes back to the queue, or fails after so many retries."""
+    late = (F.col("status") == "PROCESSING") & (F.col("updated") < F.to_timestamp(F.lit(now)) - F.make_dt_interval(mins=F.lit(minutes)))
+    again = F.col("retried") < retries
+    # Both columns in one step: whether a task is late depends on its old status.
+    return tasks.withColumns({"status": F.when(late, F.when(again, "RETRYING").otherwise("FAILED")).otherwise(F.col("status")), "retried": F.when(late & again, F.col("retried") + 1).otherwise(F.col("retried"))})
+
+
+def active_or_recent(tasks: DataFrame, keys: list[str], recent: int = 100) -> DataFrame:
+    """All active tasks and the latest of each owner, once each."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("created"), F.desc("task_id"))
+    return tasks.withColumn("__r", F.row_number().over(w)).where(F.col("active") | (F.col("__r") <= recent)).drop("__r")
+
+
+def tiered(rows: DataFrame, keys: list[str], required: Column, order: list[Column], most: int) -> DataFrame:
+    """All required rows, then others in order while there is room."""
+    w = Window.partitionBy(*keys).orderBy(required.desc(), *order)
+    return rows.withColumn("place", F.row_number().over(w)).where(required | (F.col("place") <= most))
+
+
+def by_depth(rows: DataFrame, keys: list[str], page: str, order: list[Column], most: int) -> DataFrame:
+    """The first row of every page, then the second of every page, and so on, up to most."""
+    r = rows.withColumn("__d", F.row_number().over(Window.partitionBy(*keys, page).orderBy(*order)))
+    return r.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("__d", page))).where(F.col("place") <= most).drop("__d")
+
+
+def task_priority(kind: Column, interactive: list[str], background: list[str]) -> Column:
+    return F.when(kind.isin(interactive), 0).when(kind.isin(background), 2).otherwise(1)

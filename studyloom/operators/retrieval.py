@@ -13,6 +13,15 @@ RRF_OFFSET = 60
 #: Least channel scores, and length of an evidence text.
 LEAST = {"exact": 0.25, "lexical": 0.01, "vector": 0.48}
 LEAST_TEXT = 20
+#: Phrases of pages without content, words that say nothing of a query, and words that are no search terms.
+BLANK_PAGES = ["completely blank", "no visible text", "no discernible content", "image region is blank", "the page is blank"]
+VAGUE = ["explain", "help", "this", "that", "it", "thing", "topic", "concept", "什么意思", "是什么", "解释", "这个", "怎么", "为什么"]
+STOP_WORDS = "a an and are as at be by can do does explain for from how in is it of on or the to what when where which why with".split()
+#: What counts as an exact signal in a query, with the group that holds it.
+SIGNALS = [
+    ('["\u201c\u201d]([^"\u201c\u201d]{2,120})["\u201c\u201d]', 1), (r"\b\d+(?:\.\d+){1,4}\b", 0), (r"\b(?:[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+|[A-Za-z]{2,}\d+[A-Za-z0-9_]*)\b", 0),
+    (r"\b[A-Za-z]+\[[^\]\n]{1,80}\](?:\^\d+)?", 0), (r"\b[OΘΩ]\([^\)\n]{1,80}\)", 0), (r"\\[A-Za-z]{2,}(?:\{[^\}\n]{1,80}\})?", 0),
+]
 #: Vectors of a query set that meet all rows at once; larger sets go in blocks.
 QUERY_BLOCK = 2000
 
@@ -67,9 +76,11 @@ def fuse(candidates: DataFrame) -> DataFrame:
 
 
 def quality_filter(candidates: DataFrame) -> DataFrame:
-    """Rows with one sufficient channel score (columns exact, lexical, vector; null is none) and a long enough text."""
+    """Rows with one sufficient channel score (columns exact, lexical, vector; null is none) and a long enough text that does not say that its page is blank."""
     good = [F.coalesce(F.col(c) >= v, F.lit(False)) for c, v in LEAST.items()]
-    return candidates.where((good[0] | good[1] | good[2]) & (F.length(collapse(F.col("text"))) >= LEAST_TEXT))
+    text = collapse(F.col("text"))
+    blank = F.greatest(*[F.lower(text).contains(p) for p in BLANK_PAGES])
+    return candidates.where((good[0] | good[1] | good[2]) & (F.length(text) >= LEAST_TEXT) & ~blank)
 
 
 def rerank(candidates: DataFrame) -> DataFrame:
@@ -115,3 +126,73 @@ def band_join(chunks: DataFrame, hits: DataFrame, width: int) -> DataFrame:
     """Chunks whose index is within width of a hit's; positions are spelt out, so the join is on equal keys."""
     spots = hits.select("doc_id", F.explode(F.sequence(F.col("chunk_index") - width, F.col("chunk_index") + width)).alias("chunk_index")).distinct()
     return chunks.join(spots, ["doc_id", "chunk_index"])
+
+
+def query_signals(query: Column) -> Column:
+    """Exact signals of a query, each once: quoted phrases, dotted numbers, identifiers, bracket and complexity expressions, commands."""
+    found = F.concat(*[F.regexp_extract_all(query, F.lit(p), F.lit(g)) for p, g in SIGNALS])
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: F.length(x) >= 2))
+
+
+def query_terms(query: Column) -> Column:
+    """Search terms of a query, each once: lower-case words of two characters or more but for stop words."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(query), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS)))
+
+
+def needs_expansion(query: Column, most: int = 8) -> Column:
+    """Whether a query is too short or too vague to search by its meaning alone."""
+    q = F.trim(F.lower(query))
+    n = F.size(F.split(q, r"\s+"))
+    telling = F.size(F.filter(F.split(q, r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 1) & ~w.isin(VAGUE)))
+    return F.when(F.length(q) == 0, False).otherwise((n <= 3) | (F.length(q) <= 18) | ((n <= most) & (telling <= 2)))
+
+
+def in_scope(rows: DataFrame, documents: DataFrame | None, notes: DataFrame | None) -> DataFrame:
+    """rows(domain, doc_id, status, version) -> ready rows of the chosen documents, and of the chosen notes those of the latest ready version (None: no such rows)."""
+    ready = rows.where("status = 'READY'")
+    out = rows.limit(0)
+    if documents is not None:
+        out = ready.where("domain = 'PDF'").join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+    if notes is not None:
+        mine = ready.where("domain = 'AI_NOTE'").join(notes.select("doc_id").distinct(), "doc_id", "left_semi")
+        last = mine.groupBy("doc_id").agg(F.max("version").alias("version"))
+        out = out.unionByName(mine.join(last, ["doc_id", "version"], "left_semi"))
+    return out
+
+
+def best_of_source(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each source object: the one with the highest score."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "score").alias("__s")).select(*keys, "__s.*")
+
+
+def with_contents(candidates: DataFrame, chunks: DataFrame, sections: DataFrame) -> DataFrame:
+    """candidates(type, id, metadata) -> content from the chunk, else the note section, else the metadata's text, else empty."""
+    c = chunks.select(F.lit("DOCUMENT_CHUNK").alias("type"), "id", F.col("content").alias("__c"))
+    s = sections.select(F.lit("AI_NOTE_SECTION").alias("type"), "id", F.col("content").alias("__s"))
+    j = candidates.join(c, ["type", "id"], "left").join(s, ["type", "id"], "left")
+    return j.withColumn("content", F.coalesce("__c", "__s", F.get_json_object("metadata", "$.text"), F.lit(""))).drop("__c", "__s")
+
+
+def merge_hypothetical(hits: DataFrame, supposed: DataFrame, k: int = 30, factor: float = 0.9) -> DataFrame:
+    """Hits of a query and of its supposed answer, the latter at nine tenths of their score; each row with its better score."""
+    both = hits.select("query_id", "id", "score").unionByName(supposed.select("query_id", "id", (F.col("score") * factor).alias("score")))
+    best = both.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return top(best.withColumn("score", half_up(F.col("score"), 6)), ["query_id"], [F.desc("score"), F.col("id")], k)
+
+
+def ensure_domain(ranked: DataFrame, keys: list[str], wanted: Column, limit: int) -> DataFrame:
+    """ranked(keys, rank): where no wanted row is among the first limit, the first later one moves up to place min(limit, 4); the rest keep their order."""
+    w = Window.partitionBy(*keys)
+    n = F.count("*").over(w)
+    first = F.min(F.when(wanted, F.col("rank"))).over(w)
+    goal = F.least(F.greatest(F.lit(0), F.lit(limit - 1)), F.least(F.lit(3), n)) + 1
+    moved = F.when((first <= limit) | first.isNull() | (first < goal), F.col("rank")).when(F.col("rank") == first, goal)
+    return ranked.withColumn("rank", moved.when((F.col("rank") >= goal) & (F.col("rank") < first), F.col("rank") + 1).otherwise(F.col("rank")).cast("int"))
+
+
+def apply_scores(ranked: DataFrame, scores: DataFrame, keys: list[str], first: int = 12) -> DataFrame:
+    """ranked(keys, id, rank), scores(keys, id, model_score): the first rows by model score, those without one after them in their old order, then all others."""
+    j = ranked.join(scores, [*keys, "id"], "left").withColumn("model_score", F.when(F.col("rank") <= first, F.col("model_score")))
+    w = Window.partitionBy(*keys).orderBy(F.when(F.col("rank") <= first, 0).otherwise(1), F.col("model_score").desc_nulls_last(), "rank")
+    return j.withColumn("rank", F.row_number().over(w))

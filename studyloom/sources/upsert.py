@@ -32,3 +32,18 @@ def replace_parents(table: DataFrame, rows: DataFrame, parent: str) -> DataFrame
 def changed(sources: DataFrame, stored: DataFrame, key: str, digest: str) -> DataFrame:
     """Sources without a stored row of equal key and digest: what an incremental refresh has to do."""
     return sources.join(stored.select(key, digest), [key, digest], "left_anti")
+
+
+def cascade(table: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
+    """Children whose parent was deleted go with it."""
+    return table.join(deleted.select(key).distinct(), key, "left_anti").select(*table.columns)
+
+
+def orphans(files: DataFrame, used: DataFrame, path: str) -> DataFrame:
+    """Files that no row refers to any more."""
+    return files.join(used.select(path).distinct(), path, "left_anti")
+
+
+def page_of(table: DataFrame, order: list, offset: int, size: int) -> DataFrame:
+    """One page of a listing in total order."""
+    return table.orderBy(*order).offset(offset).limit(size)
