@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_rows
+
 
 def updates(events: DataFrame) -> DataFrame:
     """events(kind, correct, hint, grade, difficulty) -> with delta of mastery, weight of evidence, signal, days to the next review, attempt, right and flagged. The numbers are fixed values."""
@@ -27,20 +29,27 @@ def ingest(events: DataFrame, keys: list[str], known: DataFrame | None = None) -
     return first.join(known.select(*keys).distinct(), keys, "left_anti") if known is not None else first
 
 
-def fold_mastery(events: DataFrame, keys: list[str]) -> DataFrame:
+def fold_mastery(events: DataFrame, keys: list[str], bucket: str = "day") -> DataFrame:
     """Mastery from 0.5 by each delta, kept in 0..1 after every step, in order of time and id; attempts and the current streak.
 
-    The clipped sum isn't a plain running sum. But "add d, then clip" composes: any run of events acts as x -> min(hi, max(lo, x + s)),
-    so one pass over each key's ordered events is a fold of three numbers.
+    "Add d, then clip" composes: any run of events acts as x -> min(hi, max(lo, x + s)). So a key's events are first folded within each
+    bucket of time, in parallel, and then its buckets in order: no task holds all events of a key, however many it has.
     """
-    step = lambda acc, e: F.struct(
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), acc["mastery"] + e["delta"])).alias("mastery"),
-        (acc["events"] + 1).alias("events"),
-        F.when(e["correct"], acc["streak"] + 1).otherwise(0).alias("streak"),
-    )
-    start = F.struct(F.lit(0.5).alias("mastery"), F.lit(0).alias("events"), F.lit(0).alias("streak"))
-    g = events.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "delta", "correct"))).alias("e"))
-    return g.select(*keys, F.aggregate("e", start, step).alias("s")).select(*keys, F.round("s.mastery", 6).alias("mastery"), F.col("s.events").cast("long").alias("events"), F.col("s.streak").cast("long").alias("streak"))
+    clip = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("streak"))
+    one = lambda acc, e: F.struct(
+        clip(acc["lo"] + e["delta"]).alias("lo"), clip(acc["hi"] + e["delta"]).alias("hi"), (acc["s"] + e["delta"]).alias("s"),
+        (acc["n"] + 1).alias("n"), F.when(e["correct"], acc["streak"] + 1).otherwise(0).cast("long").alias("streak"),
+    )
+    g = events.groupBy(*keys, F.date_trunc(bucket, "ts").alias("__b")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "delta", "correct"))).alias("e"))
+    runs = g.select(*keys, "__b", F.aggregate("e", start, one).alias("r"))
+    first = F.struct(F.lit(0.5).alias("mastery"), F.lit(0).cast("long").alias("events"), F.lit(0).cast("long").alias("streak"))
+    join = lambda acc, x: F.struct(
+        F.least(x["r"]["hi"], F.greatest(x["r"]["lo"], acc["mastery"] + x["r"]["s"])).alias("mastery"), (acc["events"] + x["r"]["n"]).alias("events"),
+        (x["r"]["streak"] + F.when(x["r"]["streak"] == x["r"]["n"], acc["streak"]).otherwise(0)).alias("streak"),
+    )
+    whole = runs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__b", "r"))).alias("b")).select(*keys, F.aggregate("b", first, join).alias("s"))
+    return whole.select(*keys, F.round("s.mastery", 6).alias("mastery"), "s.events", "s.streak")
 
 
 def weighted_mastery(states: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,21 +60,20 @@ def weighted_mastery(states: DataFrame, keys: list[str]) -> DataFrame:
 
 def review_cards(reviews: DataFrame) -> DataFrame:
     """reviews(card, ts, event_id, grade) -> spaced-repetition state after all reviews of a card, by the SM-2 rule. The numbers are fixed values."""
-
-    def step(acc: Column, r: Column) -> Column:
-        q = F.when(r["grade"] == "AGAIN", 1).when(r["grade"] == "HARD", 3).when(r["grade"] == "GOOD", 4).otherwise(5)
-        ease = F.greatest(F.lit(1.3), acc["ease"] + 0.1 - (5 - q) * (0.08 + 0.02 * (5 - q)))
-        again = r["grade"] == "AGAIN"
-        reps = F.when(again, 0).otherwise(acc["reps"] + 1)
-        base = F.when(reps == 1, 1.0).when(reps == 2, 6.0).otherwise(F.bround(acc["days"] * ease, 0))
-        scaled = F.when(r["grade"] == "HARD", F.bround(base * 0.8, 0)).when(r["grade"] == "EASY", F.bround(base * 1.3, 0)).otherwise(base)
-        days = F.when(again, 1.0).otherwise(F.greatest(F.lit(1.0), F.least(scaled, F.lit(36500.0))))
-        return F.struct(F.round(ease, 4).alias("ease"), reps.alias("reps"), days.alias("days"))
-
-    start = F.struct(F.lit(2.5).cast("double").alias("ease"), F.lit(0).alias("reps"), F.lit(0.0).alias("days"))
-    g = reviews.groupBy("card").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "grade"))).alias("r"))
-    s = g.select("card", F.aggregate("r", start, step).alias("s"))
-    return s.select("card", "s.ease", F.col("s.reps").cast("long").alias("reps"), F.col("s.days").cast("long").alias("days"), F.when(F.col("s.reps") >= 2, "REVIEW").otherwise("LEARNING").alias("status"))
+    quality, factor = {"AGAIN": 1, "HARD": 3, "GOOD": 4, "EASY": 5}, {"HARD": 0.8, "EASY": 1.3}
+
+    def step(state, grade):
+        ease, reps, days = state
+        q = quality.get(grade, 5)
+        ease = max(1.3, ease + 0.1 - (5 - q) * (0.08 + 0.02 * (5 - q)))
+        if q == 1:
+            return (round(ease, 4), 0, 1.0), []
+        reps += 1
+        base = {1: 1.0, 2: 6.0}.get(reps, float(round(days * ease)))
+        return (round(ease, 4), reps, max(1.0, min(36500.0, float(round(base * factor[grade])) if grade in factor else base))), []
+
+    finish = lambda s: [(s[0], s[1], int(s[2]), "REVIEW" if s[1] >= 2 else "LEARNING")]
+    return fold_rows(reviews, ["card"], ["ts", "event_id"], ["grade"], "ease double, reps long, days long, status string", lambda: (2.5, 0, 0.0), step, finish)
 
 
 def apportion(groups: DataFrame, keys: list[str], seats: str, weight: str, part: str) -> DataFrame:
