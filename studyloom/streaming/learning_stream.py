@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def counted_once(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -24,3 +26,22 @@ def state_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 def read_state(deltas: DataFrame) -> DataFrame:
     """The state from all batches' partial sums."""
     return deltas.groupBy("user_id").agg(F.sum("events").alias("events"), F.sum("total").alias("total"), F.max("last").alias("last"))
+
+
+def mastery_stream(events: DataFrame) -> DataFrame:
+    """A stream from learning.updates -> (user_id, topic, mastery, events) of every key that a batch touched (output mode update).
+
+    Events count in order of arrival, so a late one changes mastery but not the order of what came before; a replay
+    with learning.fold_mastery gives the order of event time. State is two numbers a key. Repeated ids have to be gone (counted_once).
+    """
+
+    def step(key, frames, state):
+        mastery, n = state.get if state.exists else (0.5, 0)
+        for pdf in frames:
+            for delta in pdf.sort_values(["ts", "event_id"])["delta"]:
+                mastery, n = max(0.0, min(1.0, mastery + delta)), n + 1
+        state.update((float(mastery), int(n)))
+        yield pd.DataFrame({"user_id": [key[0]], "topic": [key[1]], "mastery": [round(float(mastery), 6)], "events": [n]})
+
+    rows = events.select("user_id", "topic", "ts", "event_id", "delta")
+    return rows.groupBy("user_id", "topic").applyInPandasWithState(step, "user_id long, topic int, mastery double, events long", "mastery double, events long", "update", GroupStateTimeout.NoTimeout)

@@ -49,3 +49,21 @@ def test_stream_counts_an_event_once(spark, sf, tmp_path):
     state_stream(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = {r.user_id: r.events for r in read_state(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert got == {r.user_id: r["count"] for r in events.groupBy("user_id").count().collect()}
+
+
+def test_stream_state_equals_replay(spark, sf, tmp_path):
+    from studyloom.operators.learning import fold_mastery
+    from studyloom.plans.queries import learning_events
+    from studyloom.streaming.learning_stream import mastery_stream
+
+    events = learning_events(spark, sf).where("topic < 3")
+    middle = events.selectExpr("percentile_approx(event_id, 0.5) AS m").first().m
+    for k, part in enumerate((events.where(f"event_id <= {middle}"), events.where(f"event_id > {middle}"))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = []
+        keep = lambda batch, _: got.extend(batch.collect())
+        stream = mastery_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+        stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        state = {(r.user_id, r.topic): (r.mastery, r.events) for r in got}
+        last = state if k == 0 else last | state
+    assert last == {(r.user_id, r.topic): (r.mastery, r.events) for r in fold_mastery(events, ["user_id", "topic"]).collect()}
