@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, cosine, exact_signal, half_up, jaccard, tokens
+from ..functions.text import collapse, cosine, exact_signal, half_up, jaccard, tokens, tokens_retrieval
 
 #: How much a channel's rank counts, and the rank offset of reciprocal rank fusion.
 CHANNEL_WEIGHTS = {"vector": 1.0, "lexical": 1.0, "exact": 1.2}
@@ -122,6 +122,24 @@ def neighbours(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("context", F.concat_ws("\n\n", near(F.lag, -1), F.col("content"), near(F.lead, 1)))
 
 
+def section_neighbours(chunks: DataFrame, most: int = 1400) -> DataFrame:
+    """chunks(doc_id, chunk_index, content, section, page) -> as neighbours, but only of the same named section, at most a page away (or of unknown page),
+    and as long as the sum of their tokens fits: first the chunk before, then the one after. Titles such as "chunk 3" name no section."""
+    w = Window.partitionBy("doc_id").orderBy("chunk_index")
+    name = F.lower(collapse(F.coalesce("section", F.lit(""))))
+    c = chunks.withColumn("__s", F.when(~name.rlike("^(chunk [0-9]+)?$"), name)).withColumn("__t", tokens_retrieval(F.col("content")))
+
+    def near(f, d):
+        gap = F.abs(f("page").over(w) - F.col("page"))
+        return F.coalesce((f("chunk_index").over(w) == F.col("chunk_index") + d) & (f("__s").over(w) == F.col("__s")) & F.coalesce(gap <= 1, F.lit(True)), F.lit(False))
+
+    c = c.withColumns({"__b": near(F.lag, -1), "__a": near(F.lead, 1), "__tb": F.lag("__t").over(w), "__ta": F.lead("__t").over(w), "__cb": F.lag("content").over(w), "__ca": F.lead("content").over(w)})
+    c = c.withColumn("__b", F.col("__b") & (F.col("__t") + F.col("__tb") <= most))
+    c = c.withColumn("__a", F.col("__a") & (F.col("__t") + F.when(F.col("__b"), F.col("__tb")).otherwise(0) + F.col("__ta") <= most))
+    out = c.withColumn("context", F.concat_ws("\n\n", F.when(F.col("__b"), F.col("__cb")), F.col("content"), F.when(F.col("__a"), F.col("__ca"))))
+    return out.select(*chunks.columns, "context")
+
+
 def band_join(chunks: DataFrame, hits: DataFrame, width: int) -> DataFrame:
     """Chunks whose index is within width of a hit's; positions are spelt out, so the join is on equal keys."""
     spots = hits.select("doc_id", F.explode(F.sequence(F.col("chunk_index") - width, F.col("chunk_index") + width)).alias("chunk_index")).distinct()

@@ -10,7 +10,7 @@ from ..operators import memory as M
 from ..operators import retrieval as R
 from ..sources import upsert as U
 from ..sources.texts import page_lines
-from .queries import FUSED, TOK, _fused
+from .queries import FUSED, TOK, WS, _fused
 from .registry import CHUNKS, chunks, query, table
 
 SIGNAL_SQL = " || ".join(f"regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}', {g})" for p, g in R.SIGNALS)
@@ -182,3 +182,14 @@ def listing_page(spark, sf_dir):
 @query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM documents")
 def page_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", page_lines().alias("text"))
+
+
+@query(f"""WITH {CHUNKS}, a AS (SELECT *, CASE WHEN chunk_index // 4 % 3 = 2 THEN NULL ELSE chunk_index // 4 END AS s, CASE WHEN chunk_index % 5 = 0 THEN NULL ELSE chunk_index * 2 // 3 END AS p, CASE WHEN {WS} = '' THEN 0 ELSE CAST(greatest(ceil(length(content) / 4), ceil(len(string_split({WS}, ' ')) * 13 / 10)) AS BIGINT) END AS t FROM c),
+l AS (SELECT *, coalesce(lag(s) OVER w = s AND coalesce(abs(lag(p) OVER w - p) <= 1, TRUE), FALSE) AND t + lag(t) OVER w <= 60 AS b, coalesce(lead(s) OVER w = s AND coalesce(abs(lead(p) OVER w - p) <= 1, TRUE), FALSE) AS n, lag(t) OVER w AS tb, lead(t) OVER w AS ta, lag(content) OVER w AS cb, lead(content) OVER w AS ca FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index))
+SELECT doc_id, chunk_index, length(concat_ws(chr(10) || chr(10), CASE WHEN b THEN cb END, content, CASE WHEN n AND t + CASE WHEN b THEN tb ELSE 0 END + ta <= 60 THEN ca END)) AS chars FROM l""")
+def section_neighbours(spark, sf_dir):
+    c, i = chunks(spark, sf_dir), F.col("chunk_index")
+    q = F.floor(i / 4)
+    section = F.when(q % 3 == 2, F.concat(F.lit("Chunk "), q.cast("string"))).otherwise(F.concat(F.lit("Part  "), q.cast("string")))
+    c = c.withColumns({"section": section, "page": F.when(i % 5 != 0, F.floor(i * 2 / 3))})
+    return R.section_neighbours(c, 60).select("doc_id", i.cast("long").alias("chunk_index"), F.length("context").cast("long").alias("chars"))
