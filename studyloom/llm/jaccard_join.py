@@ -2,8 +2,8 @@
 
 Plan, with the data that each step moves:
 
-1. One row a document: a digest of its word sequence and its number of shingles. Documents of one
-   digest have one set, so they are one node of the join, however many there are.
+1. One row a document: a digest of its word sequence (of its first window, if that is its only shingle) and its
+   number of shingles. Documents of one digest have one set, so they are one node of the join, however many there are.
 2. The texts of the nodes become shingle hashes of 48 bits. Each task sends them sorted and packed (about
    five bytes each) to the range of hashes that they fall in; there it is counted in how many nodes
    each occurs. Only shingles of two nodes or more go back, packed again, to their node.
@@ -59,8 +59,10 @@ def _digests(size: int):
             keys, counts = [], []
             for text in pdf["text"]:
                 words = folded_words(text)
-                keys.append(hashlib.md5(b" ".join(words)).digest())
-                counts.append(len(shingles(words, size)))
+                n = len(shingles(words, size))
+                # one shingle: one word over and over, however often; its first window stands for the set
+                keys.append(hashlib.md5(b" ".join(words[:size] if n == 1 else words)).digest())
+                counts.append(n)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": keys, "n": np.array(counts, np.int64)})
 
     return run

@@ -55,3 +55,9 @@ def test_edge_cases(spark):
     assert got(spark, []) == set()
     df = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d")], "doc_id long, text string")
     assert sorted(map(tuple, components(df).select("doc_id", "n_shingles").collect()), key=str) == sorted([(None, 1), (7, 1), (7, 1)], key=str)
+
+
+def test_one_shingle_of_texts_of_different_lengths(spark):
+    rows = [(11, "buy buy buy buy"), (12, "Buy buy\tbuy buy buy"), (13, "buy " * 500), (14, "buy buy buy"), (15, "sell sell sell sell"), (16, "buy buy buy buy now"), (17, "buy buy")]
+    assert got(spark, rows) == brute(rows)
+    assert {(i, c) for i, _, c in got(spark, rows)} >= {(11, 11), (12, 11), (13, 11), (14, 14), (16, 16)}
