@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from studyloom.llm import decontaminate, jaccard_join, mixing, pii, quality_rules
 from studyloom.llm.common import settle, table
@@ -14,10 +15,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; rows without an id stay."""
-    lost = settle(jaccard_join.components(docs).where("component_id <> doc_id").select("doc_id").distinct())
-    kept = docs.where("doc_id IS NOT NULL").join(lost, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of linked documents (0.8 of five-word shingles) the one with the smallest doc_id stays; rows without an id stay.
+
+    Of rows of one doc_id the one with the least text stays, then that with the least other columns; a null text comes last.
+    """
+    lost = settle(jaccard_join.components(docs, size=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct())
+    kept = docs.where("doc_id IS NOT NULL").join(lost, "doc_id", "left_anti")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = kept.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("__none"), "text", *rest)).alias("__row"))
+    return first.select("doc_id", "__row.*").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

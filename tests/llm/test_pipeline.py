@@ -14,6 +14,16 @@ def test_one_document_of_each_group_stays(spark, sf):
     assert out.columns == frame(spark, rows).columns
 
 
+def test_copies_with_an_extra_passage_go(spark, sf):
+    base = [f"w{k}" for k in range(100)]
+    more = [*base, *(f"x{k}" for k in range(22))]  # 96 of 118 shingles of five words, 0.81
+    less = [*base, *(f"y{k}" for k in range(30))]  # 96 of 126, 0.76
+    rows = [(1, " ".join(base)), (2, " ".join(more)), (3, " ".join(less)), (4, None), (4, "later text"), (4, "first text")]
+    for shuffled in (rows, rows[::-1]):
+        out = cp.near_duplicates(spark, frame(spark, shuffled).repartition(3), sf)
+        assert sorted((r.doc_id, r.text, r.n_chars) for r in out.collect()) == [(1, rows[0][1], len(rows[0][1])), (3, rows[2][1], len(rows[2][1])), (4, "first text", 10)]
+
+
 def test_redaction_replaces_spans(spark, sf):
     out = cp.personal_data(spark, frame(spark, [(1, "mail a.b@c.org or 10.0.0.1 now"), (2, "nothing 12 here"), (3, None)]), sf)
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: ("mail <email> or <ip> now", 24), 2: ("nothing 12 here", 15), 3: (None, None)}
