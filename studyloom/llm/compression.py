@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The sample: at most so many texts of each label, in an order by hash of the id, and so many bytes in all.
+#: The sample: at most so many texts of each label, in an order by hash of the id, and so many bytes, of which half are each label's own.
 SAMPLE_TEXTS = 1500
 SAMPLE_BYTES = 8_000_000
 DICTIONARY_BYTES = 65_536
@@ -68,7 +68,10 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str, int]]:
-    """(doc_id, text, label) of the bounded training sample; of rows of one doc_id the label is the larger, the text the least."""
+    """(doc_id, text, label) of the bounded training sample; of rows of one doc_id the label is the larger, the text the least.
+
+    A text that doesn't fit in what is left of its label's bytes is passed over. Of a label without any that fits, the first part of the shortest is taken.
+    """
     train = labels.where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("quality").isin(0, 1))
     train = train.groupBy("doc_id").agg(F.max("quality").alias("label")).withColumn("order", F.xxhash64("doc_id", F.lit(9)))
     ids = [r for k in (0, 1) for r in train.where(F.col("label") == k).orderBy("order", "doc_id").limit(SAMPLE_TEXTS).collect()]
@@ -78,14 +81,20 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str, int]]:
     known = docs.sparkSession.createDataFrame([(r.doc_id, r.order) for r in ids], "doc_id long, order long")
     found = docs.select("doc_id", "text").where("text IS NOT NULL AND text <> ''").join(F.broadcast(known), "doc_id")
     sizes = found.groupBy("doc_id", "order").agg(F.min(F.octet_length("text")).alias("n")).orderBy("order").collect()
-    keep, total = [], 0
-    for r in sizes:
-        total += r.n
-        if total > SAMPLE_BYTES:
-            break
-        keep.append((r.doc_id, r.n))
+    keep, share = [], SAMPLE_BYTES // 2
+    both = sorted(([r for r in sizes if label[r.doc_id] == k] for k in (0, 1)), key=lambda mine: sum(r.n for r in mine))
+    # what the label with fewer bytes leaves of its half is the other one's
+    for mine in both:
+        left, fits = max(share, SAMPLE_BYTES - sum(n for _, n in keep)) if keep else share, []
+        for r in mine:
+            if r.n <= left:
+                left -= r.n
+                fits.append((r.doc_id, r.n))
+        keep += fits or [(r.doc_id, r.n) for r in sorted(mine, key=lambda r: r.n)[:1]]
     chosen = docs.sparkSession.createDataFrame(keep, "doc_id long, n long")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") == F.col("n")).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") == F.col("n")).groupBy("doc_id", "n").agg(F.min("text").alias("text"))
+    # a character has four bytes at most
+    rows = rows.select("doc_id", F.when(F.col("n") > share, F.substring("text", 1, share // 4)).otherwise(F.col("text")).alias("text")).collect()
     return sorted((r.doc_id, r.text, label[r.doc_id]) for r in rows)
 
 

@@ -139,3 +139,15 @@ def test_compression_separates(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
     got = compression.score(odd(spark, rows), labels).where("held_out").collect()
     assert got and all(x.predicted == x.doc_id % 2 for x in got)
+
+
+def test_compression_sample_passes_over_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(compression, "SAMPLE_BYTES", 8000)
+    rows = [(k, f"text {k} " + "ab " * (3000 if k % 5 else 20) if k % 2 else "good words here " * 10, "en", "s", 1, "", 1) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    got = compression.sample(odd(spark, rows), labels)
+    train = [k for k in range(60) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert [i for i, _, y in got if y == 1] == [k for k in train if k % 2 and k % 5 == 0]
+    assert 4000 - 160 < sum(len(t) for _, t, y in got if y == 0) <= 4000
+    only = [(1, "z" * 9000, "en", "s", 1, "", 1), (0, "short text", "en", "s", 1, "", 1)]
+    assert {(y, len(t)) for _, t, y in compression.sample(odd(spark, only), labels.where("doc_id < 2"))} == {(1, 1000), (0, 10)}
