@@ -20,8 +20,10 @@ from .common import settle
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 4_000_000
 VERSION = b"WARC/1.1\r\n"
+STEP = 1 << 16
 MEMBER = b"\x1f\x8b\x08"
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
+VERSION_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
 PAGE = "urn:page:"
 
 
@@ -83,21 +85,67 @@ class Damaged(ValueError):
     pass
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The whole gzip member at a place and where it ends; its checksum and length are checked."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at a place gives, where it ends, and "" or what is wrong with it; its checksum and length are checked."""
     z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise Damaged(str(e)) from None
+    out, pos, view = [], at, memoryview(data)
+    while pos < len(data) and not z.eof:
+        before = z.copy()
+        try:
+            out.append(z.decompress(view[pos : pos + STEP]))
+        except zlib.error as e:
+            try:  # what comes before the damage in this step
+                for k in range(pos, len(data)):
+                    out.append(before.decompress(view[k : k + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), len(data), str(e)
+        pos += STEP
     if not z.eof:
-        raise Damaged("truncated member")
-    return out, len(data) - len(z.unused_data)
+        return b"".join(out), len(data), "truncated member"
+    return b"".join(out), min(pos, len(data)) - len(z.unused_data), ""
+
+
+def _consumed(data: bytes, at: int, upto: int) -> int:
+    """The place by which the member at a place has given so many bytes."""
+    z = zlib.decompressobj(31)
+    given = 0
+    while given < upto:
+        given += len(z.decompress(data[at : at + 1]))
+        at += 1
+    return at
+
+
+def _inside(inner: bytes) -> tuple[list[tuple[int, int, dict, bytes]], list[tuple[int, int, str]]]:
+    """(start, end, headers, block) of the sound records of a member's content and (start, end, reason) of what is between them."""
+    got, gaps, pos, bad, why = [], [], 0, -1, ""
+    while pos < len(inner):
+        try:
+            head, block, end = _parse(inner, pos)
+        except Damaged as e:
+            if bad < 0:
+                bad, why = pos, str(e)
+            m = VERSION_LINE.search(inner, pos + 1)
+            pos = m.start() if m else len(inner)
+            continue
+        if bad >= 0:
+            gaps.append((bad, pos, why))
+            bad = -1
+        got.append((pos, end, head, block))
+        pos = end
+    if bad >= 0:
+        gaps.append((bad, len(inner), why))
+    return got, gaps
+
+
+def _proven(head: dict) -> bool:
+    """Whether a parsed record's block was held against a digest."""
+    return head.get("warc-type") == "response" and head.get("warc-payload-digest", "").startswith("sha1:")
 
 
 def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     """Headers, block and end of the record at a place; the declared length, the ending and the digest are checked."""
-    m = re.compile(rb"WARC/1\.[01]\r?\n").match(data, at)
+    m = VERSION_LINE.match(data, at)
     stop = data.find(b"\r\n\r\n", at)
     if not m or stop < 0:
         raise Damaged("no record header")
@@ -125,20 +173,26 @@ def salvage(data: bytes) -> Iterator[tuple]:
     """("record", offset, length, headers, block) of all sound records, and ("gap", offset, length, reason, None) of bytes between them.
 
     After a failed check the next place that holds a gzip member's or a version line's first bytes is tried, and so on; one
-    gap covers all bytes from the failure up to the next sound record.
+    gap covers all bytes from the failure up to the next sound record. In a member of several records the search goes on in its
+    content: a gap there has the member's offset and length, and its reason names the inner bytes. A member cut short gives its
+    complete records, and one with a damaged stream those that their digests prove, if the damage shows elsewhere in it.
     """
     at, bad, why = 0, -1, ""
     while at < len(data):
         try:
             if data.startswith(MEMBER, at):
-                inner, end = _member(data, at)
-                got, pos = [], 0
-                while pos < len(inner):
-                    head, block, pos = _parse(inner, pos)
-                    got.append((head, block))
+                inner, end, wrong = _member(data, at)
+                got, gaps = _inside(inner)
+                if wrong and wrong != "truncated member":
+                    got = [r for r in got if gaps and _proven(r[2])]
+                if not got and (wrong or gaps):
+                    raise Damaged(wrong or gaps[0][2])
+                if wrong:
+                    end = _consumed(data, at, got[-1][1])
+                    gaps = [g for g in gaps if g[1] <= got[-1][0]]
             else:
                 head, block, end = _parse(data, at)
-                got = [(head, block)]
+                got, gaps, wrong = [(0, end - at, head, block)], [], ""
         except Damaged as e:
             if bad < 0:
                 bad, why = at, str(e)
@@ -148,9 +202,15 @@ def salvage(data: bytes) -> Iterator[tuple]:
         if bad >= 0:
             yield "gap", bad, at - bad, why, None
             bad = -1
-        for head, block in got:
+        for _, _, head, block in got:
             yield "record", at, end - at, head, block
+        for lo, hi, reason in gaps:
+            yield "gap", at, end - at, f"{reason} (inner bytes {lo} to {hi})", None
         at = end
+        if wrong:
+            bad, why = at, wrong
+            m = START.search(data, at)
+            at = m.start() if m else len(data)
     if bad >= 0:
         yield "gap", bad, len(data) - bad, why, None
 

@@ -151,3 +151,27 @@ def test_compression_sample_passes_over_long_texts(spark, monkeypatch):
     assert 4000 - 160 < sum(len(t) for _, t, y in got if y == 0) <= 4000
     only = [(1, "z" * 9000, "en", "s", 1, "", 1), (0, "short text", "en", "s", 1, "", 1)]
     assert {(y, len(t)) for _, t, y in compression.sample(odd(spark, only), labels.where("doc_id < 2"))} == {(1, 1000), (0, 10)}
+
+
+def test_salvage_searches_inside_members():
+    ids = lambda out: [x[3]["warc-record-id"] for x in out if x[0] == "record"]
+    r = random.Random(4)
+    bodies = [bytes(r.randrange(256) for _ in range(3000)) for _ in range(4)]
+    one = [warc.record(k, "u", b, hashlib.sha1(b).hexdigest(), None, False) for k, b in enumerate(bodies)]
+    middle = one[1].replace(bodies[1][:9], b"otherwise")
+    member = warc._gzip(one[0] + middle + one[2])
+    out = list(warc.salvage(member + warc._gzip(one[3])))
+    assert ids(out) == ["<urn:page:0>", "<urn:page:2>", "<urn:page:3>"]
+    assert [x[1:4] for x in out if x[0] == "gap"] == [(0, len(member), f"digest differs (inner bytes {len(one[0])} to {len(one[0]) + len(middle)})")]
+    for level in (0, 4):  # at level 0 the records also stand plain in the archive
+        z = zlib.compressobj(level, zlib.DEFLATED, 31)
+        cut = (z.compress(one[0] + one[1] + one[2]) + z.flush())[:-500]
+        out = list(warc.salvage(cut + warc._gzip(one[3])))
+        assert ids(out) == ["<urn:page:0>", "<urn:page:1>", "<urn:page:3>"]
+        assert sum(x[0] == "gap" for x in out) == 1
+    # a wrong byte in stored bytes spoils the checksum only, one in a packed stream all that follows it
+    for level, left in ((0, ["<urn:page:0>", "<urn:page:2>"]), (4, ["<urn:page:0>"])):
+        z = zlib.compressobj(level, zlib.DEFLATED, 31)
+        hit = bytearray(z.compress(one[0] + one[1] + one[2]) + z.flush())
+        hit[len(hit) // 2] ^= 255
+        assert ids(warc.salvage(bytes(hit))) == left
