@@ -1,10 +1,11 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-A token is a container's path of tags (with its class); its occurrence vector over the pages of a host says how
-often each page has it. Tokens of one host with equal vectors form a class, found by grouping on the host and
-an order-free digest of the vector, so no host's pages ever meet in one task. Large and frequent classes are the template;
-classes nest as their paths do. The slot of the template that holds most of the host's text is the main one, and what fills
-it, without the template's own boilerplate containers, is the text.
+A token is a container's path of tags (with its class), or such a path with the text of a block in it; its occurrence
+vector over the pages of a host says how often each page has it. Tokens of one host with equal vectors form a class, found by
+grouping on the host and an order-free digest of the vector, so no host's pages ever meet in one task. Large and frequent
+classes are the template: blocks that it covers go, whatever their tags and classes are called, and what fills the slots
+between them is the text. Names only choose among slots whose text varies from page to page: an article or main element of the template
+comes first, and containers called adverts, menus and so on go; they also serve pages that have no template.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,43 +114,61 @@ def _above(path: str) -> list[str]:
     return ["/".join(parts[:k]) for k in range(2, len(parts) + 1)]
 
 
+def block_key(path: str, text: str) -> int:
+    """Of a block token: its path and text; never 0, which marks a token that is a path only."""
+    return (xxhash.xxh3_64_intdigest(f"{path}\n{text}".encode("utf-8", "surrogatepass")) >> 1) or 1
+
+
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for where, page_hash, page in zip(pdf["host"], pdf["h"].tolist(), pdf["html"]):
             times: dict[str, list[int]] = {}
+            said: dict[int, int] = {}
             for path, text, dropped in blocks(page or ""):
+                key = block_key(path, text)
+                said[key] = said.get(key, 0) + 1
                 for p in _above(path):
                     seen = times.setdefault(p, [0, 0])
                     seen[0] += p == path
                     seen[1] += 0 if dropped else len(text)
-            rows += [(where, p, n, page_hash * max(n, 1) % (1 << 40), c) for p, (n, c) in times.items()]
-        yield pd.DataFrame(rows, columns=["host", "path", "n", "mark", "chars"])
+            rows += [(where, p, 0, max(n, 1), page_hash * max(n, 1) % (1 << 40), c) for p, (n, c) in times.items()]
+            rows += [(where, "", k, n, page_hash * n % (1 << 40), 0) for k, n in said.items()]
+        yield pd.DataFrame(rows, columns=["host", "path", "block", "n", "mark", "chars"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, main): the path of the main slot of each host with a template.
+    """(host, main, known): of each host with a template the path of its article or main element, if any, and the keys of its own blocks.
 
-    Valid classes have two tokens or more, on MIN_SHARE of the host's pages, and MIN_PAGES at least. Of their tokens the main
-    slot is an article or main element if there is one, else the deepest that holds nine tenths of the text.
+    Valid classes have two tokens or more, on MIN_SHARE of the host's pages, and MIN_PAGES at least. A page has few of their
+    tokens that others lack, so known is of the order of one page's blocks, however many pages the host has.
     """
     keyed = pages.select(host(F.col("url")).alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40)).alias("h"), "html")
-    tokens = keyed.mapInPandas(_tokens, "host string, path string, n long, mark long, chars long")
-    vectors = settle(tokens.groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.sum("mark").alias("vector"), F.sum("chars").alias("chars")))
-    size = settle(vectors.groupBy("host").agg(F.max("pages").alias("most"), F.max("chars").alias("all")))
+    tokens = keyed.mapInPandas(_tokens, "host string, path string, block long, n long, mark long, chars long")
+    vectors = tokens.groupBy("host", "path", "block").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.sum("mark").alias("vector"), F.sum("chars").alias("chars"))
+    vectors = settle(vectors.where((F.col("block") == 0) | (F.col("pages") >= MIN_PAGES)))
+    size = settle(vectors.groupBy("host").agg(F.max("pages").alias("most")))
     classes = settle(vectors.groupBy("host", "pages", "total", "vector").agg(F.count("*").alias("members")))
     valid = vectors.join(classes, ["host", "pages", "total", "vector"]).join(size, "host")
     valid = valid.where((F.col("members") > 1) & (F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("most")))
     last = F.regexp_extract("path", "/([a-z0-9]+)[^/]*$", 1)
     depth = F.size(F.split("path", "/"))
-    named = F.when(last.isin(*MAIN_TAGS), 2).when(F.col("chars") >= 0.9 * F.col("all"), 1).otherwise(0)
-    rank = F.struct(named, F.when(named == 2, F.col("chars")).otherwise(0), F.when(named == 2, -depth).otherwise(depth), "path")
-    return valid.where(F.col("chars") > 0).groupBy("host").agg(F.max_by("path", rank).alias("main"))
+    rank = F.when(last.isin(*MAIN_TAGS) & (F.col("chars") > 0), F.struct("chars", -depth, "path"))
+    return valid.groupBy("host").agg(F.max_by("path", rank).alias("main"), F.collect_set(F.when(F.col("block") != 0, F.col("block"))).alias("known"))
 
 
-def main_text(page: str, main: str | None) -> str:
-    """Kept blocks inside the main slot; without one, inside the page's own article or main element, else all kept blocks."""
-    kept = [(path, text) for path, text, dropped in blocks(page) if not dropped]
+def main_text(page: str, main: str | None, known: frozenset[int] = frozenset()) -> str:
+    """Blocks that aren't the template's own, inside the main slot; without one, inside the page's own article or main element, else all.
+
+    Of them those in dropped containers go, unless nothing else is left and the template has no main slot. A page that is all template is read by the names only.
+    """
+    every = blocks(page)
+    rest = [b for b in every if block_key(b[0], b[1]) not in known] if known else every
+    if not rest:
+        known, rest = frozenset(), every
+    kept = [(path, text) for path, text, dropped in rest if not dropped]
+    if not kept and known and not main:
+        kept = [(path, text) for path, text, _ in rest]
     inside = lambda path, top: path == top or path.startswith(top + "/")
     if main and any(inside(p, main) for p, _ in kept):
         return "\n".join(t for p, t in kept if inside(p, main))
@@ -167,8 +187,8 @@ def extract(pages: DataFrame) -> DataFrame:
     found = settle(templates(pages))
 
     @F.pandas_udf("string")
-    def text(page: pd.Series, main: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p or "", m) for p, m in zip(page, main)], dtype=object)
+    def text(page: pd.Series, main: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([main_text(p or "", m, frozenset(() if k is None else k)) for p, m, k in zip(page, main, known)], dtype=object)
 
-    rows = pages.withColumn("__host", host(F.col("url"))).join(found.select(F.col("host").alias("__host"), F.col("main").alias("__main")), "__host", "left")
-    return rows.select("page_id", "url", text("html", "__main").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    rows = pages.withColumn("__host", host(F.col("url"))).join(found.select(F.col("host").alias("__host"), F.col("main").alias("__main"), F.col("known").alias("__known")), "__host", "left")
+    return rows.select("page_id", "url", text("html", "__main", "__known").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -175,3 +175,20 @@ def test_salvage_searches_inside_members():
         hit = bytearray(z.compress(one[0] + one[1] + one[2]) + z.flush())
         hit[len(hit) // 2] ^= 255
         assert ids(warc.salvage(bytes(hit))) == left
+
+
+def test_html_template_of_neutral_names(spark):
+    r = random.Random(6)
+    said = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(30))
+    rows, want = [], {}
+    for k in range(12):
+        parts = [f"title {k}", said(), said()]
+        want[k] = "\n".join(parts)
+        body = f'<div class="c3"><h1>{parts[0]}</h1><div class="c5">{parts[1]}</div><div class="c6">{parts[2]}</div><div>Read our terms</div></div>'
+        notice = '<div class="c2">This site keeps crumbs</div>' if k % 4 else ""
+        rows.append((k, "http://neutral.example/" + str(k), f'<body><div class="c1"><div>Home</div><div>Shop</div></div>{notice}{body}<div class="c4">All rights kept</div></body>'))
+    rows += [(50 + k, "http://copies.example/", "<body><p>one text</p></body>") for k in range(3)]
+    rows.append((60, "http://single.example/", '<body><div class="menu">Home</div><p>only page</p></body>'))
+    want |= {50: "one text", 51: "one text", 52: "one text", 60: "only page"}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {x.page_id: x.text for x in html_extract.extract(pages).collect()} == want
