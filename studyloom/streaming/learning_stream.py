@@ -15,10 +15,20 @@ def counted_once(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def state_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps (user_id, events, total, last) under path, one folder a batch; a batch that is run again rewrites its own folder only."""
+    """Keeps (user_id, events, total, last) under path, one folder a batch; a batch that is run again rewrites its own folder only.
+
+    An event id counts once, however late it comes again: the ids written are kept under path + ".ids". Of rows of one id in a
+    batch the earliest counts; rows without an id count each.
+    """
+    ids = f"{path}.ids"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.groupBy("user_id").agg(F.count("*").alias("events"), F.sum("value").alias("total"), F.max("ts").alias("last")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = batch.select("event_id", "ts", "user_id", "value")
+        new = rows.where("event_id IS NOT NULL").groupBy("event_id").agg(F.min(F.struct("ts", "user_id", "value")).alias("row")).select("event_id", "row.*")
+        if number > 0:
+            new = new.join(batch.sparkSession.read.parquet(ids).where(F.col("batch") < number).select("event_id"), "event_id", "left_anti")
+        new.select("event_id").write.mode("overwrite").parquet(f"{ids}/batch={number}")
+        new.unionByName(rows.where("event_id IS NULL")).groupBy("user_id").agg(F.count("*").alias("events"), F.sum("value").alias("total"), F.max("ts").alias("last")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

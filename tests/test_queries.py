@@ -51,6 +51,18 @@ def test_stream_counts_an_event_once(spark, sf, tmp_path):
     assert got == {r.user_id: r["count"] for r in events.groupBy("user_id").count().collect()}
 
 
+def test_stream_drops_repeated_ids_of_any_age(spark, tmp_path):
+    from studyloom.streaming.learning_stream import read_state, state_stream
+
+    schema = "event_id long, user_id long, ts timestamp, value double"
+    for rows in ([(1, 7, "2026-01-01", 1.0), (1, 7, "2026-01-01", 1.0), (2, 7, "2026-01-02", 1.0)], [(1, 7, "2026-01-01", 1.0), (3, 7, "2025-01-01", 1.0), (None, 7, "2026-03-01", 1.0), (None, 7, "2026-03-01", 1.0)]):
+        df = spark.createDataFrame(rows, "event_id long, user_id long, ts string, value double").selectExpr("event_id", "user_id", "CAST(ts AS timestamp) AS ts", "value")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        state_stream(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert [(r.user_id, r.events, r.total) for r in read_state(spark.read.parquet(str(tmp_path / "out"))).collect()] == [(7, 5, 5.0)]
+
+
 def test_stream_state_equals_replay(spark, sf, tmp_path):
     from studyloom.operators.learning import fold_mastery
     from studyloom.plans.queries import learning_events
