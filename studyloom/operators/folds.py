@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions.text import collapse
+
 
 def fold_rows(rows: DataFrame, keys: list[str], order: list, values: list[str], schema: str, start: Callable, step: Callable, finish: Callable | None = None) -> DataFrame:
     """Feeds every key's values in order to step(state, *values) -> (state, rows out); finish(state) -> rows out at a key's end.
@@ -60,46 +62,62 @@ def source_groups(chunks: DataFrame, keys: list[str], order: str, target: int, m
     return fold_rows(c, keys, [order], [order, "__t", "__s"], f"`{order}` long, group_index long", lambda: (0, None, None), step)
 
 
-def native_chunks(blocks: DataFrame, least: int = 80, target: int = 450, most: int = 800, span: int = 3, overlap: int = 80) -> DataFrame:
-    """blocks(doc_id, position, page, section, kind, tokens) -> (doc_id, chunk, first, last, tokens, page_start, page_end): the blocks of each chunk.
+#: Tokens from which a changed section ends a chunk, from which a new page does, and that a chunk may have at most; pages a chunk may span;
+#: tokens and blocks that are repeated in the next chunk, and from how many tokens code and formulas are not.
+CHUNK = {"least": 80, "target": 450, "most": 800, "span": 3, "overlap": 80, "tail": 2, "solid": 120}
 
-    A chunk ends before a block that starts another section (from least tokens), passes most, comes from a new page (from target) or
-    would stretch it over more than span pages. Where size or page ended it, up to two of its last blocks with overlap tokens start the next.
-    """
 
-    def close(held, number):
-        return (number, held[0][0], held[-1][0], sum(b[4] for b in held), min(b[1] for b in held), max(b[1] for b in held))
-
-    def tail(held):
-        kept, size = [], 0
-        for b in reversed(held):
-            if b[3] in ("CODE", "FORMULA") and b[4] > 120:
-                continue
-            kept.insert(0, b)
-            size += b[4]
-            if size >= overlap or len(kept) >= 2:
-                break
-        return kept
-
-    def step(state, *block):
-        number, held = state
-        _, page, section, _, tokens = block
-        if not held:
-            return ((number + 1, []), [close([block], number)]) if tokens > most else ((number, [block]), [])
-        size = sum(b[4] for b in held)
-        moved = bool(section and held[-1][2] and section != held[-1][2] and size >= least)
-        big = size + tokens > most
-        paged = size >= target and page != held[-1][1]
-        pages = [b[1] for b in held] + [page]
+def chunk_members(blocks: DataFrame, rule: dict = CHUNK) -> DataFrame:
+    """blocks(doc_id, position, page, section, kind, tokens) -> (doc_id, chunk, position): which blocks each chunk has, repeated ones included.
+
+    State is a few sums of the open chunk and its last repeatable blocks, never its blocks. A chunk that ended for its size or for a new
+    page hands its last blocks on: the last one alone if it has enough tokens, else the last two.
+    """
+    def ended(size, low, high, at, title, page, section, tokens) -> str | None:
+        """Why the open chunk can't take the next block."""
+        if size + tokens > rule["most"]:
+            return "size"
+        if size >= rule["target"] and page != at:
+            return "page"
+        if max(page, high) - min(page, low) >= rule["span"]:
+            return "span"
+        return "section" if section and title and section != title and size >= rule["least"] else None
+
+    def step(state, position, page, section, kind, tokens):
+        number, now, last = state
+        if now is None and tokens > rule["most"]:
+            return (number + 1, None, []), [(number, position)]
+        size, low, high = now[:3] if now else (0, page, page)
         made = []
-        if moved or big or paged or max(pages) - min(pages) + 1 > span:
-            made = [close(held, number)]
-            number, held = number + 1, (tail(held) if big or paged else [])
-        return (number, [*held, block]), made
+        if now and (why := ended(*now, page, section, tokens)):
+            number += 1
+            last = [] if why in ("span", "section") else last[-1:] if last and last[-1][2] >= rule["overlap"] else last
+            made = [(number, r[0]) for r in last]
+            size, low, high = sum(r[2] for r in last), min((r[1] for r in last), default=page), max((r[1] for r in last), default=page)
+        if kind not in ("CODE", "FORMULA") or tokens <= rule["solid"]:
+            last = [*last, (position, page, tokens)][-rule["tail"] :]
+        return (number, (size + tokens, min(low, page), max(high, page), page, section), last), [*made, (number, position)]
 
     b = blocks.select("doc_id", F.col("position").cast("long").alias("position"), F.col("page").cast("long").alias("page"), "section", "kind", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
-    return fold_rows(b, ["doc_id"], ["position"], ["position", "page", "section", "kind", "tokens"], "chunk long, first long, last long, tokens long, page_start long, page_end long",
-        lambda: (0, []), step, lambda s: [close(s[1], s[0])] if s[1] else [])
+    return fold_rows(b, ["doc_id"], ["position"], ["position", "page", "section", "kind", "tokens"], "chunk long, position long", lambda: (0, None, []), step)
+
+
+def native_chunks(blocks: DataFrame, rule: dict = CHUNK) -> DataFrame:
+    """blocks(doc_id, position, page, section, kind, tokens, text) -> (doc_id, chunk, first, last, blocks, tokens, page_start, page_end, section, kind, content).
+
+    Of a document's chunks of equal content (white space apart) the first stays. kind is the most frequent one but headings, the first met if several are.
+    """
+    rows = chunk_members(blocks, rule).join(blocks, ["doc_id", "position"])
+    kinds = rows.where("kind <> 'HEADING'").groupBy("doc_id", "chunk", "kind").agg(F.count("*").alias("n"), F.min("position").alias("p"))
+    main = kinds.groupBy("doc_id", "chunk").agg(F.max_by("kind", F.struct("n", -F.col("p"))).alias("kind"))
+    title = F.when(F.col("section") != "", F.struct("position", "section"))
+    c = rows.groupBy("doc_id", "chunk").agg(
+        F.min("position").alias("first"), F.max("position").alias("last"), F.count("*").alias("blocks"), F.sum("tokens").alias("tokens"), F.min("page").alias("page_start"), F.max("page").alias("page_end"),
+        F.min(title)["section"].alias("section"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "\n\n").alias("content"),
+    )
+    once = c.withColumn("__d", F.sha2(collapse(F.col("content")), 256)).withColumn("__r", F.row_number().over(Window.partitionBy("doc_id", "__d").orderBy("chunk"))).where("__r = 1").drop("__r", "__d")
+    out = once.join(main, ["doc_id", "chunk"], "left").withColumn("kind", F.coalesce("kind", F.lit("HEADING")))
+    return out.withColumn("chunk", (F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk")) - 1).cast("long"))
 
 
 def within_budget(items: DataFrame, keys: list[str], tokens: Column, count: int, budget: int) -> DataFrame:

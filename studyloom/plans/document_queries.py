@@ -101,13 +101,34 @@ def embedding_sources(spark, sf_dir):
     return D.embedding_sources(d, ["lang", "source"]).select("doc_id", "embedding_text", "metadata")
 
 
-@query(None)
-def native_chunks(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    b = c.select("doc_id", F.col("chunk_index").alias("position"), F.floor(F.col("chunk_index") / 5).alias("page"), F.lit(None).cast("string").alias("section"), D.line_kind(F.col("content")).alias("kind"), T.tokens_document(F.col("content")).alias("tokens"))
+#: The open chunk of each document as a list of its blocks; a chunk that ends hands up to two of its last blocks on.
+NATIVE = f"""{CHUNKS}, nb AS (SELECT doc_id, chunk_index AS pos, chunk_index // 5 AS page, CASE (chunk_index // 7) % 3 WHEN 1 THEN 'a' WHEN 2 THEN 'b' END AS section, CASE WHEN chunk_index % 9 = 4 THEN 'CODE' ELSE 'PARAGRAPH' END AS kind, content,
+ CAST(greatest(floor(len(list_filter(string_split({WS}, ' '), lambda w: w <> '')) * 13 / 10), 1, length(content) // 4) AS BIGINT) AS tokens FROM c),
+b AS (SELECT doc_id, pos, page, section, {{'pos': pos, 'page': page, 'kind': kind, 'tokens': tokens}} AS x, tokens FROM nb),
+s AS (SELECT doc_id, pos, CASE WHEN tokens > 800 THEN 1 ELSE 0 END::BIGINT AS number, CASE WHEN tokens > 800 THEN [] ELSE [x] END AS held, section AS last, [{{'n': 0::BIGINT, 'pos': pos}}] AS made FROM b WHERE pos = 0
+ UNION ALL SELECT doc_id, pos, CASE WHEN len(held) = 0 AND tokens > 800 THEN number + 1 ELSE number + cut END, CASE WHEN len(held) = 0 AND tokens > 800 THEN [] ELSE list_append(base, x) END, section,
+   list_append(CASE WHEN cut = 1 THEN list_transform(base, lambda r: {{'n': number + 1, 'pos': r.pos}}) ELSE [] END, {{'n': number + cut, 'pos': pos}})
+  FROM (SELECT *, CASE WHEN cut = 0 THEN held WHEN NOT keep THEN [] WHEN len(tail) > 0 AND tail[-1].tokens >= 80 THEN tail[-1:] ELSE tail[-2:] END AS base
+   FROM (SELECT *, CASE WHEN big OR paged OR wide OR named THEN 1 ELSE 0 END::BIGINT AS cut, big OR paged AS keep, list_filter(held, lambda r: NOT (r.kind = 'CODE' AND r.tokens > 120)) AS tail
+    FROM (SELECT b.*, s.number, s.held, len(s.held) > 0 AND size + b.tokens > 800 AS big, len(s.held) > 0 AND size >= 450 AND b.page <> s.held[-1].page AS paged, len(s.held) > 0 AND greatest(b.page, hi) - least(b.page, lo) >= 3 AS wide,
+      coalesce(len(s.held) > 0 AND b.section <> s.last AND size >= 80, FALSE) AS named
+     FROM (SELECT *, coalesce(list_sum(list_transform(held, lambda r: r.tokens)), 0) AS size, list_min(list_transform(held, lambda r: r.page)) AS lo, list_max(list_transform(held, lambda r: r.page)) AS hi FROM s) s JOIN b ON b.doc_id = s.doc_id AND b.pos = s.pos + 1)))),
+m AS (SELECT doc_id, unnest(made, recursive := true) FROM s), g AS (SELECT m.doc_id, m.n, min(m.pos) AS first, max(m.pos) AS last, count(*) AS blocks, sum(tokens) AS tokens, min(page) AS page_start, max(page) AS page_end, string_agg(content, chr(10) || chr(10) ORDER BY m.pos) AS content FROM m JOIN nb ON nb.doc_id = m.doc_id AND nb.pos = m.pos GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, {WS} ORDER BY n) AS r FROM g)"""
+
+
+def _native(spark, sf_dir):
+    i, c = F.col("chunk_index"), F.col("content")
+    section = F.when(F.floor(i / 7) % 3 == 1, "a").when(F.floor(i / 7) % 3 == 2, "b")
+    b = chunks(spark, sf_dir).select("doc_id", i.cast("long").alias("position"), F.floor(i / 5).alias("page"), section.alias("section"), F.when(i % 9 == 4, "CODE").otherwise("PARAGRAPH").alias("kind"), T.tokens_document(c).alias("tokens"), c.alias("text"))
     return folds.native_chunks(b)
 
 
+@query(f"WITH RECURSIVE {NATIVE} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS chunk, first, last, blocks, CAST(tokens AS BIGINT) AS tokens, page_start, page_end, md5(content) AS digest FROM o WHERE r = 1")
+def native_chunks(spark, sf_dir):
+    return _native(spark, sf_dir).select("doc_id", "chunk", "first", "last", "blocks", "tokens", "page_start", "page_end", F.md5("content").alias("digest"))
+
+
 BOXES = "bx AS (SELECT l_orderkey AS page, l_linenumber AS block, CAST(l_partkey % 400 AS DOUBLE) AS x0, CAST(l_suppkey % 700 AS DOUBLE) AS y0, l_partkey % 400 + l_quantity * 9 AS x1, l_suppkey % 700 + l_linenumber * 30.0::DOUBLE AS y1, l_discount AS d FROM lineitem)"
 
 

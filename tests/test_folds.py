@@ -35,7 +35,7 @@ def plain_chunks(blocks, least, target, most, span):
 
 def test_native_chunks_match_plain_rule(spark):
     rows = [(d, i, i // 4, [None, "a", "b"][(i // 7) % 3], "CODE" if i % 5 == 0 else "PARAGRAPH", (i * 37 + d * 11) % 170 + (900 if i == 20 else 0)) for d in range(6) for i in range(30 * (d % 3))]
-    df = spark.createDataFrame([*rows, (99, 0, 0, None, "TEXT", None)], "doc_id long, position long, page long, section string, kind string, tokens long")
+    df = spark.createDataFrame([*rows, (99, 0, 0, None, "TEXT", None)], "doc_id long, position long, page long, section string, kind string, tokens long").withColumn("text", F.concat_ws(" ", F.lit("block"), "position"))
     got = {}
     for r in folds.native_chunks(df).orderBy("doc_id", "chunk").collect():
         got.setdefault(r.doc_id, []).append((r.first, r.last))
@@ -43,6 +43,13 @@ def test_native_chunks_match_plain_rule(spark):
     assert got == want | {99: [(0, 0)]}
 
 
+def test_equal_chunks_stay_once(spark):
+    rows = [(1, k, k, None, "TEXT", 900, text) for k, text in enumerate(["same  words", "other", "same words", "other one"])]
+    df = spark.createDataFrame(rows, "doc_id long, position long, page long, section string, kind string, tokens long, text string")
+    assert [(r.chunk, r.first, r.content) for r in folds.native_chunks(df).orderBy("chunk").collect()] == [(0, 0, "same  words"), (1, 1, "other"), (2, 3, "other one")]
+    assert folds.native_chunks(df.limit(0)).collect() == []
+
+
 def test_fold_keeps_null_keys_apart(spark):
     df = spark.createDataFrame([(None, 1, 5), (1, 1, 5), (None, 2, 90), (1, 2, None)], "k long, at long, tokens long")
     rows = folds.source_groups(df, ["k"], "at", 10, 50).collect()
