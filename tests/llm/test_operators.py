@@ -3,6 +3,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -94,18 +95,74 @@ def test_lm_base_score(spark):
         assert abs(x.base_score - want) < 1e-6 and -200 < x.score < 0
 
 
-def test_lm_tables_match_the_model():
-    r = np.random.default_rng(0)
-    texts = [r.integers(0, 500, n).astype(np.int32) for n in (1, 7, 8, 9, 60)]
-    model = lm_score.Model(np.bincount(np.concatenate(texts), minlength=lm_score.IDS))
-    model.count(np.zeros((lm_score.CLASSES + 1, lm_score.IDS)))
+def lm_model(texts):
+    """A model with counts and one fitting round over texts of ids."""
+    flat, before = np.concatenate(texts), np.concatenate([np.concatenate([[lm_score.END], t[:-1]]) for t in texts])
+    model = lm_score.Model(np.bincount(flat, minlength=lm_score.IDS))
+    cell, n = lm_score._summed([before * lm_score.CLASSES + model.cls[flat]], [np.ones(len(flat), np.int64)])
+    key, pair = lm_score._summed([before * lm_score.IDS + flat], [np.ones(len(flat), np.int64)])
+    a, b = model.rank[key // lm_score.IDS], model.rank[key % lm_score.IDS]
+    both = (a >= 0) & (b >= 0)
+    model.count(cell, n, a[both], b[both], pair[both])
+    model.train(flat, np.array([len(t) for t in texts]), 1, 0.02, np.zeros(lm_score.IDS, np.int64), model.fresh())
     model.ready()
-    c, y, real, text = model.windows(texts)
-    assert real.sum() == sum(map(len, texts))
-    logits = model.forward(c)[-1]
-    won = np.take_along_axis(logits, y[..., None], 2)[..., 0] - np.log(np.exp(logits).sum(2))
-    inside = [model.inside[np.concatenate([[lm_score.CLASSES], model.cls[t[:-1]]]), t].sum() for t in texts]
-    assert np.allclose(model.score(texts), np.bincount(text, weights=(won * real).sum(1)) / math.log(10) + inside, atol=1e-3)
+    return model
+
+
+def test_lm_scores_are_the_models_probabilities(monkeypatch):
+    monkeypatch.setattr(lm_score, "FREQUENT", 40)
+    r = np.random.default_rng(0)
+    texts = [np.append(r.integers(0, 90, n), lm_score.END) for n in (1, 7, 8, 9, 60, 700)]
+    model = lm_model(texts)
+    lengths = np.array([len(t) for t in texts])
+    line, at, left, text = model.windows(np.concatenate(texts), lengths)
+    c, y, real = model.batch(line, at, left)
+    assert real.sum() == lengths.sum() and (np.sort(y[real]) == np.sort(np.concatenate(texts))).all()
+    p = model.forward(c)[-1]
+    won = np.log10(p[np.arange(len(p)), model.cls[y].ravel()] / p.sum(1)).reshape(real.shape)
+    inside = [model.within(np.concatenate([[lm_score.END], t[:-1]]), t).sum() for t in texts]
+    assert np.allclose(model.score(np.concatenate(texts), lengths), np.bincount(text, weights=(won * real).sum(1)) + inside, atol=1e-3)
+    # over all subwords that can come next the probabilities add up to one, wherever a text stands
+    start = texts[3][:5]
+    every = np.arange(lm_score.IDS)
+    alone = model.score(start, np.array([5]))[0]
+    some = every[:: lm_score.IDS // 300]
+    more = model.score(np.concatenate([np.append(start, k) for k in some]), np.full(len(some), 6)) - alone
+    line, at, left, _ = model.windows(np.append(start, 0), np.array([6]))
+    p = model.forward(model.batch(line, at, left)[0])[-1][5]
+    want = np.log10(p / p.sum())[model.cls[some]] + model.within(np.full(len(some), start[-1]), some)
+    assert np.allclose(more, want, atol=1e-3)
+    total = sum((10 ** (np.log10(p / p.sum())[model.cls[every]] + model.within(np.full(len(every), before), every)).astype(float)).sum() for before in (int(start[-1]), 30000))
+    assert abs(total - 2) < 1e-3
+
+
+def test_lm_beats_a_bigram_of_the_same_subwords(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    ids = dict(zip([r.doc_id for r in rows], lm_score.encode(lm_score.VOCABULARY, [r.text for r in rows])[3]))
+    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 1
+    one, two = Counter(), Counter()
+    for k, x in ids.items():
+        if not held(k):
+            one.update(x.tolist())
+            two.update(zip([lm_score.END, *x[:-1].tolist()], x.tolist()))
+    first = Counter()
+    for (a, _), n in two.items():
+        first[a] += n
+    single = lambda b: (one[b] + 0.5) / (sum(one.values()) + 0.5 * lm_score.IDS)
+    best = max(sum(math.log10((two[a, b] + prior * single(b)) / (first[a] + prior)) for k, x in ids.items() if held(k) for a, b in zip([lm_score.END, *x[:-1].tolist()], x.tolist())) for prior in (5, 20, 80))
+    mine = sum(r.score for r in lm_score.score(docs).where("held_out").collect())
+    assert mine > best, (mine, best)
+
+
+def test_lm_words_and_chunks(monkeypatch):
+    monkeypatch.setattr(lm_score, "STRETCH", 64)
+    texts = ["", None, "a b\tc A", "x" * 500, "long " * 100 + "END", "\x0b\x0c\n"]
+    hashes, owner, n, ids = lm_score.encode(lm_score.VOCABULARY, texts)
+    assert n.tolist() == [0, 0, 4, 1, 101, 0] and len(set(hashes.tolist())) == 6
+    assert hashes[0] == hashes[3] and (owner == np.repeat(np.arange(6), n)).all()
+    assert [x[-1] for x in ids] == [lm_score.END] * 6 and len(ids[0]) == 1
+    assert (lm_score.encode(lm_score.VOCABULARY, ["END"])[3][0] == ids[4][-len(lm_score.encode(lm_score.VOCABULARY, ["END"])[3][0]) :]).all()
 
 
 def test_salvage_logs_gaps():
