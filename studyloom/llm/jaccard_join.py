@@ -4,15 +4,17 @@ Plan, with the data that each step moves:
 
 1. One row a document: a digest of its word sequence (of its first window, if that is its only shingle) and its
    number of shingles. Documents of one digest have one set, so they are one node of the join, however many there are.
-2. The texts of the nodes become shingle hashes of 48 bits. Each task sends them sorted and packed (about
-   five bytes each) to the range of hashes that they fall in; there it is counted in how many nodes
-   each occurs. Only shingles of two nodes or more go back, packed again, to their node.
+2. The texts of the nodes become shingle hashes (56 of 64 bits travel). Each task sends them sorted and packed to the range of
+   hashes that they fall in; there it is counted in how many nodes each occurs. A shingle that HOT nodes or more of one
+   batch have is only sent as a count, as its answer is known; so no shingle brings more than HOT rows a batch
+   to one task. Only shingles of two nodes or more go back, packed again, to their node.
 3. A node can only have a partner if ceil(0.85 n) of its n shingles occur elsewhere. For those
    that remain the prefix of n - ceil(0.85 n) + 1 shingles is taken under three global orders (all put the
-   shingles without partner first; then by rising frequency, or by one of two hashes).
-4. Nodes that share a prefix shingle under the first order form clusters. A cluster is dealt in
-   blocks; a task gets one pair of blocks, keeps the pairs that share a prefix shingle under every
-   order, and only then counts their common shingles. It returns a spanning forest of the links, not all pairs.
+   shingles without partner first; then by rising frequency, counted up to HOT, or by one of two hashes).
+4. Nodes that share a prefix shingle under the first order form clusters. In a large cluster all nodes first meet a block of pivots,
+   which costs rows in proportion to its size; what the pivots join needs no more comparing among itself. What is left is dealt in
+   blocks, and a task gets one pair of blocks of different pieces. Pairs that share a prefix shingle under every
+   order are verified by their common shingles. A task returns a spanning forest of the links, not all pairs.
 5. Connected components of these forests.
 """
 
@@ -24,13 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, pack, runs, settle, star_forest, unpack
 
-HASH_BITS = 48
+#: Bits of a shingle's hash that are sent; sizes of sets are counted with all 64.
+HASH_BITS = 56
+HOT = 16
 BLOCK = 64
+#: Nodes from which a cluster meets pivots first, and how many times.
+LARGE = 256
+PIVOT_ROUNDS = 2
 CHUNK_SHINGLES = 1_000_000
 
 
@@ -44,62 +51,92 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     if len(words) < size:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words)) >> (64 - HASH_BITS)], np.uint64)
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
     digest = xxhash.xxh3_64_intdigest
     h = np.fromiter(map(digest, words), np.uint64, len(words))
     out = np.zeros(len(words) - size + 1, np.uint64)
     for k in range(size):
         out = mix64(out ^ h[k : k + len(out)], 2 * k + 1)
-    return np.unique(out >> np.uint64(64 - HASH_BITS))
+    return np.unique(out)
+
+
+def set_key(words: list[bytes], n: int, size: int) -> bytes:
+    """One shingle: one word over and over, however often; its first window stands for the set."""
+    return hashlib.md5(b" ".join(words[:size] if n == 1 else words)).digest()
 
 
 def _digests(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, counts = [], []
-            for text in pdf["text"]:
-                words = folded_words(text)
-                n = len(shingles(words, size))
-                # one shingle: one word over and over, however often; its first window stands for the set
-                keys.append(hashlib.md5(b" ".join(words[:size] if n == 1 else words)).digest())
-                counts.append(n)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": keys, "n": np.array(counts, np.int64)})
+            words = [folded_words(t) for t in pdf["text"]]
+            counts = [len(shingles(w, size)) for w in words]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": [set_key(w, n, size) for w, n in zip(words, counts)], "n": np.array(counts, np.int64)})
 
     return run
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin in a sorted array, and how long they are."""
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(x)))
+
+
+def _to_nodes(token: np.ndarray, node: np.ndarray, n: np.ndarray, df: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Answers, packed by range of nodes."""
+    bucket = (mix64(node, 7) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((token, node, bucket))
+    token, node, n, df, bucket = (x[order] for x in (token, node, n, df, bucket))
+    return [(int(bucket[lo]), pack(token[lo : lo + c], np.diff(node[lo : lo + c], prepend=0), n[lo : lo + c], df[lo : lo + c])) for lo, c in zip(*_runs(bucket))]
+
+
 def _requests(size: int, parts: int):
-    """Rows (part, blob); a blob holds shingles in order as differences, the place of each one's node, nodes and their set sizes."""
+    """From rows (node, key, text): rows (part, told, blob).
+
+    A blob of told = false holds shingles in order as differences, the place of each one's node, nodes, their set sizes, and the hot
+    shingles with how many nodes have each; one of told = true holds answers for hot shingles, which only pass through.
+    """
 
-    def flush(held: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
-        tokens = np.concatenate([s for _, s in held])
-        place = np.repeat(np.arange(len(held)), [len(s) for _, s in held])
-        ids = np.array([i for i, _ in held], np.int64)
-        sizes = np.array([len(s) for _, s in held], np.int64)
+    def flush(held: list[tuple[int, np.ndarray, int]]) -> list[tuple[int, bool, bytes]]:
+        tokens = np.concatenate([s for _, s, _ in held])
+        place = np.repeat(np.arange(len(held)), [len(s) for _, s, _ in held])
+        ids, sizes = np.array([i for i, _, _ in held], np.int64), np.array([n for _, _, n in held], np.int64)
         order = np.argsort(tokens, kind="stable")
         tokens, place = tokens[order].astype(np.int64), place[order]
-        cuts = np.searchsorted(tokens, [(p << HASH_BITS) // parts for p in range(parts + 1)])
+        starts, times = _runs(tokens)
+        common = np.repeat(times >= HOT, times)
+        hot, weight = tokens[starts[times >= HOT]], times[times >= HOT]
         rows = []
+        if common.any():
+            who = place[common]
+            rows += [(p, True, blob) for p, blob in _to_nodes(tokens[common], ids[who], sizes[who], np.full(len(who), HOT), parts)]
+        tokens, place = tokens[~common], place[~common]
+        edges = [(p << HASH_BITS) // parts for p in range(parts + 1)]
+        cuts, hot_cuts = np.searchsorted(tokens, edges), np.searchsorted(hot, edges)
         for p in range(parts):
-            t, d = tokens[cuts[p] : cuts[p + 1]], place[cuts[p] : cuts[p + 1]]
-            if len(t):
+            t, d, h = tokens[cuts[p] : cuts[p + 1]], place[cuts[p] : cuts[p + 1]], slice(hot_cuts[p], hot_cuts[p + 1])
+            if len(t) or len(hot[h]):
                 there, d = np.unique(d, return_inverse=True)
-                rows.append((p, pack(np.diff(t, prepend=0), d, np.diff(ids[there], prepend=0), sizes[there])))
-        return pd.DataFrame(rows, columns=["part", "blob"])
+                rows.append((p, False, pack(np.diff(t, prepend=0), d, ids[there], sizes[there], np.diff(hot[h], prepend=0), weight[h])))
+        return rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, np.ndarray]] = []
-        total = 0
+        held, total, seen = [], 0, set()
+        frame = lambda rows: pd.DataFrame(rows, columns=["part", "told", "blob"])
         for pdf in batches:
-            for i, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
-                s = shingles(folded_words(text), size)
-                held.append((i, s))
+            for node, key, text in zip(pdf["node"].tolist(), pdf["key"], pdf["text"]):
+                words = folded_words(text)
+                s = shingles(words, size)
+                # of rows of one doc_id only one with the node's own text counts
+                if node in seen or set_key(words, len(s), size) != bytes(key):
+                    continue
+                seen.add(node)
+                held.append((node, np.unique(s >> np.uint64(64 - HASH_BITS)), len(s)))
                 total += len(s)
                 if total >= CHUNK_SHINGLES:
-                    yield flush(held)
+                    yield frame(flush(held))
                     held, total = [], 0
-        if total:
-            yield flush(held)
+        if held:
+            yield frame(flush(held))
 
     return run
 
@@ -108,25 +145,31 @@ def _answers(parts: int):
     """From all requests of a range of shingles: those of two nodes or more, packed by range of nodes."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        token, node, n = [], [], []
-        for blob in pdf["blob"]:
-            t, d, ids, sizes = unpack(blob)
-            ids = np.cumsum(ids)
+        token, node, n, hot, weight, passed = [], [], [], [], [], []
+        for told, blob in zip(pdf["told"], pdf["blob"]):
+            got = unpack(blob)
+            if told:
+                passed.append((int(pdf["part"].iloc[0]), blob))
+                continue
+            t, d, ids, sizes, h, w = got
             token.append(np.cumsum(t))
             node.append(ids[d])
             n.append(sizes[d])
-        token, node, n = map(np.concatenate, (token, node, n))
-        order = np.argsort(token, kind="stable")
-        token, node, n = token[order], node[order], n[order]
-        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        df = np.repeat(np.diff(np.r_[starts, len(token)]), np.diff(np.r_[starts, len(token)]))
-        keep = df > 1
-        token, node, n, df = token[keep], node[keep], n[keep], df[keep]
-        bucket = (mix64(node, 7) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((token, node, bucket))
-        token, node, n, df, bucket = (x[order] for x in (token, node, n, df, bucket))
-        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
-        rows = [(int(bucket[lo]), pack(token[lo:hi], np.diff(node[lo:hi], prepend=0), n[lo:hi], df[lo:hi])) for lo, hi in zip(cuts, [*cuts[1:], len(bucket)])]
+            hot.append(np.cumsum(h))
+            weight.append(w)
+        rows = passed
+        if token:
+            token, node, n, hot, weight = map(np.concatenate, (token, node, n, hot, weight))
+            order = np.argsort(token, kind="stable")
+            token, node, n = token[order], node[order], n[order]
+            starts, times = _runs(token)
+            known, at = np.unique(hot, return_inverse=True)
+            more = np.append(np.bincount(at, weights=weight, minlength=len(known)), 0).astype(np.int64)
+            spot = np.searchsorted(known, token[starts])
+            spot[(spot < len(known)) & (np.append(known, -1)[spot] != token[starts])] = len(known)
+            df = np.repeat(np.minimum(times + more[spot], HOT), times)
+            keep = df > 1
+            rows = rows + _to_nodes(token[keep], node[keep], n[keep], df[keep], parts)
         return pd.DataFrame(rows, columns=["part", "blob"])
 
     return run
@@ -198,11 +241,13 @@ def linked(n: np.ndarray, full: list, orders: list[list], block: np.ndarray, per
 
 
 def _verify(percent: int):
+    """From rows of one cell together: a spanning forest of the links between its nodes."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in runs(batches, "cell"):
             read = lambda name: [np.frombuffer(x, np.int64) for x in pdf[name]]
-            node, n, block = (pdf[c].to_numpy() for c in ("node", "n", "block"))
-            ok = linked(n, read("tokens"), [read("first"), read("second"), read("third")], block, percent)
+            node, n, side = (pdf[c].to_numpy() for c in ("node", "n", "side"))
+            ok = linked(n, read("tokens"), [read("first"), read("second"), read("third")], side, percent)
             if not ok.any():
                 continue
             label = node.copy()
@@ -217,11 +262,49 @@ def _verify(percent: int):
     return run
 
 
+def _compared(near: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
+    """dealt(node, cell, side) -> links (a, b) between nodes of one cell and different sides (of any, if a cell has one side)."""
+    rows = near.select("node", "n", "tokens", "first", "second", "third").join(dealt, "node")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInPandas(_verify(percent), "a long, b long")
+
+
+def _unfinished(cluster: DataFrame) -> DataFrame:
+    """Large clusters of more than one piece, with their sizes."""
+    return cluster.groupBy("component").agg(F.count("*").alias("m"), F.min("piece").alias("p1"), F.max("piece").alias("p2")).where((F.col("m") >= LARGE) & (F.col("p1") < F.col("p2"))).select("component", "m")
+
+
+def _pivots(near: DataFrame, cluster: DataFrame, percent: int) -> DataFrame:
+    """cluster(node, component, piece) -> links between all nodes of each cluster and its pivots, a node of each of its largest pieces."""
+    sizes = settle(_unfinished(cluster))
+    pieces = cluster.join(sizes.select("component"), "component", "left_semi").groupBy("component", "piece").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    best = pieces.withColumn("r", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("c"), F.xxhash64("piece"), "piece"))).where(F.col("r") <= BLOCK)
+    number = F.ceil(F.col("m") / (4 * BLOCK)).cast("long")
+    cell = lambda k: F.concat_ws("/", F.col("component"), k)
+    members = cluster.join(sizes, "component").select("node", cell(F.pmod(F.xxhash64("node"), number)).alias("cell"), F.lit(1).alias("side"))
+    pivots = best.join(sizes, "component").select("node", F.explode(F.sequence(F.lit(0).cast("long"), number - 1)).alias("k"), "component").select("node", cell(F.col("k")).alias("cell"), F.lit(0).alias("side"))
+    return settle(_compared(near, settle(members.unionByName(pivots)), percent))
+
+
+def _dealt(cluster: DataFrame) -> DataFrame:
+    """cluster(node, component, piece) -> (node, cell, side): all pairs of blocks of a cluster but those within one large piece."""
+    piece = cluster.groupBy("component", "piece").agg(F.count("*").alias("c"))
+    piece = settle(piece.withColumn("pk", F.when(F.col("c") >= BLOCK, F.col("piece")).otherwise(F.lit(-1))))
+    blocks = piece.groupBy("component", "pk").agg(F.ceil(F.sum("c") / BLOCK).cast("long").alias("nb"))
+    every = settle(blocks.groupBy("component").agg(F.collect_list(F.struct("pk", "nb")).alias("all")))
+    own = F.struct(F.col("pk").alias("pk"), F.pmod(F.xxhash64("node"), F.element_at(F.filter("all", lambda x: x["pk"] == F.col("pk")), 1)["nb"]).alias("k"))
+    rows = cluster.join(piece.select("component", "piece", "pk"), ["component", "piece"]).join(every, "component").withColumn("own", own)
+    others = F.filter("all", lambda x: (x["pk"] != F.col("pk")) | (F.col("pk") == -1))
+    spelt = F.flatten(F.transform(others, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["nb"] - 1), lambda j: F.struct(x["pk"].alias("pk"), j.alias("k")))))
+    rows = rows.select("node", "component", "own", F.explode(spelt).alias("other"))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    return rows.select("node", F.concat_ws("/", "component", lo["pk"], lo["k"], hi["pk"], hi["k"]).alias("cell"), (F.col("own") == lo).cast("int").alias("side"))
+
+
 def components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_shingles, component_id), a row for each row of docs.
 
     A null or wordless text has no shingles and links with nothing; its component is its own doc_id. Rows with a null
-    doc_id get a null component. Rows of one doc_id count as linked. Equal texts are linked. An empty
+    doc_id get a null component. Rows of one doc_id count as linked, whatever their texts. Equal texts are linked. An empty
     table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -229,20 +312,29 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     parts = max(1, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     each = settle(docs.mapInPandas(_digests(size), "doc_id long, key binary, n long"))
     some = each.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = settle(some.groupBy("key").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")))
-    texts = docs.join(nodes.where("n > 1").select(F.col("node").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    asked = texts.mapInPandas(_requests(size, parts), "part int, blob binary")
+    # a number for each set, written once with it
+    nodes = settle(some.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    wanted = nodes.where((F.col("n") > 1) | F.lit(percent <= 50)).select(F.col("least").alias("doc_id"), "key", "node")
+    asked = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "key", "text").mapInPandas(_requests(size, parts), "part int, told boolean, blob binary")
     told = asked.groupBy("part").applyInPandas(_answers(parts), "part int, blob binary")
     near = settle(told.groupBy("part").applyInPandas(_candidates(percent), "node long, n long, tokens binary, heads array<long>, first binary, second binary, third binary"))
     heads = settle(near.select("node", F.explode("heads").alias("token")))
     least = settle(heads.groupBy("token").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1"))
-    cluster = star_forest(heads.join(least, "token").select(F.col("node").alias("a"), F.col("low").alias("b")))
-    blocks = cluster.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
-    dealt = cluster.join(settle(blocks), "component").withColumn("block", F.when(F.col("nb") > 1, F.pmod(F.xxhash64("node"), "nb")).otherwise(F.lit(0)))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
-    rows = near.join(settle(dealt), "node")
-    cells = rows.select("node", "n", "tokens", "first", "second", "third", "block", F.explode(pairs).alias("cell"), "component").withColumn("cell", F.xxhash64("component", "cell"))
-    links = cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(_verify(percent), "a long, b long")
-    found = star_forest(links)
-    final = settle(nodes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component")))
-    return each.join(final, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    cluster = settle(star_forest(heads.join(least, "token").select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumn("piece", F.col("node")))
+    # rows of one doc_id
+    many = settle(some.groupBy("doc_id").agg(F.min("key").alias("k1"), F.max("key").alias("k2")).where("k1 <> k2").select("doc_id"))
+    same = some.join(many, "doc_id", "left_semi").join(nodes.select("key", "node"), "key").select("doc_id", "node")
+    links = settle(same.join(same.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
+    for _ in range(PIVOT_ROUNDS):
+        if _unfinished(cluster).isEmpty():
+            break
+        links = links.unionByName(_pivots(near, cluster, percent))
+        joined = star_forest(links).select("node", F.col("component").alias("to"))
+        cluster = settle(cluster.join(joined, "node", "left").select("node", "component", F.coalesce("to", "node").alias("piece")))
+    links = links.unionByName(_compared(near, settle(_dealt(cluster)), percent))
+    found = settle(star_forest(links))
+    named = found.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    final = settle(nodes.select("key", "node", "least").join(found.join(named, "component").select("node", "component_id"), "node", "left").select("key", F.coalesce("component_id", "least").alias("component_id")))
+    out = each.join(final, "key", "left")
+    own = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -1,5 +1,6 @@
 import random
 
+from studyloom.llm import jaccard_join
 from studyloom.llm.jaccard_join import components
 
 
@@ -61,3 +62,22 @@ def test_one_shingle_of_texts_of_different_lengths(spark):
     rows = [(11, "buy buy buy buy"), (12, "Buy buy\tbuy buy buy"), (13, "buy " * 500), (14, "buy buy buy"), (15, "sell sell sell sell"), (16, "buy buy buy buy now"), (17, "buy buy")]
     assert got(spark, rows) == brute(rows)
     assert {(i, c) for i, _, c in got(spark, rows)} >= {(11, 11), (12, 11), (13, 11), (14, 14), (16, 16)}
+
+
+def test_large_clusters_meet_pivots_first(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LARGE", 40)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    r = random.Random(8)
+    line = [f"w{r.randrange(100000)}" for _ in range(900)]
+    rows = [(k, " ".join(line[3 * k : 3 * k + 150])) for k in range(200)]  # each links with its neighbours only
+    base = [f"v{k}" for k in range(120)]
+    rows += [(1000 + k, " ".join([*base[:60], f"x{k}", *base[60:]])) for k in range(90)]  # all link with all
+    rows += [(2000 + k, " ".join([*base[:70], *(f"y{k}z{j}" for j in range(60))])) for k in range(30)]  # share much and link with none
+    assert got(spark, rows) == brute(rows)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (8, " ".join([*a[:-1], "z"])), (9, " ".join([*b[:-1], "z"])), (3, "c d e f g"), (7, " ".join(a))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(x) for x in components(df).collect()) == [(3, 2, 3), (7, 57, 7), (7, 57, 7), (7, 57, 7), (8, 57, 7), (9, 57, 7)]
