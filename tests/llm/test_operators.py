@@ -57,6 +57,49 @@ def test_quality_base_and_outliers(spark):
         assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_repeat_words) == (len(w), sum(map(len, w)), t.count("#"), len(cover))
 
 
+def test_quality_columns_may_clash(spark):
+    rows = [(k, "word " * 3 + " ".join(f"{k}x{j}" for j in range(60)), "en", "s", 1, "", 1) for k in range(5)]
+    docs = odd(spark, rows)
+    for name in ("k", "g", "x1", "m0", "l00", "start", "bin", "group", "distance", "failed"):
+        docs = docs.withColumn(name, docs.doc_id * 10)
+    out = quality_rules.keep_good(docs)
+    assert out.columns == docs.columns and sorted(r.m0 for r in out.collect()) == [0, 10, 20, 30, 40] and {r.x1 for r in out.collect()} == {0, 10, 20, 30, 40}
+
+
+def test_quality_estimate_matches_plain_concentration(spark):
+    r = np.random.default_rng(3)
+    mix = r.standard_normal((5, 5))
+    x = np.concatenate([r.standard_normal((160, 5)) @ mix, r.standard_normal((30, 5)) * 0.3 + 25])
+    frame = spark.createDataFrame([("a", *map(float, v)) for v in x], "g string, x1 double, x2 double, x3 double, x4 double, x5 double").repartition(3)
+    got = quality_rules.concentrate(frame).first()
+    floors = np.diag(np.square(quality_rules.FLOORS))
+    best = None
+    for start in range(2):
+        q = np.percentile(x, [25, 50, 75], axis=0, method="inverted_cdf")
+        m, v = (x.mean(0), np.cov(x.T, bias=True)) if start == 0 else (q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2))
+        for _ in range(quality_rules.STEPS):
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(v + floors), x - m)
+            bins = np.floor(quality_rules.BINS_PER_DOUBLING * np.log2(d + 1e-3))
+            keep = np.array([(bins < b).sum() < quality_rules.KEEP_SHARE * len(x) for b in bins])
+            m, v = x[keep].mean(0), quality_rules.CONSISTENCY * np.cov(x[keep].T, bias=True)
+        det = np.linalg.slogdet(v + floors)[1]
+        if best is None or det < best[0] - 1e-9:
+            best = det, m, v
+    assert np.allclose([got[c] for c in quality_rules.LOCATION], best[1], atol=1e-6) and got["size"] == 190
+    assert np.allclose([got[f"v{i}{j}"] for i, j in quality_rules.PAIRS], [best[2][i, j] for i, j in quality_rules.PAIRS], atol=1e-6)
+    assert abs(best[1]).max() < 2  # the 30 outliers don't move it
+
+
+def test_quality_small_groups_lean_on_wider_ones(spark):
+    r = random.Random(2)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    text = lambda n: " ".join(word(r.randrange(3, 8)) for _ in range(n))
+    rows = [(k, text(r.randrange(60, 200)), "en", f"s{k % 40}", 1, "", 1) for k in range(160)]
+    rows += [(1000, " ".join(word(6) + "###|||" for _ in range(80)), "en", "s1", 1, "", 1), (1001, text(90), "xx", "only", 1, "", 1)]
+    kept = {x.doc_id: x.kept for x in quality_rules.quality_rules(odd(spark, rows)).collect()}
+    assert not kept[1000] and kept[1001] and sum(kept.values()) >= 159
+
+
 def test_tiling_finds_reordered_passages():
     r = np.random.default_rng(0)
     item = r.integers(1, 1 << 60, 40).astype(np.uint64)
