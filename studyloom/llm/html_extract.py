@@ -3,9 +3,10 @@
 A token is a container's path of tags (with its class), or such a path with the text of a block in it; its occurrence
 vector over the pages of a host says how often each page has it. Tokens of one host with equal vectors form a class, found by
 grouping on the host and an order-free digest of the vector, so no host's pages ever meet in one task. Large and frequent
-classes are the template: blocks that it covers go, whatever their tags and classes are called, and what fills the slots
-between them is the text. Names only choose among slots whose text varies from page to page: an article or main element of the template
-comes first, and containers called adverts, menus and so on go; they also serve pages that have no template.
+classes are valid; they nest as their paths do, and make the host's template. Its blocks go. Of its slots (containers that each page
+has once, and that hold text which isn't the template's) the main one is the deepest that holds most of the varying
+plain text of the host and leaves no varying heading beside it. That is decided by counts alone. Tag and class names serve pages
+without a template, and drop what is named as an advert, a comment and so on inside the slot.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from .common import settle
 
 MIN_PAGES = 2
 MIN_SHARE = 0.5
-#: Containers that hold no article text, by tag, and by a word of their class, id or role.
+#: Share of a host's varying plain text that its main slot holds at least.
+SLOT_SHARE = 0.6
+#: Containers that hold no article text: by tag, by a whole name among their class, id or role, and (only on pages without a template) by a part of such a name.
 DROPPED_TAGS = frozenset("head nav header footer aside form script style noscript template iframe button select option textarea svg canvas object menu dialog title".split())
-DROPPED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs "
-    "comment comments reply replies respond discussion disqus share sharing social related recommended footer header masthead popup modal newsletter subscribe subscription widget pagination pager toolbar login search".split()
-)
+DROPPED_NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments replies share sharing newsletter subscribe popup modal pagination footer".split())
+DROPPED_PARTS = DROPPED_NAMES | frozenset("adv advertising gdpr alert side aside reply respond discussion disqus social related recommended header masthead subscription widget pager toolbar login search".split())
+#: Containers that can be a slot.
+GROUPS = frozenset("html body main article section div td center details".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
@@ -40,18 +43,24 @@ NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 ENDS = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 
 
-def blocks(page: str) -> list[tuple[str, str, bool]]:
-    """(path of the container, text with white space collapsed, whether a dropped container holds it) in page order."""
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, str, bool]] = []
-    held: list[str] = []
+def parse(page: str) -> tuple[list[tuple[str, str, int, int, bool]], dict[str, int]]:
+    """(blocks in page order, how often each container's path occurs).
+
+    A block is (path of its container, text with white space collapsed, characters of it in links, depth of the outermost container
+    that a tag or whole name drops or 0, whether a tag or a part of a name drops it). Each text node is decoded on its own.
+    """
+    out: list[tuple[str, str, int, int, bool]] = []
+    opened: dict[str, int] = {}
+    stack: list[tuple[str, str, int, bool, bool]] = []
+    held: list[tuple[str, bool]] = []
 
     def flush() -> None:
         if held:
-            text = " ".join(html.unescape("".join(held)).split())
+            text = " ".join("".join(t for t, _ in held).split())
+            linked = sum(len("".join(t.split())) for t, link in held if link)
             held.clear()
             if text:
-                out.append((stack[-1][1] if stack else "", text, bool(stack) and stack[-1][2]))
+                out.append((stack[-1][1], text, linked, stack[-1][2], stack[-1][3]) if stack else ("", text, linked, 0, False))
 
     def pop(count: int) -> None:
         for _ in range(count):
@@ -59,10 +68,13 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
                 flush()
             stack.pop()
 
+    def say(text: str) -> None:
+        held.append((html.unescape(text) if "&" in text else text, bool(stack) and stack[-1][4]))
+
     at = 0
     for m in iter(lambda: MARKUP.search(page, at), None):
         if m.start() > at:
-            held.append(page[at : m.start()])
+            say(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -75,7 +87,7 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
                 flush()
             continue
         if tag in VOID:
-            held.append(" ")
+            say(" ")
             if tag == "hr":
                 flush()
             continue
@@ -88,21 +100,26 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
                 break
         if tag in BLOCKS or tag in DROPPED_TAGS:
             flush()
-        named = {n.lower(): a or b or c for n, a, b, c in NAMED.findall(m[3] or m[6] or "")}
-        words = set(re.split(r"[^a-z0-9]+", " ".join(named.values()).lower()))
-        up = stack[-1] if stack else ("", "", False)
-        dropped = up[2] or tag in DROPPED_TAGS or (tag not in ("html", "body", "article", "main") and not words.isdisjoint(DROPPED_WORDS))
-        inline = tag not in BLOCKS and tag not in DROPPED_TAGS
-        path = up[1] if inline else f"{up[1]}/{tag}" + (f".{named['class'].strip().split()[0]}" if named.get("class", "").strip() else "")
         if tag in RAW:
             end = ENDS[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.append((tag, path, dropped))
+        up = stack[-1] if stack else ("", "", 0, False, False)
+        if tag not in BLOCKS and tag not in DROPPED_TAGS:
+            stack.append((tag, up[1], up[2], up[3], up[4] or tag == "a"))
+            continue
+        named = {n.lower(): a or b or c for n, a, b, c in NAMED.findall(m[3] or m[6] or "")}
+        names = " ".join(named.values()).lower().split()
+        path = f"{up[1]}/{tag}" + (f".{named['class'].strip().split()[0]}" if named.get("class", "").strip() else "")
+        opened[path] = opened.get(path, 0) + 1
+        text_holder = tag in ("html", "body", "article", "main")
+        strict = tag in DROPPED_TAGS or (not text_holder and not DROPPED_NAMES.isdisjoint(names))
+        loose = strict or (not text_holder and any(not DROPPED_PARTS.isdisjoint(re.split(r"[^a-z0-9]+", n)) for n in names))
+        stack.append((tag, path, up[2] or (path.count("/") if strict else 0), up[3] or loose, up[4]))
     if at < len(page):
-        held.append(page[at:])
+        say(page[at:])
     flush()
-    return out
+    return out, opened
 
 
 def host(url: Column) -> Column:
@@ -110,8 +127,9 @@ def host(url: Column) -> Column:
 
 
 def _above(path: str) -> list[str]:
+    """The path's own containers, from the whole page ("") on."""
     parts = path.split("/")
-    return ["/".join(parts[:k]) for k in range(2, len(parts) + 1)]
+    return ["/".join(parts[:k]) for k in range(1, len(parts) + 1)]
 
 
 def block_key(path: str, text: str) -> int:
@@ -120,63 +138,95 @@ def block_key(path: str, text: str) -> int:
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(host, path, block, n, mark, chars): a page's tokens, how often it has each, and the plain text in them."""
     for pdf in batches:
         rows = []
         for where, page_hash, page in zip(pdf["host"], pdf["h"].tolist(), pdf["html"]):
-            times: dict[str, list[int]] = {}
-            said: dict[int, int] = {}
-            for path, text, dropped in blocks(page or ""):
-                key = block_key(path, text)
-                said[key] = said.get(key, 0) + 1
+            found, opened = parse(page or "")
+            chars: dict[str, int] = {}
+            said: dict[int, list] = {}
+            for path, text, linked, _, loose in found:
+                plain = 0 if loose else max(0, len(text) - linked)
+                mine = said.setdefault(block_key(path, text), [path, 0, 0])
+                mine[1] += 1
+                mine[2] += plain
                 for p in _above(path):
-                    seen = times.setdefault(p, [0, 0])
-                    seen[0] += p == path
-                    seen[1] += 0 if dropped else len(text)
-            rows += [(where, p, 0, max(n, 1), page_hash * max(n, 1) % (1 << 40), c) for p, (n, c) in times.items()]
-            rows += [(where, "", k, n, page_hash * n % (1 << 40), 0) for k, n in said.items()]
+                    chars[p] = chars.get(p, 0) + plain
+            opened[""] = 1
+            rows += [(where, p, 0, n, page_hash * n % (1 << 40), chars.get(p, 0)) for p, n in opened.items()]
+            rows += [(where, p, k, n, page_hash * n % (1 << 40), c) for k, (p, n, c) in said.items()]
         yield pd.DataFrame(rows, columns=["host", "path", "block", "n", "mark", "chars"])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, main, known): of each host with a template the path of its article or main element, if any, and the keys of its own blocks.
+def classes(pages: DataFrame) -> DataFrame:
+    """(host, path, block, pages, total, vector, chars): the tokens of valid classes, which have one vector each.
 
-    Valid classes have two tokens or more, on MIN_SHARE of the host's pages, and MIN_PAGES at least. A page has few of their
-    tokens that others lack, so known is of the order of one page's blocks, however many pages the host has.
+    A class is valid with two tokens or more, on MIN_SHARE of the host's pages and MIN_PAGES at least. A page has few of their tokens that others
+    lack, so a host's are of the order of one page's, however many pages it has.
     """
     keyed = pages.select(host(F.col("url")).alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40)).alias("h"), "html")
     tokens = keyed.mapInPandas(_tokens, "host string, path string, block long, n long, mark long, chars long")
     vectors = tokens.groupBy("host", "path", "block").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.sum("mark").alias("vector"), F.sum("chars").alias("chars"))
     vectors = settle(vectors.where((F.col("block") == 0) | (F.col("pages") >= MIN_PAGES)))
-    size = settle(vectors.groupBy("host").agg(F.max("pages").alias("most")))
-    classes = settle(vectors.groupBy("host", "pages", "total", "vector").agg(F.count("*").alias("members")))
-    valid = vectors.join(classes, ["host", "pages", "total", "vector"]).join(size, "host")
-    valid = valid.where((F.col("members") > 1) & (F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("most")))
+    most = settle(vectors.where("path = '' AND block = 0").select("host", F.col("pages").alias("most")))
+    members = settle(vectors.groupBy("host", "pages", "total", "vector").agg(F.count("*").alias("members")).where("members > 1"))
+    valid = vectors.join(members, ["host", "pages", "total", "vector"]).join(most, "host")
+    return settle(valid.where((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("most"))).drop("members", "most"))
+
+
+def nested(valid: DataFrame) -> DataFrame:
+    """classes() as the template: with the vector of the class around each token, that of the nearest container above it in the template (null: the page)."""
+    holder = valid.where("block = 0").select("host", F.col("path").alias("up"), F.col("vector").alias("v"))
+    tokens = valid.withColumn("place", F.struct("path", "block"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    ups = tokens.select("host", "place", "vector", F.explode(above).alias("up"), "path", "block").where("up <> path OR block <> 0")
+    around = ups.join(holder, ["host", "up"]).where(F.col("v") != F.col("vector")).groupBy("host", "place").agg(F.max_by("v", F.length("up")).alias("parent"))
+    return tokens.join(around, ["host", "place"], "left").drop("place")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, main, known): of each host with a template the path of its main slot, if any, and the keys of its own blocks."""
+    valid = classes(pages)
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    own = settle(valid.where("block <> 0").select("host", F.explode(above).alias("path"), "chars").groupBy("host", "path").agg(F.sum("chars").alias("own")))
+    # what varies under each container: its plain text without the template's own blocks
+    held = valid.where("block = 0").join(own, ["host", "path"], "left").withColumn("varying", F.col("chars") - F.coalesce("own", F.lit(0)))
     last = F.regexp_extract("path", "/([a-z0-9]+)[^/]*$", 1)
-    depth = F.size(F.split("path", "/"))
-    rank = F.when(last.isin(*MAIN_TAGS) & (F.col("chars") > 0), F.struct("chars", -depth, "path"))
-    return valid.groupBy("host").agg(F.max_by("path", rank).alias("main"), F.collect_set(F.when(F.col("block") != 0, F.col("block"))).alias("known"))
+    whole = F.max(F.when(F.col("path") == "", F.col("varying")))
+    heading = F.when(last.isin("h1", "h2") & (F.col("varying") > 0), F.regexp_replace("path", "/[^/]*$", ""))
+    slot = F.when((F.col("path") == "") | (last.isin(*GROUPS) & (F.col("total") == F.col("pages"))), F.struct("path", "varying"))
+    g = held.groupBy("host").agg(whole.alias("whole"), F.collect_set(heading).alias("heads"), F.collect_list(slot).alias("slots"))
+    fits = lambda s: (s["varying"] >= SLOT_SHARE * F.col("whole")) & ~F.exists("heads", lambda q: s["path"].startswith(F.concat(q, F.lit("/"))))
+    deepest = F.sort_array(F.transform(F.filter("slots", fits), lambda s: F.struct(F.length(s["path"]).alias("n"), s["path"].alias("path"))), asc=False)
+    main = g.select("host", F.when(F.col("whole") > 0, F.get(deepest, 0)["path"]).alias("main"))
+    known = valid.groupBy("host").agg(F.collect_set(F.when(F.col("block") != 0, F.col("block"))).alias("known"))
+    return known.join(main, "host", "left")
 
 
 def main_text(page: str, main: str | None, known: frozenset[int] = frozenset()) -> str:
-    """Blocks that aren't the template's own, inside the main slot; without one, inside the page's own article or main element, else all.
+    """Blocks in the main slot that aren't the template's own, without containers dropped inside it; by names where the page has no such slot.
 
-    Of them those in dropped containers go, unless nothing else is left and the template has no main slot. A page that is all template is read by the names only.
+    If the template's own blocks make up most of a slot, its page is a copy of others, and they stay.
     """
-    every = blocks(page)
-    rest = [b for b in every if block_key(b[0], b[1]) not in known] if known else every
-    if not rest:
-        known, rest = frozenset(), every
-    kept = [(path, text) for path, text, dropped in rest if not dropped]
-    if not kept and known and not main:
-        kept = [(path, text) for path, text, _ in rest]
-    inside = lambda path, top: path == top or path.startswith(top + "/")
-    if main and any(inside(p, main) for p, _ in kept):
-        return "\n".join(t for p, t in kept if inside(p, main))
+    every, _ = parse(page)
+    inside = [b for b in every if not main or b[0] == main or b[0].startswith(main + "/")]
+    size = lambda found: sum(len(b[1]) for b in found)
+    rest = [b for b in inside if block_key(b[0], b[1]) not in known]
+    if main is not None and 2 * size(rest) >= size(inside) > 0:
+        top = main.count("/")
+        return "\n".join(b[1] for b in rest if b[3] <= top) or "\n".join(b[1] for b in rest)
+    if main and inside and any(b[3] <= main.count("/") for b in inside):
+        return "\n".join(b[1] for b in inside if b[3] <= main.count("/"))
+    held = [b for b in every if block_key(b[0], b[1]) not in known]
+    held = held if 2 * size(held) >= size(every) else every
     for tag in MAIN_TAGS:
-        own = [t for p, t in kept if any(x == tag or x.startswith(tag + ".") for x in p.split("/"))]
-        if own:
-            return "\n".join(own)
-    return "\n".join(t for _, t in kept)
+        own = [(b, next((k for k, x in enumerate(b[0].split("/")) if x == tag or x.startswith(tag + ".")), 0)) for b in held]
+        mine = [b[1] for b, k in own if k and (b[3] == 0 or b[3] < k)]
+        if mine:
+            return "\n".join(mine)
+    return "\n".join(b[1] for b in held if not b[4])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -222,6 +222,10 @@ def test_html_layouts():
     page = '<html><body><nav><p>menu</nav><div class="main-ad">buy</div><article><h1>T &amp; u</h1><p>a <b>b<br>c</b><p>d&nbsp;e<aside>s</aside><div class="comments">no</div><script>var t="</p>";</script></article><footer>f'
     assert html_extract.main_text(page, None) == "T & u\na b c\nd e"
     assert html_extract.main_text("", None) == "" and html_extract.main_text("<p>x &am", None) == "x &am"
+    part = '<article><p>one</p><section class="related-work"><p>two</p></section><p class="notice-board">three</p><div class="side">four</div><div class="search">five</div><div class="header">six</div></article>'
+    assert html_extract.main_text(part, None) == "one\ntwo\nthree\nfour\nfive\nsix"
+    assert html_extract.main_text("<p>a &am<b>p; b</b>", None) == "a &amp; b"
+    assert html_extract.main_text('<p>x</p><div class="site-nav">y</div>', None) == "x"
 
 
 def test_mix_tree_is_exact():
@@ -292,3 +296,63 @@ def test_html_template_of_neutral_names(spark):
     want |= {50: "one text", 51: "one text", 52: "one text", 60: "only page"}
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     assert {x.page_id: x.text for x in html_extract.extract(pages).collect()} == want
+
+
+def plain_template(pages):
+    """(valid tokens, main slot) of one host's pages, by comparing the vectors themselves."""
+    parsed = [html_extract.parse(h) for h in pages]
+    vectors, chars = {}, Counter()
+    for k, (found, opened) in enumerate(parsed):
+        for p, n in [*opened.items(), ("", 1)]:
+            vectors.setdefault((p, None), [0] * len(pages))[k] = n
+        for path, text, linked, _, loose in found:
+            vectors.setdefault((path, text), [0] * len(pages))[k] += 1
+            for p in html_extract._above(path):
+                chars[p] += 0 if loose else len(text) - linked
+    alike = Counter(map(tuple, vectors.values()))
+    valid = {t for t, v in vectors.items() if alike[tuple(v)] > 1 and sum(x > 0 for x in v) >= max(2, len(pages) / 2)}
+    for found, _ in parsed:
+        for path, text, linked, _, loose in found:
+            if (path, text) in valid:
+                for p in html_extract._above(path):
+                    chars[p] -= 0 if loose else len(text) - linked
+    heads = [p.rsplit("/", 1)[0] for p, t in valid if t is None and re.search(r"/h[12](\\.[^/]*)?$", p) and chars[p] > 0]
+    fit = [p for p, t in valid if t is None and chars[p] >= 0.6 * chars[""] and (not p or (re.match(r"[a-z0-9]+", p.rsplit("/", 1)[1])[0] in html_extract.GROUPS and sum(vectors[p, None]) == sum(x > 0 for x in vectors[p, None])))]
+    fit = [p for p in fit if not any(p.startswith(q + "/") for q in heads)]
+    return valid, max(fit, key=lambda p: (len(p), p))
+
+
+def neutral_site(r, n):
+    """Pages whose tags and classes say nothing: menu, notice, advert of its own on each page, article, remarks by readers."""
+    said = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    out = []
+    for k in range(n):
+        parts = [f"title {k} {said(3)}", said(60), said(r.randrange(20, 90))]
+        menu = "".join(f'<div class="c9"><a href="/{j}">{said(1)}</a></div>' for j in range(5))
+        notice = '<div class="c2">This site keeps crumbs</div>' if k % 4 else ""
+        body = f'<div class="c3"><h1>{parts[0]}</h1><div class="c5">{parts[1]}</div><div class="c6">{parts[2]}</div><div>Read our terms</div></div>'
+        out.append((f'<body><div class="c1"><div>Home</div>{menu}</div>{notice}<div class="c7">{said(6)}</div>{body}<div class="c8"><div>{said(8)}</div></div><div class="c4">All rights kept</div></body>', "\n".join(parts)))
+    return out
+
+
+def test_html_slots_without_any_telling_name(spark):
+    site = neutral_site(random.Random(11), 40)
+    pages = spark.createDataFrame([(k, "http://plain.example/" + str(k), h) for k, (h, _) in enumerate(site)], "page_id long, url string, html string").repartition(3)
+    valid, main = plain_template([h for h, _ in site])
+    assert main == "/body/div.c3"
+    got = html_extract.templates(pages).first()
+    assert got.main == main and set(got.known) == {html_extract.block_key(p, t) for p, t in valid if t is not None}
+    tokens = html_extract.nested(html_extract.classes(pages)).collect()
+    assert {(t.path, t.block) for t in tokens} == {(p, 0 if t is None else html_extract.block_key(p, t)) for p, t in valid}
+    of = {(t.path, t.block): t for t in tokens}
+    assert of["/body/div.c2", 0].parent == of["/body", 0].vector and of["/body", 0].parent is None
+    assert {x.page_id: x.text for x in html_extract.extract(pages).collect()} == {k: t for k, (_, t) in enumerate(site)}
+    assert all(html_extract.main_text(h, None) != t for h, t in site)
+
+
+def test_html_copies_keep_their_text(spark):
+    site = neutral_site(random.Random(12), 9)
+    rows = [(k, "http://c.example/", site[min(k, 3)][0]) for k in range(9)]  # most pages are copies of one
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html_extract.extract(pages).collect()}
+    assert all(site[min(k, 3)][1].split("\n")[j] in got[k] for k in range(9) for j in range(3))
