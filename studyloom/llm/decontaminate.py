@@ -65,28 +65,43 @@ def _free(marked: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(sums[length:] == sums[:-length]) if len(marked) >= length else np.empty(0, np.int64)
 
 
+def _matches(item: np.ndarray, text: np.ndarray, in_item: np.ndarray, in_text: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """(length, place in item, place in text) of the common runs of free tokens that can't be made longer on their left, from length on.
+
+    Windows of equal Karp-Rabin hash are compared token by token. A run is looked at from its first window only, so text that
+    repeats a token over and over brings no more runs than it has places.
+    """
+    free, mine = _free(in_text, length), _free(in_item, length)
+    if not len(free) or not len(mine):
+        return []
+    wanted, hashes = rolling(item, length), rolling(text, length)[free]
+    hit = np.isin(hashes, wanted[mine])
+    free, hashes = free[hit], hashes[hit]
+    order = np.argsort(hashes, kind="stable")
+    free, hashes = free[order], hashes[order]
+    lo, hi = np.searchsorted(hashes, wanted[mine]), np.searchsorted(hashes, wanted[mine], "right")
+    found = []
+    for i, a, b in zip(mine.tolist(), lo.tolist(), hi.tolist()):
+        j = free[a:b]
+        if i and not in_item[i - 1] and len(j):
+            before = np.maximum(j - 1, 0)
+            j = j[(j == 0) | in_text[before] | (text[before] != item[i - 1])]
+        for at in j.tolist():
+            if not (item[i : i + length] == text[at : at + length]).all():
+                continue
+            room = min(len(item) - i, len(text) - at)
+            ends = (item[i : i + room] != text[at : at + room]) | in_item[i : i + room] | in_text[at : at + room]
+            found.append((int(ends.argmax()) if ends.any() else room, i, at))
+    return found
+
+
 def tiles(item: np.ndarray, text: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in item, start in text, length), no token in two tiles."""
     in_item, in_text = np.zeros(len(item), bool), np.zeros(len(text), bool)
     found: list[tuple[int, int, int]] = []
     length = max(least, min(FIRST_LENGTH, len(item)))
     while True:
-        places: dict[int, list[int]] = {}
-        hashes = rolling(text, length)
-        free = _free(in_text, length)
-        wanted = rolling(item, length)
-        free = free[np.isin(hashes[free], wanted)] if len(free) else free
-        for j in free.tolist():
-            places.setdefault(int(hashes[j]), []).append(j)
-        matches = []
-        for i in _free(in_item, length).tolist() if places else []:
-            for j in places.get(int(wanted[i]), ()):
-                if not (item[i : i + length] == text[j : j + length]).all():
-                    continue
-                k = length
-                while i + k < len(item) and j + k < len(text) and item[i + k] == text[j + k] and not in_item[i + k] and not in_text[j + k]:
-                    k += 1
-                matches.append((k, i, j))
+        matches = _matches(item, text, in_item, in_text, length)
         longest = max(matches, default=(0,))[0]
         if longest > 2 * length:
             length = longest
@@ -95,14 +110,11 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = MIN_TILE) -> list[tup
             if not in_item[i : i + k].any() and not in_text[j : j + k].any():
                 in_item[i : i + k] = in_text[j : j + k] = True
                 found.append((i, j, k))
-        if length <= least:
-            return found
-        length = max(least, length // 2) if not matches else length if _left(matches, in_item, in_text, length) else max(least, length // 2)
-
-
-def _left(matches, in_item, in_text, length: int) -> bool:
-    """Whether a partly covered match still has a free part of this length, to be found by another scan."""
-    return any(_free(in_item[i : i + k] | in_text[j : j + k], length).size for k, i, j in matches)
+        # a run that another tile has cut may have a free part of this length left, so the same length is searched until it gives nothing
+        if not matches:
+            if length <= least:
+                return found
+            length = max(least, length // 2)
 
 
 class Scanner:

@@ -28,18 +28,28 @@ SECRET_WORDS = "(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|cr
 CONTACT_WORDS = "(?i)(phone|tel\\b|tel[.:]|call|mobile|cell|fax|contact|ssn|social security|mail)"
 
 
+#: Spans are gathered in arrays of this many, and these in one array, so that a text with very many spans isn't copied for each.
+GATHERED = 256
+
+
 def _found(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of the leftmost matches of pattern, in code points."""
+    some = "array<struct<start:int,end:int,value:string>>"
 
     def fold(pieces: Column) -> Column:
-        empty = F.struct(F.length(F.get(pieces, 0)).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans"))
+        empty = F.struct(F.length(F.get(pieces, 0)).alias("at"), F.array().cast(some).alias("last"), F.array().cast(f"array<{some}>").alias("full"))
 
         def step(acc: Column, piece: Column) -> Column:
             value = F.substring_index(piece, "\x02", 1)
-            span = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(value)).alias("end"), value.alias("value"))
-            return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+            span = F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(value)).alias("end"), value.alias("value")))
+            fits = F.size(acc["last"]) < GATHERED
+            return F.struct(
+                (acc["at"] + F.length(piece) - 1).alias("at"), F.when(fits, F.concat(acc["last"], span)).otherwise(span).alias("last"),
+                F.when(fits, acc["full"]).otherwise(F.concat(acc["full"], F.array(acc["last"]))).alias("full"),
+            )
 
-        return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), empty, step)["spans"]
+        done = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), empty, step)
+        return let(done, lambda d: F.flatten(F.concat(d["full"], F.array(d["last"]))))
 
     return let(F.split(F.regexp_replace(text, pattern, "\x01$0\x02"), "\x01"), fold)
 
@@ -139,6 +149,10 @@ def _training(spark: SparkSession) -> DataFrame:
         (0, pick("in ", "years ", "pages "), F.concat(cut(1, 4), F.lit("-"), cut(5, 4))),
         (0, pick("total ", "sum ", "version "), F.concat(cut(1, 3), F.lit("."), cut(4, 3), F.lit("."), cut(7, 3))),
         (0, pick("on ", "since "), F.concat(cut(1, 4), F.lit("-"), cut(5, 2), F.lit("-"), cut(7, 2))),
+        # the words that tell of a secret or a contact also stand before harmless spans
+        (0, pick("token ", "authors: ", "password reset ", "secret garden "), F.concat(word(5), F.lit("-"), word(6), F.lit("-"), word(4), cut(1, 2))),
+        (0, pick("call ", "fax ", "phone book ", "contact "), F.concat(cut(1, 4), F.lit("-"), cut(5, 4))),
+        (0, pick("mail ", "contact "), F.concat(word(4), pick(" (at) ", " [at] "), cut(1, 2), F.lit("."), cut(3, 2))),
     ]
     t = F.pmod(i, F.lit(len(rows)))
     choose = lambda k: reduce(lambda e, r: e.when(t == r[0], r[1][k] if isinstance(r[1][k], Column) else F.lit(r[1][k])), enumerate(rows[1:], 1), F.when(t == 0, rows[0][k] if isinstance(rows[0][k], Column) else F.lit(rows[0][k])))
@@ -177,8 +191,40 @@ class Trees:
         return 1.0 / (1.0 + F.exp(-2.0 * raw))
 
     def chosen(self, spans: Column) -> Column:
+        """Spans whose score reaches their kind's limit; of those that overlap in order of their starts the one with the higher score (the first of equal ones)."""
         limit = lambda s: reduce(lambda e, k: e.when(s["kind"] == k, self.limits[k]), self.limits, F.when(F.lit(False), 1.0)).otherwise(2.0)
-        return F.filter(spans, lambda s: self.score(lambda n: s["f"][n]) >= limit(s))
+        scored = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), self.score(lambda n: s["f"][n]).alias("p"), limit(s).alias("limit")))
+        good = F.array_sort(F.transform(F.filter(scored, lambda s: s["p"] >= s["limit"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["p"].alias("p"))))
+        some = "array<struct<start:int,end:int,kind:string,p:double>>"
+
+        def step(acc: Column, s: Column) -> Column:
+            last = F.element_at(acc["last"], -1)
+            clash = (F.size(acc["last"]) > 0) & (s["start"] < last["end"])
+            fits = F.size(acc["last"]) < GATHERED
+            better = F.concat(F.slice(acc["last"], 1, F.size(acc["last"]) - 1), F.array(s))
+            return F.struct(
+                F.when(clash, F.when(s["p"] > last["p"], better).otherwise(acc["last"])).when(fits, F.concat(acc["last"], F.array(s))).otherwise(F.array(s)).alias("last"),
+                F.when(clash | fits, acc["full"]).otherwise(F.concat(acc["full"], F.array(acc["last"]))).alias("full"),
+            )
+
+        # element_at of an empty array is never looked at, but it must not fail
+        def kept(g: Column) -> Column:
+            done = F.aggregate(F.slice(g, 2, F.greatest(F.size(g) - 1, F.lit(0))), F.struct(F.slice(g, 1, 1).cast(some).alias("last"), F.array().cast(f"array<{some}>").alias("full")), step)
+            return F.when(F.size(g) > 0, let(done, lambda d: F.flatten(F.concat(d["full"], F.array(d["last"]))))).otherwise(F.array().cast(some))
+
+        return let(good, kept)
+
+
+_TREES: dict[str, Trees] = {}
+
+
+def trees_of(spark: SparkSession) -> Trees:
+    """The trees of this application; they are trained once."""
+    key = spark.sparkContext.applicationId
+    if key not in _TREES:
+        _TREES.clear()
+        _TREES[key] = Trees(spark)
+    return _TREES[key]
 
 
 def _all_spans(text: Column, trees: Trees) -> Column:
@@ -200,22 +246,22 @@ def _listed(kind, spans: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> a row for each: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """docs(doc_id, text) -> a row for each: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans.
 
     Null text: empty, without spans. Rows may repeat; an empty table gives an empty result; other columns are ignored.
     """
-    trees = Trees(docs.sparkSession)
+    trees = trees_of(docs.sparkSession)
     s = F.col("s")
     found = docs.select("doc_id", _all_spans(F.col("text"), trees).alias("s"))
     base = F.array_join(F.concat(*[_listed(k, s[k]) for k in BASE]), ",")
     added = F.array_sort(F.transform(s["added"], lambda x: F.struct(F.array_position(F.array(*map(F.lit, ADDED)), x["kind"]).alias("o"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     every = F.array_join(F.concat(*[_listed(k, s[k]) for k in BASE], _listed(None, added)), ",")
-    return found.select("doc_id", *[F.size(s[k]).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+    return found.select("doc_id", *[F.size(s[k]).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(base, 256).alias("base_sha256"), every.alias("spans"), sum((F.size(s[k]) for k in BASE), F.size(s["added"])).cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in angle brackets (overlapping spans by one mark); n_chars follows, if there is one."""
-    trees = Trees(docs.sparkSession)
+    trees = trees_of(docs.sparkSession)
 
     def rewritten(both: Column) -> Column:
         text, s = both["text"], both["s"]

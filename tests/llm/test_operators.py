@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -8,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from studyloom.llm import chat_format, compression, decontaminate, html_extract, lm_score, mixing, pii, quality_rules, warc
+from studyloom.llm import chat_format, common, compression, decontaminate, html_extract, lm_score, mixing, pii, quality_rules, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, size int"
 
@@ -111,6 +112,91 @@ def test_tiling_finds_reordered_passages():
     assert w[3] == decontaminate.rolling(item[3:8], 5)[0]
 
 
+def plain_tiles(item, text, least):
+    """Greedy tiling by its definition: again and again the longest common run of free tokens, the first in the item and then in the text."""
+    a, b, out = [True] * len(item), [True] * len(text), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(text)):
+                k = 0
+                while i + k < len(item) and j + k < len(text) and item[i + k] == text[j + k] and a[i + k] and b[j + k]:
+                    k += 1
+                best = max(best, (k, -i, -j))
+        k, i, j = best[0], -best[1], -best[2]
+        if k < least:
+            return out
+        out.append((i, j, k))
+        a[i : i + k], b[j : j + k] = [False] * k, [False] * k
+
+
+def test_tiles_match_their_definition():
+    r = random.Random(9)
+    for case in range(60):
+        item = [r.randrange(1, 4 if case % 2 else 40) for _ in range(r.randrange(1, 34))]
+        text = [r.randrange(1, 4 if case % 2 else 40) for _ in range(r.randrange(0, 30))]
+        for _ in range(3):
+            lo = r.randrange(len(item))
+            text[r.randrange(len(text) + 1) : 0] = item[lo : lo + r.randrange(1, 20)]
+        got = decontaminate.tiles(np.array(item, np.uint64), np.array(text, np.uint64), 3)
+        want = plain_tiles(item, text, 3)
+        # among equally long runs another one may be taken first, which can cost a tile of the least length
+        assert abs(sum(k for *_, k in got) - sum(k for *_, k in want)) <= 3
+        assert max((k for *_, k in got), default=0) == max((k for *_, k in want), default=0)
+        used_item, used_text = [], []
+        for i, j, k in got:
+            assert k >= 3 and item[i : i + k] == text[j : j + k]
+            used_item += range(i, i + k)
+            used_text += range(j, j + k)
+        assert len(set(used_item)) == len(used_item) and len(set(used_text)) == len(used_text)
+
+
+def test_leaks_match_brute_force(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    items = [(k, " ".join(word() for _ in range(r.randrange(4, 30)))) for k in range(8)] + [(90, "la " * 100)]
+    rows = [(0, "la " * 20000, "en", "s", 1, "", 1)]
+    for k in range(1, 50):
+        parts = [" ".join(word() for _ in range(30))]
+        w = items[k % 8][1].split()
+        if k % 3 == 0:
+            parts += [" ".join(w[len(w) // 2 :]), " ".join(word() for _ in range(9)), " ".join(w[: len(w) // 2])]
+        elif k % 3 == 1:
+            parts.append(" ".join(w[: r.randrange(1, len(w))]).upper())
+        rows.append((k, " . ".join(parts), "en", "s", 1, "", 1))
+    want = set()
+    for d, t, *_ in rows[1:]:
+        for i, x in items:
+            a, b = x.split(), decontaminate.TOKEN.findall(t.lower())
+            n = sum(k for *_, k in plain_tiles(a, b, 5))
+            if len(a) >= 5 and n >= 5 and n >= 0.5 * len(a):
+                want.add((d, i))
+    want.add((0, 90))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(odd(spark, rows), bench).collect()} == want
+
+
+def test_pii_many_spans_in_one_text(spark):
+    text = "a@b.cc 10.0.0.1 " * 1500
+    got = pii.find(odd(spark, [(1, text, "en", "s", 1, "", 1)])).first()
+    assert (got.n_email, got.n_ip) == (1500, 1500) and got.n_spans >= 3000
+    assert got.spans.split(",")[1499] == f"email:{16 * 1499}:{16 * 1499 + 6}"
+
+
+def test_pii_overlapping_candidates_leave_the_better_one(spark):
+    trees = pii.trees_of(spark)
+    spans = [("secret", 0, 20, 0.99), ("number", 10, 30, 0.995), ("secret", 30, 60, 0.99), ("secret", 61, 70, 0.99), ("number", 65, 90, 0.98)]
+    zero = ", ".join(f"'{n}', 0.0D" for n in pii.FEATURES)
+    rows = spark.createDataFrame([(spans,)], "s array<struct<kind:string,start:int,end:int,length:double>>")
+    full = rows.selectExpr(f"transform(s, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'f', named_struct({zero.replace(chr(39) + 'length' + chr(39) + ', 0.0D', chr(39) + 'length' + chr(39) + ', x.length')}))) AS s")
+    plain = pii.Trees.__new__(pii.Trees)
+    plain.limits = {"secret": 0.9, "number": 0.9}
+    plain.score = lambda feature: feature("length")
+    got = full.select(plain.chosen(full.s).alias("s")).first().s
+    assert [(x.kind, x.start) for x in got] == [("number", 10), ("secret", 30), ("secret", 61)]
+    assert set(trees.limits) == set(pii.ADDED)
+
+
 def test_pii_base_spans(spark):
     texts = ["a@b.c_d@e.f a..b@c..d x@y.z. é 1.2.3.4.5.6.7.8 999.1.1.1", "4111 1111 1111 1111 and 4111111111111112 +1 (212) 555-0100 +12", "9" * 3000 + " " + "1 2" * 3000, "😀 x.y@mail.example.com\x01\x02", 'token = "bc0a5302762f379690bc0a5302762f379690abcd" x']
     patterns = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
@@ -235,6 +321,40 @@ def test_mix_tree_is_exact():
     assert sizes.max() - sizes.min() <= 4
 
 
+def test_mix_deals_disjoint_blocks(spark):
+    r = random.Random(3)
+    rows = [(k, "w " * r.randrange(0, 700), "en", f"s{k % 4}", 1, "", 1) for k in range(400)]
+    placed, goal = mixing.streams(odd(spark, rows))
+    target = {x.source: round(x.target) for x in goal.collect()}
+    got = mixing.pieces(placed, goal, 9).collect()
+    assert {x.shard for x in got} == set(range(9))
+    assert Counter({s: sum(x.words for x in got if x.source == s) for s in target}) == Counter(target)
+    shard_of = {}
+    for x in got:
+        assert shard_of.setdefault((x.source, x.block), x.shard) == x.shard
+    quotas = mixing.split_tree({k: -(-t // mixing.BLOCK_WORDS) for k, t in enumerate(target[s] for s in sorted(target))}, 9)
+    assert Counter(shard_of.values()) == Counter({s: int(q) for s, q in quotas.groupby("shard").quota.sum().items()})
+    order = [(x.shard, x.position) for x in mixing.shuffled(mixing.pieces(placed, goal, 9)).collect() if x.shard == 4]
+    assert order == sorted(order) and len({p for _, p in order}) == sum(s == 4 for s in shard_of.values())
+
+
+def test_mix_unit_grows_with_very_large_mixes():
+    words = [10**16, 3 * 10**15, 7]
+    size = mixing.unit(words)
+    counts = {k: -(-w // size) for k, w in enumerate(words)}
+    assert mixing.MOST_BLOCKS // 2 <= sum(counts.values()) < mixing.MOST_BLOCKS and mixing.unit([10**6]) == mixing.BLOCK_WORDS
+    q = mixing.split_tree(counts, 5)
+    assert q.groupby("sid").quota.sum().to_dict() == counts
+
+
+def test_scratch_drops_what_was_settled_inside(spark):
+    with common.scratch(spark):
+        kept = common.settle(spark.range(5))
+        files = kept.inputFiles()
+        assert kept.count() == 5 and os.path.exists(files[0].removeprefix("file://"))
+    assert not os.path.exists(os.path.dirname(files[0].removeprefix("file://")))
+
+
 def test_compression_separates(spark):
     r = random.Random(2)
     good = lambda: " ".join(r.choice(["river", "stone", "quiet", "morning", "walks", "under"]) for _ in range(80))
