@@ -92,12 +92,12 @@ def structural_chunks(spark, sf_dir):
     return P.assembled(P.structural_chunks(b), b).select("doc_id", "chunk", "kind", F.array_join("kinds", ",").alias("kinds"), "page_start", "page_end", F.md5("content").alias("digest"))
 
 
-TOPICS = chunk_sql(650, 1000, "section", "regexp_matches(content, '(?i)^(the|und|la)\\b')", "kind IN ('TABLE', 'CODE', 'FORMULA') AND tokens >= 120")
+TOPICS = chunk_sql(650, 1000, "section", "regexp_matches(content, '(?i)^(the|und|la)(\\s|$)')", "kind IN ('TABLE', 'CODE', 'FORMULA') AND tokens >= 120")
 
 
 @query(f"WITH RECURSIVE {BLOCKS}, {TOPICS} SELECT doc_id, chunk, pos AS position FROM s")
 def topic_chunks(spark, sf_dir):
-    return P.strategy_chunks(_blocks(spark, sf_dir).withColumnRenamed("section", "root"), "TOPIC_AWARE", "(?i)^(the|und|la)\\b")
+    return P.strategy_chunks(_blocks(spark, sf_dir).withColumnRenamed("section", "root"), "TOPIC_AWARE", "(?i)^(the|und|la)(\\s|$)")
 
 
 @query("""WITH RECURSIVE p AS (SELECT source AS doc, doc_id AS page, greatest(1, (n_chars + 3) // 4) AS tokens, doc_id // 40 AS topic, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), s AS (SELECT doc, page, k, topic, 0::BIGINT AS chunk, tokens AS size FROM p WHERE k = 1
