@@ -77,21 +77,21 @@ def fold(text: Column) -> Column:
 def star_forest(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b) as (node, component), component the least node; nodes without edges are absent.
 
-    Alternating large-star and small-star rounds. Each round is written to the shared folder; no link or
-    component reaches the driver, only the count of nodes that don't yet hang directly on their root.
+    Alternating large-star and small-star rounds, each one plan that ends in the shared folder: its shuffles are few, and both
+    uses of a shuffled table share it. No link or component reaches the driver, only whether a node doesn't yet hang directly on its root.
     """
     cur = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = cur.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u > v")
         # a node also links to the least node of its own neighbourhood
-        large = settle(large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct())
-        low = settle(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).repartition("u")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         cur = settle(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         seen = cur.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(cur.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
-        if not seen.groupBy("x").agg(F.sum("down").alias("d"), F.max("up").alias("p")).where("d > 1 OR (d > 0 AND p > 0)").count():
+        if seen.groupBy("x").agg(F.sum("down").alias("d"), F.max("up").alias("p")).where("d > 1 OR (d > 0 AND p > 0)").isEmpty():
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

@@ -37,7 +37,7 @@ HOT = 16
 BLOCK = 64
 #: Nodes from which a cluster meets pivots first, and how many times.
 LARGE = 256
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 CHUNK_SHINGLES = 1_000_000
 
 
