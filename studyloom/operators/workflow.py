@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -22,10 +21,13 @@ MEMORY_TYPES = ["FACT", "GOAL", "PREFERENCE", "PROGRESS"]
 RETRYABLE = ["429", "500", "502", "503", "504", "timeout", "timed out", "temporarily", "connection reset", "overloaded", "rate limit"]
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matching characters over all characters, by longest matching blocks (Ratcliff and Obershelp)."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Twice the matching characters over all characters, by longest matching blocks (Ratcliff and Obershelp); a null is empty."""
+
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+
+    return F.pandas_udf(ratios, "double")(a, b)
 
 
 def accepted_candidates(candidates: DataFrame, keys: list[str], most: int, least: float = 0.5, alike: float = 0.86) -> DataFrame:
@@ -34,24 +36,19 @@ def accepted_candidates(candidates: DataFrame, keys: list[str], most: int, least
     Each group is one fold whose state are the texts taken, most at a time.
     """
 
-    def run(key: tuple, groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[str] = []
-        for pdf in groups:
-            rows = []
-            for position, text in zip(pdf["position"].tolist(), pdf["text"]):
-                plain = " ".join((text or "").lower().split())
-                if len(kept) < most and not any(SequenceMatcher(None, plain, k).ratio() >= alike for k in kept):
-                    kept.append(plain)
-                    rows.append((*key, position))
-            yield pd.DataFrame(rows, columns=[*keys, "position"])
-
-    good = candidates.where((F.col("confidence") >= least) & (F.size("sources") > 0)).select(*keys, "position", "text")
-
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = tuple(pdf[k].iloc[0] for k in keys)
-        return next(run(key, iter([pdf.sort_values("position")])))
+        kept: list[str] = []
+        places = []
+        for row, text in enumerate(pdf.sort_values("position")["text"]):
+            plain = " ".join((text or "").lower().split())
+            if len(kept) < most and not any(SequenceMatcher(None, plain, k).ratio() >= alike for k in kept):
+                kept.append(plain)
+                places.append(row)
+        return pdf.sort_values("position").iloc[places][[*keys, "position"]]
 
-    return good.groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {dict(good.dtypes)[k]}" for k in keys) + ", position long")
+    good = candidates.where((F.col("confidence") >= least) & (F.size("sources") > 0)).select(*keys, F.col("position").cast("long").alias("position"), "text")
+    kinds = dict(good.dtypes)
+    return good.groupBy(*keys).applyInPandas(one, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", position long")
 
 
 def repaired(text: str | None) -> str | None:
@@ -92,9 +89,8 @@ def repaired(text: str | None) -> str | None:
     return sound("".join(out) + ('"' if inside else "") + "".join(reversed(open_marks)))
 
 
-@F.pandas_udf("string")
-def repaired_json(text: pd.Series) -> pd.Series:
-    return text.map(repaired, na_action=None)
+def repaired_json(text: Column) -> Column:
+    return F.pandas_udf(lambda t: t.map(repaired), "string")(text)
 
 
 def mix_counts(total: Column, mix: dict[str, float] = DIFFICULTY_MIX) -> Column:
@@ -318,7 +314,7 @@ def moves_checked(nodes: DataFrame, moves: DataFrame, depth: int = 64) -> DataFr
     bad = at.where("at = node").select("node", "target")
     up = nodes.where("parent IS NOT NULL").select(F.col("node").alias("at"), F.col("parent").alias("__up"))
     for _ in range(depth):
-        at = at.where("at <> node").join(up, "at").select("node", "target", F.col("__up").alias("at")).localCheckpoint() if False else at.where("at <> node").join(up, "at").select("node", "target", F.col("__up").alias("at"))
+        at = at.where("at <> node").join(up, "at").select("node", "target", F.col("__up").alias("at"))
         if at.isEmpty():
             break
         bad = bad.unionByName(at.where("at = node").select("node", "target"))
@@ -360,10 +356,11 @@ def abbreviated(title: Column, most: int = 60, default: str = "New conversation"
 def edited_section(text: Column, heading: str, body: Column, expected: Column) -> Column:
     """A Markdown text with the part under a heading replaced, up to the next heading of its rank or above; unchanged if the text's digest isn't the expected one or there is no such heading."""
     rank = len(heading) - len(heading.lstrip("#"))
-    start = F.locate(heading + "\n", F.concat(F.lit("\n"), text, F.lit("\n")).substr(F.lit(2), F.length(text) + 1)) if False else F.locate("\n" + heading + "\n", F.concat(F.lit("\n"), text, F.lit("\n")))
-    rest = F.expr("1") if False else F.substring(F.concat(F.lit("\n"), text, F.lit("\n")), start + len(heading) + 2, F.length(text) + 2)
+    lined = F.concat(F.lit("\n"), text, F.lit("\n"))
+    start = F.locate("\n" + heading + "\n", lined)
+    rest = F.substring(lined, start + len(heading) + 2, F.length(lined))
     stop = F.regexp_instr(F.concat(F.lit("\n"), rest), F.lit(f"\n#{{1,{rank}}} "))
     tail = F.when(stop > 0, F.substring(rest, stop, F.length(rest))).otherwise("")
     head = F.substring(text, F.lit(1), F.greatest(start - 1, F.lit(0)))
-    made = F.rtrim(F.concat(head, F.lit(heading + "\n"), body, F.lit("\n"), tail))
-    return F.when((F.sha2(text, 256) == expected) & (start > 0), made).otherwise(text)
+    made = F.concat(head, F.lit(heading + "\n"), body, F.lit("\n"), tail)
+    return F.when((F.sha2(text, 256) == expected) & (start > 0), F.regexp_replace(made, "\n+$", "")).otherwise(text)

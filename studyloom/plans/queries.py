@@ -343,7 +343,7 @@ def latency_percentiles(spark, sf_dir):
 
 
 # The other modules add their queries to the same registry.
-from . import document_queries, memory_queries, page_queries, record_queries, study_queries  # noqa: E402, F401
+from . import document_queries, memory_queries, page_queries, record_queries, study_queries, workflow_queries  # noqa: E402, F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
