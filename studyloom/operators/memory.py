@@ -40,10 +40,17 @@ def evict(memories: DataFrame, keys: list[str], capacity: int) -> DataFrame:
     return memories.withColumn("__n", F.count("*").over(w)).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= F.col("__n") - capacity).drop("__n", "__r")
 
 
-def round_robin(tasks: DataFrame, slots: tuple[int, ...] = (0, 1, 0, 1, 0, 2, 1, 2)) -> DataFrame:
-    """tasks(task_id, priority 0-2, enqueued) -> position when each priority is served at its slots of a cycle of eight (all queues full)."""
+def round_robin(tasks: DataFrame, slots: tuple[int, ...] = (0, 1, 0, 1, 0, 2, 1, 2), bucket: str = "day") -> DataFrame:
+    """tasks(task_id, priority 0-2, enqueued) -> position when each priority is served at its slots of a cycle of eight (all queues full).
+
+    Tasks are ranked within buckets of time; the sums of the buckets before give the rest of the rank, so no task ranks a whole priority.
+    """
     places = F.create_map(*[x for p in range(3) for x in (F.lit(p), F.array(*[F.lit(k) for k, s in enumerate(slots) if s == p]))])
-    t = tasks.withColumn("r", F.row_number().over(Window.partitionBy("priority").orderBy("enqueued", "task_id")) - 1)
+    t = tasks.withColumn("__b", F.date_trunc(bucket, "enqueued"))
+    sizes = t.groupBy("priority", "__b").agg(F.count("*").alias("__c"))
+    sizes = sizes.withColumn("__before", F.sum("__c").over(Window.partitionBy("priority").orderBy("__b")) - F.col("__c")).select(F.col("priority").alias("__p"), F.col("__b").alias("__s"), "__before")
+    inside = F.row_number().over(Window.partitionBy("priority", "__b").orderBy("enqueued", "task_id")) - 1
+    t = t.withColumn("__i", inside).join(sizes, (F.col("priority") == F.col("__p")) & F.col("__b").eqNullSafe(F.col("__s"))).select("task_id", "priority", (F.col("__before") + F.col("__i")).alias("r"))
     mine = F.element_at(places, F.col("priority"))
     return t.select("task_id", "priority", (F.floor(F.col("r") / F.size(mine)) * len(slots) + F.get(mine, (F.col("r") % F.size(mine)).cast("int"))).cast("long").alias("position"))
 
@@ -110,5 +117,10 @@ def by_depth(rows: DataFrame, keys: list[str], page: str, order: list[Column], m
     return r.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("__d", page))).where(F.col("place") <= most).drop("__d")
 
 
+def advanced_marks(marks: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """marks and rows(keys, at, id) -> the marks after the rows: the later pair of time and id, so a mark never goes back."""
+    return marks.select(*keys, "at", "id").unionByName(rows.select(*keys, "at", "id")).groupBy(*keys).agg(F.max(F.struct("at", "id")).alias("m")).select(*keys, "m.*")
+
+
 def task_priority(kind: Column, interactive: list[str], background: list[str]) -> Column:
     return F.when(kind.isin(interactive), 0).when(kind.isin(background), 2).otherwise(1)

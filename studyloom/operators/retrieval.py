@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, cosine, exact_signal, half_up, jaccard, tokens, tokens_retrieval
+from ..functions.text import collapse, exact_signal, half_up, preview, tokens, tokens_retrieval
 
 #: How much a channel's rank counts, and the rank offset of reciprocal rank fusion.
 CHANNEL_WEIGHTS = {"vector": 1.0, "lexical": 1.0, "exact": 1.2}
@@ -22,6 +24,8 @@ SIGNALS = [
     ('["\u201c\u201d]([^"\u201c\u201d]{2,120})["\u201c\u201d]', 1), (r"\b\d+(?:\.\d+){1,4}\b", 0), (r"\b(?:[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+|[A-Za-z]{2,}\d+[A-Za-z0-9_]*)\b", 0),
     (r"\b[A-Za-z]+\[[^\]\n]{1,80}\](?:\^\d+)?", 0), (r"\b[OΘΩ]\([^\)\n]{1,80}\)", 0), (r"\\[A-Za-z]{2,}(?:\{[^\}\n]{1,80}\})?", 0),
 ]
+#: Words that don't count when a query's words are looked for in a candidate.
+RERANK_STOP_WORDS = "a an and are as at be by for from how in is it of on or that the to what when where which why with".split()
 #: Vectors of a query set that meet all rows at once; larger sets go in blocks.
 QUERY_BLOCK = 2000
 
@@ -31,40 +35,93 @@ def top(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str =
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
 
 
+def _query_blocks(queries: DataFrame, size: int) -> list[DataFrame]:
+    """A query set in blocks of about so many rows; each block meets all rows at once, so what a task gets is bounded."""
+    blocks = max(1, -(-queries.count() // size))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
 def vector_recall(queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFrame:
     """queries(query_id, query), vectors(id, vector) -> (query_id, id, score, rank): exact nearest neighbours by cosine.
 
-    The query set is sent to the vectors block by block, each of a checked number of rows; each block keeps its best k.
+    The query set goes to the vectors block by block as a matrix of unit rows; a task multiplies batches of vectors with it
+    and passes on its best k a query. Vectors of another length or without length score 0.
     """
-    total = queries.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
     out = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = vectors.crossJoin(F.broadcast(part)).select("query_id", "id", F.round(cosine(F.col("query"), F.col("vector")), 6).alias("score"))
-        best = top(scored, ["query_id"], [F.desc("score"), F.col("id")], k)
+    for part in _query_blocks(queries.where("query IS NOT NULL"), QUERY_BLOCK):
+        rows = part.select("query_id", "query").collect()  # at most about QUERY_BLOCK
+        if not rows:
+            continue
+
+        def score(batches, rows=rows):
+            ids = np.array([r.query_id for r in rows])
+            size = max(len(r.query) for r in rows)
+            fits = np.array([len(r.query) == size for r in rows])
+            q = np.array([r.query if len(r.query) == size else [0.0] * size for r in rows], float)
+            norm = np.linalg.norm(q, axis=1, keepdims=True)
+            q = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
+            best = None
+            for pdf in batches:
+                good = pdf["vector"].map(lambda v: v is not None and len(v) == size).to_numpy(bool)
+                v = np.zeros((len(pdf), size))
+                if good.any():
+                    v[good] = np.stack(pdf["vector"][good].to_numpy())
+                n = np.linalg.norm(v, axis=1, keepdims=True)
+                s = np.round(q @ np.divide(v, n, out=np.zeros_like(v), where=n > 0).T, 6)
+                s[~fits] = 0.0
+                key = pdf["id"].to_numpy()
+                s, key = (s, np.broadcast_to(key, s.shape)) if best is None else (np.hstack([best[0], s]), np.hstack([best[1], np.broadcast_to(key, s.shape)]))
+                order = np.lexsort((key, -s))[:, :k]
+                best = np.take_along_axis(s, order, 1), np.take_along_axis(key, order, 1)
+            if best is not None:
+                m = best[0].shape[1]
+                yield pd.DataFrame({"query_id": np.repeat(ids, m), "id": best[1].ravel(), "score": best[0].ravel() + 0.0})
+
+        kinds = dict(part.dtypes) | {"id": dict(vectors.dtypes)["id"]}
+        found = vectors.where("vector IS NOT NULL").select("id", "vector").mapInPandas(score, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+        best = top(found, ["query_id"], [F.desc("score"), F.col("id")], k)
         out = best if out is None else out.unionByName(best)
-    return out
+    return out if out is not None else top(queries.select("query_id", F.lit(None).cast(dict(vectors.dtypes)["id"]).alias("id"), F.lit(0.0).alias("score")).limit(0), ["query_id"], [F.col("id")], k)
+
+
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
 def lexical_recall(queries: DataFrame, texts: DataFrame, k: int = 30) -> DataFrame:
-    """queries(query_id, query), texts(id, text) -> rows sharing a term: x = share of query terms + share of text terms that are theirs; score x / (1 + x)."""
-    q = queries.select("query_id", F.array_distinct(F.filter(tokens(F.col("query")), lambda w: F.length(w) > 1)).alias("terms"))
-    q = q.select("query_id", F.size("terms").alias("wanted"), F.explode("terms").alias("term"))
-    t = texts.select("id", tokens(F.col("text")).alias("words"))
-    t = t.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("times"))
-    hits = t.join(q, "term").groupBy("query_id", "id", "wanted", "length").agg(F.count("*").alias("found"), F.sum("times").alias("times"))
-    x = F.col("found") / F.col("wanted") + F.col("times") / F.col("length")
-    return top(hits.select("query_id", "id", F.round(x / (1 + x), 6).alias("score")), ["query_id"], [F.desc("score"), F.col("id")], k)
+    """queries(query_id, query), texts(id, text) -> rows that have any of a query's terms.
+
+    A term counts 1 wherever it stands in a text and 0.4 more in the text's preview: as any term matches, each place is a
+    cover of its own, and covers add up. With x that sum and y = x / (1 + x), the score is y / (1 + y). Words that are no term of any
+    query are dropped where they are read, before anything is counted or shuffled.
+    """
+    q = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term"))
+    wanted = q.select("term").distinct()
+    t = texts.select("id", F.explode(words_of(F.col("text"))).alias("term"), F.lit(1).alias("a"), F.lit(0).alias("b"))
+    t = t.unionByName(texts.select("id", F.explode(words_of(preview(F.col("text")))).alias("term"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    t = t.join(wanted, "term", "left_semi").groupBy("id", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    hits = t.join(q, "term").groupBy("query_id", "id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    x = F.col("a") + 0.4 * F.col("b")
+    y = x / (1 + x)
+    return top(hits.select("query_id", "id", half_up(y / (1 + y), 6).alias("score")), ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
 def exact_recall(signals: DataFrame, texts: DataFrame, k: int = 15) -> DataFrame:
-    """signals(query_id, signal), texts(id, title, text): 2 points for a signal in the title, else 1.5 in the normalised text, else 1 in the text."""
+    """signals(query_id, signal), texts(id, title, text): 2 points for a signal in the title, else 1.5 in the normalised text.
+
+    Normalising keeps what is contained, so a signal in the text itself is in the normalised one too. Signals are normalised once, and
+    go to the texts in blocks of a bounded number, each text being normalised once for a block.
+    """
     n = signals.groupBy("query_id").agg(F.count("*").alias("n"))
-    pairs = texts.withColumn("__norm", exact_signal(F.col("text"))).join(F.broadcast(signals), F.col("title").contains(F.col("signal")) | F.col("__norm").contains(exact_signal(F.col("signal"))) | F.col("text").contains(F.col("signal")))
-    points = F.when(F.col("title").contains(F.col("signal")), 2.0).when(F.col("__norm").contains(exact_signal(F.col("signal"))), 1.5).otherwise(1.0)
-    hits = pairs.groupBy("query_id", "id").agg(F.sum(points).alias("points")).join(n, "query_id")
-    return top(hits.select("query_id", "id", F.round(F.least(F.lit(1.0), F.col("points") / (2 * F.col("n"))), 6).alias("score")), ["query_id"], [F.desc("score"), F.col("id")], k)
+    t = texts.select("id", "title", exact_signal(F.col("text")).alias("__norm"))
+    out = None
+    for part in _query_blocks(signals.select("query_id", "signal", exact_signal(F.col("signal")).alias("__s")), QUERY_BLOCK):
+        named = F.col("title").contains(F.col("signal"))
+        met = t.join(F.broadcast(part), named | F.col("__norm").contains(F.col("__s")))  # a block of the query set
+        hits = met.groupBy("query_id", "id").agg(F.sum(F.when(named, 2.0).otherwise(1.5)).alias("points"))
+        out = hits if out is None else out.unionByName(hits)
+    scored = out.join(n, "query_id").select("query_id", "id", F.round(F.least(F.lit(1.0), F.col("points") / (2 * F.col("n"))), 6).alias("score"))
+    return top(scored, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
 def fuse(candidates: DataFrame) -> DataFrame:
@@ -83,29 +140,39 @@ def quality_filter(candidates: DataFrame) -> DataFrame:
     return candidates.where((good[0] | good[1] | good[2]) & (F.length(text) >= LEAST_TEXT) & ~blank)
 
 
-def rerank(candidates: DataFrame) -> DataFrame:
-    """candidates(query_id, id, query, title, text, fused, channels): blends fused score and term coverage; keeps the first two and what either supports."""
-    q = F.array_distinct(F.filter(tokens(F.col("query")), lambda w: F.length(w) > 1))
-    share = lambda c: F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(F.col(c)))) / F.size(q)).otherwise(0.0)
-    out = candidates.withColumn("coverage", half_up(0.65 * share("title") + 0.35 * share("text"), 6))
+def rerank(candidates: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """candidates(query_id, id, fused, channels), queries(query_id, query), texts(id, title, text): blends fused score and term coverage; keeps the first two and what either supports.
+
+    Titles and texts are cut into words once each, only for texts that are candidates, however many queries name them.
+    """
+    telling = lambda c: F.array_distinct(F.filter(tokens(F.col(c)), lambda w: (F.length(w) > 1) & ~w.isin(RERANK_STOP_WORDS)))
+    q = queries.select("query_id", telling("query").alias("__q"))
+    named = texts.join(candidates.select("id").distinct(), "id", "left_semi").select("id", telling("title").alias("__t"), telling("text").alias("__x"))
+    share = lambda c: F.when(F.size("__q") > 0, F.size(F.array_intersect("__q", c)) / F.size("__q")).otherwise(0.0)
+    out = candidates.join(named, "id").join(q, "query_id").withColumn("coverage", half_up(0.65 * share("__t") + 0.35 * share("__x"), 6)).drop("__t", "__x", "__q")
     out = out.withColumn("combined", half_up(0.75 * F.col("fused") + 0.25 * F.col("coverage"), 6))
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("combined"), F.col("id"))))
     return out.where((F.col("rank") <= 2) | (F.col("channels") > 1) | (F.col("fused") >= 0.45) | (F.col("coverage") >= 0.2))
 
 
-def near_pairs(texts: DataFrame, group: str, least: float = 0.88) -> DataFrame:
-    """texts(group, position, text) -> pairs of one group whose token sets have at least this Jaccard similarity.
+def near_pairs(texts: DataFrame, group: str, least: int = 88) -> DataFrame:
+    """texts(group, position, text) -> pairs of one group whose token sets have a Jaccard similarity of least percent or more.
 
-    Sets of one size class meet only through a shared token of their rarest ones (prefix filter), so groups are never crossed.
+    Sets meet only through a shared token among their rarest ones (prefix filter by document frequency), so groups are never crossed; positions and
+    sizes ride through that join, and sets are fetched for the pairs that are left.
     """
-    t = texts.select(group, "position", F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("s")).where(F.size("s") > 0)
-    n = F.size("s")
-    prefix = F.slice("s", 1, (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
-    heads = t.withColumn("head", F.explode(prefix))
-    a, b = heads.select(group, "head", F.col("position").alias("a"), F.col("s").alias("sa")), heads.select(group, "head", F.col("position").alias("b"), F.col("s").alias("sb"))
-    close = (F.col("a") < F.col("b")) & (F.least(F.size("sa"), F.size("sb")) >= least * F.greatest(F.size("sa"), F.size("sb")) - 1e-9)
-    met = a.join(b, [group, "head"]).where(close).dropDuplicates([group, "a", "b"])
-    return met.withColumn("similarity", F.round(jaccard(F.col("sa"), F.col("sb")), 6)).where(F.col("similarity") >= least).select(group, "a", "b", "similarity")
+    t = texts.select(group, "position", F.array_distinct(tokens(F.col("text"))).alias("s")).where(F.size("s") > 0)
+    flat = t.select(group, "position", F.size("s").alias("n"), F.explode("s").alias("w"))
+    often = flat.groupBy("w").agg(F.count("*").alias("df"))
+    order = flat.join(often, "w").withColumn("r", F.row_number().over(Window.partitionBy(group, "position").orderBy("df", "w")))
+    heads = order.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least / 100) + 1)
+    side = lambda p, m: heads.select(group, "w", F.col("position").alias(p), F.col("n").alias(m))
+    close = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= least * F.greatest("na", "nb"))
+    met = side("a", "na").join(side("b", "nb"), [group, "w"]).where(close).select(group, "a", "b").distinct()
+    sets = lambda p: t.select(group, F.col("position").alias(p), F.col("s").alias(f"s{p}"))
+    pairs = met.join(sets("a"), [group, "a"]).join(sets("b"), [group, "b"])
+    both, every = F.size(F.array_intersect("sa", "sb")), F.size(F.array_union("sa", "sb"))
+    return pairs.where(100 * both >= least * every).select(group, "a", "b", F.round(both / every, 6).alias("similarity"))
 
 
 def grade(items: DataFrame) -> DataFrame:
@@ -214,3 +281,19 @@ def apply_scores(ranked: DataFrame, scores: DataFrame, keys: list[str], first: i
     j = ranked.join(scores, [*keys, "id"], "left").withColumn("model_score", F.when(F.col("rank") <= first, F.col("model_score")))
     w = Window.partitionBy(*keys).orderBy(F.when(F.col("rank") <= first, 0).otherwise(1), F.col("model_score").desc_nulls_last(), "rank")
     return j.withColumn("rank", F.row_number().over(w))
+
+
+def evidence_search(queries: DataFrame, vectors: DataFrame, owner: str, scope: list, k: int = 32) -> DataFrame:
+    """As vector_recall, among the vectors of the owners in scope; an empty scope is no restriction."""
+    return vector_recall(queries, vectors.where(F.col(owner).isin(scope)) if scope else vectors, k)
+
+
+def diagnostics(channels: dict[str, DataFrame]) -> DataFrame:
+    """channel -> its hits (query_id, id): of each query with hits, how many each channel has, how many different ones there are, and whether a channel has none."""
+    every = None
+    for name, hits in channels.items():
+        part = hits.select("query_id", "id", F.lit(name).alias("channel"))
+        every = part if every is None else every.unionByName(part)
+    once = every.groupBy("query_id", "id").agg(*[F.count_if(F.col("channel") == c).alias(c) for c in channels])
+    g = once.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in channels], F.count("*").alias("different"))
+    return g.withColumn("partial", F.least(*[F.col(c) for c in channels]) == 0)

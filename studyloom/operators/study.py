@@ -125,11 +125,12 @@ def finished_groups(saved: DataFrame, expected: DataFrame, keys: list[str]) -> D
     return saved.groupBy(*keys).agg(F.count("*").alias("saved")).join(expected, keys).where("saved >= expected").select(*keys)
 
 
-def subtree(nodes: DataFrame, roots: DataFrame, depth: int = 16) -> DataFrame:
-    """nodes(node, parent), roots(node) -> (node, root, depth) of all descendants, at most depth steps down. A tree, so no node is met twice."""
+def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """nodes(node, parent), roots(node) -> (node, root, depth) of all descendants, level by level until one is empty. A tree, so no node is met twice."""
     level = roots.join(nodes.select("node"), "node", "left_semi").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"))
-    out = level
-    for k in range(1, depth + 1):
+    out, k = level, 0
+    while not level.isEmpty():
+        k += 1
         level = nodes.join(level.select(F.col("node").alias("parent"), "root"), "parent").select("node", "root", F.lit(k).alias("depth"))
         out = out.unionByName(level)
     return out

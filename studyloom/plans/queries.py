@@ -46,12 +46,10 @@ def vector_recall(spark, sf_dir):
 
 
 TOK = "list_filter(string_split(trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' '), lambda w: w <> '')"
-LEXICAL = f"""q0 AS (SELECT item_id AS query_id, list_distinct(list_filter({TOK.format('text')}, lambda w: length(w) > 1)) AS terms FROM benchmark),
-q AS (SELECT query_id, len(terms) AS wanted, unnest(terms) AS term FROM q0),
-t0 AS (SELECT doc_id AS id, {TOK.format('text')} AS w FROM documents), t1 AS (SELECT id, len(w) AS length, unnest(w) AS term FROM t0),
-t AS (SELECT id, length, term, count(*) AS times FROM t1 GROUP BY ALL),
-h AS (SELECT query_id, id, wanted, length, count(*) AS found, sum(times) AS times FROM t JOIN q USING (term) GROUP BY ALL),
-s AS (SELECT query_id, id, found / wanted + times / length AS x FROM h), s2 AS (SELECT query_id, id, round(x / (1 + x), 6) AS score FROM s),
+STOPS = ", ".join(f"'{w}'" for w in R.STOP_WORDS)
+LEXICAL = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({STOPS})))) AS term FROM benchmark),
+t0 AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term, 1 AS a, 0 AS b FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 600)), '[\\p{{L}}\\p{{N}}_]{{2,}}')), 0, 1 FROM documents),
+h AS (SELECT query_id, id, sum(a) + 0.4::DOUBLE * sum(b) AS x FROM t0 JOIN q USING (term) GROUP BY 1, 2), s AS (SELECT query_id, id, x / (1 + x) AS y FROM h), s2 AS (SELECT query_id, id, floor(y / (1 + y) * 1e6 + 0.5) / 1e6 AS score FROM s),
 lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s2) WHERE rank <= 30)"""
 
 
@@ -65,15 +63,21 @@ def lexical_recall(spark, sf_dir):
     return _lexical(spark, sf_dir)
 
 
-EXACT = """sg AS (SELECT item_id AS query_id, substr(text, 1, 40) AS signal FROM benchmark), n AS (SELECT query_id, count(*) AS n FROM sg GROUP BY 1),
-tx AS (SELECT doc_id AS id, source AS title, text, regexp_replace(translate(lower(text), '[]{}', '()()'), '\\s+', '', 'g') AS norm FROM documents),
-p AS (SELECT query_id, id, CASE WHEN contains(title, signal) THEN 2.0 WHEN contains(norm, regexp_replace(translate(lower(signal), '[]{}', '()()'), '\\s+', '', 'g')) THEN 1.5 WHEN contains(text, signal) THEN 1.0 END AS pts FROM tx, sg),
+NORM = "regexp_replace(translate(lower({0}), '[]{{}}', '()()'), '\\s+', '', 'g')"
+EXACT = f"""sg0 AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]+'), lambda x: trim(x)), lambda x: length(x) BETWEEN 20 AND 120))) AS signal FROM benchmark), sg AS (SELECT *, {NORM.format('signal')} AS sn FROM sg0), n AS (SELECT query_id, count(*) AS n FROM sg GROUP BY 1),
+tx AS (SELECT doc_id AS id, source AS title, {NORM.format('text')} AS norm FROM documents),
+p AS (SELECT query_id, id, CASE WHEN contains(title, signal) THEN 2.0 WHEN contains(norm, sn) THEN 1.5 END AS pts FROM tx, sg),
 e0 AS (SELECT query_id, id, round(least(1.0, sum(pts) / (2 * any_value(n))), 6)::DOUBLE AS score FROM p JOIN n USING (query_id) WHERE pts IS NOT NULL GROUP BY 1, 2),
 ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM e0) WHERE rank <= 15)"""
 
 
+def phrases(text):
+    """Sentences of a whole text, of a quoted phrase's length."""
+    return F.array_distinct(F.filter(F.transform(F.split(text, "[.!?\\n]+"), lambda x: F.trim(x)), lambda x: F.length(x).between(20, 120)))
+
+
 def _exact(spark, sf_dir):
-    s = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("signal"))
+    s = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(phrases(F.col("text"))).alias("signal"))
     return R.exact_recall(s, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text"))
 
 
@@ -97,17 +101,18 @@ def weighted_rrf(spark, sf_dir):
 
 
 COVER = "CASE WHEN len(q) > 0 THEN len(list_intersect(q, {0})) / len(q) ELSE 0.0 END"
+RERANK_STOPS = ", ".join(f"'{w}'" for w in R.RERANK_STOP_WORDS)
+TELLING = f"list_distinct(list_filter({TOK}, lambda w: length(w) > 1 AND w NOT IN ({RERANK_STOPS})))"
 
 
-@query(f"""WITH {FUSED}, b AS (SELECT item_id AS query_id, list_distinct(list_filter({TOK.format('text')}, lambda w: length(w) > 1)) AS q FROM benchmark),
-k AS (SELECT query_id, id, fused, channels, floor((0.65::DOUBLE * {COVER.format("list_distinct(" + TOK.format("source") + ")")} + 0.35::DOUBLE * {COVER.format("list_distinct(" + TOK.format("text") + ")")}) * 1e6 + 0.5) / 1e6 AS coverage FROM f JOIN b USING (query_id) JOIN documents d ON d.doc_id = f.id),
+@query(f"""WITH {FUSED}, b AS (SELECT item_id AS query_id, {TELLING.format('text')} AS q FROM benchmark),
+k AS (SELECT query_id, id, fused, channels, floor((0.65::DOUBLE * {COVER.format(TELLING.format("source"))} + 0.35::DOUBLE * {COVER.format(TELLING.format("text"))}) * 1e6 + 0.5) / 1e6 AS coverage FROM f JOIN b USING (query_id) JOIN documents d ON d.doc_id = f.id),
 r AS (SELECT *, floor((0.75::DOUBLE * fused + 0.25::DOUBLE * coverage) * 1e6 + 0.5) / 1e6 AS combined FROM k), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, id) AS rank FROM r)
 SELECT query_id, id, coverage, combined, rank FROM z WHERE rank <= 2 OR channels > 1 OR fused >= 0.45 OR coverage >= 0.2""")
 def query_aware_rerank(spark, sf_dir):
-    f = _fused(spark, sf_dir).drop("rank")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text")
-    return R.rerank(f.join(d, "id").join(q, "query_id")).select("query_id", "id", "coverage", "combined", "rank")
+    return R.rerank(_fused(spark, sf_dir).drop("rank"), q, d).select("query_id", "id", "coverage", "combined", "rank")
 
 
 @query(f"""WITH {FUSED}, zz AS (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, evidence DESC, id) AS rank, lang = 'en' AS doc FROM f JOIN documents ON doc_id = id),
@@ -130,7 +135,7 @@ def band_join(spark, sf_dir):
 
 
 @query(f"""WITH {CHUNKS}, t AS (SELECT doc_id, chunk_index, list_distinct({TOK.format('content')}) AS s FROM c), u AS (SELECT * FROM t WHERE len(s) > 0),
-p AS (SELECT a.doc_id, a.chunk_index AS a, b.chunk_index AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.chunk_index < b.chunk_index) SELECT * FROM p WHERE similarity >= 0.88""")
+p AS (SELECT a.doc_id, a.chunk_index AS a, b.chunk_index AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.chunk_index < b.chunk_index) SELECT doc_id, a, b, round(i / (n - i), 6) AS similarity FROM p WHERE 100 * i >= 88 * (n - i)""")
 def near_duplicate_chunks(spark, sf_dir):
     c = chunks(spark, sf_dir).select("doc_id", F.col("chunk_index").cast("long").alias("position"), F.col("content").alias("text"))
     return R.near_pairs(c, "doc_id")
@@ -336,14 +341,20 @@ def mastery_estimate(spark, sf_dir):
 @query("""WITH v AS (SELECT row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, event_type, value FROM events)
 SELECT event_type, max(value) FILTER (i = CAST(floor(0.5 * (n - 1) + 0.5) AS BIGINT)) AS p50, max(value) FILTER (i = CAST(floor(0.95 * (n - 1) + 0.5) AS BIGINT)) AS p95, max(value) FILTER (i = CAST(floor(0.99 * (n - 1) + 0.5) AS BIGINT)) AS p99 FROM v GROUP BY 1""")
 def latency_percentiles(spark, sf_dir):
+    # one row for each value first: what is ranked in order are the different values of a type
     w = Window.partitionBy("event_type")
-    v = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(w.orderBy("value")) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda f: F.max(F.when(F.col("i") == F.floor(f * (F.col("n") - 1) + 0.5), F.col("value")))
+    v = table(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count("*").alias("c"))
+    v = v.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
+
+    def at(f):
+        i = F.floor(f * (F.col("n") - 1) + 0.5)
+        return F.max(F.when((i < F.col("upto")) & (i >= F.col("upto") - F.col("c")), F.col("value")))
+
     return v.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 # The other modules add their queries to the same registry.
-from . import document_queries, memory_queries, page_queries, record_queries, study_queries, workflow_queries  # noqa: E402, F401
+from . import document_queries, memory_queries, page_queries, record_queries, stream_queries, study_queries, workflow_queries  # noqa: E402, F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -184,12 +184,12 @@ def finished_groups(spark, sf_dir):
 def folder_subtree(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     nodes = p.select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 3)).alias("parent"))
-    return study.subtree(nodes, p.where("p_partkey BETWEEN 5 AND 9").select(F.col("p_partkey").alias("node")), 12)
+    return study.subtree(nodes, p.where("p_partkey BETWEEN 5 AND 9").select(F.col("p_partkey").alias("node")))
 
 
-@query(f"""WITH {FUSED}, hit AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, evidence DESC, id) AS rank FROM f), x AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))),
+@query(f"""WITH {FUSED}, hit AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, evidence DESC, id) AS rank FROM f), x AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 m AS (SELECT query_id, count(*) AS wanted, count(*) FILTER (rank <= 5) AS got, min(rank) AS first FROM x LEFT JOIN hit USING (query_id, id) GROUP BY 1) SELECT query_id, round(got / least(wanted, 5), 6) AS recall, round(coalesce(1 / first, 0.0::DOUBLE), 6) AS reciprocal_rank FROM m""")
 def retrieval_quality(spark, sf_dir):
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    want = d.join(F.broadcast(b.select("item_id", F.substring("text", 1, 40).alias("s"))), d.text.contains(F.col("s"))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
+    want = d.join(b.select("item_id", F.col("text").alias("s")), d.text.contains(F.col("s"))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
     return study.retrieval_quality(_fused(spark, sf_dir).select("query_id", "id", "rank"), want)

@@ -55,3 +55,39 @@ def mastery_stream(events: DataFrame) -> DataFrame:
 
     rows = events.select("user_id", "topic", "ts", "event_id", "delta")
     return rows.groupBy("user_id", "topic").applyInPandasWithState(step, "user_id long, topic int, mastery double, events long", "mastery double, events long", "update", GroupStateTimeout.NoTimeout)
+
+
+def turn_windows(messages: DataFrame, turns: int = 12, budget: int = 2400, least: int = 2, clip: int = 900) -> DataFrame:
+    """A stream of messages(conv_id, turn, text) -> (conv_id, first, turns, tokens): the newest turns that fit, as memory.token_window, after each batch (output mode update).
+
+    State is a list of the last turns' sizes, at most as many as a window has.
+    """
+
+    def step(key, frames, state):
+        held = [(int(a), int(b)) for a, b in zip(*state.get)] if state.exists else []
+        for pdf in frames:
+            held += [(int(t), min(clip, max(1, (len(x or "") + 3) // 4))) for t, x in zip(pdf["turn"], pdf["text"])]
+        held = sorted(held)[-turns:]
+        state.update(([t for t, _ in held], [n for _, n in held]))
+        kept, total = [], 0
+        for t, n in held[::-1]:
+            if total + n > budget and len(kept) >= least:
+                break
+            kept.append(t)
+            total += n
+        yield pd.DataFrame({"conv_id": [key[0]], "first": [kept[-1]], "turns": [len(kept)], "tokens": [total]})
+
+    rows = messages.select("conv_id", "turn", "text")
+    return rows.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, first long, turns long, tokens long", "turns array<long>, sizes array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_to_table(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream of updates over what there is and gives the last row of each key; a batch that is run again rewrites its own folder only."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("s")).select(*keys, "s.*")
