@@ -59,6 +59,11 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent_to_all(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """A settled table with the hint to broadcast it, if it has no more rows than that; else Spark chooses how to join it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def let(value: Column, body) -> Column:
     """Bind value to a lambda variable, so that body can use it many times while it is computed once a row."""
     return F.transform(F.array(value), body)[0]

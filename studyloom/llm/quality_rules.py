@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, settle, words_of
+from .common import SPACE, let, sent_to_all, settle, words_of
 
 FEATURES = ("x1", "x2", "x3", "x4", "x5")
 #: Standard deviations that are added to each statistic's own: differences of this size are no sign of junk.
@@ -127,7 +127,7 @@ def concentrate(rows: DataFrame) -> DataFrame:
     best = settle(whole.unionByName(_factor(quart).select("g", "start", "det", *LOCATION, *SCATTER, *ROOT)))
     names = ["c", *[f"s_{x}" for x in FEATURES], *[f"q{i}{j}" for i, j in PAIRS]]
     for _ in range(STEPS):
-        at = rows.join(best, "g").withColumn("bin", F.floor(BINS_PER_DOUBLING * F.log2(_distance() + 1e-3)))
+        at = rows.join(sent_to_all(best), "g").withColumn("bin", F.floor(BINS_PER_DOUBLING * F.log2(_distance() + 1e-3)))
         # a row for each bin first, dealt by bin: only these few rows of a group then meet
         bins = settle(_moments(at, ["g", "start", "bin"]))
         w = Window.partitionBy("g", "start")
@@ -157,7 +157,7 @@ def fit(stats: DataFrame) -> DataFrame:
 def judge(stats: DataFrame, fitted: DataFrame) -> DataFrame:
     """stats (of statistics()) with the struct extended by distance (squared; null where no estimate exists) and kept."""
     work = F.col(WORK)
-    model = fitted.select(F.col("group").alias(f"{WORK}_group"), F.struct(*LOCATION, *ROOT).alias(f"{WORK}_model"))
+    model = sent_to_all(fitted).select(F.col("group").alias(f"{WORK}_group"), F.struct(*LOCATION, *ROOT).alias(f"{WORK}_model"))
     far = _distance(lambda f: work[f], lambda f: F.col(f"{WORK}_model")[f])
     # null-safe, so that no filter on the key is pushed under the statistics, which would then be worked out twice
     out = stats.join(model, work["group"].eqNullSafe(F.col(f"{WORK}_group")), "left").withColumn(WORK, work.withField("distance", far))
