@@ -34,12 +34,13 @@ def usable_regions(regions: DataFrame, page_area: float, least: float = 0.03, si
     return regions.where(((area() / page_area >= least) | formula) & (w >= side) & (h >= F.when(formula, 24.0).otherwise(side)) & (w <= h * aspect) & (h <= w * aspect))
 
 
-def repeated_images(images: DataFrame, doc: str, share: float = 0.15, least: int = 3) -> DataFrame:
-    """images(doc, page, hash) -> hashes on many pages of a document: logos and ornaments."""
-    d = images.select(doc, "page", "hash").distinct()
-    n = d.select(doc, "page").distinct().groupBy(doc).agg(F.count("*").alias("pages"))
-    seen = d.groupBy(doc, "hash").agg(F.count("*").alias("seen"))
-    return seen.join(n, doc).where(F.col("seen") >= F.greatest(F.lit(least), F.ceil(F.col("pages") * share))).select(doc, "hash", "seen")
+def repeated_images(images: DataFrame, pages: DataFrame, doc: str, share: float = 0.15, least: int = 3, area: float = 0.08) -> DataFrame:
+    """images(doc, page, image, hash, kind, area), pages(doc, page) -> those to drop: small, of a kind that is never critical, and with a hash that a document has many times (logos and ornaments)."""
+    n = pages.select(doc, "page").distinct().groupBy(doc).agg(F.count("*").alias("pages"))
+    seen = images.where("hash IS NOT NULL").groupBy(doc, "hash").agg(F.count("*").alias("seen"))
+    critical = F.col("kind").isin("CODE_IMAGE", "FORMULA_IMAGE", "HANDWRITTEN", "FULL_PAGE_VISUAL")
+    many = F.col("seen") >= F.greatest(F.lit(least), F.ceil(F.col("pages") * share))
+    return images.join(seen, [doc, "hash"]).join(n, doc).where(many & ~critical & (F.coalesce("area", F.lit(0.0)) < area)).select(doc, "page", "image", "hash", "seen")
 
 
 def reading_order(blocks: DataFrame, width: float, wide: float = 0.6) -> DataFrame:

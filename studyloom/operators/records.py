@@ -215,3 +215,29 @@ def document_list(documents: DataFrame, notes: DataFrame, tasks: DataFrame) -> D
     n = notes.groupBy("doc_id").agg(F.max_by("status", "version").alias("note"))
     t = tasks.groupBy("doc_id").agg(F.max_by("status", F.struct("created", "task_id")).alias("embedding"))
     return documents.select("doc_id").join(n, "doc_id", "left").join(t, "doc_id", "left").select("doc_id", F.coalesce("note", F.lit("NOT_STARTED")).alias("note"), F.coalesce("embedding", F.lit("NOT_STARTED")).alias("embedding"))
+
+
+def days_later(at: Column, days: Column) -> Column:
+    """A time some days on; parts of a day round up."""
+    return at + F.make_dt_interval(days=F.ceil(days).cast("int"))
+
+
+def minutes_before(now: str, minutes: Column) -> Column:
+    return F.to_timestamp(F.lit(now)) - F.make_dt_interval(mins=minutes)
+
+
+def attempt_results(attempts: DataFrame, answers: DataFrame) -> DataFrame:
+    """attempts(attempt, status, total), answers(attempt, number, given, awarded) -> each attempt with its answers in order."""
+    a = answers.groupBy("attempt").agg(F.sort_array(F.collect_list(F.struct("number", "given", "awarded"))).alias("answers"))
+    return attempts.join(a, "attempt", "left").select("attempt", "status", "total", F.coalesce("answers", F.array().cast("array<struct<number:int,given:string,awarded:double>>")).alias("answers"))
+
+
+def learning_profile(states: DataFrame, keys: list[str]) -> DataFrame:
+    """states(keys, mastery, attempts, needs_review) -> topics, attempts, plain mean mastery and how many need review."""
+    return states.groupBy(*keys).agg(F.count("*").alias("topics"), F.sum("attempts").alias("attempts"), half_up(F.avg("mastery"), 9).alias("mastery"), F.count_if("needs_review").alias("due"))
+
+
+def of_key(rows: DataFrame, key: str, values: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows of the given keys, each key's in order and numbered; the filter is a semi-join, so a scan by key reads no others where the table is laid out by it."""
+    mine = rows.join(values.select(key).distinct(), key, "left_semi")
+    return mine.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

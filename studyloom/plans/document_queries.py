@@ -26,10 +26,25 @@ def document_class(spark, sf_dir):
     return D.document_class(_profile(spark, sf_dir), ["source"])
 
 
-@query(f"""WITH {PROFILE}, x AS (SELECT *, doc_id % 3 = 0 AS vis, doc_id % 400 AS o, n < 80 OR quality < 0.38 AS poor FROM pf)
-SELECT doc_id, CASE WHEN (n < 24 AND (vis OR o > 0)) OR (poor AND o > greatest(40, n * 2)) THEN 'FULL_PAGE_VLM' WHEN vis THEN 'HYBRID' ELSE 'NATIVE_TEXT' END AS route FROM x""")
+@query(f"""WITH {PROFILE}, x AS (SELECT *, doc_id % 3 = 0 AS vis, doc_id % 400 AS o, n < 80 OR quality < 0.38 AS poor, CASE doc_id % 5 WHEN 0 THEN 'HANDWRITTEN_NOTES' WHEN 1 THEN 'LECTURE_SLIDES' WHEN 2 THEN 'BOOK' END AS k FROM pf), y AS (SELECT *, CASE WHEN k = 'HANDWRITTEN_NOTES' THEN 1 WHEN n < 24 AND (vis OR o > 0) THEN 2 WHEN poor AND o > greatest(40, n * 2) THEN 3 WHEN vis THEN 4 ELSE 5 END AS r FROM x)
+SELECT doc_id, CASE WHEN r <= 3 THEN 'FULL_PAGE_VLM' WHEN r = 4 THEN 'HYBRID' ELSE 'NATIVE_TEXT' END AS route, CASE r WHEN 1 THEN 'declared handwritten' WHEN 2 THEN 'almost no text,something to see' WHEN 3 THEN 'weak text,much more text in the picture' WHEN 4 THEN concat_ws(',', 'pictures or drawings', CASE WHEN poor THEN 'weak text' END, CASE WHEN k = 'LECTURE_SLIDES' THEN 'slides' END) ELSE CASE WHEN poor THEN 'no better text' ELSE 'reliable text' END END AS reasons FROM y""")
 def page_route(spark, sf_dir):
-    return _profile(spark, sf_dir).select("doc_id", D.page_route(F.col("n"), F.col("quality"), F.col("doc_id") % 3 == 0, F.col("doc_id") % 400).alias("route"))
+    i = F.col("doc_id") % 5
+    kind = F.when(i == 0, "HANDWRITTEN_NOTES").when(i == 1, "LECTURE_SLIDES").when(i == 2, "BOOK")
+    r = _profile(spark, sf_dir).select("doc_id", D.page_route(F.col("n"), F.col("quality"), F.col("doc_id") % 3 == 0, F.col("doc_id") % 400, kind).alias("r"))
+    return r.select("doc_id", "r.route", F.array_join("r.reasons", ",").alias("reasons"))
+
+
+MARKED = "CASE chunk_index % 8 WHEN 0 THEN '## Theorem 4' WHEN 1 THEN 'Question 12 of it' WHEN 2 THEN '3) ' || content WHEN 3 THEN 'Related work: ' || substr(content, 1, 10) WHEN 4 THEN upper(substr(content, 1, 12)) WHEN 5 THEN 'q7. why' ELSE content END"
+
+
+@query(f"""WITH {CHUNKS}, m AS (SELECT doc_id, chunk_index, {MARKED} AS t FROM c), b AS (SELECT *, lower(regexp_replace(t, '^[#: ]+|[#: ]+$', '', 'g')) AS bare, regexp_replace(t, '[^\\p{{L}}]+', '', 'g') AS l, length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS u FROM m)
+SELECT doc_id, chunk_index, regexp_matches(bare, '^({"|".join(D.UNITS)})') AS unit, chunk_index % 2 = 1 AND regexp_matches(bare, '^({"|".join(D.PAPER_SECTIONS)})') AS paper_section, regexp_matches(lower(trim(t)), '^({"|".join(D.QUESTIONS)})') AS question,
+ length(t) BETWEEN 4 AND 80 AND l <> '' AND (regexp_matches(lower(t), '^({"|".join(D.TOPICS)})') OR (coalesce(u / nullif(length(l), 0) >= 0.72, FALSE) AND len(string_split(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' ')) <= 6)) AS topic FROM b""")
+def line_boundaries(spark, sf_dir):
+    i, c = F.col("chunk_index"), F.col("content")
+    t = F.when(i % 8 == 0, "## Theorem 4").when(i % 8 == 1, "Question 12 of it").when(i % 8 == 2, F.concat(F.lit("3) "), c)).when(i % 8 == 3, F.concat(F.lit("Related work: "), F.substring(c, 1, 10))).when(i % 8 == 4, F.upper(F.substring(c, 1, 12))).when(i % 8 == 5, "q7. why").otherwise(c)
+    return chunks(spark, sf_dir).select("doc_id", i.cast("long").alias("chunk_index"), D.boundaries(t, i % 2 == 1).alias("b")).select("doc_id", "chunk_index", "b.*")
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?im)^\\s*(select|insert|update|delete|create)\\b') THEN 'sql' WHEN regexp_matches(text, '(?m)^\\s*\\((define|lambda|let\\*?|cond)\\b') THEN 'scheme'
@@ -154,10 +169,11 @@ def usable_regions(spark, sf_dir):
     return layout.usable_regions(b, 480000.0).select("page", "block", "x0")
 
 
-@query("""WITH d AS (SELECT DISTINCT l_suppkey AS doc, l_orderkey AS page, l_linenumber % 7 AS hash FROM lineitem), n AS (SELECT doc, count(DISTINCT page) AS pages FROM d GROUP BY 1), s AS (SELECT doc, hash, count(*) AS seen FROM d GROUP BY 1, 2) SELECT doc, hash, seen FROM s JOIN n USING (doc) WHERE seen >= greatest(3, ceil(pages * 0.15))""")
+@query("""WITH i AS (SELECT l_suppkey % 40 AS doc, l_orderkey AS page, l_linenumber * 100000 + l_partkey AS image, CASE WHEN l_linenumber < 7 THEN l_partkey % 6 END AS hash, CASE l_returnflag WHEN 'A' THEN 'CODE_IMAGE' ELSE 'IMAGE' END AS kind, l_discount AS area FROM lineitem), n AS (SELECT doc, count(DISTINCT page) AS pages FROM i GROUP BY 1), s AS (SELECT doc, hash, count(*) AS seen FROM i WHERE hash IS NOT NULL GROUP BY 1, 2)
+SELECT doc, page, image, hash, seen FROM i JOIN s USING (doc, hash) JOIN n USING (doc) WHERE seen >= greatest(3, ceil(pages * 0.15)) AND kind <> 'CODE_IMAGE' AND area < 0.08""")
 def repeated_images(spark, sf_dir):
-    i = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("page"), (F.col("l_linenumber") % 7).alias("hash"))
-    return layout.repeated_images(i, "doc")
+    i = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).alias("doc"), F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("image"), F.when(F.col("l_linenumber") < 7, F.col("l_partkey") % 6).alias("hash"), F.when(F.col("l_returnflag") == "A", "CODE_IMAGE").otherwise("IMAGE").alias("kind"), F.col("l_discount").alias("area"))
+    return layout.repeated_images(i, i, "doc")
 
 
 @query(f"""WITH {BOXES}, u AS (SELECT page, block, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1 FROM bx GROUP BY 1, 2), a AS (SELECT *, CASE WHEN x1 - x0 >= 360 THEN 1 ELSE 0 END AS w FROM u), b AS (SELECT *, sum(w) OVER (PARTITION BY page ORDER BY y0, x0, block) * 2 - w AS band FROM a)

@@ -224,3 +224,21 @@ def full_texts(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     b = li.select(F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("y"), F.col("l_partkey").alias("x"), F.col("l_linenumber").alias("block"), F.when(F.col("l_returnflag") == "R", "BOILERPLATE").otherwise("PARAGRAPH").alias("kind"), F.col("l_partkey").cast("string").alias("text"))
     return P.full_texts(b).select("doc", "blocks", F.md5("text").alias("digest"), "preview")
+
+
+@query(f"""WITH RECURSIVE {BLOCKS}, f AS (SELECT doc_id, pos, tokens, kind IN ('TABLE', 'CODE') AND tokens >= 750 AS alone, pos % 5 = 2 AS o FROM bl), s AS (SELECT doc_id, pos, 0::BIGINT AS chunk, CASE WHEN alone THEN 1 ELSE 0 END::BIGINT AS nxt, CASE WHEN alone THEN NULL ELSE tokens END AS size FROM f WHERE pos = 0
+ UNION ALL SELECT doc_id, pos, nxt + cut, nxt + cut + CASE WHEN alone THEN 1 ELSE 0 END, CASE WHEN alone THEN NULL WHEN cut = 1 OR size IS NULL THEN tokens ELSE size + tokens END FROM (SELECT f.*, s.nxt, s.size, CASE WHEN s.size IS NOT NULL AND (f.alone OR (f.o AND s.size >= 80) OR s.size + f.tokens > 1200) THEN 1 ELSE 0 END::BIGINT AS cut FROM s JOIN f ON f.doc_id = s.doc_id AND f.pos = s.pos + 1)) SELECT doc_id, pos AS position, chunk FROM s""")
+def question_chunks(spark, sf_dir):
+    return P.question_chunks(_blocks(spark, sf_dir).withColumn("opens", F.col("position") % 5 == 2))
+
+
+SHOWN = "CASE p_partkey % 6 WHEN 0 THEN 'int ' || p_name WHEN 1 THEN p_name || ' = (a + b) * c / d' WHEN 2 THEN '| ' || p_name || ' | x |' || chr(10) || '| 1 | 2 |' WHEN 3 THEN 'a  ' || p_name || chr(10) || 'b  c' WHEN 4 THEN 'Axis of ' || p_type ELSE 'x=1;' || chr(10) || p_name END"
+
+
+@query(rf"""WITH t AS (SELECT p_partkey, {SHOWN} AS t FROM part), k AS (SELECT *, contains(t, '#include') OR contains(t, 'return ') OR contains(t, 'printf') OR contains(t, 'malloc') OR contains(t, 'int ') OR contains(t, 'char ') OR contains(t, 'void ') OR contains(t, 'struct ') OR contains(t, 'assert(') OR (regexp_matches(t, '(?m)[{{}};][ \t]*$') AND regexp_matches(t, '[a-zA-Z_][a-zA-Z0-9_]*\s*[=(]')) AS code FROM t)
+SELECT p_partkey, code, contains(t, 'lim') OR contains(t, '^') OR (length(regexp_replace(t, '[^=+\-*/^()\[\]{{}}|]', '', 'g')) >= 5 AND len(string_split(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ')) <= 45 AND NOT code) AS formula,
+ p_partkey % 6 IN (2, 3) AS table, regexp_matches(lower(t), '\b({"|".join(P.DIAGRAM_TERMS)})\b') AS diagram FROM k""")
+def visual_texts(spark, sf_dir):
+    i, n, lf = F.col("p_partkey") % 6, F.col("p_name"), F.lit("\n")
+    t = F.when(i == 0, F.concat(F.lit("int "), n)).when(i == 1, F.concat(n, F.lit(" = (a + b) * c / d"))).when(i == 2, F.concat(F.lit("| "), n, F.lit(" | x |\n| 1 | 2 |"))).when(i == 3, F.concat(F.lit("a  "), n, F.lit("\nb  c"))).when(i == 4, F.concat(F.lit("Axis of "), F.col("p_type"))).otherwise(F.concat(F.lit("x=1;"), lf, n))
+    return table(spark, sf_dir, "part").select("p_partkey", P.visual_text(t).alias("v")).select("p_partkey", "v.*")

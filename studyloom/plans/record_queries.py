@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import records as R
 from .registry import CHUNKS, chunks, query, table
-from .study_queries import STATES, _history
+from .study_queries import STATES, _history, _last
 
 HALF = "floor({0} * 1e{1} + 0.5) / 1e{1}"
 
@@ -227,3 +227,28 @@ SELECT c_custkey AS doc_id, coalesce(note, 'NOT_STARTED') AS note, coalesce(embe
 def document_list(spark, sf_dir):
     n = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("version"), F.col("l_returnflag").alias("status"))
     return R.document_list(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id")), n, _tasks(spark, sf_dir))
+
+
+@query("""SELECT event_id, ts + to_days(CAST(ceil(value / 50) AS INT)) AS due, ts < TIMESTAMP '2024-01-20' - to_minutes(CAST(event_id % 3000 AS INT)) AS late FROM events""")
+def date_sums(spark, sf_dir):
+    at = F.col("ts").cast("timestamp")
+    return table(spark, sf_dir, "events").select("event_id", R.days_later(at, F.col("value") / 50).alias("due"), (at < R.minutes_before("2024-01-20 00:00:00", (F.col("event_id") % 3000).cast("int"))).alias("late"))
+
+
+@query("""SELECT o_orderkey AS attempt, o_orderstatus AS status, o_totalprice AS total, coalesce((SELECT string_agg(l_linenumber || ':' || l_returnflag || ':' || CAST(l_quantity AS BIGINT), ',' ORDER BY l_linenumber, l_returnflag, l_quantity) FROM lineitem WHERE l_orderkey = o_orderkey), '') AS answers FROM orders""")
+def attempt_results(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("attempt"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"))
+    a = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("attempt"), F.col("l_linenumber").alias("number"), F.col("l_returnflag").alias("given"), F.col("l_quantity").alias("awarded"))
+    r = R.attempt_results(o, a)
+    return r.withColumn("answers", F.array_join(F.transform("answers", lambda x: F.concat_ws(":", x["number"].cast("string"), x["given"], x["awarded"].cast("long").cast("string"))), ","))
+
+
+@query(f"""WITH RECURSIVE {STATES}, l AS (SELECT user_id, topic, arg_max(mastery, k) AS m, arg_max(attempts, k) AS a, arg_max(needs_review, k) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS topics, CAST(sum(a) AS BIGINT) AS attempts, {half('avg(m)', 9)} AS mastery, count(*) FILTER (n) AS due FROM l GROUP BY 1""")
+def learning_profiles(spark, sf_dir):
+    return R.learning_profile(_last(spark, sf_dir), ["user_id"])
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
+def rows_of_keys(spark, sf_dir):
+    keys = table(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("o_custkey"))
+    return R.of_key(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", keys, [F.desc("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "place")
