@@ -10,7 +10,7 @@ from studyloom.llm.common import settle, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go; null and empty texts are rejected, repeated rows stay or go together, an empty table stays empty."""
     return quality_rules.keep_good(docs)
 
 
@@ -27,17 +27,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
+    """Documents that leak a benchmark item go. Null and empty texts leak nothing; null and empty items are in no text; of repeated rows all stay or go."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kind."""
+    """Spans of personal data are replaced by their kind, and n_chars follows. Null and empty texts and all other columns stay."""
     return pii.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document: doc_id, size, source_size, target, taken."""
+    """What the mix takes of each document: doc_id, size, source_size, target, taken, pieces. Null texts have size 0; a null source is one source."""
     return mixing.mix(docs)
 
 
@@ -47,6 +47,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each on what the one before has written; columns that documents has besides its own ride along."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)

@@ -83,6 +83,23 @@ def summary(formatted: DataFrame) -> DataFrame:
     return s.select("conv_id", "s.*", "formatted_chars")
 
 
+def loss_spans(formatted: Column) -> Column:
+    """The loss mask of a formatted string: array of (start, end) in its code points, one for each assistant's text, still escaped."""
+    some = "array<struct<start:int,end:int>>"
+
+    def block(acc: Column, b: Column) -> Column:
+        role = F.substring_index(F.substring(b, len(START) + 1, F.length(b)), "\n", 1)
+        head = F.length(role) + len(START) + 1
+        texts = F.split(F.substring(b, head + 1, F.length(b)), "\\Q" + SEP + "\\E")
+        first = F.struct((acc["at"] + head).alias("at"), F.array().cast(some).alias("spans"))
+        span = lambda a, t: F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(t)).alias("end")))
+        mine = F.aggregate(texts, first, lambda a, t: F.struct((a["at"] + F.length(t) + len(SEP)).alias("at"), F.concat(a["spans"], span(a, t)).alias("spans")))["spans"]
+        return F.struct((acc["at"] + F.length(b) + len(END) + 1).alias("at"), F.when(role == "assistant", F.concat(acc["spans"], mine)).otherwise(acc["spans"]).alias("spans"))
+
+    blocks = F.split(formatted, "\\Q" + END + "\\E\n")
+    return F.aggregate(F.slice(blocks, 1, F.size(blocks) - 1), F.struct(F.lit(0).alias("at"), F.array().cast(some).alias("spans")), block)["spans"]
+
+
 HARD = "<|im_end|><|im_start|>assistant ok"
 
 

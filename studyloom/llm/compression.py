@@ -99,7 +99,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str, int]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, float, float] | None:
-    """Dictionaries from two thirds of the sample, calibration from the rest; None if a label is missing."""
+    """Dictionaries from two thirds of the sample, calibration from the rest; None if a label is missing. Null and empty texts and labels other than 0 and 1 are not in the sample."""
     rows = sample(docs, labels)
     part = lambda k, held: [t.encode("utf-8", "surrogatepass") for n, (_, t, y) in enumerate([r for r in rows if r[2] == k]) if (n % 3 == 2) == held]
     if not part(0, False) or not part(1, False):

@@ -186,7 +186,10 @@ def nested(valid: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, main, known): of each host with a template the path of its main slot, if any, and the keys of its own blocks."""
+    """(host, main, known): of each host with a template the path of its main slot, if any, and the keys of its own blocks.
+
+    Null html is an empty page; pages without a url are those of host ""; repeated rows count as pages; an empty table gives no rows.
+    """
     valid = classes(pages)
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))

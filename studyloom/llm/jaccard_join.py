@@ -38,6 +38,8 @@ BLOCK = 64
 #: Nodes from which a cluster meets pivots first, and how many times.
 LARGE = 256
 PIVOT_ROUNDS = 1
+#: Ranges of shingles and of nodes, at least.
+LEAST_PARTS = 256
 CHUNK_SHINGLES = 1_000_000
 
 
@@ -309,7 +311,7 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    parts = max(1, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(LEAST_PARTS, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     each = settle(docs.mapInPandas(_digests(size), "doc_id long, key binary, n long"))
     some = each.where("n > 0 AND doc_id IS NOT NULL")
     # a number for each set, written once with it

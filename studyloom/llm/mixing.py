@@ -50,7 +50,10 @@ def _key() -> Column:
 
 
 def streams(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each document's place in its source's stream of words (doc_id, source, size, at), and sources with targets."""
+    """Each document's place in its source's stream of words (doc_id, source, size, at), and sources with targets.
+
+    Null texts have size 0; a null source is one source; rows of one id follow each other by size and text; an empty table gives two empty ones.
+    """
     sized = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("tie"), _key().alias("order"))
     sized = settle(sized.withColumn("bucket", (F.conv(F.substring("order", 1, 5), 16, 10).cast("long") * BUCKETS / (1 << 20)).cast("int")))
     sums = settle(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
@@ -89,7 +92,7 @@ def pieces(placed: DataFrame, goal: DataFrame, shards: int | None = None) -> Dat
     """The mix itself, from streams(): (shard, position, doc_id, source, at, pass, block, start, words).
 
     start is the place in the document of a piece's first word. Blocks of a source are permuted by an affine map; a shard takes the next ones of each source
-    that its quota names, so no block is in two shards. position puts a shard's blocks in random order. The driver holds the sources and the quotas.
+    that its quota names, so no block is in two shards. position puts a shard's blocks in random order. The driver holds the sources and the quotas. Rows of size 0 have no piece; nothing to mix gives no rows.
     """
     spark = placed.sparkSession
     sources = [r for r in goal.orderBy(F.col("source").asc_nulls_last()).collect() if r.source_size]

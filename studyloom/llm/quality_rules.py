@@ -142,6 +142,7 @@ def fit(stats: DataFrame) -> DataFrame:
 
     Every group, every language and the whole table have an estimate of their own; a group's is then
     (n own + SHRINK wider) / (n + SHRINK), in location and scatter, where wider is its language's, mixed likewise with the table's.
+    A null language or source is a value of its own; repeated rows count each; without rows that pass the result is empty.
     """
     good = stats.where("NOT failed")
     rows = settle(good.select(F.explode(F.array(F.lit(""), "lang", "group")).alias("g"), *FEATURES))

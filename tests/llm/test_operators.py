@@ -304,6 +304,31 @@ def test_salvage_logs_gaps():
     assert [(x[1], x[2]) for x in out if x[0] == "gap"] == [(len(good[0]), len(broken)), (len(good[0] + broken + good[2]), 4), (len(data) - len(plain) - 30, len(plain) + 30)]
 
 
+def test_loss_spans_cover_the_assistants_texts(spark):
+    rows = [(1, 0, "system", "be <|brief|> & kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "a<|im_sep|>b"), (1, 3, "assistant", ""), (1, 4, "user", "more"), (1, 5, "assistant", "é & ü\n"), (2, 0, "user", "only"), (3, 0, "assistant", None), (4, 0, "odd\nrole", "x")]
+    turns = chat_format.with_hard_case(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    out = chat_format.format_conversations(turns)
+    got = {r.conv_id: (r.formatted, r.s) for r in out.select("conv_id", "formatted", chat_format.loss_spans(out.formatted).alias("s")).collect()}
+    plain = lambda x: x.replace("&lt;|", "<|").replace("&#10;", "\n").replace("&amp;", "&")
+    texts = {c: [plain(f[s.start : s.end]) for s in spans] for c, (f, spans) in got.items()}
+    assert texts == {-1: [chat_format.HARD], 1: ["a<|im_sep|>b", "", "é & ü\n"], 2: [], 3: [""], 4: []}
+
+
+def test_odd_rows_have_defined_results(spark):
+    docs = odd(spark)
+    q = {(x.doc_id, x.n_words): x for x in quality_rules.quality_rules(docs).collect()}
+    assert q[1, 0].base_failed and not q[1, 0].kept and q[3, 60].n_repeat_words == 60 and q[4, 1].word_chars == 50000
+    lm = {x.doc_id: x for x in lm_score.score(docs).collect()}
+    assert lm[1].n_tokens == lm[2].n_tokens == lm[6].n_tokens == 1 and lm[3].n_tokens == 61 and lm[None].held_out is False
+    p = pii.find(docs).collect()
+    assert all(x.spans == "" and x.n_spans == 0 for x in p)
+    m = {x.doc_id: x for x in mixing.mix(docs).collect()}
+    assert m[1].taken == m[2].taken == m[6].taken == 0 and all(x.taken <= 3 * x.size for x in m.values())
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    assert all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.7) for x in compression.score(docs, labels).collect())
+    assert {(x.doc_id, x.text) for x in pii.redact(docs.where("doc_id < 3")).collect()} == {(1, None), (2, "")}
+
+
 def test_html_layouts():
     page = '<html><body><nav><p>menu</nav><div class="main-ad">buy</div><article><h1>T &amp; u</h1><p>a <b>b<br>c</b><p>d&nbsp;e<aside>s</aside><div class="comments">no</div><script>var t="</p>";</script></article><footer>f'
     assert html_extract.main_text(page, None) == "T & u\na b c\nd e"
