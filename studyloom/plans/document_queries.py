@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import math_text as X
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import folds, layout
@@ -200,3 +201,37 @@ def join_spans(spark, sf_dir):
 def chunk_stats(spark, sf_dir):
     n = F.greatest(F.lit(1), F.floor((F.length("content") + 3) / 4))
     return chunks(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.round(F.avg(n), 6).alias("mean"), F.count_if(n < 80).alias("tiny"))
+
+
+def _any(names, column="t"):
+    return "(" + " OR ".join(f"contains({column}, '{n}')" for n in names) + ")"
+
+
+def _number(pattern, column="t"):
+    return f"len(regexp_extract_all({column}, '{pattern}'))"
+
+
+#: Lines of the documents, some made into code, formulas, tables and headings.
+TYPED = "CASE chunk_index % 9 WHEN 1 THEN 'return ' || content WHEN 2 THEN 'a = b / c' WHEN 3 THEN 'x | y | z' WHEN 4 THEN '- ' || content WHEN 5 THEN 'Chapter One: ' || substr(content, 1, 9) WHEN 6 THEN 'if (x) { y(); }' WHEN 7 THEN '∑ of ' || substr(content, 1, 20) ELSE content END"
+
+
+@query(f"""WITH {CHUNKS}, l AS (SELECT doc_id, chunk_index, trim({TYPED}) AS t FROM c), k AS (SELECT *, {_number('[^ ]+')} AS tokens0, {_number('[A-Za-z]{2,}')} AS words, len(regexp_extract_all(t, '\\S+')) AS tokens,
+ {" OR ".join(f"regexp_matches(t, '{p}')" for p in D.CODE_PATTERNS)} OR {_any(D.CODE_MARKS)} AS sure, regexp_matches(t, '\\^[A-Za-z0-9]|[≤≥∑∫]') AND NOT {_any([';', '{', '}', '#include', 'return '])} AS powers FROM l),
+d AS (SELECT *, sure OR (NOT powers AND regexp_matches(t, '{D.STATEMENT}') AND (t LIKE '%;' OR contains(t, '{{') OR contains(t, '}}'))) AS code, words >= 6 AND words >= 0.45 * greatest(1, tokens) AS prose FROM k),
+f AS (SELECT *, {_any(D.LATEX_MARKS)} OR CASE WHEN {_any(D.MATH_MARKS)} AND NOT prose THEN tokens <= 28 OR regexp_matches(t, '[=<>≤≥]') ELSE regexp_matches(t, '[=^]|[A-Za-z]\\s*/\\s*[A-Za-z0-9]') AND tokens <= 16 AND regexp_matches(t, '[A-Za-z0-9\\])]') AND NOT prose AND NOT code END AS formula FROM d),
+h AS (SELECT *, NOT regexp_matches(t, '{D.PROMPTS.replace(chr(39), chr(39) * 2)}') AND length(t) <= 90 AND tokens <= 10 AND NOT regexp_matches(t, '[.;,]$') AND NOT formula AND NOT code AND regexp_matches(t, '^[A-Z][A-Za-z0-9]') AND (contains(t, ':') OR (tokens <= 5 AND {_number('(?:^|\\s)[A-Z][a-z]+')} >= 1 AND {_number('(?:^|\\s)[a-z]+')} <= greatest(1, tokens // 2))) AS heading FROM f)
+SELECT doc_id, chunk_index, CASE WHEN code THEN 'CODE' WHEN formula THEN 'FORMULA' WHEN {_number('\\bO\\([^)]+\\)')} >= 2 OR {_number('\\|')} >= 2 OR (len(regexp_split_to_array(t, '\\s{{2,}}')) >= 3 AND length(t) <= 180) THEN 'TABLE' WHEN regexp_matches(t, '^([-*•]|\\d+[.)])\\s+\\S') THEN 'LIST' WHEN heading THEN 'HEADING' ELSE 'PARAGRAPH' END AS kind FROM h""")
+def line_types(spark, sf_dir):
+    i, c = F.col("chunk_index") % 9, F.col("content")
+    t = F.when(i == 1, F.concat(F.lit("return "), c)).when(i == 2, "a = b / c").when(i == 3, "x | y | z").when(i == 4, F.concat(F.lit("- "), c)).when(i == 5, F.concat(F.lit("Chapter One: "), F.substring(c, 1, 9))).when(i == 6, "if (x) { y(); }").when(i == 7, F.concat(F.lit("∑ of "), F.substring(c, 1, 20))).otherwise(c)
+    return chunks(spark, sf_dir).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), D.line_type(t).alias("kind"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'v is ' || p_name || ' ≠ 3' WHEN 1 THEN '(' || p_name || ')' || chr(10) || '\\begin{cases}' || chr(10) || 'x' || chr(10) || '\\end{cases}' WHEN 2 THEN p_name || chr(10) || chr(10) || 'b ∉ C' ELSE p_name END AS math,
+ CASE p_partkey % 2 WHEN 0 THEN '$$' || chr(10) || 'a + ' || p_size || chr(10) || '$$' || chr(10) || chr(10) || '$$' || chr(10) || '\\begin{array}x\\end{array}' || chr(10) || '$$' ELSE '' END AS latex, 'def f():' || chr(10) || '    return ' || p_size AS code FROM part""")
+def formula_texts(spark, sf_dir):
+    i, n, size = F.col("p_partkey") % 4, F.col("p_name"), F.col("p_size").cast("string")
+    math = F.when(i == 0, F.concat(F.lit("𝑣is   "), n, F.lit(" \u0338= 𝟑"))).when(i == 1, F.concat(F.lit("\uf8eb\uf8ec"), n, F.lit("\x11 \uf8f1\uf8f2x"))).when(i == 2, F.concat(n, F.lit("\n\n \n\t\nb ∈\u0338  𝐶\x12"))).otherwise(F.concat(F.lit(" "), n, F.lit("\n")))
+    latex = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("$a + "), size, F.lit("$ ---FORMULA---  $$\\begin{tabular}x\\end{tabular}$$"))).otherwise(" \n ")
+    code = F.concat(F.lit("```python\n\n  def f():\n\t  return "), size, F.lit("  \n\n```"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.math_text(math).alias("math"), X.latex_blocks(latex).alias("latex"), X.code_text(code).alias("code"))
