@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -364,3 +365,27 @@ def edited_section(text: Column, heading: str, body: Column, expected: Column) -
     head = F.substring(text, F.lit(1), F.greatest(start - 1, F.lit(0)))
     made = F.concat(head, F.lit(heading + "\n"), body, F.lit("\n"), tail)
     return F.when((F.sha2(text, 256) == expected) & (start > 0), F.regexp_replace(made, "\n+$", "")).otherwise(text)
+
+
+def expanded(queries: DataFrame, expander: Callable[[str], str | None]) -> DataFrame:
+    """queries(query_id, query) -> with the answer that a model supposes and its error; a failing model leaves the answer empty and never fails the query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            answers, errors = [], []
+            for q in pdf["query"]:
+                try:
+                    answers.append(expander(q or "") or None)
+                    errors.append(None)
+                except Exception as e:  # whatever the model's client raises
+                    answers.append(None)
+                    errors.append(str(e)[:200])
+            yield pd.DataFrame({"query_id": pdf["query_id"], "supposed": answers, "error": errors})
+
+    return queries.select("query_id", "query").mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, supposed string, error string")
+
+
+def expiry(states: DataFrame, now: str, days: int = 30, least: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """states(id, confidence, last, active) -> (states after, log) of one scheduled run: unsure ones without activity for max(30, days) days are put to rest."""
+    gone = F.coalesce(F.col("active") & (F.col("confidence") < least) & (F.col("last") < F.to_timestamp(F.lit(now)) - F.make_dt_interval(F.lit(max(30, days)))), F.lit(False))
+    return states.withColumn("active", F.col("active") & ~gone), states.where(gone).select("id", F.lit("expired").alias("reason"), F.col("confidence").alias("before"))

@@ -242,3 +242,31 @@ def visual_texts(spark, sf_dir):
     i, n, lf = F.col("p_partkey") % 6, F.col("p_name"), F.lit("\n")
     t = F.when(i == 0, F.concat(F.lit("int "), n)).when(i == 1, F.concat(n, F.lit(" = (a + b) * c / d"))).when(i == 2, F.concat(F.lit("| "), n, F.lit(" | x |\n| 1 | 2 |"))).when(i == 3, F.concat(F.lit("a  "), n, F.lit("\nb  c"))).when(i == 4, F.concat(F.lit("Axis of "), F.col("p_type"))).otherwise(F.concat(F.lit("x=1;"), lf, n))
     return table(spark, sf_dir, "part").select("p_partkey", P.visual_text(t).alias("v")).select("p_partkey", "v.*")
+
+
+@query("""WITH m AS (SELECT l_orderkey AS chunk, l_linenumber * 100000 + l_partkey AS position, l_suppkey AS page, CASE l_linenumber WHEN 1 THEN 'HEADING' WHEN 2 THEN 'CODE' WHEN 3 THEN 'TABLE' WHEN 4 THEN 'MIXED_VISUAL' ELSE 'PARAGRAPH' END AS kind, CASE WHEN l_linenumber = 4 THEN l_partkey END AS asset FROM lineitem),
+g AS (SELECT chunk, min(page) AS page_start, max(page) AS page_end, list_sort(list_distinct(list(kind) FILTER (kind <> 'HEADING'))) AS k, bool_or(kind = 'MIXED_VISUAL') AS has_image, bool_or(kind = 'TABLE') AS has_table, FALSE AS has_formula, bool_or(kind = 'CODE') AS has_code, 'p' || arg_min(page, position) AS path, list_sort(list_distinct(list(asset) FILTER (asset IS NOT NULL))) AS a FROM m GROUP BY 1)
+SELECT chunk, page_start, page_end, CASE WHEN coalesce(len(k), 0) = 0 THEN 'HEADING' WHEN len(k) > 1 THEN 'MIXED' ELSE k[1] END AS kind, path, has_image, has_table, has_formula, has_code, coalesce(array_to_string(a, ','), '') AS assets, CASE WHEN len(a) = 1 THEN a[1] END AS asset FROM g""")
+def chunk_facts(spark, sf_dir):
+    n = F.col("l_linenumber")
+    kind = F.when(n == 1, "HEADING").when(n == 2, "CODE").when(n == 3, "TABLE").when(n == 4, "MIXED_VISUAL").otherwise("PARAGRAPH")
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk"), (n * 100000 + F.col("l_partkey")).alias("position"), F.col("l_suppkey").alias("page"), kind.alias("kind"), F.array(F.concat(F.lit("p"), F.col("l_suppkey").cast("string"))).alias("path"), F.when(n == 4, F.col("l_partkey")).alias("asset"))
+    return P.chunk_facts(m, ["chunk"]).withColumns({"path": F.array_join("path", "/"), "assets": F.array_join(F.transform("assets", lambda x: x.cast("string")), ",")})
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN '$$' || chr(10) || 'x^' || p_size || chr(10) || '$$' || chr(10) || chr(10) || 'Formula transcription: x to the ' || p_size WHEN 2 THEN p_name WHEN 3 THEN '```' || chr(10) || 'f(' || p_size || ')' || chr(10) || '```' WHEN 4 THEN '| a | ' || p_brand || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |'
+ ELSE '<figure data-page="' || p_size || '" data-region="3" data-type="diagram">' || chr(10) || chr(10) || 'Visible text:' || chr(10) || p_name || chr(10) || chr(10) || 'Explanation:' || chr(10) || 'a flow' || chr(10) || chr(10) || '</figure>' END AS md FROM part""")
+def rendered_visuals(spark, sf_dir):
+    i, size, n, empty = F.col("p_partkey") % 6, F.col("p_size").cast("string"), F.col("p_name"), F.lit(None).cast("string")
+    kinds = ["DECORATIVE_IMAGE", "FORMULA_IMAGE", "TEXT_IMAGE", "CODE_IMAGE", "TABLE_IMAGE", "DIAGRAM"]
+    said = F.when(i == 1, F.concat(F.lit("x to the "), size)).when(i == 4, F.concat(F.lit("a | "), F.col("p_brand"), F.lit("\n1 | 2"))).when(i == 3, empty).otherwise(n)
+    md = P.rendered_visual(F.get(F.array(*map(F.lit, kinds)), i.cast("int")), said, F.when(i == 5, "a flow "), F.when(i == 1, F.concat(F.lit("$x^"), size, F.lit("$"))), F.when(i == 3, F.concat(F.lit("```\nf("), size, F.lit(")\n```"))), F.col("p_size"), F.lit(3))
+    return table(spark, sf_dir, "part").select("p_partkey", md.alias("md"))
+
+
+@query("""WITH v AS (SELECT doc_id AS page, r AS region, CASE r WHEN 0 THEN substr(text, 1, 50) WHEN 1 THEN 'entirely new picture text ' || doc_id WHEN 2 THEN 'Entirely new picture text ' || doc_id WHEN 3 THEN '***' ELSE 'other words here' END AS t FROM documents, range(5) AS x(r)) SELECT page, region FROM v JOIN documents ON doc_id = page WHERE region IN (1, 4)""")
+def kept_visuals(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "text")
+    r, fresh = F.col("region"), F.concat(F.lit("ntirely new picture text "), F.col("page").cast("string"))
+    t = F.when(r == 0, F.substring("text", 1, 50)).when(r == 1, F.concat(F.lit("e"), fresh)).when(r == 2, F.concat(F.lit("E"), fresh)).when(r == 3, "***").otherwise("other words here")
+    return P.visuals_kept(d.withColumn("region", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))).select("page", "region", t.alias("text")), d)

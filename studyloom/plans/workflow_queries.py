@@ -282,3 +282,20 @@ def edited_sections(spark, sf_dir):
     text = F.concat(F.lit("# A"), lf, F.col("p_name"), lf, F.lit("## B\nold"), F.when(i == 0, "\n### sub\nmore\n# C\nend").otherwise(""))
     digest = F.when(i == 2, "stale").otherwise(F.sha2(text, 256))
     return table(spark, sf_dir, "part").select("p_partkey", W.edited_section(text, "## B", F.concat(F.lit("new "), F.col("p_brand")), digest).alias("text"))
+
+
+@query("SELECT item_id AS query_id, CASE WHEN length(text) % 3 > 0 THEN 'An answer to: ' || substr(text, 1, 30) END AS supposed, CASE WHEN length(text) % 3 = 0 THEN 'model is away' END AS error FROM benchmark")
+def supposed_answers(spark, sf_dir):
+    def stub(q: str) -> str:
+        if len(q) % 3 == 0:
+            raise RuntimeError("model is away")
+        return f"An answer to: {q[:30]}"
+
+    return W.expanded(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), stub)
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, o_totalprice / 400000 AS confidence, o_orderdate AS last, o_orderstatus <> 'P' AS active FROM orders), g AS (SELECT *, active AND confidence < 0.25 AND last < TIMESTAMP '1998-01-01' - INTERVAL 45 DAY AS gone FROM s) SELECT id, active AND NOT gone AS active, CASE WHEN gone THEN 'expired' END AS reason FROM g""")
+def scheduled_expiry(spark, sf_dir):
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 400000).alias("confidence"), F.col("o_orderdate").alias("last"), (F.col("o_orderstatus") != "P").alias("active"))
+    after, log = W.expiry(s, "1998-01-01 00:00:00", 45)
+    return after.join(log.select("id", "reason"), "id", "left").select("id", "active", "reason")
