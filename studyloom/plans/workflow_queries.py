@@ -128,13 +128,13 @@ def quiz_requests(spark, sf_dir):
     return W.requested_counts(r).select("id", "easy", "medium", "total", "error")
 
 
-@query("""WITH a AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), s AS (SELECT *, l_linenumber % 2 = 0 AS free, CASE WHEN l_orderkey % 3 = 0 THEN 1.0 END AS awarded FROM a), g AS (SELECT l_orderkey, l_linenumber, arg_min(l_quantity, l_partkey * 1000 + l_suppkey) AS p FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1, 2)
+@query("""WITH a AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), s AS (SELECT *, l_linenumber % 2 = 0 AS free, CASE WHEN l_orderkey % 3 = 0 THEN 1.0 END AS awarded FROM a), g AS (SELECT l_orderkey, l_linenumber, arg_min(l_quantity, (l_partkey * 1000 + l_suppkey) * 100 + l_quantity) AS p FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1, 2)
 SELECT l_orderkey, l_linenumber, free AND awarded IS NULL AS waited, coalesce(awarded, CASE WHEN free THEN p END) AS awarded FROM s LEFT JOIN g USING (l_orderkey, l_linenumber)""")
 def grading_queue(spark, sf_dir):
     keys = ["l_orderkey", "l_linenumber"]
     li = table(spark, sf_dir, "lineitem")
     a = li.select(*keys).distinct().select(*keys, (F.col("l_linenumber") % 2 == 0).alias("free"), F.when(F.col("l_orderkey") % 3 == 0, 1.0).alias("awarded"))
-    waiting, after = W.to_grade(a, li.where("l_orderkey % 2 = 0").select(*keys, F.col("l_quantity").alias("points"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("at")), keys)
+    waiting, after = W.to_grade(a, li.where("l_orderkey % 2 = 0").select(*keys, F.col("l_quantity").alias("points"), ((F.col("l_partkey") * 1000 + F.col("l_suppkey")) * 100 + F.col("l_quantity")).alias("at")), keys)
     return after.join(waiting.select(*keys, F.lit(True).alias("w")), keys, "left").select(*keys, F.col("w").isNotNull().alias("waited"), "awarded")
 
 
@@ -148,10 +148,10 @@ def study_scopes(spark, sf_dir):
     return W.scopes(r, d, li.select(key.alias("chunk_id"), F.col("l_suppkey").alias("doc_id")).distinct()).select("id", "valid")
 
 
-@query("""WITH q AS (SELECT DISTINCT l_orderkey AS attempt, l_linenumber AS question FROM lineitem), c AS (SELECT l_orderkey AS attempt, l_linenumber AS question, arg_max(l_returnflag, l_partkey * 1000 + l_suppkey) AS given FROM lineitem WHERE l_orderkey % 2 = 0 AND l_linenumber < 6 GROUP BY 1, 2)
+@query("""WITH q AS (SELECT DISTINCT l_orderkey AS attempt, l_linenumber AS question FROM lineitem), c AS (SELECT l_orderkey AS attempt, l_linenumber AS question, arg_max(l_returnflag, (l_partkey * 1000 + l_suppkey) * 100 + l_quantity) AS given FROM lineitem WHERE l_orderkey % 2 = 0 AND l_linenumber < 6 GROUP BY 1, 2)
 SELECT attempt, question, coalesce(c.given, 'old') AS given, CASE WHEN c.given IS NULL THEN 1.0::DOUBLE END AS awarded FROM q LEFT JOIN c USING (attempt, question)""")
 def saved_answers(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("attempt"), F.col("l_linenumber").alias("question"), F.col("l_returnflag").alias("given"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("at"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("attempt"), F.col("l_linenumber").alias("question"), F.col("l_returnflag").alias("given"), ((F.col("l_partkey") * 1000 + F.col("l_suppkey")) * 100 + F.col("l_quantity")).alias("at"))
     old = li.select("attempt", "question").distinct().select("attempt", "question", F.lit("old").alias("given"), F.lit(1.0).alias("awarded"))
     quiz = li.select("attempt", F.lit(1).alias("quiz")).distinct()
     return W.saved_answers(old, li.where("attempt % 2 = 0"), spark.range(1, 6).select(F.lit(1).alias("quiz"), F.col("id").cast("int").alias("question")), quiz)
