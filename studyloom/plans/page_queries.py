@@ -244,13 +244,13 @@ def visual_texts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", P.visual_text(t).alias("v")).select("p_partkey", "v.*")
 
 
-@query("""WITH m AS (SELECT l_orderkey AS chunk, l_linenumber * 100000 + l_partkey AS position, l_suppkey AS page, CASE l_linenumber WHEN 1 THEN 'HEADING' WHEN 2 THEN 'CODE' WHEN 3 THEN 'TABLE' WHEN 4 THEN 'MIXED_VISUAL' ELSE 'PARAGRAPH' END AS kind, CASE WHEN l_linenumber = 4 THEN l_partkey END AS asset FROM lineitem),
+@query("""WITH m AS (SELECT l_orderkey AS chunk, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS position, l_suppkey AS page, CASE l_linenumber WHEN 1 THEN 'HEADING' WHEN 2 THEN 'CODE' WHEN 3 THEN 'TABLE' WHEN 4 THEN 'MIXED_VISUAL' ELSE 'PARAGRAPH' END AS kind, CASE WHEN l_linenumber = 4 THEN l_partkey END AS asset FROM lineitem),
 g AS (SELECT chunk, min(page) AS page_start, max(page) AS page_end, list_sort(list_distinct(list(kind) FILTER (kind <> 'HEADING'))) AS k, bool_or(kind = 'MIXED_VISUAL') AS has_image, bool_or(kind = 'TABLE') AS has_table, FALSE AS has_formula, bool_or(kind = 'CODE') AS has_code, 'p' || arg_min(page, position) AS path, list_sort(list_distinct(list(asset) FILTER (asset IS NOT NULL))) AS a FROM m GROUP BY 1)
 SELECT chunk, page_start, page_end, CASE WHEN coalesce(len(k), 0) = 0 THEN 'HEADING' WHEN len(k) > 1 THEN 'MIXED' ELSE k[1] END AS kind, path, has_image, has_table, has_formula, has_code, coalesce(array_to_string(a, ','), '') AS assets, CASE WHEN len(a) = 1 THEN a[1] END AS asset FROM g""")
 def chunk_facts(spark, sf_dir):
     n = F.col("l_linenumber")
     kind = F.when(n == 1, "HEADING").when(n == 2, "CODE").when(n == 3, "TABLE").when(n == 4, "MIXED_VISUAL").otherwise("PARAGRAPH")
-    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk"), (n * 100000 + F.col("l_partkey")).alias("position"), F.col("l_suppkey").alias("page"), kind.alias("kind"), F.array(F.concat(F.lit("p"), F.col("l_suppkey").cast("string"))).alias("path"), F.when(n == 4, F.col("l_partkey")).alias("asset"))
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk"), (n * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("position"), F.col("l_suppkey").alias("page"), kind.alias("kind"), F.array(F.concat(F.lit("p"), F.col("l_suppkey").cast("string"))).alias("path"), F.when(n == 4, F.col("l_partkey")).alias("asset"))
     return P.chunk_facts(m, ["chunk"]).withColumns({"path": F.array_join("path", "/"), "assets": F.array_join(F.transform("assets", lambda x: x.cast("string")), ",")})
 
 
