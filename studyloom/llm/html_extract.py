@@ -33,6 +33,9 @@ DROPPED_PARTS = DROPPED_NAMES | frozenset("adv advertising gdpr alert side aside
 #: Containers that can be a slot.
 GROUPS = frozenset("html body main article section div td center details".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+CONTAINERS = BLOCKS | DROPPED_TAGS
+#: Containers whose tag says nothing of what they hold.
+UNTOLD = frozenset("div section td center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 MAIN_TAGS = ("article", "main")
@@ -43,33 +46,51 @@ NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 ENDS = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 
 
+class Box:
+    """An open container: its path, the depth of the outermost container that a tag or whole name drops (0: none), and whether a tag or a part of a name drops it."""
+
+    def __init__(self, tag: str, path: str, strict: int, loose: bool, bare: bool):
+        self.tag, self.path, self.strict, self.loose, self.bare = tag, path, strict, loose, bare
+
+
 def parse(page: str) -> tuple[list[tuple[str, str, int, int, bool]], dict[str, int]]:
     """(blocks in page order, how often each container's path occurs).
 
-    A block is (path of its container, text with white space collapsed, characters of it in links, depth of the outermost container
-    that a tag or whole name drops or 0, whether a tag or a part of a name drops it). Each text node is decoded on its own.
+    A block is (path of its container, text with white space collapsed, characters of it in links, and strict and loose of the container).
+    A path has each container's tag with its class; one without a class has the tag of its first child instead, if it starts with one.
+    Each text node is decoded on its own.
     """
     out: list[tuple[str, str, int, int, bool]] = []
     opened: dict[str, int] = {}
-    stack: list[tuple[str, str, int, bool, bool]] = []
+    stack: list[tuple[str, bool]] = []
+    boxes: list[Box] = []
     held: list[tuple[str, bool]] = []
 
+    def starts(child: str) -> None:
+        if boxes and boxes[-1].bare:
+            box = boxes[-1]
+            box.bare, box.path = False, f"{box.path}>{child}" if child else box.path
+            opened[box.path] = opened.get(box.path, 0) + 1
+
     def flush() -> None:
         if held:
             text = " ".join("".join(t for t, _ in held).split())
             linked = sum(len("".join(t.split())) for t, link in held if link)
             held.clear()
             if text:
-                out.append((stack[-1][1], text, linked, stack[-1][2], stack[-1][3]) if stack else ("", text, linked, 0, False))
+                starts("")
+                out.append((boxes[-1].path, text, linked, boxes[-1].strict, boxes[-1].loose) if boxes else ("", text, linked, 0, False))
 
     def pop(count: int) -> None:
         for _ in range(count):
-            if stack[-1][0] in BLOCKS or stack[-1][0] in DROPPED_TAGS:
+            if stack[-1][0] in CONTAINERS:
                 flush()
+                starts("")
+                boxes.pop()
             stack.pop()
 
     def say(text: str) -> None:
-        held.append((html.unescape(text) if "&" in text else text, bool(stack) and stack[-1][4]))
+        held.append((html.unescape(text) if "&" in text else text, bool(stack) and stack[-1][1]))
 
     at = 0
     for m in iter(lambda: MARKUP.search(page, at), None):
@@ -98,27 +119,34 @@ def parse(page: str) -> tuple[list[tuple[str, str, int, int, bool]], dict[str, i
                 break
             if stack[k][0] in BLOCKS:
                 break
-        if tag in BLOCKS or tag in DROPPED_TAGS:
+        if tag in CONTAINERS:
             flush()
         if tag in RAW:
             end = ENDS[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
-        up = stack[-1] if stack else ("", "", 0, False, False)
-        if tag not in BLOCKS and tag not in DROPPED_TAGS:
-            stack.append((tag, up[1], up[2], up[3], up[4] or tag == "a"))
+        link = bool(stack) and stack[-1][1]
+        if tag not in CONTAINERS:
+            stack.append((tag, link or tag == "a"))
             continue
+        starts(tag)
+        up = boxes[-1] if boxes else Box("", "", 0, False, False)
         named = {n.lower(): a or b or c for n, a, b, c in NAMED.findall(m[3] or m[6] or "")}
         names = " ".join(named.values()).lower().split()
-        path = f"{up[1]}/{tag}" + (f".{named['class'].strip().split()[0]}" if named.get("class", "").strip() else "")
-        opened[path] = opened.get(path, 0) + 1
+        own = named.get("class", "").split()
+        path = f"{up.path}/{tag}" + (f".{own[0]}" if own else "")
         text_holder = tag in ("html", "body", "article", "main")
         strict = tag in DROPPED_TAGS or (not text_holder and not DROPPED_NAMES.isdisjoint(names))
         loose = strict or (not text_holder and any(not DROPPED_PARTS.isdisjoint(re.split(r"[^a-z0-9]+", n)) for n in names))
-        stack.append((tag, path, up[2] or (path.count("/") if strict else 0), up[3] or loose, up[4]))
+        bare = tag in UNTOLD and not own
+        if not bare:
+            opened[path] = opened.get(path, 0) + 1
+        boxes.append(Box(tag, path, up.strict or (path.count("/") if strict else 0), up.loose or loose, bare))
+        stack.append((tag, link))
     if at < len(page):
         say(page[at:])
     flush()
+    pop(len(stack))
     return out, opened
 
 

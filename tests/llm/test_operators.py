@@ -501,3 +501,16 @@ def test_html_copies_keep_their_text(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {x.page_id: x.text for x in html_extract.extract(pages).collect()}
     assert all(site[min(k, 3)][1].split("\n")[j] in got[k] for k in range(9) for j in range(3))
+
+
+def test_html_without_classes_or_telling_tags(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    want = {r.page_id: html_extract.main_text(r.html or "", None) for r in pages.collect()}
+    bare = r'<(/?)(nav|article|footer|aside|header|main|section|form)\\b'
+    plain = pages.selectExpr("page_id", "url", f"regexp_replace(regexp_replace(html, '{bare}', '<$1div'), ' (class|id|role)=\"[^\"]*\"', '') AS html")
+    hosts = {r.host for r in html_extract.templates(plain).where("main IS NOT NULL").collect()}
+    assert hosts
+    got = html_extract.extract(plain).withColumn("host", html_extract.host(plain.url)).collect()
+    assert all(r.text == want[r.page_id] for r in got if r.host in hosts)
+    first, path = html_extract.parse("<div><ul><li>a</ul></div><div>b</div><div> <h1>c</h1>d</div><div></div>")
+    assert [b[0] for b in first] == ["/div>ul/ul/li", "/div", "/div>h1/h1", "/div>h1"] and path["/div"] == 2
