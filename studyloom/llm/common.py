@@ -10,7 +10,7 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -64,6 +64,33 @@ def sent_to_all(df: DataFrame, most: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def placed(rows: DataFrame, group: str, order: list[str], weight: str | None = None) -> DataFrame:
+    """rows, settled, with long columns i and n: the gapless place from 0 in its group by order, and the group's rows.
+
+    With weight (a long column, never null) also before and total: the weight of the rows ahead in the group, and the group's.
+    Rows are dealt by ranges of (group, order), so a group of any size is cut into pieces; only pieces are numbered together, at most
+    one for each group and range. Rows of equal order need a last column that tells them apart, else they share a range. rows must come
+    from a settled table, as ranges are found by reading it once more, and has none of these names nor one that starts with __.
+    """
+    far = 1 << 33  # a task numbers its rows from its own multiple of this
+    dealt = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("__at", F.monotonically_increasing_id())
+    if weight:
+        inside = Window.partitionBy("__part", group).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = settle(dealt).withColumn("__part", F.floor(F.col("__at") / far))
+    sums = [F.min("__at").alias("__first"), F.count("*").alias("__n")] + ([F.sum(weight).alias("__w")] if weight else [])
+    whole = Window.partitionBy(group)
+    ahead = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    more = [F.coalesce(F.sum("__w").over(ahead), zero).alias("__w_ahead"), F.sum("__w").over(whole).alias("total")] if weight else []
+    pieces = dealt.groupBy(group, "__part").agg(*sums)
+    pieces = settle(pieces.select(group, "__part", (F.coalesce(F.sum("__n").over(ahead), zero) - F.col("__first")).alias("__shift"), F.sum("__n").over(whole).alias("n"), *more))
+    if weight:
+        dealt = dealt.withColumn("__inside", F.coalesce(F.sum(weight).over(inside), zero))
+    out = dealt.join(sent_to_all(pieces), [group, "__part"])
+    kept = [*rows.columns, (F.col("__at") + F.col("__shift")).alias("i"), "n"]
+    return out.select(*kept, *([(F.col("__w_ahead") + F.col("__inside")).alias("before"), "total"] if weight else []))
+
+
 def let(value: Column, body) -> Column:
     """Bind value to a lambda variable, so that body can use it many times while it is computed once a row."""
     return F.transform(F.array(value), body)[0]

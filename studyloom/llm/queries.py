@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, compression, decontaminate, html_extract, jaccard_join, lm_score, mixing, pii, quality_rules, warc
+from . import chat_format, compression, decontaminate, hilbert, html_extract, jaccard_join, lm_score, merkle, mixing, pii, prefix_trie, quality_rules, warc
 from .common import table
 
 
@@ -52,9 +52,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shards(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_jaccard_join, op4_lm_score, op5_html_extract, op6_warc, op7_chat_format, op8_mix_sources, op9_compression, op10_pii)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_jaccard_join, op4_lm_score, op5_html_extract, op6_warc, op7_chat_format, op8_mix_sources, op9_compression, op10_pii, op11_prefix_trie, op12_hilbert_shards, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.SQL, "op7_chat_format": chat_format.SQL, "op8_mix_sources": mixing.SQL}
+    return {"op6_warc": warc.SQL, "op7_chat_format": chat_format.SQL, "op8_mix_sources": mixing.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_hilbert_shards": hilbert.SQL, "op13_merkle_manifest": merkle.SQL}
