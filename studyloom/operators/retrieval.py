@@ -88,42 +88,61 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
-def lexical_recall(queries: DataFrame, texts: DataFrame, k: int = 30) -> DataFrame:
-    """queries(query_id, query), texts(id, text) -> rows that have any of a query's terms.
-
-    A term counts 1 wherever it stands in a text and 0.4 more in the text's preview: as any term matches, each place is a
-    cover of its own, and covers add up. With x that sum and y = x / (1 + x), the score is y / (1 + y). Words that are no term of any
-    query are dropped where they are read, before anything is counted or shuffled.
-    """
-    q = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term"))
-    wanted = q.select("term").distinct()
-    t = texts.select("id", F.explode(words_of(F.col("text"))).alias("term"), F.lit(1).alias("a"), F.lit(0).alias("b"))
-    t = t.unionByName(texts.select("id", F.explode(words_of(preview(F.col("text")))).alias("term"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-    t = t.join(wanted, "term", "left_semi").groupBy("id", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    hits = t.join(q, "term").groupBy("query_id", "id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    x = F.col("a") + 0.4 * F.col("b")
-    y = x / (1 + x)
-    return top(hits.select("query_id", "id", half_up(y / (1 + y), 6).alias("score")), ["query_id"], [F.desc("score"), F.col("id")], k)
-
-
 def exact_recall(signals: DataFrame, texts: DataFrame, k: int = 15) -> DataFrame:
     """signals(query_id, signal), texts(id, title, text): 2 points for a signal in the title, else 1.5 in the normalised text.
 
-    Normalising keeps what is contained, so a signal in the text itself is in the normalised one too. Signals are normalised once, and
-    go to the texts in blocks of a bounded number, each text being normalised once for a block.
+    Normalising keeps what is contained, so a signal in the text itself is in the normalised one too. Signals go to the texts in blocks of
+    a bounded number, as two automata that find all of a block's signals in one pass over a title or text. An empty signal is in every one.
     """
     n = signals.groupBy("query_id").agg(F.count("*").alias("n"))
     t = texts.select("id", "title", exact_signal(F.col("text")).alias("__norm"))
-    out = None
-    for part in _query_blocks(signals.select("query_id", "signal", exact_signal(F.col("signal")).alias("__s")), QUERY_BLOCK):
-        named = F.col("title").contains(F.col("signal"))
-        met = t.join(F.broadcast(part), named | F.col("__norm").contains(F.col("__s")))  # a block of the query set
-        hits = met.groupBy("query_id", "id").agg(F.sum(F.when(named, 2.0).otherwise(1.5)).alias("points"))
-        out = hits if out is None else out.unionByName(hits)
-    scored = out.join(n, "query_id").select("query_id", "id", F.round(F.least(F.lit(1.0), F.col("points") / (2 * F.col("n"))), 6).alias("score"))
+    kinds = dict(signals.dtypes) | dict(texts.dtypes)
+    schema = f"query_id {kinds['query_id']}, id {kinds['id']}, points double"
+    hits = None
+    for part in _query_blocks(signals.where("signal IS NOT NULL").select("query_id", "signal", exact_signal(F.col("signal")).alias("norm")), QUERY_BLOCK):
+        rows = [tuple(r) for r in part.collect()]  # at most about QUERY_BLOCK
+        found = t.mapInPandas(lambda batches, rows=rows: _signal_hits(batches, rows), schema) if rows else None
+        hits = found if hits is None else hits.unionByName(found) if found is not None else hits
+    if hits is None:
+        hits = n.select("query_id", F.lit(None).cast(kinds["id"]).alias("id"), F.lit(0.0).alias("points")).limit(0)
+    scored = hits.groupBy("query_id", "id").agg(F.sum("points").alias("points")).join(n, "query_id").select("query_id", "id", F.round(F.least(F.lit(1.0), F.col("points") / (2 * F.col("n"))), 6).alias("score"))
     return top(scored, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
+def _automaton(patterns: list[str]):
+    """Finds which of the patterns a string has, as a set of their numbers; one pass, whatever their number."""
+    import ahocorasick
+
+    places: dict[str, list[int]] = {}
+    for k, p in enumerate(patterns):
+        places.setdefault(p, []).append(k)
+    always = places.pop("", [])
+    machine = ahocorasick.Automaton()
+    for p, numbers in places.items():
+        machine.add_word(p, numbers)
+    machine.make_automaton()
+
+    def found(text: str | None) -> set[int]:
+        if text is None:
+            return set()
+        return {*always, *(k for numbers in {id(v): v for _, v in machine.iter(text)}.values() for k in numbers)} if places else {*always}
+
+    return found
+
+
+def _signal_hits(batches, rows):
+    """(query_id, id, points) of each text of the batches that has any of the signals rows (query_id, signal, norm)."""
+    in_title, in_text = _automaton([r[1] for r in rows]), _automaton([r[2] for r in rows])
+    for pdf in batches:
+        out = []
+        for key, title, norm in zip(pdf["id"], pdf["title"], pdf["__norm"]):
+            named, points = in_title(title), {}
+            for k in named | in_text(norm):
+                points[rows[k][0]] = points.get(rows[k][0], 0.0) + (2.0 if k in named else 1.5)
+            out += [(q, key, p) for q, p in points.items()]
+        yield pd.DataFrame(out, columns=["query_id", "id", "points"])
+
+
 def fuse(candidates: DataFrame) -> DataFrame:
     """candidates(query_id, channel, id, score, rank) -> weighted reciprocal rank fusion, scaled to the query's best."""
     weight = F.coalesce(*[F.when(F.col("channel") == c, w) for c, w in CHANNEL_WEIGHTS.items()])

@@ -11,7 +11,9 @@ from ..functions import text as T
 from ..operators import learning as L
 from ..operators import memory as M
 from ..operators import retrieval as R
+from ..operators import text_index
 from ..sources import upsert as U
+from ..sources.shared import stored
 from .registry import CHUNKS, FOUND, chunks, query, table
 
 WS = "trim(regexp_replace(content, '\\s+', ' ', 'g'))"
@@ -53,9 +55,21 @@ h AS (SELECT query_id, id, sum(a) + 0.4::DOUBLE * sum(b) AS x FROM t0 JOIN q USI
 lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s2) WHERE rank <= 30)"""
 
 
+def _index(spark, sf_dir):
+    """The stored index of the documents' texts, built once an application."""
+    build = lambda docs, path: text_index.build(docs.select(F.col("doc_id").alias("id"), "text"), path)
+    return text_index.open_index(spark, stored("text_index", table(spark, sf_dir, "documents"), build))
+
+
 def _lexical(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return R.lexical_recall(q, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return text_index.search(_index(spark, sf_dir), q)
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS a FROM w GROUP BY 1, 2)
+SELECT term, count(*) AS n, CAST(sum(a) AS BIGINT) AS a, max(a) AS most FROM c GROUP BY 1""")
+def stored_postings(spark, sf_dir):
+    return text_index.statistics(_index(spark, sf_dir))
 
 
 @query(f"WITH {LEXICAL} SELECT query_id, id, score, rank FROM lex")
