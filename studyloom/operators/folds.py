@@ -148,33 +148,36 @@ def greedy_distinct(texts: DataFrame, group: str, least: float = 0.88) -> DataFr
     return fold_rows(t, [group], ["position"], ["position", "tokens"], "position long", list, step)
 
 
-def topic_history(events: DataFrame, keys: list[str]) -> DataFrame:
-    """events from learning.updates -> the state of each key after each of its events, in order of time and id. The numbers are fixed values.
+STATE = "version long, mastery double, confidence double, evidence double, attempts long, correct_streak long, wrong_streak long, trend double, stability double, calibration double, needs_review boolean, review_days long"
 
-    Columns: version, event_id, mastery, confidence, evidence, attempts, correct_streak, wrong_streak, trend, stability, calibration, needs_review, review_days.
-    """
+
+def topic_step(s: tuple | None, delta: float, weight: float, signal: float, days: int, attempt: bool, right: bool, flagged: bool) -> tuple:
+    """A topic's state, as STATE, after one more event; None before the first. The numbers are fixed values."""
     clip = lambda x: max(0.0, min(1.0, x))
+    ok, bad = attempt and right, attempt and not right
+    gain = max(1.0, weight * 2)
+    if s is None:
+        m = clip(0.5 + delta)
+        return (1, m, max(0.0, min(1.0, weight * 0.08) - (0.02 if attempt else 0.0)), weight, int(attempt), int(ok), int(bad), signal,
+                min(365.0, 1 + gain) if ok else 1.0, 0.1 if attempt else 0.0, flagged or m < 0.7, days)
+    n, m0, conf, ev, tries, oks, bads, trend, stable, cal, _, _ = s
+    miss = abs(m0 - (1 if ok else 0)) if attempt else 0.0
+    m = clip(m0 + delta)
+    grown = min(365.0, stable + gain)
+    return (n + 1, m, clip(conf + weight * 0.08 - miss * 0.04), ev + weight, tries + int(attempt), oks + 1 if ok else 0 if bad else oks, bads + 1 if bad else 0 if ok else bads,
+            trend * 0.7 + signal * 0.3, max(1.0, stable * 0.55) if bad else grown if ok else stable, cal * 0.8 + miss * 0.2 if attempt else cal,
+            m < 0.7 or bad, -int(-grown // 1) if ok else days)
+
+
+def topic_history(events: DataFrame, keys: list[str]) -> DataFrame:
+    """events from learning.updates -> the state of each key after each of its events, in order of time and id: event_id and STATE."""
 
-    def step(s, event, delta, weight, signal, days, attempt, right, flagged):
-        ok, bad = attempt and right, attempt and not right
-        gain = max(1.0, weight * 2)
-        if s is None:
-            m = clip(0.5 + delta)
-            s = (1, m, max(0.0, min(1.0, weight * 0.08) - (0.02 if attempt else 0.0)), weight, int(attempt), int(ok), int(bad), signal,
-                 min(365.0, 1 + gain) if ok else 1.0, 0.1 if attempt else 0.0, flagged or m < 0.7, days)
-        else:
-            n, m0, conf, ev, tries, oks, bads, trend, stable, cal, _, _ = s
-            miss = abs(m0 - (1 if ok else 0)) if attempt else 0.0
-            m = clip(m0 + delta)
-            grown = min(365.0, stable + gain)
-            s = (n + 1, m, clip(conf + weight * 0.08 - miss * 0.04), ev + weight, tries + int(attempt), oks + 1 if ok else 0 if bad else oks, bads + 1 if bad else 0 if ok else bads,
-                 trend * 0.7 + signal * 0.3, max(1.0, stable * 0.55) if bad else grown if ok else stable, cal * 0.8 + miss * 0.2 if attempt else cal,
-                 m < 0.7 or bad, -int(-grown // 1) if ok else days)
+    def step(s, event, *values):
+        s = topic_step(s, *values)
         return s, [(s[0], event, *s[1:])]
 
     cols = ["event_id", "delta", "weight", "signal", "days", "attempt", "right", "flagged"]
-    return fold_rows(events, keys, ["ts", "event_id"], cols, "version long, event_id long, mastery double, confidence double, evidence double, attempts long, correct_streak long, wrong_streak long, trend double, stability double, calibration double, needs_review boolean, review_days long",
-        lambda: None, step)
+    return fold_rows(events, keys, ["ts", "event_id"], cols, STATE.replace("version long", "version long, event_id long"), lambda: None, step)
 
 
 def estimate(text: str) -> int:

@@ -7,13 +7,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.text import half_up
 from ..operators import learning as L
 from ..operators import memory as M
 from ..operators import retrieval as R
 from ..operators import records
 from ..streaming import learning_stream as S
-from .queries import EVENT, EXACT, LEXICAL, _exact, _lexical
+from ..streaming import topic_stream
+from .queries import EVENT, EXACT, LEXICAL, _exact, _lexical, learning_events
 from .registry import query, table
+from .study_queries import NUMBERS, ROUNDED, STATES
 
 
 def _folder(spark) -> str:
@@ -83,3 +86,31 @@ def evidence_search(spark, sf_dir):
 SELECT query_id, count(*) FILTER (channel = 'lexical') AS lexical, count(*) FILTER (channel = 'exact') AS exact, count(DISTINCT id) AS different, count(DISTINCT channel) < 2 AS partial FROM al GROUP BY 1""")
 def retrieval_diagnostics(spark, sf_dir):
     return R.diagnostics({"lexical": _lexical(spark, sf_dir), "exact": _exact(spark, sf_dir)})
+
+
+#: Micro-batches of stream_topic_states.
+BATCHES = 10
+
+
+def arrivals(events, parts: int, hours: int = 6):
+    """Events with the number of the batch they come in: late by up to so many hours, and one in seven comes again in the next batch or the one after."""
+    late = F.pmod(F.xxhash64("event_id"), F.lit(hours * 3600))
+    rows = events.withColumn("__at", F.unix_seconds(F.col("ts").cast("timestamp")) + late)
+    first, last = rows.agg(F.min("__at"), F.max("__at")).first()
+    batch = F.floor((F.col("__at") - (first or 0)) * parts / ((last or 0) - (first or 0) + 1)).cast("int")
+    rows = rows.withColumn("batch", batch)
+    again = rows.where(F.pmod(F.xxhash64("event_id", F.lit(1)), F.lit(7)) == 0).withColumn("batch", F.least(F.lit(parts - 1), F.col("batch") + 1 + F.pmod(F.xxhash64("event_id", F.lit(2)), F.lit(2)).cast("int")))
+    return rows.unionByName(again).drop("__at")
+
+
+@query(f"WITH RECURSIVE {STATES} SELECT user_id, topic, k AS version, {ROUNDED}, CAST(attempts AS BIGINT) AS attempts, CAST(good AS BIGINT) AS correct_streak, CAST(wrong AS BIGINT) AS wrong_streak, needs_review, review_days, 0::BIGINT AS late FROM (SELECT *, row_number() OVER (PARTITION BY user_id, topic ORDER BY k DESC) AS z FROM s) WHERE z = 1")
+def stream_topic_states(spark, sf_dir):
+    """The events come in ten micro-batches, out of order and partly twice; the last states equal the replay in event time."""
+    where = _folder(spark)
+    rows = arrivals(learning_events(spark, sf_dir).where("topic IS NOT NULL"), BATCHES)
+    with topic_stream.rocksdb(spark):
+        for b in range(BATCHES):  # the stream stops after each and goes on from its checkpoint
+            rows.where(F.col("batch") == b).drop("batch").write.mode("append").parquet(f"{where}/in")
+            source = spark.readStream.schema(rows.drop("batch").schema).parquet(f"{where}/in")
+            last = S.run_to_table(topic_stream.topic_states(source, ["user_id", "topic"]), ["user_id", "topic"], f"{where}/out", f"{where}/progress")
+    return last.withColumns({c: half_up(F.col(c), 6) for c in NUMBERS})
