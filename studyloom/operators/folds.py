@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -219,3 +220,94 @@ def context_items(candidates: DataFrame, keys: list[str], count: int = 8, budget
 
     c = candidates.select(*keys, F.col("rank").cast("long").alias("rank"), F.transform("sources", lambda x: x.cast("string")).alias("sources"), "content")
     return fold_rows(c, keys, ["rank"], ["rank", "sources", "content"], "rank long, citation string, content string, tokens long, truncated boolean", lambda: (0, 0, set()), step)
+
+
+#: Coordinates that bound a similarity before all of them are multiplied.
+HEAD = 16
+
+
+class Memories:
+    """The active memories of one owner and type, in the order in which they came, with unit vectors in growing arrays."""
+
+    def __init__(self):
+        self.ids, self.confidence, self.size = [], [], None
+        self.by_digest: dict = {}
+        self.live = np.zeros(64, bool)
+        self.full = self.tail = None
+
+    def add(self, key, digest, vector, confidence) -> None:
+        at = len(self.ids)
+        self.ids.append(key)
+        self.confidence.append(confidence)
+        if digest is not None:
+            self.by_digest.setdefault(digest, []).append(at)
+        if at == len(self.live):
+            self.live = np.concatenate([self.live, np.zeros(at, bool)])
+        self.live[at] = True
+        unit = self.unit(vector)
+        if unit is None:
+            return
+        if self.full is None:
+            self.size, self.full, self.tail = len(unit), np.zeros((64, len(unit))), np.zeros(64)
+        while at >= len(self.full):
+            self.full, self.tail = np.concatenate([self.full, np.zeros_like(self.full)]), np.concatenate([self.tail, np.zeros_like(self.tail)])
+        if len(unit) == self.size:
+            self.full[at], self.tail[at] = unit, np.linalg.norm(unit[HEAD:])
+
+    @staticmethod
+    def unit(vector):
+        v = np.asarray(vector if vector is not None else [], float)
+        norm = np.linalg.norm(v) if len(v) else 0.0
+        return v / norm if norm > 0 else None
+
+    def equal(self, digest) -> int | None:
+        """The first live memory of a digest."""
+        return next((at for at in self.by_digest.get(digest, []) if self.live[at]), None) if digest is not None else None
+
+    def closest(self, vector, least: float) -> tuple[int, float] | None:
+        """The first of the most similar live memories, if its cosine, rounded to six digits, is least or more.
+
+        The product of the first coordinates and of the norms of the rest bounds a cosine; only memories whose bound reaches least are met.
+        """
+        unit = self.unit(vector)
+        if unit is None or self.full is None or len(unit) != self.size:
+            return None
+        n = min(len(self.ids), len(self.full))
+        bound = self.full[:n, :HEAD] @ unit[:HEAD] + self.tail[:n] * np.linalg.norm(unit[HEAD:])
+        near = np.flatnonzero(self.live[:n] & (bound >= least - 1e-6))
+        if not len(near):
+            return None
+        cos = np.round(self.full[near] @ unit, 6)
+        best = int(np.argmax(cos))
+        return (int(near[best]), float(cos[best])) if cos[best] >= least else None
+
+
+def consolidated(candidates: DataFrame, memories: DataFrame, keys: list[str], same: float = 0.90, update: float = 0.78) -> DataFrame:
+    """candidates(keys, place, id, digest, vector, confidence), memories(keys, id, digest, vector, confidence) -> (keys, id, decision, memory, similarity), candidate by candidate.
+
+    keys are owner and type. Each candidate meets what the ones before it left: ADD appends it, UPDATE takes the closest memory out and
+    appends it, SKIP leaves all as it is. An equal digest skips; else a cosine of `same` or more updates if the candidate is surer and skips
+    if not, one of `update` or more updates. Memories come by id, candidates by place and id; null vectors and digests meet nothing,
+    and memory and similarity are null for ADD. A task reads one key's rows in order; its state is the key's live memories.
+    """
+
+    def step(state, fresh, key, digest, vector, confidence):
+        if not fresh:
+            state.add(key, digest, vector, confidence)
+            return state, []
+        at = state.equal(digest)
+        if at is not None:
+            return state, [(key, "SKIP", state.ids[at], 1.0)]
+        hit = state.closest(vector, update)
+        decision = "ADD" if hit is None else "SKIP" if hit[1] >= same and not confidence > state.confidence[hit[0]] else "UPDATE"
+        if decision != "SKIP":
+            if hit:
+                state.live[hit[0]] = False
+            state.add(key, digest, vector, confidence)
+        return state, [(key, decision, state.ids[hit[0]] if hit else None, hit[1] if hit else None)]
+
+    kind = dict(candidates.dtypes)["id"]
+    rest = ["id", "digest", "vector", F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence")]
+    old = memories.select(*keys, F.lit(False).alias("__fresh"), F.lit(0).cast("long").alias("__place"), *rest)
+    new = candidates.select(*keys, F.lit(True).alias("__fresh"), F.col("place").cast("long").alias("__place"), *rest)
+    return fold_rows(old.unionByName(new), keys, ["__fresh", "__place", "id"], ["__fresh", "id", "digest", "vector", "confidence"], f"id {kind}, decision string, memory {kind}, similarity double", Memories, step)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settle
 from .folds import fold_rows
+from .retrieval import top
 
 
 def updates(events: DataFrame) -> DataFrame:
@@ -95,16 +97,41 @@ def cooccurrence(links: DataFrame, first: float = 0.4, more: float = 0.02) -> Da
 
 
 def reachable(edges: DataFrame, start: DataFrame, depth: int = 4) -> DataFrame:
-    """edges(a, b), start(node) -> (node, depth): least number of steps from any start. Each step is one join with what is new."""
+    """edges(a, b), start(node) -> (node, depth): least number of steps from any start. Each step is one join with what is new, and is written."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    seen = start.select("node", F.lit(0).alias("depth")).distinct()
+    last = settle(start.select("node", F.lit(0).alias("depth")).distinct())
+    seen = last
     for k in range(1, depth + 1):
-        last = seen.where(F.col("depth") == k - 1)
         fresh = last.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        seen = seen.unionByName(fresh.withColumn("depth", F.lit(k)))
+        last = settle(fresh.withColumn("depth", F.lit(k)))
+        seen = seen.unionByName(last)
     return seen
 
 
+def topic_paths(edges: DataFrame, starts: DataFrame, depth: int = 4, most: int = 200) -> DataFrame:
+    """edges(a, b, weight), starts(start) -> (start, a, b, weight, depth, path, rank): the last edge of each path without a repeated node, by depth, weight and path, the first `most` of each start.
+
+    A start that has that many paths needs none that are longer, so one that goes on has fewer; and of a node's edges the heaviest
+    most + depth are enough, as depth nodes at most are on the path already. So each level has a bounded number of rows for a start, however
+    many edges its nodes have. Levels are written; a start without edges has no rows; edges given twice are paths of their own.
+    """
+    near = settle(top(edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b", "weight"), ["a"], [F.desc("weight"), F.col("b")], most + depth, "__p").drop("__p"))
+    level = starts.select("start").distinct().join(near, F.col("start") == F.col("a")).withColumn("path", F.array("a", "b"))
+    found = None
+    for d in range(1, depth + 1):
+        level = settle(level.withColumn("depth", F.lit(d)))
+        if level.isEmpty():
+            break
+        best = top(level, ["start"], [F.desc("weight"), F.col("path")], most)
+        found = best.drop("rank") if found is None else found.unionByName(best.drop("rank"))
+        going = found.groupBy("start").agg(F.count("*").alias("n")).where(F.col("n") < most).select("start")
+        end = level.join(going, "start", "left_semi").select("start", "path", F.col("b").alias("end"))
+        level = end.join(near, F.col("end") == F.col("a")).where(~F.array_contains("path", F.col("b"))).select("start", "a", "b", "weight", F.concat("path", F.array("b")).alias("path"))
+    if found is None:
+        found = level.withColumn("depth", F.lit(0))
+    return top(found, ["start"], [F.col("depth"), F.desc("weight"), F.col("path")], most).select("start", "a", "b", "weight", "depth", "path", "rank")
+
+
 def quiz_results(answers: DataFrame) -> DataFrame:
     """answers(attempt, topic, awarded (null: not graded), possible) -> totals, what is left to grade, weak topics by ratio."""
     per = answers.groupBy("attempt", "topic").agg(F.sum("awarded").alias("got"), F.sum("possible").alias("of"), F.count_if(F.col("awarded").isNull()).alias("left"))

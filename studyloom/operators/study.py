@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import half_up, jaccard, tokens
+from ..sources.shared import settle
 from .retrieval import top
 
 
@@ -126,12 +127,12 @@ def finished_groups(saved: DataFrame, expected: DataFrame, keys: list[str]) -> D
 
 
 def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """nodes(node, parent), roots(node) -> (node, root, depth) of all descendants, level by level until one is empty. A tree, so no node is met twice."""
-    level = roots.join(nodes.select("node"), "node", "left_semi").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"))
+    """nodes(node, parent), roots(node) -> (node, root, depth) of all descendants, level by level until one is empty. A tree, so no node is met twice; each level is written."""
+    level = settle(roots.join(nodes.select("node"), "node", "left_semi").select("node", F.col("node").alias("root"), F.lit(0).alias("depth")))
     out, k = level, 0
     while not level.isEmpty():
         k += 1
-        level = nodes.join(level.select(F.col("node").alias("parent"), "root"), "parent").select("node", "root", F.lit(k).alias("depth"))
+        level = settle(nodes.join(level.select(F.col("node").alias("parent"), "root"), "parent").select("node", "root", F.lit(k).alias("depth")))
         out = out.unionByName(level)
     return out
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, cosine, half_up
+from ..sources.shared import settle
 from .records import confidence
 from .retrieval import top
 
@@ -309,17 +310,36 @@ def retried(artifacts: DataFrame, wanted: DataFrame) -> DataFrame:
     return a.select("artifact", F.from_json("scope", "docs array<bigint>, n int").alias("s")).select("artifact", "s.docs", "s.n")
 
 
-def moves_checked(nodes: DataFrame, moves: DataFrame, depth: int = 64) -> DataFrame:
-    """nodes(node, parent), moves(node, target) -> whether each move is allowed: not into itself or its own subtree. Walks up from the targets until none has a parent left."""
-    at = moves.select("node", "target", F.col("target").alias("at"))
-    bad = at.where("at = node").select("node", "target")
-    up = nodes.where("parent IS NOT NULL").select(F.col("node").alias("at"), F.col("parent").alias("__up"))
-    for _ in range(depth):
-        at = at.where("at <> node").join(up, "at").select("node", "target", F.col("__up").alias("at"))
-        if at.isEmpty():
-            break
-        bad = bad.unionByName(at.where("at = node").select("node", "target"))
-    return moves.join(bad.distinct().withColumn("__bad", F.lit(True)), ["node", "target"], "left").select("node", "target", F.col("__bad").isNull().alias("allowed"))
+def jumps(nodes: DataFrame) -> list[DataFrame]:
+    """nodes(node, parent) of a forest -> tables (at, to) of jumps by 1, 2, 4 ... levels up, as far as any node can jump; each written."""
+    found = [settle(nodes.where("parent IS NOT NULL").select(F.col("node").alias("at"), F.col("parent").alias("to")))]
+    while not found[-1].isEmpty():
+        if len(found) > 62:
+            raise ValueError("parents form a cycle")
+        last = found[-1]
+        found.append(settle(last.select("at", F.col("to").alias("mid")).join(last.select(F.col("at").alias("mid"), "to"), "mid").select("at", "to")))
+    return found[:-1]
+
+
+def moves_checked(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    """nodes(node, parent), moves(node, target) -> whether each move is allowed: not into itself or its own subtree.
+
+    Jumps of 2^k levels give the depth of both ends; the target is lifted by the difference, bit by bit, and must not have come to the
+    node. So a tree of any depth d takes about 3 log d joins. Parents form a forest; a node without a row has no parent.
+    """
+    found = jumps(nodes)
+    wanted = settle(moves.select("node", "target").where("node IS NOT NULL AND target IS NOT NULL").distinct())
+    depths = wanted.select(F.col("node").alias("of")).unionByName(wanted.select(F.col("target").alias("of"))).distinct().select("of", F.col("of").alias("at"), F.lit(0).cast("long").alias("depth"))
+    for k, table in reversed(list(enumerate(found))):
+        met = depths.join(table, "at", "left")
+        depths = settle(met.select("of", F.coalesce("to", "at").alias("at"), (F.col("depth") + F.when(F.col("to").isNotNull(), 1 << k).otherwise(0)).alias("depth")))
+    depth = lambda c: depths.select(F.col("of").alias(c), F.col("depth").alias(f"__{c}"))
+    at = wanted.join(depth("node"), "node").join(depth("target"), "target").where("__target >= __node").select("node", "target", F.col("target").alias("at"), (F.col("__target") - F.col("__node")).alias("left"))
+    for k, table in enumerate(found):
+        bit = F.col("left").bitwiseAND(F.lit(1 << k).cast("long")) != 0
+        at = settle(at.where(~bit).unionByName(at.where(bit).join(table, "at").select("node", "target", F.col("to").alias("at"), "left")))
+    bad = at.where("at = node").select("node", "target", F.lit(True).alias("__bad"))
+    return moves.join(bad, ["node", "target"], "left").select("node", "target", F.col("__bad").isNull().alias("allowed"))
 
 
 def unfiled(notes: DataFrame, deleted: DataFrame) -> DataFrame:

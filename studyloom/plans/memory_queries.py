@@ -112,6 +112,21 @@ def consolidation(spark, sf_dir):
     return M.consolidate(e.where("id % 20 = 0"), e.where("id % 20 <> 0"), ["label"], 0.3, 0.2)
 
 
+@query("""WITH RECURSIVE e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v, (vec_id % 10) / 10 AS confidence, vec_id % 997 AS digest FROM embeddings), ca AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY -id) AS k FROM e WHERE id % 3 = 0),
+o AS (SELECT label, list({'id': id, 'v': v, 'c': confidence, 'd': digest} ORDER BY id) FILTER (id % 3 <> 0) AS m FROM e GROUP BY 1),
+s AS (SELECT label, 0::BIGINT AS k, coalesce(m, []) AS m, NULL::BIGINT AS id, NULL::VARCHAR AS decision, NULL::BIGINT AS memory, NULL::DOUBLE AS similarity FROM o
+ UNION ALL SELECT label, k, CASE decision WHEN 'SKIP' THEN m WHEN 'ADD' THEN list_append(m, me) ELSE list_append(list_filter(m, lambda x: x.id <> memory), me) END, id, decision, memory, similarity FROM (
+  SELECT *, CASE WHEN eq IS NOT NULL THEN 'SKIP' WHEN best >= 0.9 THEN CASE WHEN confidence > m[pos].c THEN 'UPDATE' ELSE 'SKIP' END WHEN best >= 0.78 THEN 'UPDATE' ELSE 'ADD' END AS decision,
+   CASE WHEN eq IS NOT NULL THEN m[eq].id WHEN best >= 0.78 THEN m[pos].id END AS memory, CASE WHEN eq IS NOT NULL THEN 1.0::DOUBLE WHEN best >= 0.78 THEN best END AS similarity FROM (
+   SELECT *, list_max(sims) AS best, list_position(sims, list_max(sims)) AS pos FROM (
+    SELECT s.label, ca.k, s.m, ca.id, ca.confidence, {'id': ca.id, 'v': ca.v, 'c': ca.confidence, 'd': ca.digest} AS me, list_position(list_transform(s.m, lambda x: x.d), ca.digest) AS eq, list_transform(s.m, lambda x: round(list_cosine_similarity(x.v, ca.v), 6)) AS sims
+    FROM s JOIN ca ON ca.label = s.label AND ca.k = s.k + 1)))) SELECT label, id, decision, memory, similarity FROM s WHERE k > 0""")
+def sequential_consolidation(spark, sf_dir):
+    """A third of all vectors come as candidates, the last first, each meeting what the ones before have left."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"), (F.col("vec_id") % 10 / 10).alias("confidence"), (F.col("vec_id") % 997).alias("digest"))
+    return folds.consolidated(e.where("id % 3 = 0").withColumn("place", -F.col("id")), e.where("id % 3 <> 0"), ["label"])
+
+
 @query("""WITH m AS (SELECT conv_id, turn, greatest(1, (length(coalesce(text, '')) + 3) // 4) AS t, CASE WHEN conv_id % 3 > 0 THEN conv_id % 3 ELSE -1 END AS c, CASE WHEN conv_id % 3 > 0 THEN conv_id % 5 ELSE -1 END AS x FROM conversations),
 g AS (SELECT conv_id, CAST(sum(CASE WHEN turn > c THEN t ELSE 0 END) AS BIGINT) AS uncovered, CAST(sum(CASE WHEN turn > x THEN t ELSE 0 END) AS BIGINT) AS unextracted FROM m GROUP BY 1) SELECT *, uncovered > 3200 OR unextracted >= 120 AS due FROM g""")
 def maintenance_backlog(spark, sf_dir):

@@ -239,6 +239,17 @@ def topic_graph(spark, sf_dir):
     return L.reachable(_edges(spark, sf_dir).where("artifacts >= 25"), spark.range(1, 2).select(F.col("id").alias("node")))
 
 
+@query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT a, b, round(least(1.0::DOUBLE, 0.4::DOUBLE + 0.02::DOUBLE * (artifacts - 1)), 6) AS weight FROM ed),
+g AS (SELECT a AS start, a, b, weight, 1 AS depth, [a, b] AS path, count(*) OVER (PARTITION BY a) AS n FROM e
+ UNION ALL SELECT start, e.a, e.b, e.weight, depth + 1, list_append(path, e.b), count(*) OVER (PARTITION BY start) FROM g JOIN e ON e.a = g.b WHERE depth < 4 AND n < 200 AND NOT list_contains(path, e.b)),
+r AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, weight DESC, path) AS rank FROM g) SELECT start, a, b, weight, depth, CAST(path AS VARCHAR) AS path, rank FROM r WHERE rank <= 200""")
+def topic_paths(spark, sf_dir):
+    """Every topic as a start, over the whole table of edges, in their direction."""
+    e = _edges(spark, sf_dir)
+    found = L.topic_paths(e, e.select(F.col("a").alias("start")))
+    return found.withColumn("path", F.concat(F.lit("["), F.array_join(F.transform("path", lambda x: x.cast("string")), ", "), F.lit("]")))
+
+
 @query("""WITH p AS (SELECT l_orderkey AS attempt, l_suppkey % 7 AS topic, sum(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS got, sum(50.0::DOUBLE) AS possible, count(*) FILTER (l_linestatus <> 'F') AS l FROM lineitem GROUP BY 1, 2),
 w AS (SELECT *, round(coalesce(got, 0) / possible, 4) AS ratio FROM p) SELECT attempt, round(coalesce(sum(got), 0), 4) AS total, CAST(sum(l) AS BIGINT) AS ungraded, coalesce(string_agg(CAST(topic AS VARCHAR), ',' ORDER BY ratio, topic) FILTER (ratio < 0.7), '') AS weak_topics FROM w GROUP BY 1""")
 def quiz_results(spark, sf_dir):
