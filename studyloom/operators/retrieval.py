@@ -45,9 +45,10 @@ def vector_recall(queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFr
     """queries(query_id, query), vectors(id, vector) -> (query_id, id, score, rank): exact nearest neighbours by cosine.
 
     The query set goes to the vectors block by block as a matrix of unit rows; a task multiplies batches of vectors with it
-    and passes on its best k a query. Vectors of another length or without length score 0.
+    and passes on its best k a query. Vectors of another length or without length score 0. If vectors are binary, they are 16-bit floats
+    (vector_index.packed), and queries are rounded to such too: both sides at half precision, multiplied at full.
     """
-    out = None
+    out, halves = None, dict(vectors.dtypes)["vector"] == "binary"
     for part in _query_blocks(queries.where("query IS NOT NULL"), QUERY_BLOCK):
         rows = part.select("query_id", "query").collect()  # at most about QUERY_BLOCK
         if not rows:
@@ -58,10 +59,14 @@ def vector_recall(queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFr
             size = max(len(r.query) for r in rows)
             fits = np.array([len(r.query) == size for r in rows])
             q = np.array([r.query if len(r.query) == size else [0.0] * size for r in rows], float)
+            if halves:
+                q = np.clip(np.nan_to_num(q), -65504, 65504).astype(np.float16).astype(float)
             norm = np.linalg.norm(q, axis=1, keepdims=True)
             q = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
             best = None
             for pdf in batches:
+                if halves:
+                    pdf = pdf.assign(vector=pdf["vector"].map(lambda v: np.frombuffer(v, np.float16)))
                 good = pdf["vector"].map(lambda v: v is not None and len(v) == size).to_numpy(bool)
                 v = np.zeros((len(pdf), size))
                 if good.any():

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import learning as L
 from ..operators import memory as M
 from ..operators import retrieval as R
-from ..operators import text_index
+from ..operators import text_index, vector_index
 from ..sources import upsert as U
 from ..sources.shared import stored
 from .registry import CHUNKS, FOUND, chunks, query, table
@@ -47,6 +47,27 @@ def vector_recall(spark, sf_dir):
     return R.vector_recall(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
 
 
+def _vectors(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), v
+
+
+@query(None)
+def indexed_recall(spark, sf_dir):
+    """Vector recall through the stored index, with the rank that each hit has in exact recall (null: none), which measures it."""
+    q, v = _vectors(spark, sf_dir)
+    build = lambda rows, path: vector_index.build(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), path)
+    rows, book = vector_index.open_index(spark, stored("vector_index", table(spark, sf_dir, "embeddings"), build))
+    exact = R.vector_recall(q, v).select("query_id", "id", F.col("rank").alias("exact_rank"))
+    return vector_index.search(rows, book, q).join(exact, ["query_id", "id"], "left")
+
+
+@query(None)
+def half_precision_recall(spark, sf_dir):
+    q, v = _vectors(spark, sf_dir)
+    return R.vector_recall(q, vector_index.packed(v))
+
+
 TOK = "list_filter(string_split(trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' '), lambda w: w <> '')"
 STOPS = ", ".join(f"'{w}'" for w in R.STOP_WORDS)
 LEXICAL = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({STOPS})))) AS term FROM benchmark),

@@ -49,7 +49,7 @@ def stored(name: str, source: DataFrame, build: Callable[[DataFrame, str], None]
         files.append((f, found.getLen(), found.getModificationTime()))
     key = (spark.sparkContext.applicationId, shared_dir(spark), name, *sorted(files))
     if key in _STORED:
-        fs, where = _status(spark, f"{_STORED[key]}/_SUCCESS")
+        fs, where = _status(spark, _STORED[key])
         if fs.exists(where):
             return _STORED[key]
     path = new_folder(spark)
