@@ -1,13 +1,19 @@
 """A stored inverted index with block maxima, and exact top-k search in it.
 
-Texts are dealt into blocks of like length, longest first, as a text's score is a sum over its words. A posting row holds one term
-in one block: the texts that have it, with what the term counts in each, and the most it counts in any. A frequent term is thus many
-rows of bounded size. A search adds up the maxima of a query's terms by block, scores the most promising blocks in full, and of the others
-only those whose bound reaches the k-th score found.
+A task deals the texts that it reads into blocks of like length, as a text's score is a sum over its words, and counts each block's
+words where they are: building shuffles nothing. A posting row holds one term in one block: which of its texts have it, what it counts in
+each, and the most it counts in any. A frequent term is thus many rows of bounded size. A search adds up the maxima of a query's
+terms by block, scores the most promising blocks in full, and of the others only those whose bound reaches the k-th score found.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,48 +22,79 @@ from ..sources.shared import settle
 from .retrieval import query_terms, top, words_of
 
 #: Folders that terms are dealt into, texts of a block, query terms that meet the index at once, blocks scored before any is left out.
-BUCKETS, BLOCK, TERMS, AHEAD = 32, 1024, 200_000, 2
-
-
-def _tier(text: Column) -> Column:
-    """A text's length on a scale of eight steps to a doubling."""
-    size = F.length(text).cast("long") + 1
-    power = F.length(F.bin(size)) - 1
-    return (power * 8 + F.call_function("shiftright", size * 8, power) % 8).cast("int")
+BUCKETS, BLOCK, TERMS, AHEAD = 8, 1024, 200_000, 2
+POSTINGS = "block long, term string, n int, most_a int, most_b int, docs array<int>, a array<int>, b array<int>"
+
+
+def _block(ids: list, texts: list[str], heads: list[str], number: int, kind: pa.DataType) -> pa.RecordBatch:
+    """The postings of one block: a row for each term, its texts as places in the block, and a row without a term for the ids in their places."""
+    words = [t.split(" ") if t else [] for t in texts] + [h.split(" ") if h else [] for h in heads]
+    sizes = np.array([len(w) for w in words], np.int64)
+    terms, names = pd.factorize(np.array([w for ws in words for w in ws], object))
+    d = len(ids)
+    key = terms * d + np.repeat(np.arange(2 * d) % d, sizes)
+    weight = np.repeat(np.arange(2 * d) < d, sizes)
+    keys, inverse = np.unique(key, return_inverse=True)
+    a = np.bincount(inverse, weight, len(keys)).astype(np.int32)
+    b = np.bincount(inverse, ~weight, len(keys)).astype(np.int32)
+    term, doc = keys // d, (keys % d).astype(np.int32)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(term)) + 1, [len(keys)]]).astype(np.int32) if len(keys) else np.zeros(1, np.int32)
+    most = lambda x: np.maximum.reduceat(x, starts[:-1]) if len(keys) else x
+    array = lambda x: pa.ListArray.from_arrays(pa.array(starts), pa.array(x, pa.int32()))
+    count = np.diff(starts).astype(np.int32)
+    columns = [pa.array(np.full(len(count), number)), pa.array(names[term[starts[:-1]]].tolist(), pa.string()), pa.array(count), pa.array(most(a)), pa.array(most(b)), array(doc), array(a), array(b)]
+    columns = [pa.concat_arrays([c, pa.array([number if k == 0 else None], c.type)]) for k, c in enumerate(columns)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([*[None] * len(count), ids], pa.list_(kind))], ["block", "term", "n", "most_a", "most_b", "docs", "a", "b", "ids"])
+
+
+def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[tuple[list, list, list]]:
+    """The ids and words of a batch of texts in blocks, longest texts first; a block's texts are sorted by id."""
+    ids, words, heads = (c.to_pylist() for c in batch.columns)
+    order = sorted(range(len(ids)), key=lambda k: (-len(words[k]), ids[k]))
+    for lo in range(0, len(order), size):
+        part = sorted(order[lo : lo + size], key=lambda k: ids[k])
+        yield [ids[k] for k in part], [words[k] for k in part], [heads[k] for k in part]
 
 
 def build(texts: DataFrame, path: str, buckets: int = BUCKETS, block: int = BLOCK) -> None:
-    """texts(id, text), ids unique -> postings(bucket, term, tier, part, n, most_a, most_b, docs) under path.
+    """texts(id, text), ids unique -> rows(bucket, block, term, n, most_a, most_b, docs, a, b, ids) under path; bucket -1 has the blocks' ids.
 
-    docs is sorted by id: (id, a, b), the places of the term in the text and in its preview. Null and empty texts have no postings.
-    Texts are split into words once. Only counts by length, of which there are some hundred, are broadcast.
+    docs are places in the block; a and b say how often the term is in the text and in its preview. Null and empty texts have no
+    postings. Texts are split into words by Spark and counted as numpy arrays, one block at a time. Ids are strings or integers.
     """
-    rows = texts.select("id", "text", _tier(F.col("text")).alias("tier")).where("tier IS NOT NULL")
-    parts = rows.groupBy("tier").agg(F.ceil(F.count("*") / block).alias("parts"))
-    rows = rows.join(F.broadcast(parts), "tier").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    one = lambda words, a, b: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(a).alias("a"), F.lit(b).alias("b")))
-    words = F.concat(one(words_of(F.col("text")), 1, 0), one(words_of(preview(F.col("text"))), 0, 1))
-    counts = rows.select("id", "tier", "part", F.explode(words).alias("w")).groupBy("tier", "part", "id", "w.term").agg(F.sum("w.a").alias("a"), F.sum("w.b").alias("b"))
-    lists = counts.groupBy("term", "tier", "part").agg(F.count("*").alias("n"), F.max("a").alias("most_a"), F.max("b").alias("most_b"), F.sort_array(F.collect_list(F.struct("id", "a", "b"))).alias("docs"))
-    dealt = lists.withColumn("bucket", _bucket(F.col("term"), buckets)).hint("rebalance", "bucket")
-    dealt.sortWithinPartitions("bucket", "term", F.desc("tier"), "part").write.partitionBy("bucket").parquet(path)
+    rows = texts.where("text IS NOT NULL AND id IS NOT NULL").select("id", *[F.array_join(words_of(t), " ").alias(n) for t, n in ((F.col("text"), "words"), (preview(F.col("text")), "heads"))])
+    kind = dict(texts.dtypes)["id"]
+    arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
+
+    def counted(batches):
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for ids, words, heads in _blocks(batch, block):
+                yield _block(ids, words, heads, number, arrow)
+                number += 1
+
+    found = rows.mapInArrow(counted, f"{POSTINGS}, ids array<{kind}>").withColumn("bucket", F.coalesce(_bucket(F.col("term"), buckets), F.lit(-1)))
+    found.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
 
 
 def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    return F.when(term.isNotNull(), F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int"))
 
 
-def open_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def open_index(spark: SparkSession, path: str, kind: str = "bigint") -> tuple[DataFrame, DataFrame]:
+    """The postings, and (block, doc, id). kind: the type of the ids."""
+    rows = spark.read.schema(f"{POSTINGS}, ids array<{kind}>, bucket int").parquet(path)
+    return rows.where("bucket >= 0").drop("ids"), rows.where("bucket = -1").select("block", F.posexplode("ids").alias("doc", "id"))
 
 
-def statistics(index: DataFrame) -> DataFrame:
+def statistics(postings: DataFrame) -> DataFrame:
     """(term, n, a, most): texts that have each term, its places in all of them, and the most in one.
 
     What only the cut at a preview's end has made a word is no term of a text.
     """
-    rows = index.where("most_a > 0").select("term", F.explode("docs").alias("d"), "most_a").where("d.a > 0")
-    return rows.groupBy("term").agg(F.count("*").alias("n"), F.sum("d.a").alias("a"), F.max("most_a").alias("most"))
+    n = F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + (x > 0).cast("long"))
+    a = F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + x)
+    return postings.where("most_a > 0").groupBy("term").agg(F.sum(n).alias("n"), F.sum(a).alias("a"), F.max("most_a").alias("most"))
 
 
 def score(a: Column, b: Column) -> Column:
@@ -67,33 +104,35 @@ def score(a: Column, b: Column) -> Column:
     return half_up(y / (1 + y), 6)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 30, buckets: int = BUCKETS) -> DataFrame:
+def search(index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int = 30, buckets: int = BUCKETS) -> DataFrame:
     """queries(query_id, query) -> (query_id, id, score, rank): the k best texts with any of a query's terms, ties by id; exact.
 
-    buckets is what the index was built with. Queries meet the index in sets of a bounded number of terms, broadcast; the texts are not read.
+    index comes from open_index, buckets is what it was built with. Queries meet the postings in sets of a bounded number of terms, broadcast;
+    the texts are not read.
     """
     terms = settle(queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term")).withColumn("bucket", _bucket(F.col("term"), buckets)))
     sets = max(1, -(-terms.count() // TERMS))
     best = None
     for s in range(sets):
         mine = F.broadcast(terms.where(F.pmod(F.xxhash64("query_id"), F.lit(sets)) == s))
-        found = _search(index, mine, k)
+        found = _search(*index, mine, k)
         best = found if best is None else best.unionByName(found)
     return best
 
 
-def _search(index: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    keys = ["query_id", "tier", "part"]
-    met = index.select("bucket", "term", "tier", "part", "most_a", "most_b").join(terms, ["bucket", "term"])
+def _search(postings: DataFrame, members: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    keys = ["query_id", "block"]
+    met = postings.select("bucket", "term", "block", "most_a", "most_b").join(terms, ["bucket", "term"])
     bound = met.groupBy(*keys).agg(F.sum("most_a").alias("a"), F.sum("most_b").alias("b")).select(*keys, score(F.col("a"), F.col("b")).alias("bound"))
     bound = settle(bound)
 
     def scored(blocks: DataFrame) -> DataFrame:
-        rows = index.select("bucket", "term", "tier", "part", "docs").join(terms, ["bucket", "term"]).join(blocks.select(*keys), keys).select("query_id", F.explode("docs").alias("d"))
-        sums = rows.groupBy("query_id", "d.id").agg(F.sum("d.a").alias("a"), F.sum("d.b").alias("b"))
-        return top(sums.select("query_id", "id", score(F.col("a"), F.col("b")).alias("score")), ["query_id"], [F.desc("score"), F.col("id")], k)
+        rows = postings.select("bucket", "term", "block", F.arrays_zip("docs", "a", "b").alias("docs")).join(terms, ["bucket", "term"]).join(blocks.select(*keys), keys)
+        sums = rows.select(*keys, F.explode("docs").alias("d")).groupBy(*keys, F.col("d.docs").alias("doc")).agg(F.sum("d.a").alias("a"), F.sum("d.b").alias("b"))
+        named = sums.select(*keys, "doc", score(F.col("a"), F.col("b")).alias("score")).join(members, ["block", "doc"])
+        return top(named.select("query_id", "id", "score"), ["query_id"], [F.desc("score"), F.col("id")], k)
 
-    ahead = settle(top(bound, ["query_id"], [F.desc("bound"), F.desc("tier"), F.col("part")], AHEAD, "place"))
+    ahead = settle(top(bound, ["query_id"], [F.desc("bound"), F.col("block")], AHEAD, "place"))
     first = settle(scored(ahead))
     least = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     # scores are rounded to six places, so a bound that is less by more than that can't reach the k-th

@@ -90,7 +90,7 @@ def _lexical(spark, sf_dir):
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS a FROM w GROUP BY 1, 2)
 SELECT term, count(*) AS n, CAST(sum(a) AS BIGINT) AS a, max(a) AS most FROM c GROUP BY 1""")
 def stored_postings(spark, sf_dir):
-    return text_index.statistics(_index(spark, sf_dir))
+    return text_index.statistics(_index(spark, sf_dir)[0])
 
 
 @query(f"WITH {LEXICAL} SELECT query_id, id, score, rank FROM lex")

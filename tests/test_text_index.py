@@ -35,7 +35,7 @@ def test_index_equals_scan(spark, tmp_path, monkeypatch, block):
     queries = [(q, " ".join(rnd.choice(lexicon) for _ in range(rnd.randrange(1, 7)))) for q in range(25)] + [(90, None), (91, ""), (92, "the of"), (93, "absent")]
     I.build(spark.createDataFrame(texts, "id long, text string").repartition(3), str(tmp_path / "index"), buckets=4, block=block)
     index = I.open_index(spark, str(tmp_path / "index"))
-    assert index.agg(F.max(F.size("docs"))).first()[0] <= max(40, 2 * block)
+    assert index[0].agg(F.max(F.size("docs"))).first()[0] <= block and index[1].count() == sum(t is not None for _, t in texts)
     asked = spark.createDataFrame(queries, "query_id long, query string")
     for k, terms in ((1, 200_000), (7, 9)):
         monkeypatch.setattr(I, "TERMS", terms)
@@ -50,9 +50,10 @@ def test_search_reads_no_text_and_shuffles_no_posting_before_blocks_are_chosen(s
 
 
 def test_empty_index(spark, tmp_path):
-    I.build(spark.createDataFrame([], "id long, text string"), str(tmp_path / "index"))
-    none = spark.read.schema("term string, tier int, part int, n long, most_a long, most_b long, docs array<struct<id:long,a:long,b:long>>, bucket int").parquet(str(tmp_path / "index"))
-    assert I.search(none, spark.createDataFrame([(1, "alpha")], "query_id long, query string")).count() == 0
+    I.build(spark.createDataFrame([(1, None), (None, "alpha")], "id string, text string"), str(tmp_path / "index"))
+    assert I.search(I.open_index(spark, str(tmp_path / "index"), "string"), spark.createDataFrame([(1, "alpha")], "query_id long, query string")).count() == 0
+    I.build(spark.createDataFrame([("a", "alpha"), ("b", "")], "id string, text string"), str(tmp_path / "more"))
+    assert [r.id for r in I.search(I.open_index(spark, str(tmp_path / "more"), "string"), spark.createDataFrame([(1, "alpha")], "query_id long, query string")).collect()] == ["a"]
 
 
 def test_automata_equal_containment(spark, monkeypatch):
