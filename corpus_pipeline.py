@@ -17,12 +17,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents (0.8 of five-word shingles) the one with the smallest doc_id stays; rows without an id stay.
 
-    Of rows of one doc_id the one with the least text stays, then that with the least other columns; a null text comes last.
+    Of rows of one doc_id the one with the least text stays, then that whose other columns are least as JSON; a null text comes last.
     """
     lost = settle(jaccard_join.components(docs, size=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct())
     kept = docs.where("doc_id IS NOT NULL").join(lost, "doc_id", "left_anti")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = kept.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("__none"), "text", *rest)).alias("__row"))
+    # as JSON, as a map has no order of its own
+    order = F.struct(F.col("text").isNull(), "text", F.to_json(F.struct(*rest)) if rest else F.lit(""))
+    first = kept.groupBy("doc_id").agg(F.min_by(F.struct("text", *rest), order).alias("__row"))
     return first.select("doc_id", "__row.*").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
