@@ -277,8 +277,9 @@ def redact(docs: DataFrame) -> DataFrame:
         done = F.aggregate(F.array_sort(F.concat(*base, added)), zero, step)
         return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
 
-    bound = F.struct(F.col("text").alias("text"), _all_spans(F.col("text"), trees).alias("s"))
-    out = docs.withColumn("__both", bound)
-    some = F.exists(F.array(*[F.size(F.col("__both.s")[k]) for k in (*BASE, "added")]), lambda n: n > 0)
-    out = out.withColumn("text", F.when(some, let(F.col("__both"), rewritten)).otherwise(F.col("text")))
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
+    def marked(both: Column) -> Column:
+        some = F.exists(F.array(*[F.size(both["s"][k]) for k in (*BASE, "added")]), lambda n: n > 0)
+        return F.when(some, rewritten(both)).otherwise(both["text"])
+
+    out = docs.withColumn("text", let(F.struct(F.col("text").alias("text"), _all_spans(F.col("text"), trees).alias("s")), marked))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

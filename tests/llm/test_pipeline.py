@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 
 
@@ -29,6 +31,21 @@ def test_redaction_replaces_spans(spark, sf):
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: ("mail <email> or <ip> now", 24), 2: ("nothing 12 here", 15), 3: (None, None)}
 
 
+ODD = ["__both", "__row", "__none", "s", "g", "bin", "kept", "shard", "words", "component_id"]
+
+
+def test_stages_take_odd_rows_and_columns(spark, sf):
+    rows = [(1, "mail a.b@c.org " * 30), (1, "mail a.b@c.org " * 30), (2, None), (3, ""), (None, "alone " * 60), (4, "x" * 200_000), (5, "w " * 70), (5, "later text " * 40)]
+    docs = frame(spark, rows).select("*", *[F.create_map(F.lit("k"), F.lit(c)).alias(c) for c in ODD])
+    for name, stage in cp.STAGES[1:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert all(r[c] == {"k": c} for r in out.collect() for c in ODD), name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    assert sorted(str(r.doc_id) for r in cp.near_duplicates(spark, docs, sf).collect()) == ["1", "2", "3", "4", "5", "None"]
+    assert {r.doc_id for r in cp.mixture(spark, docs, sf).collect()} == {1, 2, 3, None, 4, 5}
+
+
 def test_run(spark, sf):
     rows = cp.run(spark, sf).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
