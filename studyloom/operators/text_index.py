@@ -127,8 +127,8 @@ def _search(postings: DataFrame, members: DataFrame, terms: DataFrame, k: int) -
     bound = settle(bound)
 
     def scored(blocks: DataFrame) -> DataFrame:
-        rows = postings.select("bucket", "term", "block", F.arrays_zip("docs", "a", "b").alias("docs")).join(terms, ["bucket", "term"]).join(blocks.select(*keys), keys)
-        sums = rows.select(*keys, F.explode("docs").alias("d")).groupBy(*keys, F.col("d.docs").alias("doc")).agg(F.sum("d.a").alias("a"), F.sum("d.b").alias("b"))
+        rows = postings.select("bucket", "term", "block", "docs", "a", "b").join(terms, ["bucket", "term"]).join(blocks.select(*keys), keys)
+        sums = rows.select(*keys, F.explode(F.arrays_zip("docs", "a", "b")).alias("d")).groupBy(*keys, F.col("d.docs").alias("doc")).agg(F.sum("d.a").alias("a"), F.sum("d.b").alias("b"))
         named = sums.select(*keys, "doc", score(F.col("a"), F.col("b")).alias("score")).join(members, ["block", "doc"])
         return top(named.select("query_id", "id", "score"), ["query_id"], [F.desc("score"), F.col("id")], k)
 
