@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import half_up
+from ..sources.shared import settle
 from .retrieval import top
 
 
@@ -241,3 +242,24 @@ def of_key(rows: DataFrame, key: str, values: DataFrame, order: list[Column]) ->
     """The rows of the given keys, each key's in order and numbered; the filter is a semi-join, so a scan by key reads no others where the table is laid out by it."""
     mine = rows.join(values.select(key).distinct(), key, "left_semi")
     return mine.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def percentiles_by_index(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """rows(key, value) -> a row for each key: the value at index share * (n - 1), rounded half up, of its values in order, for each named share.
+
+    Rows with a null value don't count; a key without others is absent, a null key is one key. Values are sorted by ranges that one key may fill many of, and
+    written; the ranges' counts tell in which one an index lies, and only those are ranked. So no task has a whole key, however large it is.
+    """
+    spark = rows.sparkSession
+    v = rows.where(F.col(value).isNotNull()).select(F.struct(F.col(key).alias("k")).alias("__k"), F.col(value).alias("__v")).groupBy("__k", "__v").agg(F.count("*").alias("__c"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    cut = settle(v.repartitionByRange(parts, "__k", "__v").withColumn("__p", F.spark_partition_id()))
+    w = Window.partitionBy("__k")
+    per = cut.groupBy("__k", "__p").agg(F.sum("__c").alias("__in"))
+    per = per.withColumn("__n", F.sum("__in").over(w)).withColumn("__before", F.sum("__in").over(w.orderBy("__p")) - F.col("__in"))
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(s)).alias("share")) for n, s in shares.items()]))
+    at = per.withColumn("__s", asked).withColumn("__i", F.floor(F.col("__s.share") * (F.col("__n") - 1) + 0.5) - F.col("__before")).where("__i >= 0 AND __i < __in")
+    hit = cut.join(at.select("__k", "__p").distinct(), ["__k", "__p"], "left_semi")
+    hit = hit.withColumn("__upto", F.sum("__c").over(Window.partitionBy("__k", "__p").orderBy("__v")))
+    found = hit.join(at.select("__k", "__p", "__s.name", "__i"), ["__k", "__p"]).where("__i < __upto AND __i >= __upto - __c")
+    return found.groupBy("__k").agg(*[F.max(F.when(F.col("name") == n, F.col("__v"))).alias(n) for n in shares]).select(F.col("__k.k").alias(key), *shares)

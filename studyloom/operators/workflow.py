@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse, cosine, half_up
 from ..sources.shared import settle
+from .folds import fold_rows
 from .records import confidence
 from .retrieval import top
 
@@ -32,25 +33,46 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(ratios, "double")(a, b)
 
 
+#: Characters that similar_sequences counts one by one; any set gives right results, frequent ones exclude more.
+COUNTED = "abcdefghijklmnopqrstuvwxyz 0123456789"
+
+
+def similar_sequences(pairs: DataFrame, least: float) -> DataFrame:
+    """pairs(a, b, others) -> those with a sequence ratio of least or more (above 0), with the ratio. Texts are compared whole; a null is empty.
+
+    A match takes a character of both texts, so lengths bound the ratio, and so do the counts of each character. What a bound
+    excludes never leaves the JVM; blocks are matched for the rest only.
+    """
+    a, b = F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))
+    counts = lambda t: F.array(*[F.length(t) - F.length(F.translate(t, c, "")) for c in COUNTED], F.length(F.translate(t, COUNTED, "")))
+    reached = lambda matched: 2 * matched >= least * F.col("__n") - 1e-9
+    near = pairs.withColumn("__n", F.length(a) + F.length(b)).where(reached(F.least(F.length(a), F.length(b))))
+    both = F.aggregate(F.zip_with(counts(a), counts(b), lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return near.where(reached(both)).withColumn("ratio", sequence_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= least).drop("__n")
+
+
+def alike_texts(a: str, b: str, least: float) -> bool:
+    """Whether the sequence ratio is least or more; its upper bounds first."""
+    if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
+        return False
+    m = SequenceMatcher(None, a, b)
+    return m.quick_ratio() >= least and m.ratio() >= least
+
+
 def accepted_candidates(candidates: DataFrame, keys: list[str], most: int, least: float = 0.5, alike: float = 0.86) -> DataFrame:
     """candidates(keys, position, text, confidence, sources array) -> those taken in order: sure enough, with a source, unlike those taken before, up to most.
 
-    Each group is one fold whose state are the texts taken, most at a time.
+    A fold over each group in order of position, then text; its state are the texts taken, most at most, so a group of any size needs no more memory. A null text is empty.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        places = []
-        for row, text in enumerate(pdf.sort_values("position")["text"]):
-            plain = " ".join((text or "").lower().split())
-            if len(kept) < most and not any(SequenceMatcher(None, plain, k).ratio() >= alike for k in kept):
-                kept.append(plain)
-                places.append(row)
-        return pdf.sort_values("position").iloc[places][[*keys, "position"]]
+    def step(kept, position, text):
+        plain = " ".join((text or "").casefold().split())
+        if len(kept) >= most or any(alike_texts(plain, k, alike) for k in kept):
+            return kept, []
+        return [*kept, plain], [(position,)]
 
     good = candidates.where((F.col("confidence") >= least) & (F.size("sources") > 0)).select(*keys, F.col("position").cast("long").alias("position"), "text")
-    kinds = dict(good.dtypes)
-    return good.groupBy(*keys).applyInPandas(one, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", position long")
+    return fold_rows(good, keys, ["position", "text"], ["position", "text"], "position long", list, step)
 
 
 def repaired(text: str | None) -> str | None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -387,16 +387,9 @@ def mastery_estimate(spark, sf_dir):
 @query("""WITH v AS (SELECT row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, event_type, value FROM events)
 SELECT event_type, max(value) FILTER (i = CAST(floor(0.5 * (n - 1) + 0.5) AS BIGINT)) AS p50, max(value) FILTER (i = CAST(floor(0.95 * (n - 1) + 0.5) AS BIGINT)) AS p95, max(value) FILTER (i = CAST(floor(0.99 * (n - 1) + 0.5) AS BIGINT)) AS p99 FROM v GROUP BY 1""")
 def latency_percentiles(spark, sf_dir):
-    # one row for each value first: what is ranked in order are the different values of a type
-    w = Window.partitionBy("event_type")
-    v = table(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    v = v.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
+    from ..operators.records import percentiles_by_index
 
-    def at(f):
-        i = F.floor(f * (F.col("n") - 1) + 0.5)
-        return F.max(F.when((i < F.col("upto")) & (i >= F.col("upto") - F.col("c")), F.col("value")))
-
-    return v.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    return percentiles_by_index(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 # The other modules add their queries to the same registry.

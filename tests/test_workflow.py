@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from studyloom.operators import workflow as W
+from studyloom.operators.records import percentiles_by_index
 
 
 @pytest.mark.parametrize("raw, want", [
@@ -48,3 +49,28 @@ def test_accepted_candidates(spark):
                 want.add((g, k))
     assert {(x.g, x.position) for x in W.accepted_candidates(df, ["g"], 3).collect()} == want
     assert W.accepted_candidates(df.limit(0), ["g"], 3).count() == 0
+
+
+def test_similar_sequences(spark):
+    r = random.Random(4)
+    base = [" ".join("".join(r.choice("abcdeé ") for _ in range(6)) for _ in range(r.choice([1, 5, 60]))) for _ in range(12)]
+    rows = [(k, a, "".join(c for c in a if r.random() > drop) + tail) for k, a in enumerate(base) for drop, tail in ((0, ""), (0.1, "x"), (0.5, "yy"))]
+    rows += [(90, None, None), (91, "", "x"), (92, None, "x"), (93, "abc", "cba"), (94, "AÉ🙂", "aé🙂"), (95, base[0], base[1])]
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    for least in (0.5, 0.86):
+        ratios = [(k, SequenceMatcher(None, a or "", b or "").ratio()) for k, a, b in rows]
+        assert sorted((x.k, x.ratio) for x in W.similar_sequences(df, least).collect()) == sorted(x for x in ratios if x[1] >= least)
+    assert W.similar_sequences(df, 0.5).columns == ["k", "a", "b", "ratio"] and W.similar_sequences(df.limit(0), 0.5).count() == 0
+
+
+def test_percentiles_by_index(spark):
+    r = random.Random(6)
+    rows = [("hot", float(r.randrange(3000))) for _ in range(4000)] + [("few", 1.0), ("few", 2.0), (None, 5.0), ("none", None), ("one", 7.0)] + [(f"k{k}", r.random()) for k in range(200)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    shares = {"low": 0.0, "p50": 0.5, "p95": 0.95, "top": 1.0}
+    want = {}
+    for k in {k for k, v in rows if v is not None}:
+        own = sorted(v for x, v in rows if x == k and v is not None)
+        want[k] = tuple(own[int(s * (len(own) - 1) + 0.5)] for s in shares.values())
+    assert {x.k: tuple(x)[1:] for x in percentiles_by_index(df, "k", "v", shares).collect()} == want
+    assert percentiles_by_index(df.limit(0), "k", "v", shares).count() == 0
