@@ -44,7 +44,8 @@ def similar_sequences(pairs: DataFrame, least: float) -> DataFrame:
     excludes never leaves the JVM; blocks are matched for the rest only.
     """
     a, b = F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))
-    counts = lambda t: F.array(*[F.length(t) - F.length(F.translate(t, c, "")) for c in COUNTED], F.length(F.translate(t, COUNTED, "")))
+    known = lambda t: F.array(*[F.length(t) - F.length(F.replace(t, F.lit(c), F.lit(""))) for c in COUNTED])
+    counts = lambda t: F.get(F.transform(F.array(known(t)), lambda k: F.array_append(k, F.length(t) - F.aggregate(k, F.lit(0), lambda s, x: s + x))), 0)
     reached = lambda matched: 2 * matched >= least * F.col("__n") - 1e-9
     near = pairs.withColumn("__n", F.length(a) + F.length(b)).where(reached(F.least(F.length(a), F.length(b))))
     both = F.aggregate(F.zip_with(counts(a), counts(b), lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)

@@ -13,10 +13,10 @@ from .registry import CHUNKS, chunks, query, table
 
 @query(None)
 def sequence_ratios(spark, sf_dir):
-    """Benchmark items and lines of the documents of their number that are 0.45 alike or more, both whole. No SQL: matching blocks are found within what others leave; tests hold it against brute force."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("a"))
-    d = chunks(spark, sf_dir).select((F.col("doc_id") % 100).alias("item_id"), "doc_id", "chunk_index", F.col("content").alias("b"))
-    return W.similar_sequences(d.join(b, "item_id"), 0.45).select("item_id", "doc_id", "chunk_index", F.round("ratio", 6).alias("ratio"))
+    """Lines of documents that are 0.86 alike or more to the line after, both whole. No SQL: matching blocks are found within what others leave; tests hold it against brute force."""
+    c = chunks(spark, sf_dir)
+    after = c.select("doc_id", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("content").alias("b"))
+    return W.similar_sequences(c.withColumnRenamed("content", "a").join(after, ["doc_id", "chunk_index"]), 0.86).select("doc_id", "chunk_index", F.round("ratio", 6).alias("ratio"))
 
 
 @query(None)
