@@ -182,14 +182,13 @@ def rerank(candidates: DataFrame, queries: DataFrame, texts: DataFrame) -> DataF
 def near_pairs(texts: DataFrame, group: str, least: int = 88) -> DataFrame:
     """texts(group, position, text) -> pairs of one group whose token sets have a Jaccard similarity of least percent or more.
 
-    Sets meet only through a shared token among their rarest ones (prefix filter by frequency in the group), so groups are never crossed; positions and
+    Sets meet only through a shared token among their longest ones (prefix filter by length, then by the word; any order that all sets share is exact, and long words are rare, with nothing counted or shuffled for it), so groups are never crossed; positions and
     sizes ride through that join, and sets are fetched for the pairs that are left.
     """
     t = texts.select(group, "position", F.array_distinct(tokens(F.col("text"))).alias("s")).where(F.size("s") > 0)
-    flat = t.select(group, "position", F.size("s").alias("n"), F.explode("s").alias("w"))
-    often = flat.groupBy(group, "w").agg(F.count("*").alias("df"))
-    order = flat.join(often, [group, "w"]).withColumn("r", F.row_number().over(Window.partitionBy(group, "position").orderBy("df", "w")))
-    heads = order.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least / 100) + 1)
+    n = F.size("s")
+    first = F.slice(F.array_sort(F.transform("s", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1, (n - F.ceil(n * least / 100) + 1).cast("int"))
+    heads = t.select(group, "position", n.alias("n"), F.explode(first).alias("h")).select(group, "position", "n", F.col("h.w").alias("w"))
     side = lambda p, m: heads.select(group, "w", F.col("position").alias(p), F.col("n").alias(m))
     close = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= least * F.greatest("na", "nb"))
     met = side("a", "na").join(side("b", "nb"), [group, "w"]).where(close).select(group, "a", "b").distinct()
