@@ -393,7 +393,7 @@ def latency_percentiles(spark, sf_dir):
 
 
 # The other modules add their queries to the same registry.
-from . import document_queries, geometry_queries, memory_queries, page_queries, record_queries, stream_queries, study_queries, workflow_queries  # noqa: E402, F401
+from . import document_queries, geometry_queries, markdown_queries, memory_queries, page_queries, record_queries, stream_queries, study_queries, workflow_queries  # noqa: E402, F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
