@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settle
+
 #: What an open element is: plain text, or what an opening line began.
 MODES = {"0": "TEXT", "1": "CODE", "2": "FORMULA", "3": "MIXED_VISUAL"}
 SAME = "".join(MODES)
@@ -19,13 +21,13 @@ def _after(mode: Column, step: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """Without ASCII white space at both ends."""
-    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(" \t\n\r\x0b\f"))
 
 
 def line_features(line: Column) -> dict[str, Column]:
     t = stripped(line)
     return {
-        "marker": t.rlike(r"(?i)^<!--\s*page\s*:\s*[0-9]{1,18}\s*-->"), "heading": t.rlike(r"^#+\s+\S"), "fence": t.startswith("```"), "dollars": t.startswith("$$"),
+        "marker": t.startswith("<!--") & t.rlike(r"(?i)^<!--\s*page\s*:\s*[0-9]{1,18}\s*-->"), "heading": t.startswith("#") & t.rlike(r"^#+\s+\S"), "fence": t.startswith("```"), "dollars": t.startswith("$$"),
         "figure": t.contains("<figure"), "closes": t.contains("</figure>"), "bar": line.contains("|"), "nothing": (t == "") | (t == "---"),
     }
 
@@ -55,13 +57,24 @@ def mode_changes(lines: DataFrame) -> DataFrame:
     return each.select("doc_id", "chunk_index", F.substring("w", F.col("p") + 2, F.lit(1)).alias("mode"))
 
 
-def _in_modes(lines: DataFrame) -> DataFrame:
+def _in_modes(lines: DataFrame, changes: DataFrame) -> DataFrame:
     """Lines with the mode each begins in. Changes ride along as rows of their own behind their line, so lines are shuffled once."""
-    own = lines.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.coalesce("content", F.lit("")).alias("content"), F.lit(None).cast("string").alias("mode"))
-    rows = own.unionByName(mode_changes(lines).withColumn("content", F.lit(None).cast("string")))
-    change = F.col("content").isNull()
+    rows = lines.unionByName(changes.withColumn("__change", F.lit(True)), allowMissingColumns=True)
+    change = F.col("__change").isNotNull()
     x = rows.withColumn("__m", F.last("mode", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("chunk_index", change).rowsBetween(Window.unboundedPreceding, 0)))
-    return x.where(~change).withColumn("mode", F.coalesce("__m", F.lit("0"))).drop("__m")
+    return x.where(~change).withColumn("mode", F.coalesce("__m", F.lit("0"))).drop("__m", "__change")
+
+
+def _marked_headings(lines: DataFrame, changes: DataFrame) -> DataFrame:
+    """Headings, from lines that look like one: (doc_id, number, depth, title)."""
+    t = stripped(F.col("content"))
+    x = _in_modes(lines.where(line_features(F.col("content"))["heading"]), changes).where("mode = '0'")
+    w = Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")).cast("long"))
+    # the stack's depth is min(depth before + 1, rank): with i headings so far, i plus the least of 0 and every rank less its number
+    rank = F.length(F.regexp_extract(t, "^(#+)", 1))
+    x = x.withColumn("depth", F.col("number") + F.least(F.lit(0).cast("long"), F.min(rank - F.col("number")).over(w)))
+    return x.select("doc_id", "number", "depth", stripped(F.regexp_replace(t, r"^#+\s+", "")).alias("title"))
 
 
 def heading_paths(headings: DataFrame) -> DataFrame:
@@ -85,25 +98,25 @@ def structure(lines: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("doc_id").orderBy("chunk_index")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    line = F.col("content")
-    f = line_features(line)
-    plain, t = F.col("mode") == "0", stripped(line)
-    open_kind = F.element_at(F.create_map(*[F.lit(v) for kv in MODES.items() for v in kv]), F.col("mode"))
-    kind = (
-        F.when(f["marker"], None).when(~plain, open_kind).when(f["heading"], "HEADING").when(f["fence"], "CODE").when(f["dollars"], "FORMULA").when(f["figure"], "MIXED_VISUAL")
+    changes = settle(mode_changes(lines))
+    own = lines.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.coalesce("content", F.lit("")).alias("content"))
+    f, t = line_features(F.col("content")), stripped(F.col("content"))
+    # what a line is in plain text; NONE are markers, which count in any mode
+    plain = (
+        F.when(f["marker"], "NONE").when(f["heading"], "HEADING").when(f["fence"], "CODE").when(f["dollars"], "FORMULA").when(f["figure"], "MIXED_VISUAL")
         .when(f["bar"], "TABLE").when(f["nothing"], None).otherwise("PARAGRAPH")
     )
     page = F.when(f["marker"], F.regexp_extract(t, "([0-9]+)", 1).cast("long"))
-    x = _in_modes(lines).withColumn("kind", kind).withColumn("page", F.coalesce(F.last(page, ignorenulls=True).over(so_far), F.lit(1)))
-    heading, opens = F.col("kind") == "HEADING", plain & F.col("kind").isin("HEADING", "CODE", "FORMULA", "MIXED_VISUAL")
-    new = F.col("kind").isNotNull() & (opens | (plain & ~F.lag("kind").over(w).eqNullSafe(F.col("kind"))))
-    x = x.withColumn("__new", new.cast("int")).withColumn("__head", F.coalesce(heading, F.lit(False)).cast("int"))
+    x = _in_modes(own.withColumn("plain", plain).withColumn("page", page), changes)
+    outside = F.col("mode") == "0"
+    open_kind = F.element_at(F.create_map(*[F.lit(v) for kv in MODES.items() for v in kv]), F.col("mode"))
+    kind = F.when(F.col("plain").eqNullSafe("NONE"), None).when(~outside, open_kind).otherwise(F.col("plain"))
+    x = x.withColumn("kind", kind).withColumn("page", F.coalesce(F.last("page", ignorenulls=True).over(so_far), F.lit(1)))
+    opens = outside & F.col("kind").isin("HEADING", "CODE", "FORMULA", "MIXED_VISUAL")
+    new = F.col("kind").isNotNull() & (opens | (outside & ~F.lag("kind").over(w).eqNullSafe(F.col("kind"))))
+    x = x.withColumn("__new", new.cast("int")).withColumn("__head", F.col("kind").eqNullSafe("HEADING").cast("int"))
     x = x.withColumn("element", F.sum("__new").over(so_far)).withColumn("number", F.sum("__head").over(so_far))
-    # the stack's depth is min(depth before + 1, rank): with i headings so far, i plus the least of 0 and every rank less its number
-    rank = F.length(F.regexp_extract(t, "^(#+)", 1))
-    x = x.withColumn("depth", F.col("number") + F.least(F.lit(0).cast("long"), F.min(F.when(F.col("__head") == 1, rank - F.col("number"))).over(so_far)))
-    heads = x.where("__head = 1").select("doc_id", "number", "depth", stripped(F.regexp_replace(t, r"^#+\s+", "")).alias("title"))
-    paths = heading_paths(heads).withColumnRenamed("doc_id", "__d").withColumnRenamed("number", "__n")
+    paths = heading_paths(_marked_headings(own, changes)).withColumnRenamed("doc_id", "__d").withColumnRenamed("number", "__n")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))), lambda r: r["content"]), "\n")
     e = x.where("kind IS NOT NULL").groupBy("doc_id", "element").agg(
         F.min("kind").alias("kind"), F.min("page").alias("page"), F.min("number").alias("number"), F.min("chunk_index").alias("first_line"), F.count("*").alias("lines"), text.alias("content")

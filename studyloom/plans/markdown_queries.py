@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import chunking as C
 from ..operators import markdown as M
+from ..sources.shared import settle
 from .registry import CHUNKS, chunks, query
 
 #: Every line keeps its whole text, or is a mark.
@@ -98,8 +98,9 @@ kd AS (SELECT *, st > 1 AND kind IN ('PARAGRAPH', 'MIXED') AND coalesce(lag(kind
 
 @query(f"""WITH RECURSIVE {CHUNKED} SELECT doc_id, chunk, kind, array_to_string(kinds, ',') AS kinds, page_start, page_end, array_to_string(path, ' > ') AS path, elements, overlap, md5(CASE WHEN overlap THEN array_to_string(pw[-90:], ' ') || chr(10) || chr(10) ELSE '' END || content) AS digest FROM kd""")
 def markdown_chunks(spark, sf_dir):
-    m = marked(spark, sf_dir).withColumn("book", F.floor(F.col("doc_id") / 12))
-    lines = m.select(F.col("book").alias("doc_id"), (F.row_number().over(Window.partitionBy("book").orderBy("doc_id", "chunk_index")) - 1).alias("chunk_index"), "content")
+    # places need an order, no gapless numbers
+    place = F.shiftleft(F.col("doc_id") % 12, 40) + F.col("chunk_index")
+    lines = marked(spark, sf_dir).select(F.floor(F.col("doc_id") / 12).alias("doc_id"), place.alias("chunk_index"), "content")
     names = F.array(*[F.lit(s) for s in ("PAGE_AWARE", "SLIDE_AWARE", "TOPIC_AWARE", "PAPER_SECTION_AWARE", "QUESTION_AWARE", "MIXED_FALLBACK")])
-    c = C.markdown_chunks(M.structure(lines).withColumn("strategy", F.get(names, (F.col("doc_id") % 6).cast("int"))))
+    c = C.markdown_chunks(settle(M.structure(lines)).withColumn("strategy", F.get(names, (F.col("doc_id") % 6).cast("int"))))
     return c.select("doc_id", "chunk", "kind", F.array_join("kinds", ",").alias("kinds"), "page_start", "page_end", F.array_join("path", " > ").alias("path"), "elements", "overlap", F.md5("content").alias("digest"))
