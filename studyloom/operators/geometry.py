@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settle
 from .folds import fold_rows
 from .graph import components
 
@@ -146,12 +149,50 @@ def average_hash(luma: Column) -> Column:
     return F.when((F.size(luma) == 64) & ~F.exists(luma, lambda x: x.isNull()), F.lower(F.lpad(F.conv(bits, 2, 16), 16, "0")))
 
 
+#: Bits from which a run of bits parts hashes well enough to meet by it, and about how many hashes a block has where it doesn't.
+LEAST_RUN, HASH_BLOCK = 8, 16_384
+
+
+def _near_hashes(most: int):
+    """From the hashes (h, block) of one block or two: the pairs near each other, of different blocks if there are two."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, block = pdf["h"].to_numpy().view(np.uint64), pdf["block"].to_numpy()
+        alone = block.min() == block.max()
+        p, q = h[block == block.min()], h[block == block.max()]
+        found = []
+        for i in range(0, len(p), 16):  # tiles that stay in a core's cache
+            for j in range(0, len(q), 8192):
+                bits = np.bitwise_count(p[i : i + 16, None] ^ q[None, j : j + 8192])
+                if bits.min() <= most:
+                    r, c = np.nonzero(bits <= most)
+                    a, b = p[i + r], q[j + c]
+                    keep = (a < b) | ((a > b) & (not alone))
+                    found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], bits[r, c][keep]))
+        a, b, n = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.uint64),) * 3
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64), "bits": n.astype(np.int32)})
+
+    return run
+
+
+def _compared_hashes(images: DataFrame, most: int) -> DataFrame:
+    """similar_hashes by comparing all pairs, block by block: work is quadratic by nature, a task holds two blocks."""
+    h = settle(images.where("hash IS NOT NULL").select(F.conv("hash", 16, -10).cast("long").alias("h")).distinct())
+    blocks = max(1, -(-h.count() // HASH_BLOCK))
+    h = h.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = h.groupBy(F.least("block", "other").alias("__lo"), F.greatest("block", "other").alias("__hi")).applyInPandas(_near_hashes(most), "a long, b long, bits int")
+    return met.select(*[F.lower(F.lpad(F.hex(c), 16, "0")).alias(c) for c in ("a", "b")], "bits")
+
+
 def similar_hashes(images: DataFrame, most: int = 3) -> DataFrame:
     """images(hash) -> (a, b, bits): different hashes, a < b, that differ in no more than `most` bits (fewer than 16).
 
     Equal hashes are one row, whatever the number of images. The 64 bits are cut into most + 1 runs; two near hashes agree in one of
-    them at least, so hashes meet by equal runs only, and in the first run alone that they share.
+    them at least, so hashes meet by equal runs only, and in the first run alone that they share. Runs of a few bits tell too
+    little apart: there all pairs are compared.
     """
+    if 64 // (most + 1) < LEAST_RUN:
+        return _compared_hashes(images, most)
     cuts = [round(64 * k / (most + 1)) for k in range(most + 2)]
     # as signed halves, as a number of 64 bits has no positive place in a long
     half = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
