@@ -30,7 +30,8 @@ def _folder(spark) -> str:
 
 
 def _stream(spark, sf_dir, name):
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table as a stream, whether it is one file or a folder of files: a stream takes one file by a pattern only."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 @query("SELECT user_id, count(*) AS events, round(sum(value), 4) AS total, max(ts) AS last FROM events GROUP BY 1")
