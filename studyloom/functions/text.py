@@ -11,6 +11,22 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "\\s+", " "))
 
 
+def upper_each(text: Column) -> Column:
+    """Upper case character by character, as SQL engines without full case mappings have it: ß gives ẞ, a character whose capital is several stays. For short texts."""
+    one = lambda c: F.when(c == "ß", "ẞ").when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)
+    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+
+def lower_each(text: Column) -> Column:
+    """Lower case character by character: İ, the only one that would become two, gives i."""
+    return F.lower(F.translate(text, "İ", "i"))
+
+
+def trim_spaces(text: Column) -> Column:
+    """Without Unicode spaces at its ends; tabs and line ends stay."""
+    return F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def token_text(text: Column) -> Column:
     """Lower case; everything but letters, digits and underscore to one space."""
     return F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}_]+", " "))

@@ -44,7 +44,7 @@ SELECT doc_id, chunk_index, regexp_matches(bare, '^({"|".join(D.UNITS)})') AS un
  length(t) BETWEEN 4 AND 80 AND l <> '' AND (regexp_matches(lower(t), '^({"|".join(D.TOPICS)})') OR (coalesce(u / nullif(length(l), 0) >= 0.72, FALSE) AND len(string_split(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' ')) <= 6)) AS topic FROM b""")
 def line_boundaries(spark, sf_dir):
     i, c = F.col("chunk_index"), F.col("content")
-    t = F.when(i % 8 == 0, "## Theorem 4").when(i % 8 == 1, "Question 12 of it").when(i % 8 == 2, F.concat(F.lit("3) "), c)).when(i % 8 == 3, F.concat(F.lit("Related work: "), F.substring(c, 1, 10))).when(i % 8 == 4, F.upper(F.substring(c, 1, 12))).when(i % 8 == 5, "q7. why").otherwise(c)
+    t = F.when(i % 8 == 0, "## Theorem 4").when(i % 8 == 1, "Question 12 of it").when(i % 8 == 2, F.concat(F.lit("3) "), c)).when(i % 8 == 3, F.concat(F.lit("Related work: "), F.substring(c, 1, 10))).when(i % 8 == 4, T.upper_each(F.substring(c, 1, 12))).when(i % 8 == 5, "q7. why").otherwise(c)
     return chunks(spark, sf_dir).select("doc_id", i.cast("long").alias("chunk_index"), D.boundaries(t, i % 2 == 1).alias("b")).select("doc_id", "chunk_index", "b.*")
 
 
