@@ -12,7 +12,8 @@ HEX = "lpad(lower(to_hex(CAST(list_sum(list_transform(range(64), lambda k: CASE
 
 
 def _hashes(spark, sf_dir):
-    grey = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127.5).cast("double"))
+    # the sum is of the vectors' own 32 bits, as in SQL: in doubles it falls below a whole number where that reaches it
+    grey = F.transform("embedding", lambda x: F.floor((x + F.lit(1.0).cast("float")).cast("double") * 127.5).cast("double"))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), G.average_hash(grey).alias("hash"))
 
 
