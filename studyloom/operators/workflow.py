@@ -284,8 +284,12 @@ def compression_step(marked: DataFrame, summaries: DataFrame) -> DataFrame:
 
 
 def vector_text(v: Column) -> Column:
-    """A vector as text in brackets, six digits each."""
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]"))
+    """A vector of floats as text in brackets, six digits each; a half goes to the even digit, as C has it (Java's format rounds it up).
+
+    A float times a million is exact as a double, so only true halves count as such.
+    """
+    six = lambda x: F.format_string("%.6f", F.rint(x.cast("double") * 1e6) / 1e6)
+    return F.concat(F.lit("["), F.array_join(F.transform(v, six), ","), F.lit("]"))
 
 
 def parsed_vector(text: Column) -> Column:
