@@ -42,19 +42,25 @@ def mastery_stream(events: DataFrame) -> DataFrame:
     """A stream from learning.updates -> (user_id, topic, mastery, events) of every key that a batch touched (output mode update).
 
     Events count in order of arrival, so a late one changes mastery but not the order of what came before; a replay
-    with learning.fold_mastery gives the order of event time. State is two numbers a key. Repeated ids have to be gone (counted_once).
+    with learning.fold_mastery gives the order of event time. State is two numbers a key, kept together for all topics of a user, as a call for
+    each key would cost more than its work. Repeated ids have to be gone (counted_once).
     """
 
     def step(key, frames, state):
-        mastery, n = state.get if state.exists else (0.5, 0)
-        for pdf in frames:
-            for delta in pdf.sort_values(["ts", "event_id"])["delta"]:
-                mastery, n = max(0.0, min(1.0, mastery + delta)), n + 1
-        state.update((float(mastery), int(n)))
-        yield pd.DataFrame({"user_id": [key[0]], "topic": [key[1]], "mastery": [round(float(mastery), 6)], "events": [n]})
+        held = {t: (m, n) for t, m, n in zip(*state.get)} if state.exists else {}
+        touched = {}
+        # a user's rows of one micro-batch may come in several frames
+        rows = pd.concat([pdf[["topic", "ts", "event_id", "delta"]] for pdf in frames]).sort_values(["ts", "event_id"])
+        for topic, delta in zip(rows["topic"].tolist(), rows["delta"].tolist()):
+            topic = None if pd.isna(topic) else int(topic)
+            mastery, n = touched.get(topic) or held.get(topic) or (0.5, 0)
+            touched[topic] = (max(0.0, min(1.0, mastery + delta)), n + 1)
+        held |= touched
+        state.update((list(held), [float(m) for m, _ in held.values()], [n for _, n in held.values()]))
+        yield pd.DataFrame({"user_id": pd.Series([key[0]] * len(touched), dtype=object), "topic": pd.Series(list(touched), dtype=object), "mastery": [round(float(m), 6) for m, _ in touched.values()], "events": [n for _, n in touched.values()]})
 
     rows = events.select("user_id", "topic", "ts", "event_id", "delta")
-    return rows.groupBy("user_id", "topic").applyInPandasWithState(step, "user_id long, topic int, mastery double, events long", "mastery double, events long", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, topic int, mastery double, events long", "topics array<int>, mastery array<double>, events array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
 def turn_windows(messages: DataFrame, turns: int = 12, budget: int = 2400, least: int = 2, clip: int = 900) -> DataFrame:
