@@ -5,9 +5,10 @@ Plan, with the data that each step moves:
 1. One row a document: a digest of its word sequence (of its first window, if that is its only shingle) and its
    number of shingles. Documents of one digest have one set, so they are one node of the join, however many there are.
 2. The texts of the nodes become shingle hashes (56 of 64 bits travel). Each task sends them sorted and packed to the range of
-   hashes that they fall in; there it is counted in how many nodes each occurs. A shingle that HOT nodes or more of one
-   batch have is only sent as a count, as its answer is known; so no shingle brings more than HOT rows a batch
-   to one task. Only shingles of two nodes or more go back, packed again, to their node.
+   hashes that they fall in; there it is counted in how many nodes each occurs. A node is sent as its place in its chunk of about a
+   million shingles, and the chunk's nodes travel once, however many ranges there are. A shingle that HOT nodes or more of one
+   chunk have is only sent as a count, as its answer is known; so no shingle brings more than HOT rows a chunk
+   to one task. Only shingles of two nodes or more go back, packed again, to their chunk.
 3. A node can only have a partner if ceil(0.85 n) of its n shingles occur elsewhere. For those
    that remain the prefix of n - ceil(0.85 n) + 1 shingles is taken under three global orders (all put the
    shingles without partner first; then by rising frequency, counted up to HOT, or by one of two hashes).
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ BLOCK = 64
 #: Nodes from which a cluster meets pivots first, and how many times.
 LARGE = 256
 PIVOT_ROUNDS = 1
-#: Ranges of shingles and of nodes, at least.
+#: Ranges of shingles, at least, and about how many shingles a chunk of nodes has.
 LEAST_PARTS = 256
 CHUNK_SHINGLES = 1_000_000
 
@@ -83,47 +85,38 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(x)))
 
 
-def _to_nodes(token: np.ndarray, node: np.ndarray, n: np.ndarray, df: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
-    """Answers, packed by range of nodes."""
-    bucket = (mix64(node, 7) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((token, node, bucket))
-    token, node, n, df, bucket = (x[order] for x in (token, node, n, df, bucket))
-    return [(int(bucket[lo]), pack(token[lo : lo + c], np.diff(node[lo : lo + c], prepend=0), n[lo : lo + c], df[lo : lo + c])) for lo, c in zip(*_runs(bucket))]
-
-
 def _requests(size: int, parts: int):
-    """From rows (node, key, text): rows (part, told, blob).
+    """From rows (node, key, text): rows (part, chunk, told, blob). A task cuts its nodes into chunks, and a node is known by its place in one.
 
-    A blob of told = false holds shingles in order as differences, the place of each one's node, nodes, their set sizes, and the hot
-    shingles with how many nodes have each; one of told = true holds answers for hot shingles, which only pass through.
+    A blob of told = false holds a chunk's shingles of a range in order as differences, the place of each one's node, and the hot shingles
+    with how many nodes have each. Those of told = true only pass through: answers for hot shingles, and once a chunk its nodes and their set sizes.
     """
 
-    def flush(held: list[tuple[int, np.ndarray, int]]) -> list[tuple[int, bool, bytes]]:
+    def flush(chunk: int, held: list[tuple[int, np.ndarray, int]]) -> list[tuple[int, int, bool, bytes]]:
         tokens = np.concatenate([s for _, s, _ in held])
         place = np.repeat(np.arange(len(held)), [len(s) for _, s, _ in held])
-        ids, sizes = np.array([i for i, _, _ in held], np.int64), np.array([n for _, _, n in held], np.int64)
         order = np.argsort(tokens, kind="stable")
         tokens, place = tokens[order].astype(np.int64), place[order]
         starts, times = _runs(tokens)
         common = np.repeat(times >= HOT, times)
         hot, weight = tokens[starts[times >= HOT]], times[times >= HOT]
-        rows = []
+        own = int(mix64(np.array([chunk]), 7)[0] % np.uint64(parts))
+        rows = [(own, chunk, True, pack(np.array([i for i, _, _ in held], np.int64), np.array([n for _, _, n in held], np.int64)))]
         if common.any():
-            who = place[common]
-            rows += [(p, True, blob) for p, blob in _to_nodes(tokens[common], ids[who], sizes[who], np.full(len(who), HOT), parts)]
+            rows.append((own, chunk, True, pack(np.diff(tokens[common], prepend=0), place[common], np.full(int(common.sum()), HOT))))
         tokens, place = tokens[~common], place[~common]
         edges = [(p << HASH_BITS) // parts for p in range(parts + 1)]
         cuts, hot_cuts = np.searchsorted(tokens, edges), np.searchsorted(hot, edges)
         for p in range(parts):
             t, d, h = tokens[cuts[p] : cuts[p + 1]], place[cuts[p] : cuts[p + 1]], slice(hot_cuts[p], hot_cuts[p + 1])
             if len(t) or len(hot[h]):
-                there, d = np.unique(d, return_inverse=True)
-                rows.append((p, False, pack(np.diff(t, prepend=0), d, ids[there], sizes[there], np.diff(hot[h], prepend=0), weight[h])))
+                rows.append((p, chunk, False, pack(np.diff(t, prepend=edges[p]), d, np.diff(hot[h], prepend=edges[p]), weight[h])))
         return rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, total, seen = [], 0, set()
-        frame = lambda rows: pd.DataFrame(rows, columns=["part", "told", "blob"])
+        chunk = TaskContext.get().partitionId() << 32
+        frame = lambda rows: pd.DataFrame(rows, columns=["part", "chunk", "told", "blob"])
         for pdf in batches:
             for node, key, text in zip(pdf["node"].tolist(), pdf["key"], pdf["text"]):
                 words = folded_words(text)
@@ -135,44 +128,47 @@ def _requests(size: int, parts: int):
                 held.append((node, np.unique(s >> np.uint64(64 - HASH_BITS)), len(s)))
                 total += len(s)
                 if total >= CHUNK_SHINGLES:
-                    yield frame(flush(held))
-                    held, total = [], 0
+                    yield frame(flush(chunk, held))
+                    held, total, chunk = [], 0, chunk + 1
         if held:
-            yield frame(flush(held))
+            yield frame(flush(chunk, held))
 
     return run
 
 
 def _answers(parts: int):
-    """From all requests of a range of shingles: those of two nodes or more, packed by range of nodes."""
+    """From all requests of a range of shingles: of each chunk those of two nodes or more."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        token, node, n, hot, weight, passed = [], [], [], [], [], []
-        for told, blob in zip(pdf["told"], pdf["blob"]):
-            got = unpack(blob)
+        low = (int(pdf["part"].iloc[0]) << HASH_BITS) // parts
+        rows, chunk, token, place, hot, weight = [], [], [], [], [], []
+        for c, told, blob in zip(pdf["chunk"], pdf["told"], pdf["blob"]):
             if told:
-                passed.append((int(pdf["part"].iloc[0]), blob))
+                rows.append((c, blob))
                 continue
-            t, d, ids, sizes, h, w = got
-            token.append(np.cumsum(t))
-            node.append(ids[d])
-            n.append(sizes[d])
-            hot.append(np.cumsum(h))
+            t, d, h, w = unpack(blob)
+            chunk.append(c)
+            token.append(low + np.cumsum(t))
+            place.append(d)
+            hot.append(low + np.cumsum(h))
             weight.append(w)
-        rows = passed
         if token:
-            token, node, n, hot, weight = map(np.concatenate, (token, node, n, hot, weight))
+            ends = np.cumsum([0, *map(len, token)])
+            token, place, hot, weight = map(np.concatenate, (token, place, hot, weight))
             order = np.argsort(token, kind="stable")
-            token, node, n = token[order], node[order], n[order]
-            starts, times = _runs(token)
+            starts, times = _runs(token[order])
+            first = token[order[starts]]
             known, at = np.unique(hot, return_inverse=True)
             more = np.append(np.bincount(at, weights=weight, minlength=len(known)), 0).astype(np.int64)
-            spot = np.searchsorted(known, token[starts])
-            spot[(spot < len(known)) & (np.append(known, -1)[spot] != token[starts])] = len(known)
-            df = np.repeat(np.minimum(times + more[spot], HOT), times)
-            keep = df > 1
-            rows = rows + _to_nodes(token[keep], node[keep], n[keep], df[keep], parts)
-        return pd.DataFrame(rows, columns=["part", "blob"])
+            spot = np.searchsorted(known, first)
+            spot[(spot < len(known)) & (np.append(known, -1)[spot] != first)] = len(known)
+            df = np.empty(len(token), np.int64)
+            df[order] = np.repeat(np.minimum(times + more[spot], HOT), times)
+            for c, lo, hi in zip(chunk, ends, ends[1:]):
+                keep = lo + np.flatnonzero(df[lo:hi] > 1)
+                if len(keep):
+                    rows.append((c, pack(np.diff(token[keep], prepend=0), place[keep], df[keep])))
+        return pd.DataFrame(rows, columns=["chunk", "blob"])
 
     return run
 
@@ -185,22 +181,22 @@ def need(n: int, percent: int) -> int:
 def _candidates(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         got = [unpack(blob) for blob in pdf["blob"]]
-        token = np.concatenate([g[0] for g in got])
-        node = np.concatenate([np.cumsum(g[1]) for g in got])
-        n, df = (np.concatenate([g[k] for g in got]) for k in (2, 3))
-        order = np.argsort(node, kind="stable")
-        token, node, n, df = token[order], node[order], n[order], df[order]
-        cuts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else []
+        ids, sizes = next(g for g in got if len(g) == 2)
+        got = [(np.cumsum(t), d, df) for t, d, df in (g for g in got if len(g) == 3)]
         rows = []
-        for lo, hi in zip(cuts, [*cuts[1:], len(node)]):
-            size, t = int(n[lo]), token[lo:hi]
+        token, place, df = map(np.concatenate, zip(*got)) if got else (np.empty(0, np.int64),) * 3
+        order = np.argsort(place, kind="stable")
+        token, place, df = token[order], place[order], df[order]
+        for lo, c in zip(*_runs(place)):
+            hi, node, size = lo + c, int(ids[place[lo]]), int(sizes[place[lo]])
+            t = token[lo:hi]
             take = (hi - lo) - need(size, percent) + 1
             if take < 1:
                 continue
             first = t[np.lexsort((mix64(t, 11), df[lo:hi]))][:take]
             second = t[np.argsort(mix64(t, 101))][:take]
             third = t[np.argsort(mix64(t, 1009))][:take]
-            rows.append((int(node[lo]), size, np.sort(t).tobytes(), first.tolist(), first.tobytes(), second.tobytes(), third.tobytes()))
+            rows.append((node, size, np.sort(t).tobytes(), first.tolist(), first.tobytes(), second.tobytes(), third.tobytes()))
         return pd.DataFrame(rows, columns=["node", "n", "tokens", "heads", "first", "second", "third"])
 
     return run
@@ -317,9 +313,11 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     # a number for each set, written once with it
     nodes = settle(some.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     wanted = nodes.where((F.col("n") > 1) | F.lit(percent <= 50)).select(F.col("least").alias("doc_id"), "key", "node")
-    asked = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "key", "text").mapInPandas(_requests(size, parts), "part int, told boolean, blob binary")
-    told = asked.groupBy("part").applyInPandas(_answers(parts), "part int, blob binary")
-    near = settle(told.groupBy("part").applyInPandas(_candidates(percent), "node long, n long, tokens binary, heads array<long>, first binary, second binary, third binary"))
+    # in order, so that a task that is run again cuts the same chunks
+    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "key", "text").sortWithinPartitions("node")
+    asked = texts.mapInPandas(_requests(size, parts), "part int, chunk long, told boolean, blob binary")
+    told = asked.groupBy("part").applyInPandas(_answers(parts), "chunk long, blob binary")
+    near = settle(told.groupBy("chunk").applyInPandas(_candidates(percent), "node long, n long, tokens binary, heads array<long>, first binary, second binary, third binary"))
     heads = settle(near.select("node", F.explode("heads").alias("token")))
     least = settle(heads.groupBy("token").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1"))
     cluster = settle(star_forest(heads.join(least, "token").select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumn("piece", F.col("node")))
