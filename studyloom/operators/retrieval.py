@@ -28,6 +28,8 @@ SIGNALS = [
 RERANK_STOP_WORDS = "a an and are as at be by for from how in is it of on or that the to what when where which why with".split()
 #: Vectors of a query set that meet all rows at once; larger sets go in blocks.
 QUERY_BLOCK = 2000
+#: Queries whose scores a task holds at a time.
+QUERY_TILE = 32
 
 
 def top(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -63,7 +65,7 @@ def vector_recall(queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFr
                 q = np.clip(np.nan_to_num(q), -65504, 65504).astype(np.float16).astype(float)
             norm = np.linalg.norm(q, axis=1, keepdims=True)
             q = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
-            best = None
+            best = {}
             for pdf in batches:
                 if halves:
                     pdf = pdf.assign(vector=pdf["vector"].map(lambda v: np.frombuffer(v, np.float16)))
@@ -72,15 +74,17 @@ def vector_recall(queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFr
                 if good.any():
                     v[good] = np.stack(pdf["vector"][good].to_numpy())
                 n = np.linalg.norm(v, axis=1, keepdims=True)
-                s = np.round(q @ np.divide(v, n, out=np.zeros_like(v), where=n > 0).T, 6)
-                s[~fits] = 0.0
-                key = pdf["id"].to_numpy()
-                s, key = (s, np.broadcast_to(key, s.shape)) if best is None else (np.hstack([best[0], s]), np.hstack([best[1], np.broadcast_to(key, s.shape)]))
-                order = np.lexsort((key, -s))[:, :k]
-                best = np.take_along_axis(s, order, 1), np.take_along_axis(key, order, 1)
-            if best is not None:
-                m = best[0].shape[1]
-                yield pd.DataFrame({"query_id": np.repeat(ids, m), "id": best[1].ravel(), "score": best[0].ravel() + 0.0})
+                unit = np.divide(v, n, out=np.zeros_like(v), where=n > 0).T
+                for lo in range(0, len(ids), QUERY_TILE):  # a batch's scores are held for one tile of queries at a time
+                    s = np.round(q[lo : lo + QUERY_TILE] @ unit, 6)
+                    s[~fits[lo : lo + QUERY_TILE]] = 0.0
+                    key = np.broadcast_to(pdf["id"].to_numpy(), s.shape)
+                    if lo in best:
+                        s, key = np.hstack([best[lo][0], s]), np.hstack([best[lo][1], key])
+                    order = np.lexsort((key, -s))[:, :k]
+                    best[lo] = np.take_along_axis(s, order, 1), np.take_along_axis(key, order, 1)
+            for lo, (s, key) in best.items():
+                yield pd.DataFrame({"query_id": np.repeat(ids[lo : lo + QUERY_TILE], s.shape[1]), "id": key.ravel(), "score": s.ravel() + 0.0})
 
         kinds = dict(part.dtypes) | {"id": dict(vectors.dtypes)["id"]}
         found = vectors.where("vector IS NOT NULL").select("id", "vector").mapInPandas(score, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
