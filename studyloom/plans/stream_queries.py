@@ -109,9 +109,11 @@ def stream_topic_states(spark, sf_dir):
     """The events come in ten micro-batches, out of order and partly twice; the last states equal the replay in event time."""
     where = _folder(spark)
     rows = arrivals(learning_events(spark, sf_dir).where("topic IS NOT NULL"), BATCHES)
+    rows.write.partitionBy("batch").parquet(f"{where}/all")
+    come = spark.read.schema(rows.schema).parquet(f"{where}/all")
     with topic_stream.rocksdb(spark):
         for b in range(BATCHES):  # the stream stops after each and goes on from its checkpoint
-            rows.where(F.col("batch") == b).drop("batch").write.mode("append").parquet(f"{where}/in")
+            come.where(F.col("batch") == b).drop("batch").write.mode("append").parquet(f"{where}/in")
             source = spark.readStream.schema(rows.drop("batch").schema).parquet(f"{where}/in")
             last = S.run_to_table(topic_stream.topic_states(source, ["user_id", "topic"]), ["user_id", "topic"], f"{where}/out", f"{where}/progress")
     return last.withColumns({c: half_up(F.col(c), 6) for c in NUMBERS})

@@ -3,6 +3,8 @@
 A key's state is the fold of all events up to its horizon, the newest event less the delay, and the events after it, sorted: a late
 row takes its place among those, and what a batch puts out is the fold over all of them. Ids that a key has seen are kept for good. State
 lies in RocksDB, so it need not fit in memory. No watermark is set: Spark would drop the rows that come later than it, and here they count.
+
+Keys are dealt to buckets by hash, and a bucket's keys share one state and one call a batch: a call for each key costs far more than its work.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -18,104 +21,149 @@ from pyspark.sql.streaming import StatefulProcessor
 from ..operators.folds import STATE, topic_history, topic_step
 
 EVENT = ["delta", "weight", "signal", "days", "attempt", "right", "flagged"]
-EVENT_TYPES = "delta double, weight double, signal double, days long, attempt boolean, right boolean, flagged boolean"
 NAMES = [c.split()[0] for c in STATE.split(", ")]
-#: Ids of one entry of the seen ids.
-SPAN = 65_536
+#: A key without settled events.
+BLANK = (0, 0.0, 0.0, 0.0, 0, 0, 0, 0.0, 0.0, 0.0, False, 0)
+
+
+def _packed(columns: dict) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_pydict(columns)
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(bytes(data)).read_all()
+
+
+def _rows(table: pa.Table) -> list[tuple]:
+    return list(zip(*(c.to_pylist() for c in table.columns)))
+
+
+def _columns(names: list[str], rows: list[tuple]) -> dict:
+    return dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}
 
 
 class TopicStates(StatefulProcessor):
-    """Emits a key's state after each batch that brings it a new event. Times are microseconds."""
+    """Emits the states of a bucket's keys after each batch that brings them a new event. Times are microseconds.
+
+    Its state is three tables in Arrow's form: the keys with their settled states, in order of arrival; the events after the horizons,
+    by the key's place; and the ids seen, by the key's place. It grows with a bucket's keys and ids.
+    """
 
     def __init__(self, keys: list[str], delay: int):
         self.keys, self.delay = keys, delay
 
     def init(self, handle) -> None:
-        self.settled = handle.getValueState("settled", f"{STATE}, until long, late long")
-        self.recent = handle.getListState("recent", f"ts long, event_id long, {EVENT_TYPES}")
-        self.seen = handle.getMapState("seen", "span long", "ids binary")
-
-    def _new(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        """The rows whose id the key has not seen, the earliest of each id; rows without an id are all new."""
-        pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-        known = pdf["event_id"].notna()
-        pdf = pdf[~known | ~pdf["event_id"].duplicated()]
-        ids = pdf["event_id"].to_numpy(dtype="float64", na_value=np.nan) if pdf["event_id"].dtype == object else pdf["event_id"].to_numpy()
-        fresh = np.ones(len(pdf), bool)
-        rows = np.flatnonzero(pdf["event_id"].notna().to_numpy())
-        numbers = ids[rows].astype(np.int64)
-        spans = numbers // SPAN
-        for span in np.unique(spans).tolist():
-            here = rows[spans == span]
-            offsets = (numbers[spans == span] - span * SPAN).astype(np.uint16)
-            found = self.seen.getValue((span,))
-            held = np.frombuffer(bytes(found[0]), np.uint16) if found else np.empty(0, np.uint16)
-            fresh[here] = ~np.isin(offsets, held)
-            if fresh[here].any():
-                self.seen.updateValue((span,), (np.union1d(held, offsets).tobytes(),))
-        return pdf[fresh]
+        self.held = handle.getValueState("held", "states binary, recent binary, seen binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows))  # a key's rows of one micro-batch, whose size the source bounds
-        fresh = self._new(pdf[["ts", "event_id", *EVENT]])
-        if not len(fresh):
+        pdf = pd.concat(list(rows))  # a bucket's rows of one micro-batch, whose size the source bounds
+        pdf = pdf.sort_values(["ts", "known", "event_id"], kind="stable")
+        states, recent, seen = [], {}, (np.empty(0, np.int32), np.empty(0, np.int64))
+        if held := self.held.get():
+            states = _rows(_unpacked(held[0]))
+            for place, *event in _rows(_unpacked(held[1])):
+                recent.setdefault(place, []).append(tuple(event))
+            seen = tuple(c.to_numpy() for c in _unpacked(held[2]).columns)
+        nk = len(self.keys)
+        places = {s[:nk]: n for n, s in enumerate(states)}
+        at = np.array([places.setdefault(k, len(places)) for k in zip(*(pdf[k].tolist() for k in self.keys))], np.int32)
+        states += [(*k, *BLANK, None, 0) for k in list(places)[len(states) :]]
+        fresh, seen = self._new(at, pdf["known"].to_numpy(bool), pdf["event_id"].to_numpy(np.int64), seen)
+        if not fresh.any():
             return
-        stamps = fresh["ts"].astype("datetime64[us]").astype("int64").tolist()
-        ids = [None if pd.isna(x) else int(x) for x in fresh["event_id"]]
-        values = zip(*[fresh[c].astype(t).tolist() for c, t in zip(EVENT, (float, float, float, int, bool, bool, bool))])
-        events = [(t, i, *v) for t, i, v in zip(stamps, ids, values)]
-        state, until, late = None, None, 0
-        if known := self.settled.get():
-            *state, until, late = known
-            state = tuple(state) if state[0] else None
-        held = [tuple(r) for r in self.recent.get()] if known else []
-        order = lambda e: (e[0], e[1] is not None, e[1] or 0)
+        pdf, at = pdf[fresh], at[fresh].tolist()
+        stamps = pdf["ts"].astype("datetime64[us]").astype("int64").tolist()
+        ids = [i if k else None for i, k in zip(pdf["event_id"].tolist(), pdf["known"].tolist())]
+        values = zip(*[pdf[c].astype(t).tolist() for c, t in zip(EVENT, (float, float, float, int, bool, bool, bool))])
+        events = {}
+        for place, *event in zip(at, stamps, ids, values):
+            events.setdefault(place, []).append((event[0], event[1], *event[2]))
+        out = []
+        for place, mine in events.items():
+            *state, until, late = states[place][nk:]
+            state, until, late, waiting, last = self._after(tuple(state) if state[0] else None, until, late, recent.pop(place, []), mine)
+            states[place] = (*states[place][:nk], *(state or BLANK), until, late)
+            if waiting:
+                recent[place] = waiting
+            out.append((*states[place][:nk], *last, late))
+        names = ["place", "ts", "event_id", *EVENT]
+        waiting = [(place, *e) for place, es in recent.items() for e in es]
+        self.held.update((_packed(_columns([*self.keys, *NAMES, "until", "late"], states)), _packed(_columns(names, waiting)), _packed({"place": seen[0], "event_id": seen[1]})))
+        yield pd.DataFrame(out, columns=[*self.keys, *NAMES, "late"])
+
+    @staticmethod
+    def _new(at: np.ndarray, known: np.ndarray, ids: np.ndarray, seen: tuple) -> tuple[np.ndarray, tuple]:
+        """Which rows have an id that their key has not seen, the first of each id, and the ids seen after; rows without an id are all new."""
+        n, here = len(seen[0]), np.flatnonzero(known)
+        place, number = np.concatenate([seen[0], at[here]]), np.concatenate([seen[1], ids[here]])
+        order = np.lexsort((number, place))  # stable: of equal ones the held comes first, then the earliest
+        place, number = place[order], number[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (place[1:] != place[:-1]) | (number[1:] != number[:-1])
+        fresh = ~known
+        new = order[first]
+        fresh[here[new[new >= n] - n]] = True
+        return fresh, (place[first], number[first])
+
+    def _after(self, state, until, late, held, events) -> tuple:
+        """A key's settled state, horizon, number of late events and events after the horizon, and its state over all events."""
         for e in [e for e in events if until is not None and e[0] <= until]:
             # its place is settled: it counts now, but doesn't move the next review
             after = topic_step(state, *e[2:])
             state, late = (*after[:-1], state[-1]) if state else after, late + 1
-        held = sorted(held + [e for e in events if until is None or e[0] > until], key=order)
-        edge = max(x for x in (until, held[-1][0] - self.delay if held else None) if x is not None)
-        ripe = sum(e[0] <= edge for e in held)
+        held = sorted(held + [e for e in events if until is None or e[0] > until], key=lambda e: (e[0], e[1] is not None, e[1] or 0))
+        until = max(x for x in (until, held[-1][0] - self.delay if held else None) if x is not None)
+        ripe = sum(e[0] <= until for e in held)
         for e in held[:ripe]:
             state = topic_step(state, *e[2:])
-        held = held[ripe:]
-        blank = (0, 0.0, 0.0, 0.0, 0, 0, 0, 0.0, 0.0, 0.0, False, 0)
-        self.settled.update((*(state or blank), edge, late))
-        self.recent.put(held) if held else self.recent.clear()
-        for e in held:
-            state = topic_step(state, *e[2:])
-        yield pd.DataFrame([(*key, *state, late)], columns=[*self.keys, *NAMES, "late"])
+        last = state
+        for e in held[ripe:]:
+            last = topic_step(last, *e[2:])
+        return state, until, late, held[ripe:], last
 
     def close(self) -> None:
         pass
 
 
 @contextmanager
-def rocksdb(spark: SparkSession):
-    """Streams that start inside keep their state in RocksDB."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def rocksdb(spark: SparkSession, stores: int | None = None):
+    """Streams that start inside keep their state in RocksDB, in so many stores: one for each core unless given. A stream keeps the number it began with.
+
+    Every batch opens and saves every store, whether it has rows or not, so a store a partition of Spark's usual 200 costs more than the work.
+    """
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.shuffle.partitions": str(stores or spark.sparkContext.defaultParallelism),
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def topic_states(events: DataFrame, keys: list[str], delay: str = "12 hours") -> DataFrame:
+def topic_states(events: DataFrame, keys: list[str], delay: str = "12 hours", buckets: int = 256) -> DataFrame:
     """A stream from learning.updates -> the keys, the state (folds.STATE) and late, of each key that a batch brought something new.
 
     Run it in update mode inside rocksdb(). A row that is no more than delay older than its key's newest one counts in its place; late is
     how many came after their place was settled: those count when they come, and repaired() puts them right. An event id counts once
-    for a key, however late it comes again; rows without an id count each. A row without a time or key has to be gone.
+    for a key, however late it comes again; rows without an id count each. A row without a time or key has to be gone. A worker holds
+    one bucket at a time: some 200 bytes for each of its keys and 12 for each of their ids. A stream keeps the number of buckets it began with.
     """
     spark = events.sparkSession
     micros = spark.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL {delay})").first()[0]
     kinds = dict(events.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), STATE, "late long"])
-    rows = events.select(*keys, "ts", "event_id", *EVENT)
-    return rows.groupBy(*keys).transformWithStateInPandas(TopicStates(keys, micros), schema, "Update", "None")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    rows = events.select(bucket.alias("__bucket"), *keys, "ts", F.col("event_id").isNotNull().alias("known"), F.coalesce("event_id", F.lit(0)).cast("long").alias("event_id"), *EVENT)
+    return rows.groupBy("__bucket").transformWithStateInPandas(TopicStates(keys, micros), schema, "Update", "None")
 
 
 def repaired(states: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
