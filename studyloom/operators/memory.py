@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, tokens_message
+from ..functions.text import tokens_message
+from .retrieval import nearest_by_owner
 
 
 def token_window(messages: DataFrame, turns: int = 12, budget: int = 2400, least: int = 2, clip: int = 900) -> DataFrame:
@@ -58,12 +59,13 @@ def round_robin(tasks: DataFrame, slots: tuple[int, ...] = (0, 1, 0, 1, 0, 2, 1,
 def consolidate(candidates: DataFrame, memories: DataFrame, keys: list[str], same: float = 0.90, update: float = 0.78) -> DataFrame:
     """candidates and memories(keys, id, digest, vector, confidence) -> decision for each candidate: SKIP, UPDATE or ADD, with the closest memory.
 
-    keys are owner and type; memories of one owner are bounded by the capacity that evict keeps, so joining by keys is too.
+    keys are owner and type. Equal digests are looked up, the closest memory comes from blocks of an owner's rows (nearest_by_owner).
     """
-    m = memories.select(*keys, F.col("id").alias("memory"), F.col("digest").alias("__d"), F.col("vector").alias("__v"), F.col("confidence").alias("__c"))
-    j = candidates.join(m, keys, "left").withColumn("s", F.when(F.col("__v").isNotNull(), F.round(cosine(F.col("vector"), F.col("__v")), 6)))
-    hit = F.col("__d") == F.col("digest")
-    g = j.groupBy(*keys, "id").agg(F.min(F.when(hit, F.col("memory"))).alias("equal"), F.max_by(F.struct("memory", "__c", "s"), F.when(F.col("s") > 0, F.struct("s", -F.col("memory")))).alias("b"), F.any_value("confidence").alias("confidence"))
+    equal = memories.groupBy(*keys, "digest").agg(F.min("id").alias("equal"))
+    c = candidates.select(*keys, "id", "digest", "confidence").join(equal, [*keys, "digest"], "left")
+    near = nearest_by_owner(candidates.select(*keys, "id", "vector"), memories.select(*keys, F.col("id").alias("memory"), "vector", F.col("confidence").alias("__c")), keys, 1)
+    closest = near.where("score > 0").select(*keys, "id", F.struct("memory", "__c", F.col("score").alias("s")).alias("b"))
+    g = c.join(closest, [*keys, "id"], "left")
     best = F.coalesce("b.s", F.lit(0.0))
     verdict = F.when(F.col("equal").isNotNull(), "SKIP").when(best >= same, F.when(F.col("confidence") > F.col("b.__c"), "UPDATE").otherwise("SKIP")).when(best >= update, "UPDATE").otherwise("ADD")
     found = F.when(F.col("equal").isNotNull(), F.col("equal")).when(best >= update, F.col("b.memory"))

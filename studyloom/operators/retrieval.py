@@ -93,6 +93,69 @@ def vector_recall(queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFr
     return out if out is not None else top(queries.select("query_id", F.lit(None).cast(dict(vectors.dtypes)["id"]).alias("id"), F.lit(0.0).alias("score")).limit(0), ["query_id"], [F.col("id")], k)
 
 
+#: Queries and rows of one owner that a task compares at a time, and queries whose scores it holds at once.
+OWNER_QUERIES, OWNER_ROWS, OWNER_TILE = 4096, 16_384, 64
+
+
+def _nearest(keys: list[str], kept: list[str], k: int):
+    """From a block of queries and one of rows, both of one owner: each query's k best rows."""
+
+    def matrix(vectors: pd.Series, size: int) -> np.ndarray:
+        m = np.zeros((len(vectors), size))
+        fits = vectors.map(lambda v: v is not None and len(v) == size).to_numpy(bool)
+        if fits.any():
+            m[fits] = np.stack(vectors[fits].to_numpy())
+        return m
+
+    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame(columns=[*keys, "id", *kept, "score"], dtype=object)
+        if not len(queries) or not len(rows):
+            return empty
+        rows = rows.sort_values("memory", kind="stable", ignore_index=True)
+        found = []
+        lengths = queries["vector"].map(lambda v: 0 if v is None else len(v))
+        for size in lengths.unique():
+            mine = queries[lengths == size]
+            q, v = matrix(mine["vector"], int(size)), matrix(rows["vector"], int(size))
+            nq, nv = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
+            for lo in range(0, len(q), OWNER_TILE):
+                norm = nq[lo : lo + OWNER_TILE, None] * nv
+                dot = q[lo : lo + OWNER_TILE] @ v.T
+                s = np.round(np.divide(dot, norm, out=np.zeros_like(dot), where=~(norm <= 0)), 6) + 0.0
+                s[np.isnan(s)] = np.inf  # as Spark orders them
+                worst = np.partition(s, -k, axis=1)[:, -k, None] if s.shape[1] > k else np.full((len(s), 1), -np.inf)
+                r, c = np.nonzero(s >= worst)
+                order = np.lexsort((c, -s[r, c], r))  # rows stand by memory
+                r, c = r[order], c[order]
+                first = np.arange(len(r)) - np.searchsorted(r, r) < k
+                r, c = r[first], c[first]
+                found.append(pd.concat([mine[["id"]].iloc[lo + r].reset_index(drop=True), rows[kept].iloc[c].reset_index(drop=True), pd.DataFrame({"score": s[r, c]})], axis=1))
+        return pd.concat(found, ignore_index=True).assign(**{key: queries[key].iloc[0] for key in keys})[empty.columns.tolist()]
+
+    return run
+
+
+def nearest_by_owner(queries: DataFrame, memories: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """queries(keys, id, vector), memories(keys, memory, vector[, more]) -> (keys, id, memory[, more], score, rank): the k closest memories of a query's owner by cosine, of equal ones the smaller memory.
+
+    All pairs of an owner are compared, so work is quadratic in an owner's rows: both sides go in blocks to a grid for each owner, a task multiplies
+    one block of queries with one of memories and passes on the best k a query. Vectors that are null, have a null in them, or have another length or none score 0.
+    """
+    whole = F.when(~F.exists("vector", lambda x: x.isNull()), F.col("vector")).alias("vector")
+    kept = [c for c in memories.columns if c not in (*keys, "vector")]
+    blocks = lambda df, size, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    grid = blocks(memories, OWNER_ROWS, "__ms").join(blocks(queries, OWNER_QUERIES, "__qs"), keys)
+    cell = lambda df, by, n, other: df.join(grid, keys).withColumn(n, F.pmod(F.xxhash64(by), F.col(f"{n}s")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
+    own = [F.col(c).alias(c) for c in (*keys, "__q", "__m")]  # both sides come from the grid, and a cogroup tells them apart by column
+    q = cell(queries.select(*keys, "id", whole), "id", "__q", "__m").select(*own, "id", "vector")
+    m = cell(memories.select(*keys, *kept, whole), "memory", "__m", "__q").select(*own, *kept, "vector")
+    kinds = dict(queries.dtypes) | {c: t for c, t in memories.dtypes if c in kept}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "id", *kept)) + ", score double"
+    found = q.groupBy(*keys, "__q", "__m").cogroup(m.groupBy(*keys, "__q", "__m")).applyInPandas(_nearest(keys, kept, k), schema)
+    best = top(found, [*keys, "id"], [F.desc("score"), F.col("memory")], k)
+    return best.withColumn("score", F.when(F.col("score") == float("inf"), float("nan")).otherwise(F.col("score")))
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 

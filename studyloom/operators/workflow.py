@@ -10,11 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, cosine, half_up
+from ..functions.text import collapse, half_up
 from ..sources.shared import settle
 from .folds import fold_rows
 from .records import confidence
-from .retrieval import top
+from .retrieval import nearest_by_owner, top
 
 #: Shares of easy, medium and hard items, and what material may consist of.
 DIFFICULTY_MIX = {"EASY": 0.3, "MEDIUM": 0.5, "HARD": 0.2}
@@ -185,9 +185,10 @@ def failed_status(status: Column, done: Column) -> Column:
 
 def recalled_memories(queries: DataFrame, memories: DataFrame, latest: int = 3, k: int = 5, least: float = 0.55) -> DataFrame:
     """queries(id, owner, vector), memories(owner, memory, vector, updated) -> an owner's closest memories from least on, or its latest ones where the query has no vector."""
-    m = memories.select("owner", "memory", F.col("vector").alias("__v"), "updated")
-    j = queries.where("vector IS NOT NULL").join(m, "owner").withColumn("similarity", F.round(cosine(F.col("vector"), F.col("__v")), 6)).where(F.col("similarity") >= least)
-    near = top(j, ["id"], [F.desc("similarity"), F.col("memory")], k).select("id", "memory", "similarity", "rank")
+    # a query's id stands for one query, whatever its owners
+    q = queries.where("vector IS NOT NULL")
+    near = nearest_by_owner(q.select("owner", "id", "vector"), memories.select("owner", "memory", "vector"), ["owner"], k).where(F.col("score") >= least)
+    near = top(near.drop("rank"), ["id"], [F.desc("score"), F.col("memory")], k).select("id", "memory", F.col("score").alias("similarity"), "rank")
     last = top(memories, ["owner"], [F.desc("updated"), F.col("memory")], latest)
     return near.unionByName(queries.where("vector IS NULL").select("id", "owner").join(last, "owner").select("id", "memory", F.lit(None).cast("double").alias("similarity"), "rank"))
 
