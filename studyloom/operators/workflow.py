@@ -196,7 +196,8 @@ def recalled_memories(queries: DataFrame, memories: DataFrame, latest: int = 3,
 def memory_errors(c: DataFrame, known: DataFrame, least: float = 0.5) -> DataFrame:
     """c(id, type, content, confidence, message, days), known(message) -> with error (null: none), kept (sound and sure enough) and the days it lives (null: for good)."""
     seen = known.select(F.col("message"), F.lit(True).alias("__known")).distinct()
-    j = c.join(seen, "message", "left")
+    # those without a message need no look-up, and would all meet in one task
+    j = c.where("message IS NOT NULL").join(seen, "message", "left").unionByName(c.where("message IS NULL").withColumn("__known", F.lit(None).cast("boolean")))
     error = (
         F.when(~F.coalesce(F.col("type").isin(MEMORY_TYPES), F.lit(False)), "type").when(F.coalesce(F.trim("content") == "", F.lit(True)), "content").when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence")
         .when(F.col("message").isNotNull() & F.col("__known").isNull(), "message")
