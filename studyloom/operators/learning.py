@@ -88,10 +88,18 @@ def apportion(groups: DataFrame, keys: list[str], seats: str, weight: str, part:
     return g.withColumn("given", (F.col("__floor") + extra.cast("long")).cast("long")).drop("__floor", "__rest")
 
 
+#: Links whose pairs a task counts at a time.
+LINK_BLOCK = 500_000
+
+
 def cooccurrence(links: DataFrame, first: float = 0.4, more: float = 0.02) -> DataFrame:
-    """links(artifact, topic) -> edges (a, b, artifacts, weight), a < b; weight grows with each artifact that has both, to 1 at most."""
-    d = links.distinct()
-    pairs = d.select("artifact", F.col("topic").alias("a")).join(d.select("artifact", F.col("topic").alias("b")), "artifact").where("a < b")
+    """links(artifact, topic) -> edges (a, b, artifacts, weight), a < b; weight grows with each artifact that has both, to 1 at most.
+
+    Links are dealt by artifact to as many tasks as their number asks for, so what a task counts does not grow with the table.
+    """
+    rows = links.where("artifact IS NOT NULL AND topic IS NOT NULL").select("artifact", "topic")
+    t = rows.repartition(max(1, -(-rows.count() // LINK_BLOCK)), "artifact").groupBy("artifact").agg(F.sort_array(F.collect_set("topic")).alias("t"))
+    pairs = t.select("t", F.posexplode("t").alias("n", "a")).select("a", F.explode(F.slice("t", F.col("n") + 2, F.size("t"))).alias("b"))
     g = pairs.groupBy("a", "b").agg(F.count("*").alias("artifacts"))
     return g.withColumn("weight", F.round(F.least(F.lit(1.0), first + more * (F.col("artifacts") - 1)), 6))
 
