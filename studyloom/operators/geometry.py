@@ -25,15 +25,16 @@ def _lit(v: float | Column) -> Column:
 
 
 def banded_pairs(boxes: DataFrame, width: float) -> DataFrame:
-    """boxes(page, x0, y0, x1, y1), different ones -> (a, b): structs of boxes of a page that stand in one band, a < b.
+    """boxes(page, x0, y0, x1, y1[, id]), different ones -> (a, b): ids, or structs without them, of boxes of a page that stand in one band, a < b.
 
     A spatial join: a box lies in the squares of a grid as coarse as it is large, four at most, and is looked up in
     the grids of all coarser sizes of its page that any box has. So two boxes meet only where they are near, not all
     boxes of a page. Boxes with a null side, or that end before they begin, have no band.
     """
     far = reach(width)
-    b = boxes.select("page", *SIDES).where("x1 >= x0 AND y1 >= y0")
-    b = b.withColumn("box", F.struct("page", *SIDES))
+    named = "id" in boxes.columns
+    b = boxes.where("x1 >= x0 AND y1 >= y0")
+    b = b.select("page", *SIDES, F.struct("id" if named else "page", *SIDES).alias("box"))
     # the side of a square is a power of two that the box and the gap around it fit in
     grain = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("x1") - F.col("x0") + far, F.col("y1") - F.col("y0"), F.lit(1.0))))).cast("int")
     b = b.withColumn("grain", grain)
@@ -51,7 +52,8 @@ def banded_pairs(boxes: DataFrame, width: float) -> DataFrame:
     shared = side(F.least, "y1") - side(F.greatest, "y0")
     height = F.greatest(F.lit(1.0), F.least(F.col("p.y1") - F.col("p.y0"), F.col("q.y1") - F.col("q.y0")))
     near = (F.greatest(F.lit(0.0), shared) / height >= BAND_SHARE) & (F.greatest(F.lit(0.0), side(F.greatest, "x0") - side(F.least, "x1")) <= far)
-    return met.where(near).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    p, q = ("p.id", "q.id") if named else ("p", "q")
+    return met.where(near).select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")).distinct()
 
 
 def formula_fragments(boxes: DataFrame, width: float) -> DataFrame:
@@ -60,10 +62,12 @@ def formula_fragments(boxes: DataFrame, width: float) -> DataFrame:
     What grows step by step from the seeds until nothing changes is the components that hold a seed. Boxes without a page are left out.
     """
     b = boxes.where(F.col("page").isNotNull()).groupBy("page", *SIDES).agg(F.bool_or(F.coalesce("seed", F.lit(False))).alias("seed"))
-    found = components(banded_pairs(b, width))
-    at = b.select(F.struct("page", *SIDES).alias("node"), "seed").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # links and rounds carry numbers, not boxes; in order of pages the rows of the grid are alike and shuffle small
+    b = settle(b.repartitionByRange("page", *SIDES).sortWithinPartitions("page", *SIDES).withColumn("id", F.monotonically_increasing_id()))
+    found = components(banded_pairs(b, width)).withColumnRenamed("node", "id")
+    at = b.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     live = at.where("seed").select("component").distinct()
-    return at.join(live, "component", "left_semi").select("node.*", "seed")
+    return at.join(live, "component", "left_semi").select("page", *SIDES, "seed")
 
 
 def merged_formulas(fragments: DataFrame, width: float) -> DataFrame:
