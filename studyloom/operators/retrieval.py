@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import collapse, exact_signal, half_up, preview, tokens, tokens_retrieval
 
@@ -169,11 +172,11 @@ def exact_recall(signals: DataFrame, texts: DataFrame, k: int = 15) -> DataFrame
     n = signals.groupBy("query_id").agg(F.count("*").alias("n"))
     t = texts.select("id", "title", exact_signal(F.col("text")).alias("__norm"))
     kinds = dict(signals.dtypes) | dict(texts.dtypes)
-    schema = f"query_id {kinds['query_id']}, id {kinds['id']}, points double"
-    hits = None
+    schema = StructType([StructField("query_id", signals.schema["query_id"].dataType), StructField("id", texts.schema["id"].dataType), StructField("points", DoubleType())])
+    arrow, hits = to_arrow_schema(schema), None
     for part in _query_blocks(signals.where("signal IS NOT NULL").select("query_id", "signal", exact_signal(F.col("signal")).alias("norm")), QUERY_BLOCK):
         rows = [tuple(r) for r in part.collect()]  # at most about QUERY_BLOCK
-        found = t.mapInPandas(lambda batches, rows=rows: _signal_hits(batches, rows), schema) if rows else None
+        found = t.mapInArrow(lambda batches, rows=rows: _signal_hits(batches, rows, arrow), schema) if rows else None
         hits = found if hits is None else hits.unionByName(found) if found is not None else hits
     if hits is None:
         hits = n.select("query_id", F.lit(None).cast(kinds["id"]).alias("id"), F.lit(0.0).alias("points")).limit(0)
@@ -202,17 +205,23 @@ def _automaton(patterns: list[str]):
     return found
 
 
-def _signal_hits(batches, rows):
-    """(query_id, id, points) of each text of the batches that has any of the signals rows (query_id, signal, norm)."""
+#: Texts that a task holds as strings at a time.
+TEXT_TILE = 256
+
+
+def _signal_hits(batches, rows, schema):
+    """(query_id, id, points) of each text (id, title, __norm) of the Arrow batches that has any of the signals rows (query_id, signal, norm)."""
     in_title, in_text = _automaton([r[1] for r in rows]), _automaton([r[2] for r in rows])
-    for pdf in batches:
-        out = []
-        for key, title, norm in zip(pdf["id"], pdf["title"], pdf["__norm"]):
-            named, points = in_title(title), {}
-            for k in named | in_text(norm):
-                points[rows[k][0]] = points.get(rows[k][0], 0.0) + (2.0 if k in named else 1.5)
-            out += [(q, key, p) for q, p in points.items()]
-        yield pd.DataFrame(out, columns=["query_id", "id", "points"])
+    for batch in batches:
+        for lo in range(0, batch.num_rows, TEXT_TILE):
+            out = []
+            for key, title, norm in zip(*(c.to_pylist() for c in batch.slice(lo, TEXT_TILE).columns)):
+                named, points = in_title(title), {}
+                for k in named | in_text(norm):
+                    points[rows[k][0]] = points.get(rows[k][0], 0.0) + (2.0 if k in named else 1.5)
+                out += [(q, key, p) for q, p in points.items()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
 def fuse(candidates: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,20 +21,20 @@ from ..functions.text import half_up, preview
 from ..sources.shared import settle
 from .retrieval import query_terms, top, words_of
 
-#: Folders that terms are dealt into, texts of a block, query terms that meet the index at once, blocks scored before any is left out.
-BUCKETS, BLOCK, TERMS, AHEAD = 8, 1024, 200_000, 2
+#: Folders that terms are dealt into, texts and bytes of words of a block, query terms that meet the index at once, blocks scored before any is left out.
+BUCKETS, BLOCK, BLOCK_BYTES, TERMS, AHEAD = 8, 1024, 4 << 20, 200_000, 2
 POSTINGS = "block long, term string, n int, most_a int, most_b int, docs array<int>, a array<int>, b array<int>"
 
 
-def _block(ids: list, texts: list[str], heads: list[str], number: int, kind: pa.DataType) -> pa.RecordBatch:
-    """The postings of one block: a row for each term, its texts as places in the block, and a row without a term for the ids in their places."""
-    words = [t.split(" ") if t else [] for t in texts] + [h.split(" ") if h else [] for h in heads]
-    sizes = np.array([len(w) for w in words], np.int64)
-    terms, names = pd.factorize(np.array([w for ws in words for w in ws], object))
-    d = len(ids)
-    key = terms * d + np.repeat(np.arange(2 * d) % d, sizes)
-    weight = np.repeat(np.arange(2 * d) < d, sizes)
-    keys, inverse = np.unique(key, return_inverse=True)
+def _block(ids: pa.Array, texts: list[pa.Array], number: int, kind: pa.DataType) -> pa.RecordBatch:
+    """The postings of one block: a row for each term, its texts as places in the block, and a row without a term for the ids in their places. texts: words and heads."""
+    words = pa.chunked_array([pc.split_pattern(t, " ") for t in texts]).combine_chunks()
+    coded = words.flatten().dictionary_encode()
+    d, terms, place, names = len(ids), coded.indices.to_numpy().astype(np.int64), pc.list_parent_indices(words).to_numpy(), coded.dictionary.cast(pa.string())
+    if (empty := pc.index(names, "").as_py()) >= 0:  # what a text without words is split into
+        terms, place = terms[terms != empty], place[terms != empty]
+    weight = place < d
+    keys, inverse = np.unique(terms * d + place % d, return_inverse=True)
     a = np.bincount(inverse, weight, len(keys)).astype(np.int32)
     b = np.bincount(inverse, ~weight, len(keys)).astype(np.int32)
     term, doc = keys // d, (keys % d).astype(np.int32)
@@ -42,25 +42,30 @@ def _block(ids: list, texts: list[str], heads: list[str], number: int, kind: pa.
     most = lambda x: np.maximum.reduceat(x, starts[:-1]) if len(keys) else x
     array = lambda x: pa.ListArray.from_arrays(pa.array(starts), pa.array(x, pa.int32()))
     count = np.diff(starts).astype(np.int32)
-    columns = [pa.array(np.full(len(count), number)), pa.array(names[term[starts[:-1]]].tolist(), pa.string()), pa.array(count), pa.array(most(a)), pa.array(most(b)), array(doc), array(a), array(b)]
+    columns = [pa.array(np.full(len(count), number)), names.take(pa.array(term[starts[:-1]])), pa.array(count), pa.array(most(a)), pa.array(most(b)), array(doc), array(a), array(b)]
     columns = [pa.concat_arrays([c, pa.array([number if k == 0 else None], c.type)]) for k, c in enumerate(columns)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([*[None] * len(count), ids], pa.list_(kind))], ["block", "term", "n", "most_a", "most_b", "docs", "a", "b", "ids"])
+    return pa.RecordBatch.from_arrays([*columns, pa.array([*[None] * len(count), ids.to_pylist()], pa.list_(kind))], ["block", "term", "n", "most_a", "most_b", "docs", "a", "b", "ids"])
 
 
-def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[tuple[list, list, list]]:
-    """The ids and words of a batch of texts in blocks, longest texts first; a block's texts are sorted by id."""
-    ids, words, heads = (c.to_pylist() for c in batch.columns)
-    order = sorted(range(len(ids)), key=lambda k: (-len(words[k]), ids[k]))
-    for lo in range(0, len(order), size):
-        part = sorted(order[lo : lo + size], key=lambda k: ids[k])
-        yield [ids[k] for k in part], [words[k] for k in part], [heads[k] for k in part]
+def _blocks(batch: pa.RecordBatch, size: int, most: int) -> Iterator[tuple[pa.Array, list[pa.Array]]]:
+    """The ids and [words, heads] of a batch of texts in blocks of so many texts and bytes of both at most (one text may have more), longest texts first; a block's texts are sorted by id."""
+    ids, texts = batch.column(0), batch.columns[1:]
+    keys, length = ids.to_pylist(), sum(pc.binary_length(t).to_numpy().astype(np.int64) for t in texts)
+    order = sorted(range(len(keys)), key=lambda k: (-length[k], keys[k]))
+    lo = 0
+    while lo < len(order):
+        within = np.searchsorted(np.cumsum(length[order[lo : lo + size]]), most, side="right")
+        part = pa.array(sorted(order[lo : lo + max(1, int(within))], key=lambda k: keys[k]))
+        yield ids.take(part), [t.take(part) for t in texts]
+        lo += len(part)
 
 
 def build(texts: DataFrame, path: str, buckets: int = BUCKETS, block: int = BLOCK) -> None:
     """texts(id, text), ids unique -> rows(bucket, block, term, n, most_a, most_b, docs, a, b, ids) under path; bucket -1 has the blocks' ids.
 
     docs are places in the block; a and b say how often the term is in the text and in its preview. Null and empty texts have no
-    postings. Texts are split into words by Spark and counted as numpy arrays, one block at a time. Ids are strings or integers.
+    postings. Texts are split into words by Spark and counted as arrays, one block at a time: a task holds its batch and one block, which
+    has BLOCK_BYTES at most but for a text that has more. Ids are strings or integers.
     """
     rows = texts.where("text IS NOT NULL AND id IS NOT NULL").select("id", *[F.array_join(words_of(t), " ").alias(n) for t, n in ((F.col("text"), "words"), (preview(F.col("text")), "heads"))])
     kind = dict(texts.dtypes)["id"]
@@ -69,8 +74,8 @@ def build(texts: DataFrame, path: str, buckets: int = BUCKETS, block: int = BLOC
     def counted(batches):
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for ids, words, heads in _blocks(batch, block):
-                yield _block(ids, words, heads, number, arrow)
+            for ids, split in _blocks(batch, block, BLOCK_BYTES):
+                yield _block(ids, split, number, arrow)
                 number += 1
 
     found = rows.mapInArrow(counted, f"{POSTINGS}, ids array<{kind}>").withColumn("bucket", F.coalesce(_bucket(F.col("term"), buckets), F.lit(-1)))
