@@ -22,6 +22,14 @@ SAMPLE, WIDE, WORDS, ROUNDS = 20_000, 4, 256, 12
 ASKED, NEAREST, TARGET = 200, 30, 0.97
 #: Queries that meet the lists at once, and candidates that are rescored for each place of the result.
 BLOCK, RESCORED = 256, 8
+#: Rows whose distances to all centres are held at a time.
+ROW_TILE = 1024
+
+
+def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, tile by tile."""
+    half = (centres**2).sum(1) / 2
+    return np.concatenate([np.argmax(rows[lo : lo + ROW_TILE] @ centres.T - half, axis=1) for lo in range(0, max(1, len(rows)), ROW_TILE)])
 
 
 @dataclass
@@ -37,9 +45,9 @@ class Codebook:
         return np.pad(v, ((0, 0), (0, self.centres.shape[1] - v.shape[1])))
 
     def encode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lists = np.argmax(unit @ self.centres.T - (self.centres**2).sum(1) / 2, axis=1)
+        lists = _nearest(unit, self.centres)
         rest = unit - self.centres[lists]
-        codes = [np.argmax(rest[:, WIDE * j : WIDE * (j + 1)] @ w.T - (w**2).sum(1) / 2, axis=1) for j, w in enumerate(self.words)]
+        codes = [_nearest(rest[:, WIDE * j : WIDE * (j + 1)], w) for j, w in enumerate(self.words)]
         return lists, np.stack(codes, 1).astype(np.uint8)
 
 
@@ -47,7 +55,7 @@ def _means(rows: np.ndarray, k: int) -> np.ndarray:
     """Lloyd's rounds from rows spread evenly over the sample; a centre that loses all its rows stays where it is."""
     centres = rows[np.linspace(0, len(rows) - 1, k).astype(int)].copy()
     for _ in range(ROUNDS):
-        near = np.argmax(rows @ centres.T - (centres**2).sum(1) / 2, axis=1)
+        near = _nearest(rows, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, rows)
         counts = np.bincount(near, minlength=k)
@@ -80,7 +88,7 @@ def fit(vectors: DataFrame, lists: int | None = None, sample: int = SAMPLE) -> C
     unit = np.pad(unit[good], ((0, 0), (0, -size["size"] % WIDE)))
     k = min(len(unit), lists or min(4096, max(1, int(size["count"] ** 0.5))))
     centres = _means(unit, k)
-    near = np.argmax(unit @ centres.T - (centres**2).sum(1) / 2, axis=1)
+    near = _nearest(unit, centres)
     rest = unit - centres[near]
     words = np.stack([_means(rest[:, a : a + WIDE], min(WORDS, len(rest))) for a in range(0, unit.shape[1], WIDE)])
     return Codebook(centres, words, size["size"], _probes(unit, centres, near))
