@@ -14,9 +14,10 @@ from .registry import CHUNKS, chunks, query, table
 @query(None)
 def sequence_ratios(spark, sf_dir):
     """Lines of documents that are 0.86 alike or more to the line after, both whole. No SQL: matching blocks are found within what others leave; tests hold it against brute force."""
-    c = chunks(spark, sf_dir)
-    after = c.select("doc_id", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("content").alias("b"))
-    return W.similar_sequences(c.withColumnRenamed("content", "a").join(after, ["doc_id", "chunk_index"]), 0.86).select("doc_id", "chunk_index", F.round("ratio", 6).alias("ratio"))
+    # a text's lines meet in its own row, nothing is joined
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("a")).select("doc_id", "a", F.slice("a", 2, 1 << 30).alias("b"))
+    pairs = lines.select("doc_id", F.posexplode(F.arrays_zip("a", "b")).alias("chunk_index", "pair")).where("pair.b IS NOT NULL").select("doc_id", "chunk_index", "pair.a", "pair.b")
+    return W.similar_sequences(pairs, 0.86).select("doc_id", "chunk_index", F.round("ratio", 6).alias("ratio"))
 
 
 @query(None)
