@@ -61,7 +61,9 @@ def tokens_message(text: Column) -> Column:
 
 
 def preview(text: Column, size: int = 600) -> Column:
-    return F.substring(collapse(text), 1, size)
+    """The first characters of the collapsed text; the whole text is collapsed only where its head is not enough for them."""
+    head = F.ltrim(F.regexp_replace(F.substring(text, 1, size + size // 3), "\\s+", " "))
+    return F.when(F.length(head) > size, F.substring(head, 1, size)).otherwise(F.substring(collapse(text), 1, size))
 
 
 def exact_signal(text: Column) -> Column:

@@ -170,7 +170,7 @@ def exact_recall(signals: DataFrame, texts: DataFrame, k: int = 15) -> DataFrame
     a bounded number, as two automata that find all of a block's signals in one pass over a title or text. An empty signal is in every one.
     """
     n = signals.groupBy("query_id").agg(F.count("*").alias("n"))
-    t = texts.select("id", "title", exact_signal(F.col("text")).alias("__norm"))
+    t = texts.select("id", "title", F.lower("text").alias("__lower"))
     kinds = dict(signals.dtypes) | dict(texts.dtypes)
     schema = StructType([StructField("query_id", signals.schema["query_id"].dataType), StructField("id", texts.schema["id"].dataType), StructField("points", DoubleType())])
     arrow, hits = to_arrow_schema(schema), None
@@ -207,15 +207,19 @@ def _automaton(patterns: list[str]):
 
 #: Texts that a task holds as strings at a time.
 TEXT_TILE = 256
+#: What functions.text.exact_signal makes of a text in lower case, as bytes, of which other characters have none of these.
+BRACKETS, WHITE = bytes.maketrans(b"[]{}", b"()()"), b" \t\n\x0b\f\r"
 
 
 def _signal_hits(batches, rows, schema):
-    """(query_id, id, points) of each text (id, title, __norm) of the Arrow batches that has any of the signals rows (query_id, signal, norm)."""
+    """(query_id, id, points) of each text (id, title, text in lower case) of the Arrow batches that has any of the signals rows (query_id, signal, norm)."""
     in_title, in_text = _automaton([r[1] for r in rows]), _automaton([r[2] for r in rows])
     for batch in batches:
         for lo in range(0, batch.num_rows, TEXT_TILE):
             out = []
-            for key, title, norm in zip(*(c.to_pylist() for c in batch.slice(lo, TEXT_TILE).columns)):
+            keys, titles, texts = batch.slice(lo, TEXT_TILE).columns
+            for key, title, text in zip(keys.to_pylist(), titles.to_pylist(), texts.cast(pa.binary()).to_pylist()):
+                norm = text if text is None else text.translate(BRACKETS, WHITE).decode()
                 named, points = in_title(title), {}
                 for k in named | in_text(norm):
                     points[rows[k][0]] = points.get(rows[k][0], 0.0) + (2.0 if k in named else 1.5)

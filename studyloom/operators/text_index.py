@@ -21,18 +21,34 @@ from ..functions.text import half_up, preview
 from ..sources.shared import settle
 from .retrieval import query_terms, top, words_of
 
-#: Folders that terms are dealt into, texts and bytes of words of a block, query terms that meet the index at once, blocks scored before any is left out.
+#: Folders that terms are dealt into, texts of a block and their bytes, query terms that meet the index at once, blocks scored before any is left out.
 BUCKETS, BLOCK, BLOCK_BYTES, TERMS, AHEAD = 8, 1024, 4 << 20, 200_000, 2
+#: Characters that Java and Arrow may lower or take for letters differently, as their Unicode differs (İ and Σ by rule); else they agree. Texts with such a one are split by Spark.
+ODD = r"\x{130}\x{3A3}\x{530}-\x{1FFF}\x{2070}-\x{10FFFF}"
+#: Characters that part words: ASCII ones, as bytes that become a space, and all the others.
+SPACES = bytes(b if b >= 128 or chr(b).isalnum() or b == ord("_") else 32 for b in range(256))
+BETWEEN = rf"[^\x00-\x{{7F}}\p{{L}}\p{{N}}{ODD}]"
 POSTINGS = "block long, term string, n int, most_a int, most_b int, docs array<int>, a array<int>, b array<int>"
 
 
+def _spaced(texts: pa.Array) -> pa.Array:
+    """Texts in lower case with spaces for what is in no word; what Spark has split stays."""
+    texts = pc.if_else(pc.match_substring_regex(texts, f"[{ODD}]"), texts, pc.utf8_lower(texts))
+    if texts.buffers()[2] is None:
+        return texts
+    seen, places, data = texts.buffers()
+    texts = pa.StringArray.from_buffers(len(texts), places, pa.py_buffer(data.to_pybytes().translate(SPACES)), seen, texts.null_count, texts.offset)
+    more = pc.match_substring_regex(texts, BETWEEN)
+    return pc.replace_with_mask(texts, more, pc.replace_substring_regex(texts.filter(more), BETWEEN, " "))
+
+
 def _block(ids: pa.Array, texts: list[pa.Array], number: int, kind: pa.DataType) -> pa.RecordBatch:
-    """The postings of one block: a row for each term, its texts as places in the block, and a row without a term for the ids in their places. texts: words and heads."""
-    words = pa.chunked_array([pc.split_pattern(t, " ") for t in texts]).combine_chunks()
+    """The postings of one block: a row for each term, its texts as places in the block, and a row without a term for the ids in their places. texts: whole ones and heads."""
+    words = pa.chunked_array([pc.split_pattern(_spaced(t), " ") for t in texts]).combine_chunks()
     coded = words.flatten().dictionary_encode()
     d, terms, place, names = len(ids), coded.indices.to_numpy().astype(np.int64), pc.list_parent_indices(words).to_numpy(), coded.dictionary.cast(pa.string())
-    if (empty := pc.index(names, "").as_py()) >= 0:  # what a text without words is split into
-        terms, place = terms[terms != empty], place[terms != empty]
+    word = pc.greater_equal(pc.utf8_length(names), 2).to_numpy(zero_copy_only=False)[terms]
+    terms, place = terms[word], place[word]
     weight = place < d
     keys, inverse = np.unique(terms * d + place % d, return_inverse=True)
     a = np.bincount(inverse, weight, len(keys)).astype(np.int32)
@@ -48,7 +64,7 @@ def _block(ids: pa.Array, texts: list[pa.Array], number: int, kind: pa.DataType)
 
 
 def _blocks(batch: pa.RecordBatch, size: int, most: int) -> Iterator[tuple[pa.Array, list[pa.Array]]]:
-    """The ids and [words, heads] of a batch of texts in blocks of so many texts and bytes of both at most (one text may have more), longest texts first; a block's texts are sorted by id."""
+    """The ids and [texts, heads] of a batch of texts in blocks of so many texts and bytes of both at most (one text may have more), longest texts first; a block's texts are sorted by id."""
     ids, texts = batch.column(0), batch.columns[1:]
     keys, length = ids.to_pylist(), sum(pc.binary_length(t).to_numpy().astype(np.int64) for t in texts)
     order = sorted(range(len(keys)), key=lambda k: (-length[k], keys[k]))
@@ -64,10 +80,11 @@ def build(texts: DataFrame, path: str, buckets: int = BUCKETS, block: int = BLOC
     """texts(id, text), ids unique -> rows(bucket, block, term, n, most_a, most_b, docs, a, b, ids) under path; bucket -1 has the blocks' ids.
 
     docs are places in the block; a and b say how often the term is in the text and in its preview. Null and empty texts have no
-    postings. Texts are split into words by Spark and counted as arrays, one block at a time: a task holds its batch and one block, which
+    postings. Texts are split into words and counted as arrays, one block at a time: a task holds its batch and one block, which
     has BLOCK_BYTES at most but for a text that has more. Ids are strings or integers.
     """
-    rows = texts.where("text IS NOT NULL AND id IS NOT NULL").select("id", *[F.array_join(words_of(t), " ").alias(n) for t, n in ((F.col("text"), "words"), (preview(F.col("text")), "heads"))])
+    plain = lambda t: F.when((F.octet_length(t) > F.length(t)) & t.rlike(f"[{ODD}]"), F.array_join(words_of(t), " ")).otherwise(t)
+    rows = texts.where("text IS NOT NULL AND id IS NOT NULL").select("id", plain(F.col("text")).alias("texts"), plain(preview(F.col("text"))).alias("heads"))
     kind = dict(texts.dtypes)["id"]
     arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
 
@@ -79,7 +96,7 @@ def build(texts: DataFrame, path: str, buckets: int = BUCKETS, block: int = BLOC
                 number += 1
 
     found = rows.mapInArrow(counted, f"{POSTINGS}, ids array<{kind}>").withColumn("bucket", F.coalesce(_bucket(F.col("term"), buckets), F.lit(-1)))
-    found.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+    found.sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(path)
 
 
 def _bucket(term: Column, buckets: int) -> Column:
