@@ -27,7 +27,9 @@ def chunk_features(elements: DataFrame) -> DataFrame:
     own = F.col("strategy")
     e = elements.withColumn("strategy", F.when(own.isin(*BUDGETS), own).otherwise("MIXED_FALLBACK"))
     e = e.withColumn("content", F.coalesce("content", F.lit(""))).withColumn("position", F.col("element").cast("long")).withColumn("tokens", tokens_document(F.col("content")))
-    here, bare = _first_line(F.col("content"), stripped), _first_line(F.col("content"), lambda x: F.regexp_replace(x, r"\A[ #\t]+|[ #\t]+\z", ""))
+    here, bare = _first_line(F.col("content"), stripped), _first_line(F.col("content"), lambda x: F.btrim(x, F.lit(" #\t")))
+    e = e.withColumn("__here", here).withColumn("__bare", bare)  # as columns, so that a text is split once each, not with each word looked for
+    here, bare = F.col("__here"), F.col("__bare")
     says = boundaries(here, F.col("kind") == "HEADING")
     begins = F.when(own == "TOPIC_AWARE", says["unit"]).when(own == "PAPER_SECTION_AWARE", says["paper_section"]).when(own == "QUESTION_AWARE", says["question"])
     path = F.coalesce("path", F.array().cast("array<string>"))

@@ -24,8 +24,9 @@ def stripped(text: Column) -> Column:
     return F.btrim(text, F.lit(" \t\n\r\x0b\f"))
 
 
-def line_features(line: Column) -> dict[str, Column]:
-    t = stripped(line)
+def line_features(line: Column, t: Column | None = None) -> dict[str, Column]:
+    """What a line may begin or end; t is the line stripped, where that is a column already."""
+    t = stripped(line) if t is None else t
     return {
         "marker": t.startswith("<!--") & t.rlike(r"(?i)^<!--\s*page\s*:\s*[0-9]{1,18}\s*-->"), "heading": t.startswith("#") & t.rlike(r"^#+\s+\S"), "fence": t.startswith("```"), "dollars": t.startswith("$$"),
         "figure": t.contains("<figure"), "closes": t.contains("</figure>"), "bar": line.contains("|"), "nothing": (t == "") | (t == "---"),
@@ -44,7 +45,10 @@ def mode_changes(lines: DataFrame) -> DataFrame:
     The steps of a block of lines compose to one step; a document's blocks in order give the mode each begins in, and then the blocks
     are walked at the same time. No task holds a document's lines, one at most the steps of its blocks, four characters each.
     """
-    steps = lines.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), _step(line_features(F.coalesce("content", F.lit("")))).alias("step")).where(F.col("step") != SAME)
+    own = lines.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.coalesce("content", F.lit("")).alias("line")).withColumn("t", stripped(F.col("line")))
+    # by a lambda, as the filter repeats the step and both as plain columns make a method too large to be compiled; written, as it is read twice
+    step = F.get(F.transform(F.array(F.struct("line", "t")), lambda r: _step(line_features(r["line"], r["t"]))), 0)
+    steps = settle(own.select("doc_id", "chunk_index", step.alias("step")).where(F.col("step") != SAME))
     block = F.floor(F.col("chunk_index") / SPAN)
     blocks = steps.groupBy("doc_id", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("chunk_index", "step"))).alias("steps"))
     whole = F.aggregate("steps", F.lit(SAME), lambda a, x: _after(a, x["step"]))
@@ -100,14 +104,15 @@ def structure(lines: DataFrame) -> DataFrame:
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     changes = settle(mode_changes(lines))
     own = lines.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.coalesce("content", F.lit("")).alias("content"))
-    f, t = line_features(F.col("content")), stripped(F.col("content"))
+    t = F.col("__t")
+    f = line_features(F.col("content"), t)
     # what a line is in plain text; NONE are markers, which count in any mode
     plain = (
         F.when(f["marker"], "NONE").when(f["heading"], "HEADING").when(f["fence"], "CODE").when(f["dollars"], "FORMULA").when(f["figure"], "MIXED_VISUAL")
         .when(f["bar"], "TABLE").when(f["nothing"], None).otherwise("PARAGRAPH")
     )
     page = F.when(f["marker"], F.regexp_extract(t, "([0-9]+)", 1).cast("long"))
-    x = _in_modes(own.withColumn("plain", plain).withColumn("page", page), changes)
+    x = _in_modes(own.withColumn("__t", stripped(F.col("content"))).withColumn("plain", plain).withColumn("page", page).drop("__t"), changes)
     outside = F.col("mode") == "0"
     open_kind = F.element_at(F.create_map(*[F.lit(v) for kv in MODES.items() for v in kv]), F.col("mode"))
     kind = F.when(F.col("plain").eqNullSafe("NONE"), None).when(~outside, open_kind).otherwise(F.col("plain"))

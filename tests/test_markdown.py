@@ -99,3 +99,13 @@ def test_replacements(spark):
     got = [tuple(x.v) for x in df.select(M.replaced(*[F.col(c) for c in "tnrae"]).alias("v")).collect()]
     assert got[:2] == [(TEXT.replace("B (1)", "$1\\", 1), None), (TEXT.replace("B (1)", ""), None)]
     assert got[2:] == [(TEXT, "text not found"), (TEXT, "text not found"), (TEXT, "changed since it was read"), ("", "text not found"), (TEXT, "text not found")]
+
+
+def test_steps_of_lines_are_found_once(spark):
+    """Lines are read once for their steps, which are written; the two readers of the steps read no line."""
+    seen = spark.sparkContext.accumulator(0)
+    once = F.udf(lambda x: (seen.add(1), x)[1], "string").asNondeterministic()
+    d = spark.createDataFrame([(k % 5, k, line) for k, line in enumerate(["a", "```", "b", "```", "<figure>x", "c</figure>", "$$", "", "# H", "<!-- page: 2 -->"] * 4)], "doc_id long, chunk_index long, content string")
+    got = M.mode_changes(d.withColumn("content", once("content"))).collect()
+    assert seen.value == 40
+    assert sorted(map(tuple, got)) == sorted(map(tuple, M.mode_changes(d).collect())) and got
