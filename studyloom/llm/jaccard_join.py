@@ -4,19 +4,22 @@ Plan, with the data that each step moves:
 
 1. One row a document: a digest of its word sequence (of its first window, if that is its only shingle) and its
    number of shingles. Documents of one digest have one set, so they are one node of the join, however many there are.
-2. The texts of the nodes become shingle hashes (56 of 64 bits travel). Each task sends them sorted and packed to the range of
+2. Of each row only the first shingles by hash are sent at first, 40 bits of each: as many as hold some common ones with any partner.
+   Rows of which too few are sent by any other row too have no partner. Only texts of the other nodes move, as a Bloom filter
+   of bounded size lets most of the rest go where they are read.
+3. These texts become shingle hashes (56 of 64 bits travel). Each task sends them sorted and packed to the range of
    hashes that they fall in; there it is counted in how many nodes each occurs. A node is sent as its place in its chunk of about a
    million shingles, and the chunk's nodes travel once, however many ranges there are. A shingle that HOT nodes or more of one
    chunk have is only sent as a count, as its answer is known; so no shingle brings more than HOT rows a chunk
    to one task. Only shingles of two nodes or more go back, packed again, to their chunk.
-3. A node can only have a partner if ceil(0.85 n) of its n shingles occur elsewhere. For those
+4. A node can only have a partner if ceil(0.85 n) of its n shingles occur elsewhere. For those
    that remain the prefix of n - ceil(0.85 n) + 1 shingles is taken under three global orders (all put the
    shingles without partner first; then by rising frequency, counted up to HOT, or by one of two hashes).
-4. Nodes that share a prefix shingle under the first order form clusters. In a large cluster all nodes first meet a block of pivots,
+5. Nodes that share a prefix shingle under the first order form clusters. In a large cluster all nodes first meet a block of pivots,
    which costs rows in proportion to its size; what the pivots join needs no more comparing among itself. What is left is dealt in
    blocks, and a task gets one pair of blocks of different pieces. Pairs that share a prefix shingle under every
    order are verified by their common shingles. A task returns a spanning forest of the links, not all pairs.
-5. Connected components of these forests.
+6. Connected components of these forests.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, pack, runs, settle, star_forest, unpack
+from .common import may_hold, mix64, narrow, pack, runs, settle, star_forest, unpack, wide
 
 #: Bits of a shingle's hash that are sent; sizes of sets are counted with all 64.
 HASH_BITS = 56
@@ -40,6 +43,8 @@ BLOCK = 64
 #: Nodes from which a cluster meets pivots first, and how many times.
 LARGE = 256
 PIVOT_ROUNDS = 1
+#: Bytes of a shingle's hash that are sent at first, and how many common shingles (in percent of a set's size) the first ones hold.
+HEAD_BYTES, HEAD_SHARE = 5, 10
 #: Ranges of shingles, at least, and about how many shingles a chunk of nodes has.
 LEAST_PARTS = 256
 CHUNK_SHINGLES = 1_000_000
@@ -69,12 +74,31 @@ def set_key(words: list[bytes], n: int, size: int) -> bytes:
     return hashlib.md5(b" ".join(words[:size] if n == 1 else words)).digest()
 
 
-def _digests(size: int):
+def need(n, percent: int):
+    """Least number of common shingles that a set of n shares with any partner."""
+    return -(-percent * n // 100)
+
+
+def _held(n):
+    """How many common shingles of a set of n and a partner of its size at least are among the first ones of both."""
+    return -(-HEAD_SHARE * n // 100)
+
+
+def _digests(size: int, percent: int):
+    """heads: the first shingles of a set by hash, by low bytes. The k-th common one of two sets is the n - need(n) + k-th of each at most."""
+
+    def heads(s: np.ndarray) -> bytes:
+        return narrow(s[: len(s) - need(len(s), percent) + _held(len(s))], HEAD_BYTES)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            words = [folded_words(t) for t in pdf["text"]]
-            counts = [len(shingles(w, size)) for w in words]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": [set_key(w, n, size) for w, n in zip(words, counts)], "n": np.array(counts, np.int64)})
+            rows = []
+            for text in pdf["text"]:
+                words = folded_words(text)
+                s = shingles(words, size)
+                rows.append((set_key(words, len(s), size), len(s), heads(s)))
+            out = pd.DataFrame(rows, columns=["key", "n", "heads"])
+            yield out.assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", "key", "n", "heads"]]
 
     return run
 
@@ -85,6 +109,84 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(x)))
 
 
+def _own_part(chunk: int, parts: int) -> int:
+    return int(mix64(np.array([chunk]), 7)[0] % np.uint64(parts))
+
+
+def _head_requests(percent: int, parts: int):
+    """From rows (doc_id, n, heads): rows (part, chunk, told, blob). A blob of told = false has a chunk's heads of a range in order: those that one row
+    has once, each one's place, and those that are there more often. That of told = true has the chunk's ids, and how many more shared heads each needs."""
+
+    def flush(chunk: int, held: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bool, bytes]]:
+        tokens = wide(b"".join(h for _, _, h in held), HEAD_BYTES)
+        place = np.repeat(np.arange(len(held)), [len(h) // HEAD_BYTES for _, _, h in held])
+        order = np.argsort(tokens, kind="stable")
+        tokens, place = tokens[order], place[order]
+        starts, times = _runs(tokens)
+        shared = np.bincount(place[np.repeat(times > 1, times)], minlength=len(held))
+        # a partner has need(n) shingles at least
+        left = _held(need(np.array([n for _, n, _ in held], np.int64), percent)) - shared
+        rows = [(_own_part(chunk, parts), chunk, True, pack(np.array([i for i, _, _ in held], np.int64), left))]
+        once, place, more = tokens[starts[times == 1]], place[starts[times == 1]], tokens[starts[times > 1]]
+        edges = [(p << 8 * HEAD_BYTES) // parts for p in range(parts + 1)]
+        cuts, more_cuts = np.searchsorted(once, edges), np.searchsorted(more, edges)
+        for p in range(parts):
+            t, d, m = once[cuts[p] : cuts[p + 1]], place[cuts[p] : cuts[p + 1]], more[more_cuts[p] : more_cuts[p + 1]]
+            if len(t) or len(m):
+                rows.append((p, chunk, False, pack(np.diff(t, prepend=edges[p]), d, np.diff(m, prepend=edges[p]))))
+        return rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, total = [], 0
+        chunk = TaskContext.get().partitionId() << 32
+        frame = lambda rows: pd.DataFrame(rows, columns=["part", "chunk", "told", "blob"])
+        for pdf in batches:
+            for row in zip(pdf["doc_id"].tolist(), pdf["n"].tolist(), pdf["heads"]):
+                held.append(row)
+                total += len(row[2]) // HEAD_BYTES
+                if total >= CHUNK_SHINGLES:
+                    yield frame(flush(chunk, held))
+                    held, total, chunk = [], 0, chunk + 1
+        if held:
+            yield frame(flush(chunk, held))
+
+    return run
+
+
+def _head_answers(pdf: pd.DataFrame) -> pd.DataFrame:
+    """From all heads of a range: of each chunk the places of those that another chunk has too."""
+    rows, chunk, token, place, more = [], [], [], [], [np.empty(0, np.int64)]
+    for c, told, blob in zip(pdf["chunk"], pdf["told"], pdf["blob"]):
+        if told:
+            rows.append((c, blob))
+            continue
+        t, d, m = unpack(blob)
+        chunk.append(c)
+        token.append(np.cumsum(t))
+        place.append(d)
+        more.append(np.cumsum(m))
+    if token:
+        ends = np.cumsum([0, *map(len, token)])
+        token = np.concatenate(token)
+        first, at, times = np.unique(token, return_inverse=True, return_counts=True)
+        shared = ((times > 1) | np.isin(first, np.concatenate(more)))[at]
+        for c, d, lo, hi in zip(chunk, place, ends, ends[1:]):
+            d = np.sort(d[shared[lo:hi]])
+            if len(d):
+                rows.append((c, pack(np.diff(d, prepend=0))))
+    return pd.DataFrame(rows, columns=["chunk", "blob"])
+
+
+def _survivors(pdf: pd.DataFrame) -> pd.DataFrame:
+    """From a chunk's answers: the ids that may have a partner."""
+    got = [unpack(blob) for blob in pdf["blob"]]
+    ids, left = next(g for g in got if len(g) == 2)
+    for g in got:
+        if len(g) == 1:
+            left = left - np.bincount(np.cumsum(g[0]), minlength=len(ids))
+    return pd.DataFrame({"doc_id": ids[left <= 0]})
+
+
 def _requests(size: int, parts: int):
     """From rows (node, key, text): rows (part, chunk, told, blob). A task cuts its nodes into chunks, and a node is known by its place in one.
 
@@ -100,7 +202,7 @@ def _requests(size: int, parts: int):
         starts, times = _runs(tokens)
         common = np.repeat(times >= HOT, times)
         hot, weight = tokens[starts[times >= HOT]], times[times >= HOT]
-        own = int(mix64(np.array([chunk]), 7)[0] % np.uint64(parts))
+        own = _own_part(chunk, parts)
         rows = [(own, chunk, True, pack(np.array([i for i, _, _ in held], np.int64), np.array([n for _, _, n in held], np.int64)))]
         if common.any():
             rows.append((own, chunk, True, pack(np.diff(tokens[common], prepend=0), place[common], np.full(int(common.sum()), HOT))))
@@ -173,11 +275,6 @@ def _answers(parts: int):
     return run
 
 
-def need(n: int, percent: int) -> int:
-    """Least number of common shingles that a set of n shares with any partner."""
-    return -(-percent * n // 100)
-
-
 def _candidates(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         got = [unpack(blob) for blob in pdf["blob"]]
@@ -194,10 +291,8 @@ def _candidates(percent: int):
             if take < 1:
                 continue
             first = t[np.lexsort((mix64(t, 11), df[lo:hi]))][:take]
-            second = t[np.argsort(mix64(t, 101))][:take]
-            third = t[np.argsort(mix64(t, 1009))][:take]
-            rows.append((node, size, np.sort(t).tobytes(), first.tolist(), first.tobytes(), second.tobytes(), third.tobytes()))
-        return pd.DataFrame(rows, columns=["node", "n", "tokens", "heads", "first", "second", "third"])
+            rows.append((node, size, narrow(np.sort(t), HASH_BITS // 8), first))
+        return pd.DataFrame(rows, columns=["node", "n", "tokens", "heads"])
 
     return run
 
@@ -243,9 +338,10 @@ def _verify(percent: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in runs(batches, "cell"):
-            read = lambda name: [np.frombuffer(x, np.int64) for x in pdf[name]]
             node, n, side = (pdf[c].to_numpy() for c in ("node", "n", "side"))
-            ok = linked(n, read("tokens"), [read("first"), read("second"), read("third")], side, percent)
+            tokens, first = [wide(x, HASH_BITS // 8) for x in pdf["tokens"]], [np.asarray(x, np.int64) for x in pdf["heads"]]
+            other = [[t[np.argsort(mix64(t, salt))][: len(f)] for t, f in zip(tokens, first)] for salt in (101, 1009)]
+            ok = linked(n, tokens, [first, *other], side, percent)
             if not ok.any():
                 continue
             label = node.copy()
@@ -262,7 +358,7 @@ def _verify(percent: int):
 
 def _compared(near: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
     """dealt(node, cell, side) -> links (a, b) between nodes of one cell and different sides (of any, if a cell has one side)."""
-    rows = near.select("node", "n", "tokens", "first", "second", "third").join(dealt, "node")
+    rows = near.select("node", "n", "tokens", "heads").join(dealt, "node")
     return rows.repartition("cell").sortWithinPartitions("cell").mapInPandas(_verify(percent), "a long, b long")
 
 
@@ -308,16 +404,19 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     parts = max(LEAST_PARTS, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    each = settle(docs.mapInPandas(_digests(size), "doc_id long, key binary, n long"))
+    each = settle(docs.mapInPandas(_digests(size, percent), "doc_id long, key binary, n long, heads binary"))
     some = each.where("n > 0 AND doc_id IS NOT NULL")
     # a number for each set, written once with it
     nodes = settle(some.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")).withColumn("node", F.monotonically_increasing_id()))
-    wanted = nodes.where((F.col("n") > 1) | F.lit(percent <= 50)).select(F.col("least").alias("doc_id"), "key", "node")
+    pairable = (F.col("n") > 1) | F.lit(percent <= 50)
+    heads = some.where(pairable).select("doc_id", "n", "heads").mapInPandas(_head_requests(percent, parts), "part int, chunk long, told boolean, blob binary")
+    heads = heads.groupBy("part").applyInPandas(_head_answers, "chunk long, blob binary").groupBy("chunk").applyInPandas(_survivors, "doc_id long")
+    wanted = settle(nodes.where(pairable).select(F.col("least").alias("doc_id"), "key", "node").join(heads, "doc_id", "left_semi"))
     # in order, so that a task that is run again cuts the same chunks
-    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "key", "text").sortWithinPartitions("node")
+    texts = docs.where(may_hold(wanted.select("doc_id"))(F.col("doc_id"))).join(wanted.hint("shuffle_hash"), "doc_id").select("node", "key", "text").sortWithinPartitions("node")
     asked = texts.mapInPandas(_requests(size, parts), "part int, chunk long, told boolean, blob binary")
     told = asked.groupBy("part").applyInPandas(_answers(parts), "chunk long, blob binary")
-    near = settle(told.groupBy("chunk").applyInPandas(_candidates(percent), "node long, n long, tokens binary, heads array<long>, first binary, second binary, third binary"))
+    near = settle(told.groupBy("chunk").applyInPandas(_candidates(percent), "node long, n long, tokens binary, heads array<long>"))
     heads = settle(near.select("node", F.explode("heads").alias("token")))
     least = settle(heads.groupBy("token").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1"))
     cluster = settle(star_forest(heads.join(least, "token").select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumn("piece", F.col("node")))
@@ -335,6 +434,6 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     found = settle(star_forest(links))
     named = found.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     final = settle(nodes.select("key", "node", "least").join(found.join(named, "component").select("node", "component_id"), "node", "left").select("key", F.coalesce("component_id", "least").alias("component_id")))
-    out = each.join(final, "key", "left")
+    out = each.drop("heads").join(final, "key", "left")
     own = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
