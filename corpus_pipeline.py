@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyloom.llm import decontaminate, jaccard_join, mixing, pii, quality_rules
-from studyloom.llm.common import settle, table
+from studyloom.llm.common import may_hold, settle, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,13 +19,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of rows of one doc_id the one with the least text stays, then that whose other columns are least as JSON; a null text comes last.
     """
-    lost = settle(jaccard_join.components(docs, size=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct())
-    kept = docs.where("doc_id IS NOT NULL").join(lost, "doc_id", "left_anti")
+    found = jaccard_join.components(docs, size=5, percent=80).where("doc_id IS NOT NULL").groupBy("doc_id")
+    odd = settle(found.agg(F.bool_or(F.col("component_id") != F.col("doc_id")).alias("lost"), F.count("*").alias("rows")).where("lost OR rows > 1"))
+    # the other rows stay where they are read
+    here = F.col("doc_id").isNotNull() & may_hold(odd.select("doc_id"))(F.col("doc_id"))
+    kept = docs.where(here).join(odd.where("lost").select("doc_id"), "doc_id", "left_anti")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     # as JSON, as a map has no order of its own
     order = F.struct(F.col("text").isNull(), "text", F.to_json(F.struct(*rest)) if rest else F.lit(""))
     first = kept.groupBy("doc_id").agg(F.min_by(F.struct("text", *rest), order).alias("__row"))
-    return first.select("doc_id", "__row.*").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return first.select("doc_id", "__row.*").select(*docs.columns).unionByName(docs.where(~here))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
