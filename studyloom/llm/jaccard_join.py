@@ -15,7 +15,7 @@ Plan, with the data that each step moves:
 4. A node can only have a partner if ceil(0.85 n) of its n shingles occur elsewhere. For those
    that remain the prefix of n - ceil(0.85 n) + 1 shingles is taken under three global orders (all put the
    shingles without partner first; then by rising frequency, counted up to HOT, or by one of two hashes).
-5. Nodes that share a prefix shingle under the first order form clusters. In a large cluster all nodes first meet a block of pivots,
+5. Nodes that share enough shingles of a somewhat longer prefix under the first order form clusters. In a large cluster all nodes first meet a block of pivots,
    which costs rows in proportion to its size; what the pivots join needs no more comparing among itself. What is left is dealt in
    blocks, and a task gets one pair of blocks of different pieces. Pairs that share a prefix shingle under every
    order are verified by their common shingles. A task returns a spanning forest of the links, not all pairs.
@@ -45,6 +45,8 @@ LARGE = 256
 PIVOT_ROUNDS = 1
 #: Bytes of a shingle's hash that are sent at first, and how many common shingles (in percent of a set's size) the first ones hold.
 HEAD_BYTES, HEAD_SHARE = 5, 10
+#: How many common shingles (in percent of a set's size) the prefixes hold by which nodes become clusters.
+LINK_SHARE = 3
 #: Ranges of shingles, at least, and about how many shingles a chunk of nodes has.
 LEAST_PARTS = 256
 CHUNK_SHINGLES = 1_000_000
@@ -79,9 +81,9 @@ def need(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _held(n):
+def _held(n, share: int = HEAD_SHARE):
     """How many common shingles of a set of n and a partner of its size at least are among the first ones of both."""
-    return -(-HEAD_SHARE * n // 100)
+    return -(-share * n // 100)
 
 
 def _digests(size: int, percent: int):
@@ -290,9 +292,9 @@ def _candidates(percent: int):
             take = (hi - lo) - need(size, percent) + 1
             if take < 1:
                 continue
-            first = t[np.lexsort((mix64(t, 11), df[lo:hi]))][:take]
-            rows.append((node, size, narrow(np.sort(t), HASH_BITS // 8), first))
-        return pd.DataFrame(rows, columns=["node", "n", "tokens", "heads"])
+            first = t[np.lexsort((mix64(t, 11), df[lo:hi]))][: take - 1 + _held(size, LINK_SHARE)]
+            rows.append((node, size, _held(need(size, percent), LINK_SHARE), narrow(np.sort(t), HASH_BITS // 8), first))
+        return pd.DataFrame(rows, columns=["node", "n", "least", "tokens", "heads"])
 
     return run
 
@@ -339,8 +341,10 @@ def _verify(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in runs(batches, "cell"):
             node, n, side = (pdf[c].to_numpy() for c in ("node", "n", "side"))
-            tokens, first = [wide(x, HASH_BITS // 8) for x in pdf["tokens"]], [np.asarray(x, np.int64) for x in pdf["heads"]]
-            other = [[t[np.argsort(mix64(t, salt))][: len(f)] for t, f in zip(tokens, first)] for salt in (101, 1009)]
+            tokens = [wide(x, HASH_BITS // 8) for x in pdf["tokens"]]
+            take = [len(t) - need(int(k), percent) + 1 for t, k in zip(tokens, n)]
+            first = [np.asarray(x, np.int64)[:k] for x, k in zip(pdf["heads"], take)]
+            other = [[t[np.argsort(mix64(t, salt))][:k] for t, k in zip(tokens, take)] for salt in (101, 1009)]
             ok = linked(n, tokens, [first, *other], side, percent)
             if not ok.any():
                 continue
@@ -362,6 +366,29 @@ def _compared(near: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell").mapInPandas(_verify(percent), "a long, b long")
 
 
+def _near_links(near: DataFrame) -> DataFrame:
+    """Links (a, b) whose components hold every pair that is linked, and few that only have some shingles in common.
+
+    Of two linked nodes' heads as many are common as each has in `least`, at least. A head of HOT nodes or fewer counts for each pair of them. Common
+    heads of more nodes are missing in that count, so it has to reach what such heads of either node leave of `least`; nodes that have as many of
+    these as their `least` says are linked by each of them as well.
+    """
+    heads = settle(near.select("node", "least", F.explode("heads").alias("token")))
+    many = settle(heads.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
+    hot = settle(heads.join(many.where(F.col("c") > HOT), "token"))
+    heavy = settle(hot.groupBy("node", "least").agg(F.count("*").alias("h")))
+    groups = heads.join(many.where(F.col("c") <= HOT), "token").groupBy("token").agg(F.sort_array(F.collect_list("node")).alias("all"))
+    lows = groups.select(F.posexplode("all").alias("k", "a"), "all")
+    pairs = lows.select("a", F.explode(F.slice("all", F.col("k") + 2, F.greatest(F.size("all") - F.col("k") - 1, F.lit(0)))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("c"))
+    own = settle(near.select("node", "least").join(heavy.select("node", "h"), "node", "left").fillna(0, "h"))
+    side = lambda x: own.select(F.col("node").alias(x), F.col("least").alias(f"l{x}"), F.col("h").alias(f"h{x}"))
+    enough = F.greatest("la", "lb") - F.least("ha", "hb")
+    light = settle(pairs).join(side("a"), "a").join(side("b"), "b").where(F.col("c") >= enough).select("a", "b")
+    full = hot.join(heavy.where(F.col("h") >= F.col("least")).select("node"), "node", "left_semi").select("node", "token")
+    lowest = full.groupBy("token").agg(F.min("node").alias("b"))
+    return light.unionByName(full.join(lowest, "token").select(F.col("node").alias("a"), "b"))
+
+
 def _unfinished(cluster: DataFrame) -> DataFrame:
     """Large clusters of more than one piece, with their sizes."""
     return cluster.groupBy("component").agg(F.count("*").alias("m"), F.min("piece").alias("p1"), F.max("piece").alias("p2")).where((F.col("m") >= LARGE) & (F.col("p1") < F.col("p2"))).select("component", "m")
@@ -416,10 +443,8 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     texts = docs.where(may_hold(wanted.select("doc_id"))(F.col("doc_id"))).join(wanted.hint("shuffle_hash"), "doc_id").select("node", "key", "text").sortWithinPartitions("node")
     asked = texts.mapInPandas(_requests(size, parts), "part int, chunk long, told boolean, blob binary")
     told = asked.groupBy("part").applyInPandas(_answers(parts), "chunk long, blob binary")
-    near = settle(told.groupBy("chunk").applyInPandas(_candidates(percent), "node long, n long, tokens binary, heads array<long>"))
-    heads = settle(near.select("node", F.explode("heads").alias("token")))
-    least = settle(heads.groupBy("token").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1"))
-    cluster = settle(star_forest(heads.join(least, "token").select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumn("piece", F.col("node")))
+    near = settle(told.groupBy("chunk").applyInPandas(_candidates(percent), "node long, n long, least long, tokens binary, heads array<long>"))
+    cluster = settle(star_forest(_near_links(near)).withColumn("piece", F.col("node")))
     # rows of one doc_id
     many = settle(some.groupBy("doc_id").agg(F.min("key").alias("k1"), F.max("key").alias("k2")).where("k1 <> k2").select("doc_id"))
     same = some.join(many, "doc_id", "left_semi").join(nodes.select("key", "node"), "key").select("doc_id", "node")

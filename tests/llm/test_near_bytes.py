@@ -48,6 +48,20 @@ def test_pipeline_keeps_rows_where_they_are(spark, sf, tmp_path):
     assert shuffled(spark) - before - join < 0.1 * sum(len(t) for _, t in rows)
 
 
+def test_passages_in_common_do_not_join_clusters(spark, monkeypatch):
+    r, sizes, dealt = random.Random(2), [], J._dealt
+    word = lambda: str(r.randrange(10**6))
+    passages = [[word() for _ in range(24)] for _ in range(61)]
+    rows = []
+    for k in range(60):
+        own = [word() for _ in range(170)]
+        rows += [(2 * k, " ".join([*passages[k], *own, *passages[k + 1]])), (2 * k + 1, " ".join([*passages[k], *own[:-1], "x", *passages[k + 1]]))]
+    monkeypatch.setattr(J, "_dealt", lambda cluster: sizes.extend(x["count"] for x in cluster.groupBy("component").count().collect()) or dealt(cluster))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    assert {(x.doc_id, x.component_id) for x in J.components(df).collect()} == {(i, i - i % 2) for i, _ in rows}
+    assert sizes == [2] * 60
+
+
 def brute_links(sets, percent):
     return [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
 
