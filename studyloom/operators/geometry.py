@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -56,12 +58,70 @@ def banded_pairs(boxes: DataFrame, width: float) -> DataFrame:
     return met.where(near).select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")).distinct()
 
 
-def formula_fragments(boxes: DataFrame, width: float) -> DataFrame:
-    """boxes(page, x0, y0, x1, y1, seed) -> the different boxes that are seeds, or that a seed reaches from box to box of one band.
+#: Boxes of a page up to which one task holds it; about how many boxes of whole pages, and links between them, it holds at once; up to how many pages with more are sent to all.
+PAGE_BOXES, HELD_BOXES, HELD_LINKS, SENT_PAGES = 32_768, 65_536, 1_000_000, 20_000
+
+
+def _joined(root: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """root, a number for each row's component, after links between rows: the larger root of a link hangs below the smaller one."""
+    u, v = (root[np.concatenate(side)] for side in zip(*links))
+    while len(u):
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root = root[root]
+        u, v = root[u], root[v]
+        u, v = u[u != v], v[u != v]
+    return root
+
+
+def _banded_components(page: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, far: float) -> np.ndarray:
+    """banded_pairs and their components at once, of rows in order of (page, y0): a number for each row, equal in one component."""
+    label = np.arange(len(page))
+    live = np.flatnonzero((x1 >= x0) & (y1 >= y0))
+    page, x0, y0, x1, y1 = (c[live] for c in (page, x0, y0, x1, y1))
+    root, links, held = np.arange(len(live)), [], 0
+    step, near = 1, np.arange(len(live))
+    while len(near):  # a box meets those below it until one begins where it has ended
+        near = near[near + step < len(live)]
+        near = near[(page[near] == page[near + step]) & (y0[near + step] < y1[near])]
+        other = near + step
+        shared = np.minimum(y1[near], y1[other]) - np.maximum(y0[near], y0[other])
+        height = np.maximum(1.0, np.minimum(y1[near] - y0[near], y1[other] - y0[other]))
+        ok = (np.maximum(0.0, shared) / height >= BAND_SHARE) & (np.maximum(0.0, np.maximum(x0[near], x0[other]) - np.minimum(x1[near], x1[other])) <= far)
+        ok &= root[near] != root[other]
+        links.append((near[ok], other[ok]))
+        held += int(ok.sum())
+        if held > HELD_LINKS:
+            root, links, held = _joined(root, links), [], 0
+        step += 1
+    label[live] = live[_joined(root, links) if links else root]
+    return label
+
+
+def _page_fragments(far: float):
+    """From rows in order of (page, y0): those of components that hold a seed."""
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            rest = pdf if rest is None else pd.concat([rest, pdf])
+            if len(rest) >= HELD_BOXES:
+                page = rest["page"].to_numpy()
+                cut = int(np.flatnonzero(np.append(True, page[1:] != page[:-1]))[-1])  # the last page may go on
+                yield whole(rest.iloc[:cut])
+                rest = rest.iloc[cut:]
+        if rest is not None and len(rest):
+            yield whole(rest)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        label = _banded_components(*(pdf[c].to_numpy() for c in ("page", *SIDES)), far)
+        return pdf[np.isin(label, label[pdf["seed"].to_numpy(bool)])]
 
-    What grows step by step from the seeds until nothing changes is the components that hold a seed. Boxes without a page are left out.
-    """
-    b = boxes.where(F.col("page").isNotNull()).groupBy("page", *SIDES).agg(F.bool_or(F.coalesce("seed", F.lit(False))).alias("seed"))
+    return run
+
+
+def _linked_fragments(b: DataFrame, width: float) -> DataFrame:
+    """formula_fragments of boxes without repetition by links and rounds of components, for pages of any size."""
     # links and rounds carry numbers, not boxes; in order of pages the rows of the grid are alike and shuffle small
     b = settle(b.repartitionByRange("page", *SIDES).sortWithinPartitions("page", *SIDES).withColumn("id", F.monotonically_increasing_id()))
     found = components(banded_pairs(b, width)).withColumnRenamed("node", "id")
@@ -70,6 +130,29 @@ def formula_fragments(boxes: DataFrame, width: float) -> DataFrame:
     return at.join(live, "component", "left_semi").select("page", *SIDES, "seed")
 
 
+def formula_fragments(boxes: DataFrame, width: float) -> DataFrame:
+    """boxes(page, x0, y0, x1, y1, seed) -> the different boxes that are seeds, or that a seed reaches from box to box of one band.
+
+    What grows step by step from the seeds until nothing changes is the components that hold a seed. Boxes without a page are left out.
+    A page of up to PAGE_BOXES boxes is looked at whole, so its boxes are moved once; pages with more, or with a null or NaN side, go by
+    links that are found in a grid and by rounds of components.
+    """
+    b = boxes.where(F.col("page").isNotNull())
+    kinds = dict(b.dtypes)
+    real = [c for c in ("page", *SIDES) if kinds[c] in ("double", "float")]
+    strange = functools.reduce(Column.__or__, [*[F.col(c).isNull() for c in SIDES], *[F.isnan(c) for c in real]])
+    if not all(kinds[c] in ("double", "int", "bigint") for c in SIDES):
+        strange = F.lit(True)  # numbers of these kinds only are the same in tasks
+    sizes = b.groupBy("page").agg(F.count("*").alias("n"), F.bool_or(strange).alias("strange"))
+    apart = settle(sizes.where((F.col("n") > PAGE_BOXES) | F.col("strange")).select("page"))
+    pages = apart.count()
+    apart = F.broadcast(apart) if pages <= SENT_PAGES else apart
+    different = lambda rows: rows.groupBy("page", *SIDES).agg(F.bool_or(F.coalesce("seed", F.lit(False))).alias("seed"))
+    whole = different((b.join(apart, "page", "left_anti") if pages else b).repartition("page")).sortWithinPartitions("page", "y0")
+    whole = whole.mapInPandas(_page_fragments(reach(width)), whole.schema)
+    return whole.unionByName(_linked_fragments(different(b.join(apart, "page", "left_semi") if pages else b.where(F.lit(False))), width))
+
+
 def merged_formulas(fragments: DataFrame, width: float) -> DataFrame:
     """fragments(page, x0, y0, x1, y1) -> (page, formula, x0, y0, x1, y1, parts): fragments of one formula as one box; stacked formulas stay apart.
 
